@@ -87,3 +87,14 @@ def numbered(df: DataFrame, *keys: str, name: str = "numbered") -> tuple[DataFra
     start = sums.select("_part", F.coalesce(earlier, F.lit(0)).alias("_start"))
     out = placed.join(F.broadcast(start), "_part")  # one row a partition
     return out.withColumn("_row", F.col("_start") + F.col("_pos")).drop("_part", "_pos", "_start", "_n"), before[-1]
+
+
+def importable(spark: SparkSession) -> SparkSession:
+    """Let Python workers find this library where the driver found it, if that folder exists for them."""
+    from pathlib import Path
+
+    root = str(Path(__file__).resolve().parent.parent)
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in paths.split(":"):
+        spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{paths}".rstrip(":")
+    return spark
