@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,19 +71,21 @@ def _groups(texts: list[str], chars: int = 2_000_000) -> Iterator[list[str]]:
 def _pieces(path: str, capacity: int, end_id: int):
     end = np.array([end_id], dtype="<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         words = WordIds(path)
-        for pdf in batches:
-            ids = (x + end for group in _groups([t or "" for t in pdf["text"]]) for x in words.of(group))
+        for batch in batches:
+            ids = (x + end for group in _groups([t.as_py() or "" for t in batch["text"]]) for x in words.of(group))
             rows = []
-            for key, x in zip(pdf["id"].astype(object).where(pdf["id"].notna(), None), ids, strict=True):
+            for i, x in enumerate(ids):
                 for k, lo in enumerate(range(0, len(x), 4 * capacity)):
                     part = x[lo : lo + 4 * capacity]
-                    rows.append((key, k, lo // 4, len(part) // 4, zlib.crc32(part)))
-            yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32"])
+                    rows.append((i, k, lo // 4, len(part) // 4, zlib.crc32(part)))
+            at, *cols = zip(*rows, strict=True) if rows else ((),) * 5
+            arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(at, pa.int64())), *arrays], ["id", "piece", "start", "length", "ids_crc32"])
 
     return run
 
@@ -92,7 +94,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id
     """Id, piece, start, length and ids_crc32 of each piece of each row's text (null: empty) and its end id."""
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInPandas(_pieces(tokenizer, capacity, end_id), f"id {kind}, piece int, start long, length long, ids_crc32 long")
+    return slim.mapInArrow(_pieces(tokenizer, capacity, end_id), f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def nnls(matrix: np.ndarray, target: np.ndarray, rounds: int = 2000) -> np.ndarray:
@@ -244,13 +246,14 @@ def _placing(layouts: list[Layout], histogram: dict[int, int], before: list[int]
     table = np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
     starts = np.array(before, dtype=np.int64)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            row = starts[pdf["_part"].to_numpy()] + pdf["_pos"].to_numpy()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = starts[batch["_part"].to_numpy(zero_copy_only=False)] + batch["_pos"].to_numpy(zero_copy_only=False)
             at = np.searchsorted(table[:, 0], row, side="right") - 1
             low, base, each, offset, x = table[at].T
             k, within = np.divmod(row - low, each)
-            yield pdf.drop(columns=["_part", "_pos"]).assign(sequence_id=base + k, offset=offset + within * x)
+            out = batch.drop_columns(["_part", "_pos"])
+            yield out.append_column("sequence_id", pa.array(base + k)).append_column("offset", pa.array(offset + within * x))
 
     return run, base
 
@@ -269,5 +272,5 @@ def pack(
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     placed, before = ordered(pieces, "length", "id", "piece", "ids_crc32", name="packing")
     run, _ = _placing(plan(histogram, capacity, bins, parts), histogram, before, capacity)
-    out = placed.mapInPandas(run, f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    out = placed.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return out.withColumnRenamed("id", id_col)

@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from nervemap.runtime import importable
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -28,6 +30,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), _tokenizer(), capacity=4096, end_id=1)
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nervemap.llm.simhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), width=4, radius=4).select("doc_id", "fingerprint", "component_id")
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nervemap.llm.decontamination import decontaminate
 
@@ -41,6 +49,13 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(_table(spark, sf_dir, "documents"), shards=16, seed=0)
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nervemap.llm.substring_dedup import repeated_spans
+
+    found = repeated_spans(_table(spark, sf_dir, "documents"), length=200)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 _OP8 = r"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS rid,
@@ -73,7 +88,9 @@ FROM d LEFT JOIN hit_words USING (rid) LEFT JOIN hit_items USING (rid)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op8_benchmark_decontamination, op9_sharding)}
+    return {f.__name__: f for f in (
+        op1_best_fit_packing, op4_simhash_near_dedup, op8_benchmark_decontamination, op9_sharding, op10_suffix_array_dedup,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
