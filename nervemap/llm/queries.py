@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from nervemap.runtime import importable
 
@@ -30,12 +31,32 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), _tokenizer(), capacity=4096, end_id=1)
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nervemap.llm.topk_search import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"), k=20, scale=64, every=20)
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nervemap.llm.html_extraction import extract_articles
+
+    return extract_articles(_table(spark, sf_dir, "pages"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nervemap.llm.simhash import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"), width=4, radius=4).select("doc_id", "fingerprint", "component_id")
 
 
+def op5_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nervemap.llm.preferences import format_preferences, preference_pairs
+
+    made = format_preferences(preference_pairs(_table(spark, sf_dir, "conversations")))
+    spans = {c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["start"], x["end"])), ",") for c in ("chosen_spans", "rejected_spans")}
+    return made.withColumns(spans)
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nervemap.llm.decontamination import decontaminate
 
@@ -87,11 +108,51 @@ FROM d LEFT JOIN hit_words USING (rid) LEFT JOIN hit_items USING (rid)
 """
 
 
+_OP2 = """
+WITH v AS (
+  SELECT vec_id AS id, min(list_transform(embedding, lambda x: CAST(floor(64.0 * CAST(x AS DOUBLE)) AS BIGINT))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  GROUP BY vec_id
+), s AS (
+  SELECT q.id AS query_id, c.id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.id <> c.id WHERE q.id % 20 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+_OP5 = r"""
+WITH t AS (
+  SELECT DISTINCT conv_id, turn, role, text FROM conversations
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i FROM t
+), e AS (
+  SELECT conv_id, max(i) AS last, count(*) AS replies, arg_min(coalesce(text, ''), i) AS first_text, arg_max(text, i) AS last_text
+  FROM n WHERE role = 'assistant' GROUP BY conv_id
+), m AS (
+  SELECT n.conv_id, n.i, e.last, n.role, '<|' || replace(coalesce(n.role, ''), '<|', '< |') || '|>' || chr(10) AS head,
+         replace(coalesce(n.text, ''), '<|', '< |') || '<|end|>' || chr(10) AS body,
+         CASE WHEN e.replies > 1 AND e.first_text IS DISTINCT FROM e.last_text THEN replace(e.first_text, '<|', '< |') ELSE '' END || '<|end|>' || chr(10) AS other,
+         (n.i = e.last AND (CASE WHEN e.replies > 1 AND e.first_text IS DISTINCT FROM e.last_text THEN e.first_text ELSE '' END) IS DISTINCT FROM n.text) AS differs
+  FROM n JOIN e ON n.conv_id IS NOT DISTINCT FROM e.conv_id AND n.i <= e.last
+)
+SELECT conv_id, CAST(count(*) FILTER (NOT differs) AS INTEGER) AS n_prompt_turns, coalesce(string_agg(head || body, '' ORDER BY i) FILTER (NOT differs), '') AS prompt,
+       coalesce(max(head || body) FILTER (differs), '') AS chosen_completion,
+       coalesce(max(length(head) || ':' || length(head || body)) FILTER (differs), '') AS chosen_spans,
+       coalesce(max(head || other) FILTER (differs), '') AS rejected_completion,
+       coalesce(max(length(head) || ':' || length(head || other)) FILTER (differs), '') AS rejected_spans
+FROM m GROUP BY conv_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_best_fit_packing, op4_simhash_near_dedup, op8_benchmark_decontamination, op9_sharding, op10_suffix_array_dedup,
+        op1_best_fit_packing, op2_exact_topk, op3_html_extraction, op4_simhash_near_dedup, op5_preference_formatting,
+        op8_benchmark_decontamination, op9_sharding, op10_suffix_array_dedup,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_benchmark_decontamination": _OP8}
+    return {"op2_exact_topk": _OP2, "op5_preference_formatting": _OP5, "op8_benchmark_decontamination": _OP8}
