@@ -57,6 +57,20 @@ def op5_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumns(spans)
 
 
+def op6_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nervemap.llm.language_model import score_texts
+
+    return score_texts(_table(spark, sf_dir, "documents"), folds=7, held_fold=2)
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nervemap.llm.quality import fit, held_out, with_score
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, _table(spark, sf_dir, "labels"), sample=20_000, folds=5, fold=0)
+    return with_score(docs, model, threshold=0.3).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nervemap.llm.decontamination import decontaminate
 
@@ -150,7 +164,7 @@ FROM m GROUP BY conv_id
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_best_fit_packing, op2_exact_topk, op3_html_extraction, op4_simhash_near_dedup, op5_preference_formatting,
-        op8_benchmark_decontamination, op9_sharding, op10_suffix_array_dedup,
+        op6_hidden_markov, op7_quality_classifier, op8_benchmark_decontamination, op9_sharding, op10_suffix_array_dedup,
     )}
 
 
