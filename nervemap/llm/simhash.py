@@ -181,10 +181,10 @@ def fingerprint_links(fps: DataFrame, radius: int = 4) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, fingerprint (16 hex digits), component_id, and the key of its text.
+    """One row per input row: id, fingerprint (16 hex digits), component_id, group, and the key of its text.
 
     Rows are linked if their fingerprints differ in at most ``radius`` bits; component_id is the smallest id of all
-    that can be reached, the row itself included (null if all those ids are null). Null and empty texts have fingerprint
+    that can be reached, the row itself included (null if all those ids are null); group names the component even then. Null and empty texts have fingerprint
     zero and are linked like any others; so are repeated rows. An empty table gives an empty result. Other
     columns play no part.
     """
@@ -196,5 +196,5 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, id_col: st
     named = fps.join(components.withColumnsRenamed({"vertex": "fp", "component": "root"}), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = materialize(named, "named-fingerprints")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = named.join(least, "root").select("fp", "component_id")
-    return rows.join(of_fp, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *KEY)
+    of_fp = named.join(least, "root").select("fp", "root", "component_id")
+    return rows.join(of_fp, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", F.col("root").alias("group"), *KEY)

@@ -16,6 +16,7 @@ row a block of any hot suffix, never one a document.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -203,9 +204,10 @@ def _spans(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated_spans(
-    docs: DataFrame, length: int = 200, gram: int = 100, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False
+    docs: DataFrame, length: int = 200, gram: int = 100, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, carry: Sequence[str] = ()
 ) -> DataFrame:
-    """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256, the key of its text, and the bytes kept if ``with_text``.
+    """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256, the key of its text, the columns ``carry``, and
+    if ``with_text`` the text kept, without characters of which a part was removed.
 
     Removed is each byte of a ``length``-byte string that also starts anywhere else in the table, the same text
     included, judged on the input. Matches never cross texts. A null text is empty; texts shorter than ``length``
@@ -214,7 +216,7 @@ def repeated_spans(
     total = docs.select(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     blocks, parts = total // BLOCK + 1, total // PART + 1
     dealt = F.pmod(F.xxhash64(F.lit("block"), F.col(id_col), F.col(text_col)), F.lit(blocks)).alias("block")
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *text_key(F.col(text_col)), dealt)
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *text_key(F.col(text_col)), dealt, *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)))
     by_block = slim.groupBy("block")
 
     def first(table: pa.Table) -> pa.Table:
@@ -254,14 +256,17 @@ def repeated_spans(
                 digests.append(hashlib.sha256(rest).hexdigest())
                 kept.append(rest)
         out = {"id": table["id"], "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
-        out |= {k: table[k] for k in KEY}
+        out |= {k: table[k] for k in (*KEY, *(f"_c{i}" for i in range(n_carry)))}
         if with_text:
             out["kept"] = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())
         return pa.table(out)
 
     kind = docs.schema[id_col].dataType.simpleString()
+    n_carry = len(carry)
     codes = by_block.applyInArrow(first, _ROWS).groupBy("part").applyInArrow(_decide(False), _CODES)
     again = by_block.cogroup(codes.groupBy("block")).applyInArrow(second, _ROWS).groupBy("part").applyInArrow(_decide(True), _CODES)
     both = codes.withColumn("kind", F.lit(0)).unionByName(again.withColumn("kind", F.lit(1)))
-    schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, _k1 long, _k2 long, _k3 int" + ", kept string" * with_text
-    return by_block.cogroup(both.groupBy("block")).applyInArrow(last, schema).withColumnRenamed("id", id_col)
+    schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, _k1 long, _k2 long, _k3 int"
+    schema += "".join(f", _c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry)) + ", kept string" * with_text
+    out = by_block.cogroup(both.groupBy("block")).applyInArrow(last, schema)
+    return out.withColumnsRenamed({"id": id_col} | {f"_c{i}": c for i, c in enumerate(carry)})
