@@ -12,9 +12,11 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -23,36 +25,69 @@ from pyspark.sql import functions as F
 
 from nervemap.runtime import materialize, ordered
 
-#: Entries that a worker keeps of its word-to-ids table before it starts anew.
-CACHE_ENTRIES = 400_000
+#: Entries of each generation of a worker's tables of words; two are kept.
+CACHE_ENTRIES = 300_000
+#: A chunk of composed Latin letters and then marks: the vocabulary always parts the two, and the letters' case doesn't count.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@\[-`{-~]*)")
+
+
+class _Table:
+    """Text -> ids, of the texts seen lately."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, texts: set[str]) -> list[str]:
+        if len(self.young) > CACHE_ENTRIES:
+            self.old, self.young = self.young, {}
+        out = []
+        for t in texts - self.young.keys():
+            known = self.old.get(t)
+            if known is None:
+                out.append(t)
+            else:
+                self.young[t] = known
+        return out
 
 
 class WordIds:
     """Ids of whole texts, put together from those of chunks between spaces and newlines.
 
     The vocabulary drops white space and never joins across it, so a chunk's ids don't depend on its
-    neighbours; each distinct chunk is tokenised once.
+    neighbours; each distinct chunk is looked up once, and of plain words each distinct stem is tokenised once.
     """
 
+    _made: ClassVar[dict[str, WordIds]] = {}
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.table: dict[str, bytes] = {}
+        self.chunks, self.stems = _Table(), _Table()
+
+    @classmethod
+    def at(cls, path: str) -> WordIds:
+        """The one of this process, with what it has seen in earlier tasks."""
+        if path not in cls._made:
+            cls._made[path] = cls(path)
+        return cls._made[path]
 
     def of(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*split) - self.table.keys()) if split else []
-        if new:
-            if len(self.table) + len(new) > CACHE_ENTRIES:
-                self.table = {}
-                new = list(set().union(*split))
-            for lo in range(0, len(new), 4096):
-                part = new[lo : lo + 4096]
-                for word, x in zip(part, self.model.encode_batch(part, add_special_tokens=False), strict=True):
-                    self.table[word] = np.array(x.ids, dtype="<u4").tobytes()
-        get = self.table.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        parts = {}
+        for chunk in self.chunks.missing(set().union(*split)):
+            m = _PLAIN.fullmatch(chunk)
+            parts[chunk] = (m[1].lower(), m[2]) if m else (chunk, "")
+        new = self.stems.missing({x for pair in parts.values() for x in pair})
+        for lo in range(0, len(new), 4096):
+            some = new[lo : lo + 4096]
+            for stem, x in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.stems.young[stem] = np.array(x.ids, dtype="<u4").tobytes()
+        stems, chunks = self.stems.young, self.chunks.young
+        for chunk, (a, b) in parts.items():
+            chunks[chunk] = stems[a] + stems[b]
+        return [b"".join(map(chunks.__getitem__, words)) for words in split]
 
 
 def _groups(texts: list[str], chars: int = 2_000_000) -> Iterator[list[str]]:
@@ -75,7 +110,7 @@ def _pieces(path: str, capacity: int, end_id: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words = WordIds(path)
+        words = WordIds.at(path)
         for batch in batches:
             ids = (x + end for group in _groups([t.as_py() or "" for t in batch["text"]]) for x in words.of(group))
             rows = []
@@ -97,13 +132,24 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id
     return slim.mapInArrow(_pieces(tokenizer, capacity, end_id), f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def nnls(matrix: np.ndarray, target: np.ndarray, rounds: int = 2000) -> np.ndarray:
-    """x >= 0 that minimises |matrix @ x - target|, by active sets. At most as many non-zeros as rows."""
-    m, n = matrix.shape
+def nnls(patterns: np.ndarray, weight: np.ndarray, target: np.ndarray, rounds: int = 2000) -> np.ndarray:
+    """x >= 0 that minimises |A @ x - target|, by active sets; at most as many non-zeros as rows.
+
+    A pattern's column of A adds ``weight[b]`` in row b for each b in its row of ``patterns``; entries of len(weight) add nothing.
+    """
+    m, n = len(weight), len(patterns)
+    padded = np.append(weight, 0.0)
+
+    def columns(at: np.ndarray) -> np.ndarray:
+        out = np.zeros((m + 1, len(at)))
+        np.add.at(out, (patterns[at], np.arange(len(at))[:, None]), padded[patterns[at]])
+        return out[:m]
+
     x, free = np.zeros(n), np.zeros(n, dtype=bool)
     scale = 1e-9 * max(1.0, float(np.abs(target).max(initial=0.0)))
+    rest = target.astype(np.float64)
     for _ in range(rounds):
-        gain = matrix.T @ (target - matrix @ x)
+        gain = (padded * np.append(rest, 0.0))[patterns].sum(axis=1)
         gain[free] = -np.inf
         j = int(np.argmax(gain))
         if not gain[j] > scale:
@@ -111,11 +157,14 @@ def nnls(matrix: np.ndarray, target: np.ndarray, rounds: int = 2000) -> np.ndarr
         free[j] = True
         while True:
             at = np.flatnonzero(free)
+            a = columns(at)
+            gram = a.T @ a
             best = np.zeros(n)
-            best[at] = np.linalg.lstsq(matrix[:, at], target, rcond=None)[0]
+            best[at] = np.linalg.solve(gram + 1e-10 * np.trace(gram) / len(at) * np.eye(len(at)), a.T @ target)
             low = at[best[at] <= 1e-12]
             if not len(low):
                 x = best
+                rest = target - a @ x[at]
                 break
             drop = x[low] - best[low]
             step = float(np.min(np.where(drop > 0, x[low] / np.where(drop > 0, drop, 1), 0.0)))
@@ -125,6 +174,7 @@ def nnls(matrix: np.ndarray, target: np.ndarray, rounds: int = 2000) -> np.ndarr
             x[gone] = 0.0
             free &= ~gone
             if not free.any():
+                rest = target.astype(np.float64)
                 break
     return x
 
@@ -172,12 +222,9 @@ def plan(histogram: dict[int, int], capacity: int, bins: int = 128, parts: int =
         return least + int(at[-1]) if len(at) else 0
 
     every = patterns(bins, parts)
-    matrix = np.zeros((bins, len(every)))
-    for j, p in enumerate(every):
-        for b in p:
-            matrix[b - 1, j] += 1
+    at_bins = np.array([[*(b - 1 for b in p), *[bins] * (parts - len(p))] for p in every], dtype=np.int64)
     weight = np.sqrt(np.arange(1, bins + 1) / bins)  # a long piece left over costs more room than a short one
-    fit = nnls(matrix * weight[:, None], in_bin[1:] * weight)
+    fit = nnls(at_bins, weight, in_bin[1:] * weight)
     for j in sorted(np.flatnonzero(fit >= 1), key=lambda j: (-max(every[j]), len(every[j]), every[j])):
         count = int(fit[j] + 1e-6)
         while count > 0:
