@@ -13,7 +13,9 @@ the sums go back to the block. A frequent word is one entry a block. Words are t
 from __future__ import annotations
 
 import secrets
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +41,12 @@ def word_class(word: bytes) -> int:
 def _block(ids: list, held: list[bool], texts: list[bytes]) -> tuple:
     from xxhash import xxh64_intdigest
 
-    number: dict[bytes, int] = {}
+    number: defaultdict[bytes, int] = defaultdict(count().__next__)
     sizes, tokens = [], []
     for t in texts:
         words = t.lower().split()
         sizes.append(len(words))
-        tokens.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint32, len(words)))
+        tokens.append(np.fromiter(map(number.__getitem__, words), np.uint32, len(words)))
     hashes = np.fromiter((xxh64_intdigest(w) for w in number), np.uint64, len(number))
     classes = np.fromiter(map(word_class, number), np.uint16, len(number))
     stream = np.concatenate(tokens)

@@ -8,12 +8,15 @@ fitted on a bounded sample of labelled rows, and its temperature on rows kept ou
 
 from __future__ import annotations
 
-import re
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
+from xxhash import xxh32_intdigest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +29,9 @@ WINDOW = 2
 STEP = 200_000
 FEATURES = 2 * SIZE + 2
 
-_LETTERS, _CASED, _SMALL, _DIGIT = re.compile(rb"[a-z]+"), re.compile(rb"[A-Z]+"), re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[0-9]+")
+_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Small and non-ASCII letters as x, capitals as X, digits as 0; other bytes stay.
+_SHAPE = bytes(120 if 97 <= c <= 122 or c > 127 else 88 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256))
 
 
 def index_vectors(seed: int = 0) -> np.ndarray:
@@ -36,21 +41,22 @@ def index_vectors(seed: int = 0) -> np.ndarray:
 
 
 def _buckets(word: bytes) -> tuple[int, int]:
-    from xxhash import xxh32_intdigest
-
-    bare = word.lower().strip(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
-    shape = _DIGIT.sub(b"0", _SMALL.sub(b"x", _CASED.sub(b"X", word)))[:12]
-    return xxh32_intdigest(bare, 1) % WORDS, WORDS + xxh32_intdigest(shape, 2) % SHAPES
+    tail = word[len(word.rstrip(_MARKS)) :]
+    shape = word[:2].translate(_SHAPE) + b" " + tail[:3]
+    return xxh32_intdigest(word.lower().strip(_MARKS), 1) % WORDS, WORDS + xxh32_intdigest(shape, 2) % SHAPES
 
 
 def _numbers(texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
     """Groups of texts: which, how many words each, and the words' two buckets. Long texts come in pieces."""
-    table: dict[bytes, int] = {}
-    found: list[tuple[int, int]] = []
+    table: defaultdict[bytes, int] = defaultdict(count().__next__)
+    bare, shape = array("q"), array("q")
 
     def number(words: list[bytes]) -> np.ndarray:
-        out = np.fromiter((table.setdefault(w, len(table)) for w in words), np.int64, len(words))
-        found.extend(_buckets(w) for w in list(table)[len(found) :])
+        out = np.fromiter(map(table.__getitem__, words), np.int64, len(words))
+        for w in reversed(list(islice(reversed(table), len(table) - len(bare)))):
+            a, b = _buckets(w)
+            bare.append(a)
+            shape.append(b)
         return out
 
     which: list[int] = []
@@ -58,9 +64,8 @@ def _numbers(texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray, n
     size = 0
 
     def group() -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
-        both = np.array(found, dtype=np.int64).reshape(-1, 2)
         at = np.concatenate(parts)
-        return which, np.array([len(p) for p in parts]), both[at, 0], both[at, 1]
+        return which, np.array([len(p) for p in parts]), np.array(bare, dtype=np.int64)[at], np.array(shape, dtype=np.int64)[at]
 
     for i, t in enumerate(texts):
         words = (t or "").encode("utf-8", "surrogatepass").split()
@@ -72,7 +77,7 @@ def _numbers(texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray, n
                 yield group()
                 which, parts, size = [], [], 0
                 if len(table) > 500_000:
-                    table, found = {}, []
+                    table, bare, shape = defaultdict(count().__next__), array("q"), array("q")
     if parts:
         yield group()
 

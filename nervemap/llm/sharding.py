@@ -76,6 +76,8 @@ class FeistelPermutation:
 
     def longest_walk(self) -> int:
         """Steps after the first that some row may need."""
+        if not self.n:
+            return 0
         a, b = self.grid
         most = 0
         for x in range(self.n, a * b):
