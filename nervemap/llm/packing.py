@@ -26,11 +26,20 @@ from pyspark.sql import functions as F
 from nervemap.runtime import materialize, ordered
 
 #: Entries of each generation of a worker's tables of words; two are kept.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 600_000
 #: A chunk of composed Latin letters and then marks: the vocabulary always parts the two, and the letters' case doesn't count.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@\[-`{-~]*)")
 
 
+def _lower(text: str) -> str:
+    """The text in lower case, as the vocabulary has it anyway, where that is beyond doubt: Latin-1, and no special token could come of it."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text if "<|" in text else text.lower()
+
+
 class _Table:
     """Text -> ids, of the texts seen lately."""
 
@@ -74,7 +83,7 @@ class WordIds:
         return cls._made[path]
 
     def of(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [_lower(t).replace("\n", " ").split(" ") for t in texts]
         parts = {}
         for chunk in self.chunks.missing(set().union(*split)):
             m = _PLAIN.fullmatch(chunk)
@@ -90,7 +99,7 @@ class WordIds:
         return [b"".join(map(chunks.__getitem__, words)) for words in split]
 
 
-def _groups(texts: list[str], chars: int = 2_000_000) -> Iterator[list[str]]:
+def _groups(texts: list[str], chars: int = 4_000_000) -> Iterator[list[str]]:
     group: list[str] = []
     size = 0
     for t in texts:
