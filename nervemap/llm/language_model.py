@@ -28,7 +28,7 @@ from nervemap.runtime import materialize
 #: Classes of words; one more is the end of a text.
 CLASSES = 4096
 #: Bytes of text of a block, and entries of a part of the vocabulary.
-BLOCK, PART = 2 << 20, 1_500_000
+BLOCK, PART = 1 << 20, 750_000
 ENDING = 4
 
 
@@ -38,6 +38,11 @@ def word_class(word: bytes) -> int:
     return xxh32_intdigest(word[-ENDING:], 7) % CLASSES
 
 
+def _kind(n_words: int) -> type:
+    """The type that numbers of so many words are kept in."""
+    return np.uint16 if n_words <= 1 << 16 else np.uint32
+
+
 def _block(ids: list, held: list[bool], texts: list[bytes]) -> tuple:
     from xxhash import xxh64_intdigest
 
@@ -52,6 +57,7 @@ def _block(ids: list, held: list[bool], texts: list[bytes]) -> tuple:
     stream = np.concatenate(tokens)
     train = np.repeat(~np.array(held, dtype=bool), sizes)
     counts = np.bincount(stream[train], minlength=len(number)).astype(np.uint32)
+    stream = stream.astype(_kind(len(number)))
     return secrets.randbits(62), ids, held, sizes, len(number), stream.tobytes(), hashes.tobytes(), classes.tobytes(), counts.tobytes()
 
 
@@ -118,7 +124,8 @@ def _tell(table: pa.Table) -> pa.Table:
 def _sequences(r: dict, only_training: bool) -> tuple[np.ndarray, np.ndarray]:
     """Classes of a block's texts, each followed by the end, and their lengths."""
     sizes = np.array(r["sizes"], dtype=np.int64)
-    symbols = np.frombuffer(r["classes"], np.uint16)[np.frombuffer(r["tokens"], np.uint32)].astype(np.int64) if r["tokens"] else np.zeros(0, np.int64)
+    classes = np.frombuffer(r["classes"], np.uint16)
+    symbols = classes[np.frombuffer(r["tokens"], _kind(len(classes)))].astype(np.int64) if r["tokens"] else np.zeros(0, np.int64)
     symbols = np.insert(symbols, np.cumsum(sizes), CLASSES)
     sizes = sizes + 1
     if only_training:
@@ -135,6 +142,7 @@ def _expectations(model: HiddenMarkov):
         for batch in batches:
             for r in batch.to_pylist():
                 model.expect(*_sequences(r, True), sums)
+            pa.default_memory_pool().release_unused()
         whole = np.vstack([sums.emit.T, sums.move, sums.start, np.full(states, sums.log_likelihood)])
         at = np.flatnonzero(whole.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(whole[at, s]) for s in range(states))], ["cell", *(f"s{s}" for s in range(states))])
@@ -168,7 +176,8 @@ def _scores(model: HiddenMarkov, n_class: np.ndarray, v_class: np.ndarray, ends:
         out: dict[str, list] = {c: [] for c in ("held_out", "n_tokens", "n_known", "base_score", "score")}
         ids = []
         for r in blocks.to_pylist():
-            hashes, tokens = np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["tokens"], np.uint32)
+            hashes = np.frombuffer(r["hashes"], np.uint64)
+            tokens = np.frombuffer(r["tokens"], _kind(len(hashes)))
             counts = np.zeros(len(hashes), dtype=np.int64)
             if len(hashes):
                 part = hashes % np.uint64(r["parts"])
