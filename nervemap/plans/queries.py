@@ -153,7 +153,7 @@ def _projected(kind):
 
 
 def hadamard_transpose(spark, sf_dir):
-    e = to_entries(_vectors(spark, sf_dir).where("id < 64"), "id", "vec")
+    e = to_entries(_vectors(spark, sf_dir), "id", "vec")
     return hadamard(e.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "value"), transpose(e).select(F.col("i").cast("long").alias("i"), "j", "value"))
 
 
