@@ -149,3 +149,41 @@ def test_numbering(spark):
     assert n == 31 and [r for r, _ in rows] == list(range(31)) and [k for _, k in rows] == sorted(k for _, k in rows)
     out, n = numbered(df.where("false"), "k")
     assert n == 0 and out.count() == 0
+
+
+def _numberings(n):
+    draw = np.random.default_rng(2)
+    return {"ascending": np.arange(n), "descending": np.arange(n)[::-1], "random": draw.permutation(n)}
+
+
+@pytest.mark.parametrize("order", ["ascending", "descending", "random"])
+def test_long_paths_take_few_rounds(spark, order, monkeypatch):
+    import nervemap.operators.graph as G
+
+    name = _numberings(10_000)[order]
+    path = spark.createDataFrame([(int(a), int(b)) for a, b in zip(name, name[1:])], "src long, dst long")
+    assert {r["component"] for r in connected_components(path).collect()} == {0}  # by one task
+    rounds, contracted = [], G._contracted
+    monkeypatch.setattr(G, "FINISH", 0)
+    monkeypatch.setattr(G, "_contracted", lambda rest: rounds.append(1) or contracted(rest))
+    found = connected_components(path)
+    assert found.count() == 10_000 and {r["component"] for r in found.select("component").distinct().collect()} == {0}
+    assert len(rounds) <= 20
+
+
+@pytest.mark.parametrize("finish", [0, 40, 1_000_000])
+def test_components_of_any_shape(spark, finish, monkeypatch):
+    import nervemap.operators.graph as G
+
+    monkeypatch.setattr(G, "FINISH", finish)
+    draw = np.random.default_rng(8)
+    star = [(1000, 1001 + i) for i in range(60)] + [(2000 + i, 2090) for i in range(60)]
+    cycle = [(3000 + i, 3000 + (i + 1) % 45) for i in range(45)]
+    some = [tuple(map(int, x)) for x in draw.integers(0, 150, (110, 2))]
+    pairs = [*star, *cycle, *some]
+    df = spark.createDataFrame([*pairs, (7, 7), (None, 3), (4, None)], "src long, dst long")
+    want = {v: c for v, c in components([p for p in pairs if p[0] != p[1]]).items()}
+    assert {r["vertex"]: r["component"] for r in connected_components(df).collect()} == want
+    names = df.where("src < 150").selectExpr("concat('v', lpad(src, 4, '0')) AS src", "concat('v', lpad(dst, 4, '0')) AS dst")
+    got = {r["vertex"]: r["component"] for r in connected_components(names).collect()}
+    assert got == {f"v{v:04d}": f"v{c:04d}" for v, c in want.items() if v < 150}
