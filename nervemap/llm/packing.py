@@ -12,7 +12,7 @@
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,51 +20,104 @@ from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nervemap.runtime import materialize, ordered
 
-#: Entries of each generation of a worker's tables of words; two are kept.
-CACHE_ENTRIES = 600_000
+#: Bytes of text that are tokenised together; a longer text comes in several such parts.
+TOGETHER = 6 << 20
+#: Texts and characters that a tokenizer without word ends gets at once.
+AT_ONCE, CHARS_AT_ONCE = 256, 400_000
 #: A chunk of composed Latin letters and then marks: the vocabulary always parts the two, and the letters' case doesn't count.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@\[-`{-~]*)")
-
-
-def _lower(text: str) -> str:
-    """The text in lower case, as the vocabulary has it anyway, where that is beyond doubt: Latin-1, and no special token could come of it."""
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return text
-    return text if "<|" in text else text.lower()
-
-
-class _Table:
-    """Text -> ids, of the texts seen lately."""
-
-    def __init__(self):
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def missing(self, texts: set[str]) -> list[str]:
-        if len(self.young) > CACHE_ENTRIES:
-            self.old, self.young = self.young, {}
-        out = []
-        for t in texts - self.young.keys():
-            known = self.old.get(t)
-            if known is None:
-                out.append(t)
-            else:
-                self.young[t] = known
-        return out
+_PLAIN = r"^(?P<stem>[a-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-&(-/:;=?@\[-`{-~]*)$"
+#: How a tokenizer file says that white space is dropped, case doesn't count, and nothing joins across letters and marks.
+_DROPS = ["NFC", "Replace", "Lowercase"]
+_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NO_RANK = np.iinfo(np.int32).max
+
+
+def _ragged(starts: np.ndarray, sizes: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the runs ``pick`` one after another, and their sizes."""
+    n = sizes[pick]
+    return np.arange(int(n.sum())) + np.repeat(starts[pick] - (np.cumsum(n) - n), n), n
+
+
+class PairMerges:
+    """Byte-pair merges of many words at once: in every round each word merges its leftmost pair of least rank, as the model does."""
+
+    def __init__(self, vocab: dict[str, int], merges: list, suffix: str):
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
+        key = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], dtype=np.int64)
+        made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
+        order = np.argsort(key, kind="stable")
+        self.key, self.rank, self.made = key[order], order.astype(np.int32), made[order]
+        plain = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or c >= 174]  # bytes that stand for themselves
+        others = [c for c in range(256) if c not in set(plain)]
+        name = {c: chr(c) for c in plain} | {c: chr(256 + i) for i, c in enumerate(others)}
+        self.inner = np.array([vocab[name[c]] for c in range(256)], dtype=np.int64)
+        self.last = np.array([vocab[name[c] + suffix] for c in range(256)], dtype=np.int64)
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[at] == key, self.rank[at], _NO_RANK)
+
+    def of(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words that lie one after another in ``data``, and how many each has. No word is empty."""
+        symbol = self.inner[data]
+        ends = np.cumsum(sizes) - 1
+        symbol[ends] = self.last[data[ends]]
+        found = np.zeros(len(sizes), dtype=np.int64)
+        words = np.arange(len(sizes))
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        rank = np.full(len(symbol), _NO_RANK, dtype=np.int32)  # of a symbol and the next of its word
+        rank[:-1] = self._ranks(symbol[:-1], symbol[1:])
+        rank[ends] = _NO_RANK
+        n = sizes.astype(np.int64)
+        while len(words):
+            starts = np.cumsum(n) - n
+            least = np.minimum.reduceat(rank, starts)
+            live = least < _NO_RANK
+            if not live.all():
+                at, _ = _ragged(starts, n, np.flatnonzero(~live))
+                done.append((words[~live], n[~live], symbol[at]))
+                found[words[~live]] = n[~live]
+                at, _ = _ragged(starts, n, np.flatnonzero(live))
+                symbol, rank, words, n, least = symbol[at], rank[at], words[live], n[live], least[live]
+                starts = np.cumsum(n) - n
+                if not len(words):
+                    break
+            best = np.flatnonzero(rank == np.repeat(least, n))
+            owner = np.searchsorted(starts, best, side="right") - 1
+            best = best[np.concatenate(([True], owner[1:] != owner[:-1]))]
+            at = np.searchsorted(self.key, symbol[best] << 32 | symbol[best + 1])
+            symbol[best] = self.made[at]
+            rank[best] = rank[best + 1]
+            keep = np.ones(len(symbol), dtype=bool)
+            keep[best + 1] = False
+            best = best - np.arange(len(best))  # each earlier word has lost one symbol
+            symbol, rank, n = symbol[keep], rank[keep], n - 1
+            first = np.cumsum(n) - n
+            right = best[best < first + n - 1]
+            rank[right] = self._ranks(symbol[right], symbol[right + 1])
+            left = best[best > first] - 1
+            rank[left] = self._ranks(symbol[left], symbol[left + 1])
+        out = np.empty(int(found.sum()), dtype=np.uint32)
+        starts = np.cumsum(found) - found
+        for own, _, ids in done:
+            out[_ragged(starts, found, own)[0]] = ids
+        return out, found
 
 
 class WordIds:
-    """Ids of whole texts, put together from those of chunks between spaces and newlines.
+    """Ids of whole texts by a tokenizer file, without special tokens.
 
-    The vocabulary drops white space and never joins across it, so a chunk's ids don't depend on its
-    neighbours; each distinct chunk is looked up once, and of plain words each distinct stem is tokenised once.
+    Where the file drops white space, ignores case and parts letters from marks, texts are cut at ASCII white space and each
+    distinct chunk of a part of the texts is looked at once: the merges of plain words are made for all of them together,
+    and everything else goes through the library. Texts that may hold a special token, and all texts by any other file, go through the library whole.
+    Nothing is kept between calls but the file's own tables.
     """
 
     _made: ClassVar[dict[str, WordIds]] = {}
@@ -73,43 +126,128 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.chunks, self.stems = _Table(), _Table()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.merges = None
+        if self._by_words(spec):
+            self.merges = PairMerges(spec["model"]["vocab"], spec["model"]["merges"], spec["model"]["end_of_word_suffix"])
+
+    @staticmethod
+    def _by_words(spec: dict) -> bool:
+        normal, parts, model = (spec.get(k) or {} for k in ("normalizer", "pre_tokenizer", "model"))
+        steps = normal.get("normalizers", [])
+        if [x.get("type") for x in steps] != _DROPS or (steps[1].get("pattern"), steps[1].get("content")) != ({"Regex": r"\s+"}, " "):
+            return False
+        cuts = parts.get("pretokenizers", [])
+        if [x.get("type") for x in cuts] != ["Split", "ByteLevel"] or (cuts[0]["pattern"], cuts[0]["behavior"], cuts[0]["invert"]) != ({"Regex": _PARTS}, "Removed", True):
+            return False
+        if cuts[1].get("add_prefix_space") or cuts[1].get("use_regex"):
+            return False
+        if model.get("type") != "BPE" or not model.get("end_of_word_suffix") or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")):
+            return False
+        return all("<|" in x["content"] for x in spec.get("added_tokens", []))
 
     @classmethod
     def at(cls, path: str) -> WordIds:
-        """The one of this process, with what it has seen in earlier tasks."""
+        """The one of this process."""
         if path not in cls._made:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def of(self, texts: list[str]) -> list[bytes]:
-        split = [_lower(t).replace("\n", " ").split(" ") for t in texts]
-        parts = {}
-        for chunk in self.chunks.missing(set().union(*split)):
-            m = _PLAIN.fullmatch(chunk)
-            parts[chunk] = (m[1].lower(), m[2]) if m else (chunk, "")
-        new = self.stems.missing({x for pair in parts.values() for x in pair})
-        for lo in range(0, len(new), 4096):
-            some = new[lo : lo + 4096]
-            for stem, x in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.stems.young[stem] = np.array(x.ids, dtype="<u4").tobytes()
-        stems, chunks = self.stems.young, self.chunks.young
-        for chunk, (a, b) in parts.items():
-            chunks[chunk] = stems[a] + stems[b]
-        return [b"".join(map(chunks.__getitem__, words)) for words in split]
-
-
-def _groups(texts: list[str], chars: int = 4_000_000) -> Iterator[list[str]]:
-    group: list[str] = []
-    size = 0
-    for t in texts:
-        group.append(t)
-        size += len(t)
-        if size > chars:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts one after another, by the library, and how many each has."""
+        out, sizes, lo = [], [], 0
+        while lo < len(texts):
+            hi, chars = lo, 0
+            while hi < len(texts) and hi - lo < AT_ONCE and (hi == lo or chars + len(texts[hi]) <= CHARS_AT_ONCE):
+                chars += len(texts[hi])
+                hi += 1
+            for x in self.model.encode_batch_fast(texts[lo:hi], add_special_tokens=False):
+                ids = x.ids
+                sizes.append(len(ids))
+                out.append(np.array(ids, dtype=np.uint32))
+            lo = hi
+        return np.concatenate([np.zeros(0, np.uint32), *out]), np.array(sizes, dtype=np.int64)
+
+    def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the distinct chunks one after another, and how many each has."""
+        parts = pc.extract_regex(chunks, _PLAIN)
+        plain = np.flatnonzero(parts.is_valid().to_numpy(zero_copy_only=False))
+        other = np.flatnonzero(parts.is_null().to_numpy(zero_copy_only=False))
+        stems = pc.utf8_lower(pc.struct_field(parts, "stem").take(pa.array(plain))).dictionary_encode()
+        marks = pc.struct_field(parts, "marks").take(pa.array(plain)).dictionary_encode()
+        sizes = pc.binary_length(stems.dictionary).to_numpy(zero_copy_only=False).astype(np.int64)
+        data = np.frombuffer(b"".join(stems.dictionary.cast(pa.binary()).to_pylist()), dtype=np.uint8)
+        units = [self.merges.of(data, sizes), self._encoded(marks.dictionary.to_pylist()), self._encoded(chunks.take(pa.array(other)).to_pylist())]
+        ids, n = (np.concatenate(x) for x in zip(*units, strict=True))
+        # a chunk is two units: its stem and its marks, or itself and nothing
+        unit = np.full((len(chunks), 2), len(n), dtype=np.int64)
+        unit[plain, 0] = stems.indices.to_numpy(zero_copy_only=False)
+        unit[plain, 1] = marks.indices.to_numpy(zero_copy_only=False) + len(stems.dictionary)
+        unit[other, 0] = np.arange(len(other)) + len(stems.dictionary) + len(marks.dictionary)
+        n = np.append(n, 0)
+        at, sizes = _ragged(np.cumsum(n) - n, n, unit.ravel())
+        return ids[at], sizes.reshape(-1, 2).sum(axis=1)
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts one after another, and how many each has. Nulls are empty."""
+        texts = pc.fill_null(texts, "")
+        if self.merges is None:
+            return self._encoded(texts.to_pylist())
+        special = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
+        if special.any():
+            easy, hard = np.flatnonzero(~special), np.flatnonzero(special)
+            (a, n), (b, m) = self.of(texts.take(pa.array(easy))), self._encoded(texts.take(pa.array(hard)).to_pylist())
+            sizes = np.concatenate([n, m])
+            place = np.empty(len(texts), dtype=np.int64)
+            place[easy], place[hard] = np.arange(len(easy)), np.arange(len(hard)) + len(easy)
+            at, sizes = _ragged(np.cumsum(sizes) - sizes, sizes, place)
+            return np.concatenate([a, b])[at], sizes
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        words = split.flatten().dictionary_encode()
+        edges = split.offsets.to_numpy().astype(np.int64)
+        edges -= edges[0]
+        if not len(words.dictionary):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), dtype=np.int64)
+        ids, n = self._chunks(words.dictionary)
+        at, sizes = _ragged(np.cumsum(n) - n, n, words.indices.to_numpy(zero_copy_only=False))
+        return ids[at], np.diff(np.concatenate(([0], np.cumsum(sizes)))[edges])
+
+
+def _cut(text: str) -> list[str]:
+    """A text in parts of about TOGETHER characters, cut at a space or line end."""
+    out, lo = [], 0
+    while len(text) - lo > TOGETHER:
+        hi = max(text.rfind(" ", lo + 1, lo + TOGETHER), text.rfind("\n", lo + 1, lo + TOGETHER))
+        if hi < 0:
+            at = [x for x in (text.find(" ", lo + TOGETHER), text.find("\n", lo + TOGETHER)) if x >= 0]
+            if not at:
+                break
+            hi = min(at)
+        out.append(text[lo:hi])
+        lo = hi
+    return [*out, text[lo:]]
+
+
+def _groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about TOGETHER bytes."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + TOGETHER, side="right")))
+        yield lo, hi
+        lo = hi
+
+
+def text_ids(words: WordIds, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First text, ids and sizes of ranges of texts, in order."""
+    for lo, hi in _groups(texts):
+        part = texts.slice(lo, hi - lo)
+        if hi - lo == 1 and words.merges is not None and part[0].is_valid and len(text := part[0].as_py()) > TOGETHER and "<|" not in text:
+            own = [words.of(pa.array([x], pa.string()))[0] for x in _cut(text)]
+            yield lo, np.concatenate(own), np.array([sum(map(len, own))])
+        else:
+            yield lo, *words.of(part)
 
 
 def _pieces(path: str, capacity: int, end_id: int):
@@ -121,15 +259,19 @@ def _pieces(path: str, capacity: int, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         words = WordIds.at(path)
         for batch in batches:
-            ids = (x + end for group in _groups([t.as_py() or "" for t in batch["text"]]) for x in words.of(group))
             rows = []
-            for i, x in enumerate(ids):
-                for k, lo in enumerate(range(0, len(x), 4 * capacity)):
-                    part = x[lo : lo + 4 * capacity]
-                    rows.append((i, k, lo // 4, len(part) // 4, zlib.crc32(part)))
+            for first, ids, sizes in text_ids(words, batch["text"]):
+                whole, at = ids.astype("<u4", copy=False).tobytes(), 0
+                for i, n in enumerate(sizes.tolist(), first):
+                    x = whole[4 * at : 4 * (at + n)] + end
+                    at += n
+                    for k, lo in enumerate(range(0, n + 1, capacity)):
+                        part = x[4 * lo : 4 * (lo + capacity)]
+                        rows.append((i, k, lo, len(part) // 4, zlib.crc32(part)))
             at, *cols = zip(*rows, strict=True) if rows else ((),) * 5
             arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
             yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(at, pa.int64())), *arrays], ["id", "piece", "start", "length", "ids_crc32"])
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -213,34 +355,58 @@ class Layout:
     repeats: int
 
 
+#: Shares of the fitted repeats that are tried, in this order; smaller ones leave more pieces, and more short ones, to best fit.
+SHARES = (1.0, 0.95, 0.9, 0.8, 0.65, 0.5, 0.3, 0.15, 0.05)
+
+
 def plan(histogram: dict[int, int], capacity: int, bins: int = 128, parts: int = 4) -> list[Layout]:
-    """Layouts that hold every piece of the histogram exactly once."""
+    """Layouts that hold every piece of the histogram exactly once.
+
+    The fitted repeats are rounded down, and of a few shares of them the one counts that needs the fewest sequences in all; as soon as
+    one needs no more than the tokens would fill without a gap, the others aren't tried. The work depends on the
+    lengths that occur and the patterns, not on the pieces.
+    """
     if any(x < 1 or x > capacity for x in histogram):
         raise ValueError("a length is outside 1..capacity")
-    left = np.zeros(capacity + 1, dtype=np.int64)
+    pieces = np.zeros(capacity + 1, dtype=np.int64)
     for x, k in histogram.items():
-        left[x] += k
+        pieces[x] += k
     width = -(-capacity // bins)
     bins = -(-capacity // width)
     in_bin = np.zeros(bins + 1)
-    np.add.at(in_bin, -(-np.arange(capacity + 1) // width), left)
+    np.add.at(in_bin, -(-np.arange(capacity + 1) // width), pieces)
+    every = patterns(bins, parts)
+    at_bins = np.array([[*(b - 1 for b in p), *[bins] * (parts - len(p))] for p in every], dtype=np.int64)
+    weight = np.sqrt(np.arange(1, bins + 1) / bins)  # a long piece left over costs more room than a short one
+    fit = nnls(at_bins, weight, in_bin[1:] * weight)
+    order = sorted(np.flatnonzero(fit >= 1), key=lambda j: (-max(every[j]), len(every[j]), every[j]))
+    least = -(-int((np.arange(capacity + 1) * pieces).sum()) // capacity)
+    best, fewest = [], None
+    for share in SHARES:
+        repeats = [(every[j], int(fit[j] * share + 1e-6)) for j in order]
+        made = _realised(repeats, pieces.copy(), capacity, width)
+        size = sum(x.repeats for x in made)
+        if fewest is None or size < fewest:
+            best, fewest = made, size
+        if fewest <= least:
+            break
+    return best
+
+
+def _realised(repeats: list[tuple[tuple[int, ...], int]], left: np.ndarray, capacity: int, width: int) -> list[Layout]:
+    """The patterns on exact lengths, each pattern's last piece being the longest that fits, then what is left by best fit, longest first."""
     open_: list[list[Layout]] = [[] for _ in range(capacity + 1)]  # by slack
 
     def longest(most: int, least: int = 1) -> int:
         at = np.flatnonzero(left[least : most + 1])
         return least + int(at[-1]) if len(at) else 0
 
-    every = patterns(bins, parts)
-    at_bins = np.array([[*(b - 1 for b in p), *[bins] * (parts - len(p))] for p in every], dtype=np.int64)
-    weight = np.sqrt(np.arange(1, bins + 1) / bins)  # a long piece left over costs more room than a short one
-    fit = nnls(at_bins, weight, in_bin[1:] * weight)
-    for j in sorted(np.flatnonzero(fit >= 1), key=lambda j: (-max(every[j]), len(every[j]), every[j])):
-        count = int(fit[j] + 1e-6)
+    for pattern, count in repeats:
         while count > 0:
             taken: dict[int, int] = {}
             room, order = capacity, []
-            for k, b in enumerate(every[j]):
-                last = k == len(every[j]) - 1
+            for k, b in enumerate(pattern):
+                last = k == len(pattern) - 1
                 most, least = (room, 1) if last else (min(b * width, room), (b - 1) * width + 1)
                 x = 0
                 while most >= least and (x := longest(most, least)) and left[x] <= taken.get(x, 0):
@@ -251,7 +417,7 @@ def plan(histogram: dict[int, int], capacity: int, bins: int = 128, parts: int =
                 taken[x] = taken.get(x, 0) + 1
                 room -= x
                 order.append(x)
-            if len(order) < len(every[j]):
+            if len(order) < len(pattern):
                 break
             n = min([count, *(int(left[x]) // k for x, k in taken.items())])
             for x, k in taken.items():

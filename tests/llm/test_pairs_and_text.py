@@ -148,15 +148,44 @@ def test_plan_is_tight():
         plan({101: 1}, 100)
 
 
-def test_word_ids_in_any_text():
+def _ids(path, texts):
+    import pyarrow as pa
+
+    import nervemap.llm.packing as P
+
+    out = [None] * len(texts)
+    for first, ids, sizes in P.text_ids(P.WordIds(path), pa.array(texts, pa.string())):
+        for i, (at, n) in enumerate(zip((np.cumsum(sizes) - sizes).tolist(), sizes.tolist(), strict=True), first):
+            out[i] = ids[at : at + n].tolist()
+    return out
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+@pytest.mark.parametrize("together", [6 << 20, 300])
+def test_ids_of_any_text(name, together, monkeypatch):
     from tokenizers import Tokenizer
 
     import nervemap.llm.packing as P
 
-    model = Tokenizer.from_file(_tokenizer())
-    odd = ["", "<|endoftext|> a", "a<|ENDOFTEXT|>b <|start of", "x́ é", "a\tb\r\nc d e", "İstanbul ǅ it's 'S can't 12345 !!!??", "\x00 a\x01b", "Ünï©ode ÀÉ, ÿ. µ ª", "ΣΑΣ ς", *[t or "" for t in texts()]]
-    words = P.WordIds(_tokenizer())
-    assert [np.frombuffer(x, "<u4").tolist() for x in words.of(odd)] == [model.encode(t, add_special_tokens=False).ids for t in odd]
+    monkeypatch.setattr(P, "TOGETHER", together)
+    model = Tokenizer.from_file(_tokenizer(name))
+    odd = ["", "<|endoftext|> a", "a<|ENDOFTEXT|>b <|start of", "x\u0301 \u00e9", "a\tb\r\nc\x0bd\x0ce\x1cf\x85g", "İstanbul ǅ it's 'S can't 12345 !!!??", "\x00 a\x01b", "Ünï©ode ÀÉ, ÿ. µ ª", "ΣΑΣ ς", " \u0301 a", *[t or "" for t in texts()]]
+    draw = np.random.default_rng(6)
+    letters = [*"abcdeghi iÀéßÖ÷×'’.,!?-_<|>0129 \t\n", "'s", "<|endoftext|>", "the ", "ing ", "ÀB", "\u0300x", "漢字"]
+    odd += ["".join(draw.choice(letters, draw.integers(0, 40))) for _ in range(3000)]
+    assert P.WordIds(_tokenizer(name)).merges is None or name.startswith("word")
+    assert _ids(_tokenizer(name), [*odd, None]) == [x.ids for x in model.encode_batch([*odd, ""], add_special_tokens=False)]
+
+
+def test_no_more_sequences_than_best_fit_alone():
+    from nervemap.llm.packing import _realised, plan
+
+    draw = np.random.default_rng(1)
+    shapes = [np.minimum(4096, np.exp(draw.normal(6.5, 1.0, 9_000)).astype(int) + 1), np.minimum(4096, np.exp(draw.normal(7.5, 0.7, 9_000)).astype(int) + 1), draw.integers(1, 4097, 9_000), draw.integers(1000, 3000, 9_000), draw.integers(1000, 3000, 50), np.array([4096] * 9 + [1])]
+    for sizes in shapes:
+        h = dict(zip(*(x.tolist() for x in np.unique(sizes, return_counts=True)), strict=True))
+        alone = _realised([], np.bincount(sizes, minlength=4097), 4096, 32)
+        assert sum(x.repeats for x in plan(h, 4096)) <= sum(x.repeats for x in alone)
 
 
 # search
