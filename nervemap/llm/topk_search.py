@@ -1,14 +1,20 @@
 """Exact top-k inner-product search over an impact-ordered index, a score at a time.
 
-Vectors are cut to integers. A block of candidates is an index whose postings (dimension, candidate, value) are kept in
-segments of descending quantised impact, the value's size. Segments are scored one after another for a block of queries; after each,
-what a candidate can still gain or lose is bounded by the norms of the parts not yet scored (Cauchy-Schwarz). Scoring stops only when
-these bounds prove that few candidates can be among the k best; those are scored exactly. If that never is proved, all
-segments are scored, and the scores are exact. The query set is met by all rows in blocks, and each pair of blocks yields k rows a query at most.
+Vectors are cut to integers, which are the quantised impacts. Rows are dealt into blocks, and each block is written as an index: posting
+segments (dimension, impact, members) of the rows that have the same impact in a dimension, and the vectors themselves. A query
+goes through a block's segments by descending size of what they add to a score, |weight * impact|. What a row can still gain or lose is
+bounded by the postings of it that are left, each of at most the size of the next segment. The query stops only when these
+bounds prove that few rows can be among its k best; those are scored again, exactly, from their vectors. If that is never
+proved, all segments are scored.
+
+Every query has to meet every row, so blocks of queries meet blocks of the index: a pair takes a task seconds and one block of each to
+read, and yields k rows a query at most.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -16,116 +22,192 @@ from pyspark.sql import functions as F
 
 from nervemap.runtime import materialize
 
-#: Rows of a block of candidates and of queries. Scores of a pair of blocks take 8 bytes times both at most.
-CANDIDATES, QUERIES = 8192, 1024
+#: Rows of a block of the index, and queries of a block.
+CANDIDATES, QUERIES = 65_536, 512
+#: Impacts that are told apart in a block; if its values spread wider, neighbouring ones share a segment.
+IMPACTS = 1024
 #: Possible members a query, as multiple of k, that are few enough to be scored one by one.
-FEW = 8
-#: Least impacts of the segments, as shares of the block's greatest; the last segment has all that is left.
-SEGMENTS = (0.35, 0.18, 0.0)
+FEW = 64
+#: The proof is tried each time the next segment is so much smaller than at the last try.
+TRY = 0.6
+_NARROW = (np.int16, np.int32, np.int64)
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Rows of whole numbers, shorter ones filled up with zeros."""
     rows = column.combine_chunks()
     sizes = rows.value_lengths().to_numpy(zero_copy_only=False)
-    flat = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    flat = rows.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     width = int(sizes.max(initial=0))
-    if len(sizes) and (sizes == width).all():
-        return flat.reshape(len(sizes), width)
-    out = np.zeros((len(sizes), width))
-    for i, (lo, n) in enumerate(zip(np.cumsum(sizes) - sizes, sizes, strict=True)):
-        out[i, :n] = flat[lo : lo + n]
-    return out
-
-
-def segments(x: np.ndarray) -> list[np.ndarray]:
-    """x split by impact into matrices that sum to x, largest impacts first."""
-    size, most = np.abs(x), float(np.abs(x).max(initial=0.0))
-    out, above = [], np.zeros(x.shape, dtype=bool)
-    for share in SEGMENTS:
-        here = (size >= share * most) & ~above
-        out.append(np.where(here, x, 0))
-        above |= here
+    out = np.zeros((len(sizes), width), dtype=np.int64)
+    out[np.arange(width)[None, :] < sizes[:, None]] = flat
     return out
 
 
-def best(q_id: np.ndarray, q: np.ndarray, c_id: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, candidate, score) of the k best of each query among these candidates, itself left out; all that tie for the last place count by id."""
-    width = max(q.shape[1], c.shape[1])
-    q, c = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (q, c))
-    reach = max(1.0, float(np.abs(q).max(initial=0))) * max(1.0, float(np.abs(c).max(initial=0))) * max(1, width)
-    kind = np.float32 if reach < 2**23 else np.float64 if reach < 2**52 else np.int64
-    q, c = q.astype(kind), c.astype(kind)
-    parts = segments(c)
-    score = np.zeros((len(q), len(c)), dtype=kind)
-    own_q, own_c = np.nonzero(q_id[:, None] == c_id[None, :])
-    keep = min(k, len(c))
-    exact = False
-    q_norm = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))
-    for i, part in enumerate(parts):
-        score += q @ part.T
-        if i == len(parts) - 1:
-            exact, possible = True, None
-            break
-        rest = np.sqrt(sum((p.astype(np.float64) ** 2) for p in parts[i + 1 :]).sum(axis=1))
-        bound = (q_norm[:, None] * rest[None, :]).astype(np.float32) * np.float32(1.001) + np.float32(1)
-        low, high = score - bound, score + bound
-        low[own_q, own_c] = high[own_q, own_c] = -np.inf
-        cut = np.partition(low, len(c) - keep, axis=1)[:, len(c) - keep]
-        possible = high >= cut[:, None]
-        possible[own_q, own_c] = False
-        if np.count_nonzero(possible) <= FEW * k * len(q):
-            break
-    if exact:
-        ranked = score.astype(np.float64) if kind is not np.int64 else score.copy()
-        least = -np.inf if kind is not np.int64 else np.iinfo(np.int64).min
-        ranked[own_q, own_c] = least
-        possible = ranked >= np.partition(ranked, len(c) - keep, axis=1)[:, len(c) - keep][:, None]
-        possible[own_q, own_c] = False
-    at_q, at_c = np.nonzero(possible)
-    value = np.empty(len(at_q), dtype=np.int64)
-    for lo in range(0, len(at_q), 1 << 17):
-        s = slice(lo, lo + (1 << 17))
-        value[s] = score[at_q[s], at_c[s]] if exact else np.einsum("ij,ij->i", q[at_q[s]], c[at_c[s]])
-    order = np.lexsort((c_id[at_c], -value, at_q))
-    at_q, at_c, value = at_q[order], at_c[order], value[order]
-    rank = np.arange(len(at_q)) - np.searchsorted(at_q, at_q)
-    top = rank < k
-    return q_id[at_q[top]], c_id[at_c[top]], value[top]
-
-
-def _pair(k: int):
-    def run(table: pa.Table) -> pa.Table:
-        is_query = table["query"].to_numpy()
-        sides = []
-        for side in (is_query, ~is_query):
-            rows = table.filter(pa.array(side))
-            sides += [rows["id"].to_numpy(), _matrix(rows["v"])]
-        if not len(sides[0]) or not len(sides[2]):
-            return pa.table({c: pa.array([], pa.int64()) for c in ("query_id", "vec_id", "score")})
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, best(*sides, k)), strict=True)))
+@dataclass
+class Index:
+    """Posting segments of a block. Segment s has the rows ``members[cuts[s]:cuts[s + 1]]``, whose component ``dim[s]`` is within ``half`` of ``impact[s]``."""
+
+    ids: np.ndarray
+    rows: np.ndarray
+    vectors: np.ndarray
+    dim: np.ndarray
+    impact: np.ndarray
+    cuts: np.ndarray
+    members: np.ndarray
+    half: int
+
+    @staticmethod
+    def of(ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray) -> Index:
+        low, high = int(vectors.min(initial=0)), int(vectors.max(initial=0))
+        step = max(1, -(-(high - low + 1) // IMPACTS))
+        level = (vectors - low) // step
+        levels = int(level.max(initial=0)) + 1
+        row, dim = np.nonzero(vectors)  # a component of zero adds nothing
+        key = dim * levels + level[row, dim]
+        order = np.argsort(key, kind="stable")
+        key, members = key[order], row[order]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        of = key[first]
+        return Index(ids, rows, vectors, of // levels, low + of % levels * step + step // 2, np.append(first, len(key)), members, step // 2)
+
+    def packed(self) -> dict[str, bytes | int]:
+        """As the written index has it: numbers in few bytes."""
+        most = int(np.abs(self.vectors).max(initial=0))
+        kind = next(i for i, t in enumerate(_NARROW) if most <= np.iinfo(t).max)
+        place = "<u2" if len(self.ids) <= 1 << 16 else "<u4"
+        parts = {"ids": self.ids, "rows": self.rows, "vectors": self.vectors.astype(_NARROW[kind]), "dim": self.dim.astype(np.int64), "impact": self.impact.astype(np.int64), "cuts": self.cuts.astype(np.int64), "members": self.members.astype(place)}
+        return {k: x.tobytes() for k, x in parts.items()} | {"kind": kind, "half": self.half}
+
+    @staticmethod
+    def unpacked(row: dict) -> Index:
+        ids, rows, dim, impact, cuts = (np.frombuffer(row[c], np.int64) for c in ("ids", "rows", "dim", "impact", "cuts"))
+        vectors = np.frombuffer(row["vectors"], _NARROW[row["kind"]]).reshape(len(ids), -1)
+        members = np.frombuffer(row["members"], "<u2" if len(ids) <= 1 << 16 else "<u4").astype(np.intp)
+        return Index(ids, rows, vectors, dim, impact, cuts, members, row["half"])
+
+
+@dataclass
+class Found:
+    """Of one query in one block: places and exact scores of its best, and how many postings and rows were scored for them."""
+
+    at: np.ndarray
+    score: np.ndarray
+    postings: int
+    rescored: int
+    proved: bool
+
+
+class Searcher:
+    """Answers queries from one block's index."""
+
+    def __init__(self, index: Index, k: int):
+        self.index, self.k = index, k
+        self.segments = [index.members[a:b] for a, b in zip(index.cuts[:-1].tolist(), index.cuts[1:].tolist(), strict=True)]
+        self.posts = np.bincount(index.members, minlength=len(index.ids))
+        self.width = index.vectors.shape[1]
+        self.most = int(np.abs(index.vectors).max(initial=0)) + index.half
+        self.longest = float(np.sqrt((index.vectors.astype(np.float64) ** 2).sum(axis=1).max(initial=0)))
+
+    def search(self, q: np.ndarray, own: int | None = None) -> Found:
+        """The k best of the block for the query, all rows that tie for the last place being weighed by id; ``own``: a place that doesn't count."""
+        index, n = self.index, len(self.index.ids)
+        q = np.pad(q, (0, max(0, self.width - len(q))))[: self.width]
+        size = np.abs(q)
+        add = q[index.dim] * index.impact
+        reach = size[index.dim] * (np.abs(index.impact) + index.half)
+        order = np.argsort(-reach, kind="stable")
+        order = order[: int(np.count_nonzero(reach))]
+        # a row's postings that were scored are counted in the low bits of its sum, if there is room for them
+        bits = self.width.bit_length() if int(size.sum()) * self.most < 1 << 55 else 0
+        sums = np.zeros(n, dtype=np.int64)
+        step = (add << bits) + (bits > 0)
+        blur = int(size.sum()) * index.half
+        keep = min(self.k, n - (own is not None))
+        if keep <= 0:
+            return Found(np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 0, False)
+        next_try = TRY * float(np.linalg.norm(q.astype(np.float64))) * self.longest / max(1, self.width)
+        possible, postings, proved = None, 0, False
+        reaches, steps = reach[order].tolist(), step[order].tolist()
+        for s, r, x in zip(order.tolist(), reaches, steps, strict=True):
+            if r < next_try:
+                possible = self._possible(sums, bits, r, blur, keep, own)
+                if len(possible) <= max(FEW * self.k, keep):
+                    proved = True
+                    break
+                next_try = TRY * r
+            at = self.segments[s]
+            sums[at] += x
+            postings += len(at)
+        else:
+            possible = self._possible(sums, bits, 0, blur, keep, own)
+        score = index.vectors[possible].astype(np.int64) @ q
+        best = np.lexsort((index.ids[possible], -score))[:keep]
+        return Found(possible[best], score[best], postings, len(possible), proved)
+
+    def _possible(self, sums: np.ndarray, bits: int, most: int, blur: int, keep: int, own: int | None) -> np.ndarray:
+        """Places that can be among the ``keep`` best, if each posting left adds or takes ``most`` at most."""
+        left = (self.posts - (sums & ((1 << bits) - 1))) * most + blur
+        score = sums >> bits
+        low, high = score - left, score + left
+        if own is not None:
+            low[own] = high[own] = np.iinfo(np.int64).min
+        least = np.partition(low, len(low) - keep)[len(low) - keep]
+        good = high >= least
+        if own is not None:
+            good[own] = False
+        return np.flatnonzero(good)
+
+
+_INDEX = "c int, ids binary, rows binary, vectors binary, dim binary, impact binary, cuts binary, members binary, kind int, half long"
+_FOUND = "query_row long, query_id long, vec_id long, score long"
+
+
+def _indexed(table: pa.Table) -> pa.Table:
+    made = Index.of(table["id"].to_numpy(), table["row"].to_numpy(), _matrix(table["v"])).packed()
+    fields = [("c", pa.int32()), *((c, pa.binary()) for c in ("ids", "rows", "vectors", "dim", "impact", "cuts", "members")), ("kind", pa.int32()), ("half", pa.int64())]
+    return pa.Table.from_pylist([{"c": table["c"][0].as_py()} | made], pa.schema(fields))
+
+
+def _meeting(k: int):
+    def run(block: pa.Table, queries: pa.Table) -> pa.Table:
+        made: list[tuple[int, int, Found]] = []
+        if block.num_rows and queries.num_rows:
+            index = Index.unpacked(block.to_pylist()[0])
+            searcher = Searcher(index, k)
+            place = {r: i for i, r in enumerate(index.rows.tolist())}
+            for row, id_, q in zip(queries["row"].to_pylist(), queries["id"].to_pylist(), _matrix(queries["v"]), strict=True):
+                made.append((row, id_, searcher.search(q, place.get(row))))
+            at = np.concatenate([f.at for _, _, f in made])
+            n = [len(f.at) for _, _, f in made]
+            cols = [np.repeat([x[i] for x in made], n) for i in (0, 1)] + [index.ids[at], np.concatenate([f.score for _, _, f in made])]
+        else:
+            cols = [np.zeros(0, np.int64)] * 4
+        return pa.table(dict(zip(("query_row", "query_id", "vec_id", "score"), (pa.array(c, pa.int64()) for c in cols), strict=True)))
 
     return run
 
 
 def top_k(vectors: DataFrame, k: int = 20, scale: int = 64, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: of each row whose id is divisible by ``every`` the k rows of highest integer inner product.
+    """query_id, rank, vec_id, score: of each row whose id is divisible by ``every`` the k other rows of highest integer inner product.
 
     Components become floor(scale * x). Ties go to the smaller id. Rows whose id or vector is null, or whose vector holds null or
-    non-finite components, take no part. Rows that share an id count once, with their smallest vector. Vectors of
-    different lengths are compared over the components that both have. Fewer rows than k give all; an empty table
-    gives an empty result. Other columns play no part. Scores must fit 64 bits.
+    non-finite components, take no part. Each row counts, those that share an id too: such a row is a candidate of its like, and as a query each
+    of them has k rows of its own. Vectors of different lengths are compared over the components that both have. Fewer rows
+    than k give all; an empty table gives an empty result. Other columns play no part. Scores must fit 64 bits.
     """
     x = F.transform(F.col(vec_col), lambda e: e.cast("double"))
     fine = F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
-    cut = F.transform(x, lambda e: F.floor(F.lit(float(scale)) * e).cast("double"))
-    rows = materialize(vectors.where(fine).select(F.col(id_col).cast("long").alias("id"), cut.alias("v")).groupBy("id").agg(F.min("v").alias("v")), "vectors")
+    cut = F.transform(x, lambda e: F.floor(F.lit(float(scale)) * e).cast("long"))
+    rows = materialize(vectors.where(fine).select(F.col(id_col).cast("long").alias("id"), cut.alias("v")).withColumn("row", F.monotonically_increasing_id()), "vectors")
     asks = F.col("id") % every == 0
     n, n_queries = rows.select(F.count(F.lit(1)), F.count_if(asks)).first()
     c_blocks, q_blocks = max(1, -(-n // CANDIDATES)), max(1, -(-n_queries // QUERIES))
-    block = lambda name, count: F.pmod(F.xxhash64(F.lit(name), "id"), F.lit(count)).cast("int")
+    block = lambda name, count: F.pmod(F.xxhash64(F.lit(name), "row"), F.lit(count)).cast("int")
     every_block = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    candidates = rows.select("id", "v", F.lit(False).alias("query"), block("c", c_blocks).alias("c"), every_block(q_blocks).alias("q"))
-    queries = rows.where(asks).select("id", "v", F.lit(True).alias("query"), every_block(c_blocks).alias("c"), block("q", q_blocks).alias("q"))
-    found = candidates.unionByName(queries).groupBy("q", "c").applyInArrow(_pair(k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    index = materialize(rows.select(block("c", c_blocks).alias("c"), "id", "row", "v").groupBy("c").applyInArrow(_indexed, _INDEX), "postings")
+    blocks = index.withColumn("q", every_block(q_blocks))
+    queries = rows.where(asks).select("id", "row", "v", every_block(c_blocks).alias("c"), block("q", q_blocks).alias("q"))
+    found = blocks.groupBy("c", "q").cogroup(queries.groupBy("c", "q")).applyInArrow(_meeting(k), _FOUND)
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

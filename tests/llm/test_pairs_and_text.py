@@ -1,9 +1,11 @@
 """Operators against plain versions: sharding, packing, search, preferences, near duplicates, decontamination, substrings."""
 
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from nervemap.llm.queries import _tokenizer
 
 RNG = np.random.default_rng(11)
+DATA = Path(os.environ.get("TESTDATA", "/root/testdata"))
 WORDS = ["alpha", "beta", "Gamma", "delta,", "epsilon.", "zeta", "été", "ß", "eta", "theta"]
 
 
@@ -192,52 +195,66 @@ def test_no_more_sequences_than_best_fit_alone():
 
 
 def search(rows, k, every):
-    good = {}
+    good = []
     for i, v in rows:
         if i is None or v is None or any(x is None or not np.isfinite(x) for x in v):
             continue
-        q = [int(np.floor(64 * float(np.float32(x)))) for x in v]
-        good[i] = min(good.get(i, q), q)
-    out = set()
-    for i, q in good.items():
+        good.append((i, [int(np.floor(64 * float(np.float32(x)))) for x in v]))
+    out = Counter()
+    for n, (i, q) in enumerate(good):
         if i % every == 0:
-            top = sorted((-sum(a * b for a, b in zip(q, c, strict=False)), j) for j, c in good.items() if j != i)[:k]
-            out |= {(i, n + 1, j, -s) for n, (s, j) in enumerate(top)}
+            top = sorted((-sum(a * b for a, b in zip(q, c, strict=False)), j) for m, (j, c) in enumerate(good) if m != n)[:k]
+            out.update((i, r + 1, j, -s) for r, (s, j) in enumerate(top))
     return out
 
 
-@pytest.mark.parametrize("spread", [0.05, 1.0, 1e4])
+@pytest.mark.parametrize("spread", [0.05, 1.0, 1e4, 1e14])
 def test_search(spark, spread, monkeypatch):
     import nervemap.llm.topk_search as S
 
     v = (RNG.normal(0, spread, (90, 8))).astype(np.float32)
     v[5:25] = v[4]  # ties
     rows = [(i, x.tolist()) for i, x in enumerate(v)]
-    rows += [(100, None), (None, rows[0][1]), (120, [None] * 8), (140, [float("nan")] * 8), (160, [float("inf")] * 8), (20, rows[20][1]), (180, [0.0] * 8)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("v", F.lit(1)).withColumn("score", F.lit(1))
+    rows += [(100, None), (None, rows[0][1]), (120, [None] * 8), (140, [float("nan")] * 8), (160, [float("inf")] * 8), (180, [0.0] * 8), (40, v[41].tolist()), (40, v[40].tolist()), (41, v[3].tolist()), (200, v[7].tolist()[:5]), (201, []), (220, [])]
+    if spread == 1e14:  # scores of about 2**63 don't fit
+        rows = [(i, None if x is None else [y / 1e8 if y is not None else y for y in x]) for i, x in rows]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("v", F.lit(1)).withColumn("score", F.lit(1)).withColumn("row", F.lit(1)).withColumn("c", F.lit("x"))
     want = search(rows, 7, 20)
-    got = lambda: {tuple(r) for r in S.top_k(df, k=7, every=20).collect()}
+    got = lambda: Counter(tuple(r) for r in S.top_k(df, k=7, every=20).collect())
     assert got() == want
     monkeypatch.setattr(S, "CANDIDATES", 16)
     monkeypatch.setattr(S, "QUERIES", 2)
+    monkeypatch.setattr(S, "IMPACTS", 5)
+    monkeypatch.setattr(S, "FEW", 1)
     assert got() == want
-    assert {tuple(r) for r in S.top_k(df.limit(3), k=7, every=1).collect()} and S.top_k(df.where("false")).count() == 0
-
-
-def test_search_stops_on_proof():
-    from nervemap.llm.topk_search import best, segments
-
-    c = np.round(RNG.normal(0, 2, (3000, 64)))
-    for i in range(20):  # a few members far above the rest
-        c[i, :8] = 60
-    q = c[:20].copy()
-    ids = np.arange(3000)
-    qi, ci, s = best(ids[:20], q, ids, c, 10)
-    exact = q @ c.T
-    for i in range(20):
-        order = sorted((-exact[i, j], j) for j in range(3000) if j != i)[:10]
-        assert [(j, -x) for x, j in order] == list(zip(ci[qi == i].tolist(), s[qi == i].tolist(), strict=True))
-    assert np.array_equal(sum(segments(c)), c)
+    assert S.top_k(df.where("vec_id = 0"), k=7).count() == 0 and S.top_k(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("impacts", [1024, 12])
+def test_search_stops_on_proof(impacts, monkeypatch):
+    """On vectors like those of the tables: queries stop early, score few rows again, and miss none."""
+    import nervemap.llm.topk_search as S
+
+    monkeypatch.setattr(S, "IMPACTS", impacts)
+    if (DATA / "sf0.01").exists():
+        import pyarrow.parquet as pq
+
+        raw = pq.read_table(DATA / "sf0.1" / "embeddings.parquet").column("embedding").to_pylist()
+    else:
+        raw = RNG.normal(0, 1, (2000, 64))
+        raw = (raw / np.linalg.norm(raw, axis=1, keepdims=True)).tolist()
+    c = np.floor(64 * np.array(raw)).astype(np.int64)
+    ids = RNG.permutation(len(c))
+    index = S.Index.unpacked(S.Index.of(ids, np.arange(len(c)), c).packed())
+    assert int(np.diff(index.cuts).sum()) == np.count_nonzero(c) and len(set(zip(index.dim.tolist(), index.impact.tolist(), strict=True))) == len(index.dim)
+    searcher, early = S.Searcher(index, 20), []
+    for i in range(0, len(c), 20):
+        found, exact = searcher.search(c[i], i), c @ c[i]
+        order = sorted((-int(exact[j]), int(ids[j]), j) for j in range(len(c)) if j != i)[:20]
+        assert [j for _, _, j in order] == found.at.tolist() and [-s for s, _, _ in order] == found.score.tolist()
+        early.append((found.proved, found.postings / len(index.members), found.rescored))
+    if impacts > 1000:
+        assert all(p for p, _, _ in early) and np.mean([x for _, x, _ in early]) < 0.7 and all(r <= 1280 for _, _, r in early)
 
 
 # preferences
