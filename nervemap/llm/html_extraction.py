@@ -3,11 +3,14 @@
 Every page scores its containers and votes for the generalised tag-class path of the one that holds its article. Votes
 are counted per host with map-side combined aggregates; every page is then read again with its host's winning path. A page
 without that path keeps its own choice.
+
+Reading a page takes time and memory in proportion to its length, however its tags are nested or left open.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -29,7 +32,7 @@ _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul caption".split()
 )
 _HOLDER = frozenset("html body article main section div td center blockquote table tbody tr".split())
-_NEVER = frozenset("head nav footer aside form script style noscript template svg math canvas button select textarea label menu dialog iframe object video audio map search title datalist".split())
+_NEVER = frozenset("head nav footer aside form script style noscript template svg canvas button select textarea label menu dialog iframe object video audio map search title datalist".split())
 _KEEP = frozenset("html body article main".split())
 _NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertising sidebar sidenav menu nav navbar navigation comment comments commentlist disqus respond footer cookie cookies consent gdpr notice notices banner promo promotion share sharing social related breadcrumb breadcrumbs popup modal overlay newsletter subscribe subscription sponsor sponsored widget widgets toolbar pagination pager login signup masthead skip alert recommended".split()
@@ -46,33 +49,71 @@ _CLOSES = {
     "th": (frozenset("td th".split()), frozenset("tr table".split())),
     "option": (frozenset(["option"]), frozenset("select datalist".split())),
 }
-_MARK = re.compile(r"""<(?:(!--)|([!?][^>]*>?)|(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>)""")
+#: Parts of a class name that only say how a page is laid out: such a name is no noise.
+_LAYOUT_FIRST, _LAYOUT_LAST = frozenset("no without has with".split()), frozenset("open closed enabled disabled on off".split())
+#: Noise by name that stays out even where a page has no other text.
+_REMARKS = frozenset("comment comments commentlist disqus respond".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_QUOTE = re.compile(r"""["']""")
 _DIGITS = re.compile(r"\d+")
+_SPLIT = re.compile(r"[-_:]+|\d+")
+#: How an element is left out: not, by the names it bears, by what it is.
+KEPT, NAMED, GONE = range(3)
 
 
 @dataclass
 class Page:
-    """Elements by number, parents first, and blocks of text."""
+    """Elements by number, parents first, and blocks of text.
+
+    ``path``: number of the element's generalised path among those of the page; ``step``: of a path its parent's and its last label.
+    ``holder``: the nearest element around, or itself, that can be a container.
+    """
 
     tag: list[str] = field(default_factory=lambda: [""])
     parent: list[int] = field(default_factory=lambda: [0])
-    path: list[str] = field(default_factory=lambda: [""])
-    dropped: list[bool] = field(default_factory=lambda: [False])
+    path: list[int] = field(default_factory=lambda: [0])
+    holder: list[int] = field(default_factory=lambda: [0])
+    left_out: list[int] = field(default_factory=lambda: [KEPT])
+    step: list[tuple[int, str]] = field(default_factory=lambda: [(0, "")])
+    known: dict[tuple[int, str], int] = field(default_factory=dict)
     blocks: list[tuple[int, str, int]] = field(default_factory=list)
 
+    def path_text(self, node: int) -> str:
+        labels, at = [], self.path[node]
+        while at:
+            at, label = self.step[at]
+            labels.append(label)
+        return "".join(f"/{x}" for x in reversed(labels))
+
+    def path_number(self, text: str) -> int | None:
+        at = 0
+        for label in text.split("/")[1:]:
+            at = self.known.get((at, label))
+            if at is None:
+                return None
+        return at
 
-def _is_noise(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
+
+def _noise(tag: str, attrs: dict[str, str], in_article: bool) -> int:
     if tag in _NEVER or (tag == "header" and not in_article):
-        return True
+        return GONE
     if not attrs or tag in _KEEP:
-        return False
+        return KEPT
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", ""):
-        return True
+        return GONE
     if attrs.get("role", "").lower() in _NOISE_ROLE:
-        return True
-    names = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split()
-    return any(n in _NOISE_WHOLE or not _NOISE.isdisjoint(re.split(r"[-_:]+|\d+", n)) for n in names)
+        return GONE
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split():
+        parts = _SPLIT.split(name)
+        if parts[0] in _LAYOUT_FIRST or parts[-1] in _LAYOUT_LAST:
+            continue
+        if not _REMARKS.isdisjoint(parts):
+            return GONE
+        if name in _NOISE_WHOLE or not _NOISE.isdisjoint(parts):
+            return NAMED
+    return KEPT
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -81,34 +122,95 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(text)}
 
 
+class _Marks:
+    """Where tags of a page end. A quoted value may hold a ``>``; a quote that would swallow the rest of the page counts as a character, and from then on all do."""
+
+    def __init__(self, html: str):
+        self.html, self.quotes, self.last = html, True, html.rfind(">")
+
+    def end(self, at: int) -> int:
+        """Place of the ``>`` that ends the tag whose name ends at ``at``, or -1."""
+        html = self.html
+        if at > self.last:
+            return -1
+        gt = html.find(">", at)
+        if not self.quotes:
+            return gt
+        pos = at
+        while True:
+            m = _QUOTE.search(html, pos, gt)
+            if m is None:
+                return gt
+            pos = html.find(m[0], m.end()) + 1
+            if not pos:
+                break
+            if pos > gt:
+                gt = html.find(">", pos)
+                if gt < 0:
+                    break
+        self.quotes = False
+        return html.find(">", at)
+
+
+class _Open:
+    """The stack of open elements, with what has to be asked of it answered without a search."""
+
+    def __init__(self):
+        self.nodes, self.names, self.blocks = [0], [""], [0]
+        self.at: dict[str, list[int]] = {}
+
+    def push(self, node: int, name: str) -> None:
+        if name in _BLOCK:
+            self.blocks.append(len(self.names))
+        self.at.setdefault(name, []).append(len(self.names))
+        self.nodes.append(node)
+        self.names.append(name)
+
+    def last(self, names: frozenset[str] | tuple[str, ...]) -> int:
+        """Depth of the innermost open element of these names; 0 if none is."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=0)
+
+    def first_above(self, names: frozenset[str], depth: int) -> int:
+        """Depth of the outermost open element of these names that is deeper than ``depth``; 0 if none is."""
+        found = [own[i] for n in names if (own := self.at.get(n)) and (i := bisect_right(own, depth)) < len(own)]
+        return min(found, default=0)
+
+    def pop(self) -> str:
+        self.nodes.pop()
+        name = self.names.pop()
+        self.at[name].pop()
+        if name in _BLOCK:
+            self.blocks.pop()
+        return name
+
+
 def parse(html: str) -> Page:
-    page = Page()
-    open_: list[int] = [0]
-    names: list[str] = [""]
+    page, stack, marks = Page(), _Open(), _Marks(html)
     pending: list[str] = []
-    links = 0
-    in_link = 0
+    found: list[tuple[int, str, int]] = []
+    raw_end: dict[str, re.Pattern] = {}
+    links = in_link = 0
 
     def flush() -> None:
         nonlocal links
         if pending:
+            node = stack.nodes[-1]
             text = " ".join("".join(pending).split())
-            if text and not page.dropped[open_[-1]]:
-                page.blocks.append((open_[-1], text, min(links, len(text))))
+            if text and page.left_out[node] != GONE:
+                found.append((node, text, min(links, len(text))))
             pending.clear()
             links = 0
 
     def close(depth: int) -> None:
         nonlocal in_link
-        if any(n in _BLOCK for n in names[depth:]):
+        if stack.blocks[-1] >= depth:
             flush()
-        if in_link:
-            in_link -= names[depth:].count("a")
-        del open_[depth:], names[depth:]
+        while len(stack.names) > depth:
+            in_link -= stack.pop() == "a"
 
     def text(raw: str) -> None:
         nonlocal links
-        if not page.dropped[open_[-1]]:
+        if page.left_out[stack.nodes[-1]] != GONE:
             x = unescape(raw) if "&" in raw else raw
             pending.append(x)
             if in_link:
@@ -120,92 +222,107 @@ def parse(html: str) -> Page:
         if lt < 0:
             text(html[at:])
             break
-        m = _MARK.match(html, lt)
-        if m is None:
-            text(html[at : lt + 1])
-            at = lt + 1
-            continue
         if lt > at:
             text(html[at:lt])
-        at = m.end()
-        if m[1]:
-            stop = html.find("-->", lt + 2)
-            at = end if stop < 0 else max(at, stop + 3)
+        at = lt + 1
+        sign = html[at : at + 1]
+        if sign in ("!", "?"):
+            if html.startswith("!--", at):
+                stop = html.find("-->", lt + 2)
+                at = end if stop < 0 else max(lt + 4, stop + 3)
+            else:
+                stop = html.find(">", at)
+                at = end if stop < 0 else stop + 1
             continue
-        if m[2]:
+        m = _NAME.match(html, at + 1 if sign == "/" else at)
+        stop = -1 if m is None else marks.end(m.end())
+        if stop < 0:
+            text("<")
             continue
-        slash, tag, rest = (m[3], m[4], m[5]) if m[4] else (m[6], m[7], m[8])
-        tag = tag.lower()
-        if slash:
-            for depth in range(len(names) - 1, 0, -1):
-                if names[depth] == tag:
-                    close(depth)
-                    break
+        tag, rest, at = m[0].lower(), html[m.end() : stop], stop + 1
+        if sign == "/":
+            if depth := stack.last((tag,)):
+                close(depth)
             continue
         if tag == "br":
             pending.append(" ")
             continue
         if tag in _BLOCK:
-            for depth in range(len(names) - 1, 0, -1):
-                if names[depth] == "p":
-                    close(depth)
-                    break
-                if names[depth] in _BLOCK:
-                    break
+            if stack.names[stack.blocks[-1]] == "p":
+                close(stack.blocks[-1])
             if tag in _CLOSES:
                 ends, stops = _CLOSES[tag]
-                for depth in range(len(names) - 1, 0, -1):
-                    if names[depth] in stops:
-                        break
-                    if names[depth] in ends:
-                        close(depth)
-                        if tag != "tr":
-                            break
+                floor = stack.last(stops)
+                depth = stack.first_above(ends, floor) if tag == "tr" else stack.last(ends)
+                if depth > floor:
+                    close(depth)
             flush()
         if tag in _VOID:
             continue
         if tag in _RAW:
-            stop = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, at)
-            at = end if stop is None else stop.start()
-            if stop is not None:
-                at = html.find(">", stop.start()) + 1 or end
+            if tag not in raw_end:
+                raw_end[tag] = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I)
+            m = raw_end[tag].search(html, at)
+            at = end if m is None else html.find(">", m.start()) + 1 or end
             continue
         attrs = _attributes(rest)
-        up = open_[-1]
-        label = tag
-        if "class" in attrs:
-            label += "".join("." + c for c in sorted({_DIGITS.sub("#", c) for c in attrs["class"].lower().split()}))
+        up, node = stack.nodes[-1], len(page.tag)
         page.tag.append(tag)
         page.parent.append(up)
-        page.path.append(f"{page.path[up]}/{label}" if tag in _HOLDER else page.path[up])
-        page.dropped.append(page.dropped[up] or _is_noise(tag, attrs, any(n in ("article", "main") for n in names)))
+        holds = tag in _HOLDER
+        page.holder.append(node if holds else page.holder[up])
+        path = page.path[up]
+        if holds:
+            label = tag
+            if "class" in attrs:
+                label += "".join("." + c for c in sorted({_DIGITS.sub("#", c) for c in attrs["class"].lower().replace("/", "|").split()}))
+            path = page.known.setdefault((path, label), len(page.step))
+            if path == len(page.step):
+                page.step.append((page.path[up], label))
+        page.path.append(path)
+        own = _noise(tag, attrs, bool(stack.last(("article", "main"))))
+        page.left_out.append(max(page.left_out[up], own))
         if rest.endswith("/") and tag not in _BLOCK:
             continue
-        open_.append(len(page.tag) - 1)
-        names.append(tag)
+        stack.push(node, tag)
         in_link += tag == "a"
     flush()
+    page.blocks = [x for x in found if page.left_out[x[0]] == KEPT]
+    if not any(len(t) > 1.5 * n for _, t, n in page.blocks):  # nothing but links is left: a name told the wrong thing
+        page.blocks = found
     return page
 
 
 def best_container(page: Page) -> int:
-    """The innermost element that holds most of the article; an article or main element isn't left for one inside it."""
-    score = [0.0] * len(page.tag)
+    """The innermost element that holds most of the article.
+
+    An article or main element that does is entered from anywhere, and never left for one inside it. Other elements aren't left for one inside if
+    they have paragraphs or headings of their own beside it, but the page's body is.
+    """
+    score, own = [0.0] * len(page.tag), [0.0] * len(page.tag)
     for node, text, links in page.blocks:
-        score[node] += max(0.0, len(text) - 1.5 * links)
+        value = max(0.0, len(text) - 1.5 * links)
+        score[node] += value
+        if page.tag[node] == "p" or page.tag[node] in _HEADINGS:
+            own[page.holder[page.parent[node]]] += value
     for node in range(len(score) - 1, 0, -1):
         score[page.parent[node]] += score[node]
-    children: dict[int, list[int]] = {}
+    best: dict[int, int] = {}
+    marked = 0
     for node in range(1, len(score)):
         if page.tag[node] in _HOLDER:
-            up = page.parent[node]
-            while up and page.tag[up] not in _HOLDER:
-                up = page.parent[up]
-            children.setdefault(up, []).append(node)
+            up = page.holder[page.parent[node]]
+            if score[node] > score[best.get(up, 0)] or up not in best:
+                best[up] = node
+            if page.tag[node] in ("article", "main") and score[node] >= ENTER * score[0] > 0:
+                marked = marked or node
+    if marked:
+        return marked
     node = 0
-    while page.tag[node] not in ("article", "main"):
-        inside = max(children.get(node, []), key=lambda c: score[c], default=None)
-        if inside is None or score[inside] <= 0 or score[inside] < ENTER * score[node]:
+    while page.tag[node] not in ("article", "main") and (inside := best.get(node)):
+        if score[inside] <= 0 or score[inside] < ENTER * score[node]:
+            break
+        if own[node] > 0 and page.tag[node] not in ("", "html", "body"):
             break
         node = inside
     return node
@@ -213,13 +330,14 @@ def best_container(page: Page) -> int:
 
 def article(page: Page, path: str | None) -> str:
     """The blocks below all elements with the path, or, if there is no such text, below the page's own best container."""
-    for inside in (lambda n: page.path[n] == path, None):
-        if inside is None:
-            chosen = {best_container(page)}
-        elif path:
-            chosen = {n for n in range(1, len(page.tag)) if page.tag[n] in _HOLDER and inside(n)}
+    number = page.path_number(path) if path else None
+    for shared in (True, False):
+        if shared:
+            if not number:
+                continue
+            chosen = {n for n in range(1, len(page.tag)) if page.path[n] == number and page.tag[n] in _HOLDER}
         else:
-            continue
+            chosen = {best_container(page)}
         within = [0 in chosen] * len(page.tag)
         for n in range(1, len(page.tag)):
             within[n] = n in chosen or within[page.parent[n]]
@@ -234,7 +352,7 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         paths = []
         for html in batch["html"]:
             page = parse(html.as_py() or "")
-            paths.append(page.path[best_container(page)] if page.blocks else None)
+            paths.append(page.path_text(best_container(page)) if page.blocks else None)
         yield pa.RecordBatch.from_arrays([batch["host"], pa.array(paths, pa.string())], ["host", "path"])
 
 

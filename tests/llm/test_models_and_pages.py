@@ -151,6 +151,156 @@ def test_pages(spark):
     assert extract_articles(df).count() == len(rows) and extract_articles(df.where("false")).count() == 0
 
 
+def test_layout_names_and_parts_beside_the_body():
+    from nervemap.llm.html_extraction import article, parse
+
+    one = lambda x: article(parse(x), None)
+    long = "<p>" + "words of the text " * 30 + "</p>"
+    want = " ".join(("words of the text " * 30).split())
+    for name in ("content no-sidebar", "post comments-open", "with-ads", "page has-menu"):
+        assert one(f"<body><nav>n</nav><div class='{name}'>{long}</div></body>") == want
+    assert one(f"<body><div class='post category-social'>{long}</div><div class='comments'>{long}</div></body>") == want  # no other text is left
+    assert one(f"<body><div class=sidebar>{long}</div><article>{long}</article></body>") == want
+    assert one(f"<body><div class=post><h1>Head</h1><p>intro to it</p><div class=body>{long}{long}</div><p>the end</p></div><div>x</div></body>") == f"Head\n\nintro to it\n\n{want}\n\n{want}\n\nthe end"
+    assert one("<article><p>a <math><mi>x</mi><mo>=</mo><mn>2</mn></math></p></article>") == "a x=2"
+
+
+_HARD = {
+    "unclosed": lambda n: "<a " * n,
+    "nested": lambda n: '<div class="a">' * n + "x" * 500,
+    "inline": lambda n: "<b>" * n + "<hr>" * n + "t",
+    "ends": lambda n: "<i>" * n + "</u>" * n,
+    "items": lambda n: "<ul>" * n + "<li>x" * n,
+    "quotes": lambda n: '<a "' * n + ">",
+    "two quotes": lambda n: "<a b='" * n + '<a c="' * n + ">",
+    "values": lambda n: "<a " + "''" * n + ">t",
+    "signs": lambda n: "<" * n,
+    "comments": lambda n: "<!--" * n,
+    "rows": lambda n: "<table><tr><td>" * n + "x",
+    "holders": lambda n: "<b>" * n + "<div>" * n + "text " * 20,
+    "scripts": lambda n: "<script>" * n,
+}
+
+
+@pytest.mark.parametrize("name", list(_HARD))
+def test_pages_take_time_as_they_are_long(name):
+    import time
+
+    from nervemap.llm.html_extraction import article, best_container, parse
+
+    def seconds(n):
+        html, began = _HARD[name](n), time.thread_time()
+        page = parse(html)
+        article(page, page.path_text(best_container(page)))
+        return time.thread_time() - began
+
+    seconds(1000)
+    assert seconds(200_000) < 14 * max(0.15, seconds(25_000))  # eight times the length; its square would be 64 times
+
+
+def _plain_articles(rows):
+    """Another reading of well-formed pages: a tree by the standard library's parser, its best container, votes counted per host."""
+    from html.parser import HTMLParser
+    from urllib.parse import urlsplit
+
+    from nervemap.llm import html_extraction as H
+
+    class Tree(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.root = self.at = {"tag": "", "label": "", "up": None, "inside": []}
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "br":
+                self.at["inside"].append(" ")
+            if tag in H._VOID:
+                return
+            attrs = {k: v or "" for k, v in attrs}
+            classes = sorted({re.sub(r"\d+", "#", c) for c in attrs.get("class", "").lower().split()})
+            new = {"tag": tag, "label": ".".join([tag, *classes]), "up": self.at, "inside": [], "attrs": attrs}
+            self.at["inside"].append(new)
+            self.at = new
+
+        def handle_endtag(self, tag):
+            at = self.at
+            while at["up"] is not None and at["tag"] != tag:
+                at = at["up"]
+            if at["up"] is not None:
+                self.at = at["up"]
+
+        def handle_data(self, data):
+            self.at["inside"].append(data)
+
+    def noise(x):
+        names = re.split(r"[\s\-_]+", (x["attrs"].get("class", "") + " " + x["attrs"].get("id", "")).lower())
+        return x["tag"] in H._NEVER or (x["tag"] == "header" and not any(u["tag"] == "article" for u in ups(x))) or bool(H._NOISE & set(names)) and x["tag"] not in H._KEEP
+
+    def ups(x):
+        while (x := x["up"]) is not None:
+            yield x
+
+    def blocks(x, out, link=False):
+        for y in x["inside"]:
+            if isinstance(y, str):
+                out[-1][0].append(y)
+                out[-1][1] += len(y) * link
+            elif not noise(y) and y["tag"] not in H._RAW:
+                if y["tag"] in H._BLOCK:
+                    out.append([[], 0])
+                blocks(y, out, link or y["tag"] == "a")
+                if y["tag"] in H._BLOCK:
+                    out.append([[], 0])
+        return out
+
+    def texts(x):
+        made = [(" ".join("".join(t).split()), n) for t, n in blocks(x, [[[], 0]])]
+        return [(t, n) for t, n in made if t]
+
+    def walk(x):
+        yield x
+        for y in x["inside"]:
+            if not isinstance(y, str) and not noise(y):
+                yield from walk(y)
+
+    def path(x):
+        return "/".join(u["label"] for u in [*reversed(list(ups(x))), x] if u["tag"] in H._HOLDER)
+
+    def best(root):
+        value = lambda x: sum(max(0, len(t) - 1.5 * n) for t, n in texts(x))
+        for x in walk(root):
+            if x["tag"] in ("article", "main") and value(x) >= 0.7 * value(root) > 0:
+                return x
+        return next(x for x in walk(root) if x["tag"] in ("body", ""))
+
+    trees, votes = [], {}
+    for r in rows:
+        tree = Tree()
+        tree.feed(r["html"] or "")
+        tree.close()
+        trees.append(tree.root)
+        host = (urlsplit(r["url"] or "").hostname or "")
+        if texts(tree.root):
+            votes.setdefault(host, Counter())[path(best(tree.root))] += 1
+    out = []
+    for r, root in zip(rows, trees, strict=True):
+        host = (urlsplit(r["url"] or "").hostname or "")
+        won = max(votes.get(host, {"": 0}).items(), key=lambda v: (v[1], len(v[0])))[0]
+        at = [x for x in walk(root) if path(x) == won and x["tag"] in H._HOLDER] or [best(root)]
+        out.append("\n\n".join(t for x in at for t, _ in texts(x)))
+    return out
+
+
+@need_data
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_pages_against_another_reading(spark, sf):
+    from nervemap.llm.html_extraction import extract_articles
+
+    df = spark.read.parquet(str(DATA.parent / sf / "pages.parquet"))
+    rows = [r.asDict() for r in df.collect()]
+    got = Counter((r["page_id"], r["url"], r["text"]) for r in extract_articles(df).collect())
+    assert got == Counter((r["page_id"], r["url"], t) for r, t in zip(rows, _plain_articles(rows), strict=True))
+
+
 @need_data
 def test_registered_queries(spark):
     """Those that SQL can express, against it; the others are held against plain versions above."""
