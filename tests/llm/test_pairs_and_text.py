@@ -376,7 +376,7 @@ def contaminated(docs, items, span=13):
     return out
 
 
-def test_decontamination(spark, docs):
+def test_decontamination(spark, docs, monkeypatch):
     from nervemap.llm.decontamination import decontaminate
 
     word = lambda n, s: " ".join(f"w{x}" for x in np.random.default_rng(s).integers(0, 500, n))
@@ -386,6 +386,12 @@ def test_decontamination(spark, docs):
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("w", F.lit(1))
     got = Counter(tuple(r[c] for c in ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")) for r in decontaminate(table, bench).collect())
     assert got == contaminated(rows, items)
+    import nervemap.llm.decontamination as C
+
+    monkeypatch.setattr(C, "BROADCAST_TEXTS", 0)  # salted rows
+    monkeypatch.setattr(C, "SLOTS", (64, 64))  # a filter that lets most through
+    again = Counter(tuple(r[c] for c in ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")) for r in decontaminate(table, bench).collect())
+    assert again == got
     assert not decontaminate(table, bench.where("false")).where("n_hit > 0 or contaminated").count()
     assert decontaminate(table.where("false"), bench).count() == 0
 
@@ -413,19 +419,49 @@ def removed(texts, length):
 @pytest.mark.parametrize("small", [False, True])
 def test_substrings(docs, pairs, small, monkeypatch):
     import nervemap.llm.substring_dedup as D
-    import nervemap.llm.suffixes as X
 
     if small:
         monkeypatch.setattr(D, "BLOCK", 3000)
         monkeypatch.setattr(D, "PART", 5000)
     for length, gram in ((200, 100), (40, 8)):
         want = Counter((i, *x) for (i, _), x in zip(pairs, removed([t for _, t in pairs], length), strict=True))
-        got = D.repeated_spans(clashing(docs), length, gram, with_text=True, carry=["lang"]).collect()
+        got = D.repeated_spans(clashing(docs), length, gram).collect()
         assert Counter(tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in got) == want
-        assert all(len(r["kept"].encode()) <= r["n_bytes"] - r["n_removed"] for r in got)
     assert D.repeated_spans(docs.where("false")).count() == 0
 
 
+def test_texts_without_repeats(spark):
+    from nervemap.llm.substring_dedup import without_repeats
+
+    same = "x" * 5 + "repeated " * 12
+    rows = [(1, "é" + same + "ü"), (2, "ĩ" + same + "à"), (3, same), (4, None), (5, "short é"), (6, "a" + same + "b")]
+    twin = [(7, "é".encode()[:1].decode("latin-1") + same), (8, "日本" * 40), (9, "本日" * 40)]
+    df = spark.createDataFrame([*rows, *twin], "doc_id long, text string")
+    df = df.withColumns({c: F.lit("mine") for c in ("kept", "id", "_k1", "_k2", "block", "n_bytes", "part", "_c0", "of")})
+    got = {r["doc_id"]: r for r in without_repeats(df, length=50, gram=20).collect()}
+    assert without_repeats(df, length=50, gram=20).columns == df.columns
+    assert all(r[c] == "mine" for r in got.values() for c in ("kept", "id", "_k1", "_k2", "block", "n_bytes", "part", "_c0", "of"))
+    assert [got[i]["text"] for i in range(1, 7)] == ["", "", "", "", "short é", "ab"]  # the halves left of é and ü don't make a ü
+    assert set(got[8]["text"]) <= set("日本") and set(got[9]["text"]) <= set("日本")
+
+
+@pytest.mark.parametrize("steps", [2, 4])
+def test_texts_added_to_a_stored_index(spark, docs, pairs, steps, monkeypatch):
+    """Whatever the steps, the result is that of all texts at once; later steps find what earlier ones have left in the shared folder."""
+    import nervemap.llm.substring_dedup as D
+
+    monkeypatch.setattr(D, "BLOCK", 3000)
+    index = D.SuffixIndex(40, 8, parts=3)
+    sizes = []
+    for k in range(steps):
+        index.add(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) == k))
+        sizes.append(index.levels.select(F.sum(F.length("data"))).first()[0])
+    assert sizes == sorted(sizes) and index.levels.select("part").distinct().count() == 3
+    want = Counter((i, *x) for (i, _), x in zip(pairs, removed([t for _, t in pairs], 40), strict=True))
+    got = index.spans().collect()
+    assert Counter(tuple(r[c] for c in ("id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in got) == want
+
+
 def test_long_texts_come_in_pieces(monkeypatch):
     import nervemap.llm.suffixes as X
 
@@ -440,17 +476,31 @@ def test_long_texts_come_in_pieces(monkeypatch):
     assert set(r.text.tolist()) == {0, 3}
 
 
-def test_index_family():
-    from nervemap.llm.substring_dedup import IndexFamily, Level
+@pytest.mark.parametrize("kept", [False, True])
+def test_index_family(kept):
+    from nervemap.llm.substring_dedup import FULL, FULL_SENDS, NONE, OPEN, IndexFamily, _packed, _unpacked
 
-    family, want = IndexFamily(), Counter()
+    family, seen, told = IndexFamily(), Counter(), {}
     for b in range(13):
-        pairs = sorted({(int(x), int(y)) for x, y in RNG.integers(0, 12, (9, 2))})
-        want.update(pairs)
+        found = Counter((int(x), int(y)) for x, y in RNG.integers(0, 14, (9, 2)))
+        pairs = sorted(found)
+        seen.update(found)
         x, y = (np.array([p[i] for p in pairs], dtype=np.uint64) for i in (0, 1))
-        family.insert(Level(x, y, np.ones(len(x), np.uint8), np.full(len(x), b)))
-    assert [level is not None for level in family.levels] == [True, False, True, True]  # 13 = 1 + 4 + 8
-    whole = family.whole()
-    assert {(int(a), int(b)): int(n) for a, b, n in zip(whole.x, whole.y, whole.seen, strict=True)} == {p: min(n, 2) for p, n in want.items()}
-    at = whole.find(whole.x[::-1], whole.y[::-1])
-    assert at.tolist() == list(range(len(whole.x)))[::-1]
+        states = family.insert(b, x, y, np.array([min(2, found[p]) for p in pairs], np.uint8))
+        told[b] = (pairs, states)
+        if kept and b == 7:  # written and read again; changes so far are told
+            for batch, changes in family.changes.items():
+                for at, s in changes:
+                    np.maximum.at(told[batch][1], at, s)
+            family = IndexFamily({rank: _unpacked(_packed(level)) for rank, level in family.levels.items()})
+    for batch, changes in family.changes.items():
+        for at, s in changes:
+            np.maximum.at(told[batch][1], at, s)
+    assert sorted(family.levels) == [0, 2, 3]  # 13 = 1 + 4 + 8
+    assert sum(len(level.x) for level in family.levels.values()) == len(seen)
+    others = Counter(x for x, _ in seen)
+    for b, (pairs, states) in told.items():
+        for p, s in zip(pairs, states.tolist(), strict=True):
+            first = min(c for c in told if p in told[c][0]) == b
+            want = (OPEN if others[p[0]] > 1 else NONE) if seen[p] == 1 else FULL_SENDS if others[p[0]] > 1 and first else FULL
+            assert s == want
