@@ -5,9 +5,9 @@ its ending, so the emission table is bounded; P(word | class) = (c + 1) / (N_cla
 of every training word, the last 1 being for words never seen. Baum-Welch counts are summed over all partitions in each round; the
 score is the exact likelihood of the text by the scaled forward recursion, end included.
 
-Word counts never stand in one place. Texts are read once, into blocks of word numbers. Each block asks for the counts of its own
-distinct words: they go, with the block's counts, to the part of the vocabulary that their hash names, are added up there, and
-the sums go back to the block. A frequent word is one entry a block. Words are told apart by 64-bit hashes.
+Word counts never stand in one place. Texts are read once, into blocks of word numbers; the blocks of a stretch of input form a bundle.
+Words are counted by a map-side combined sum; each bundle then asks for the counts of its own distinct words by a join, in which a
+frequent word is one row a bundle. A word goes by 64 bits: its class, and 52 bits of a hash.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from nervemap.runtime import materialize
 
 #: Classes of words; one more is the end of a text.
 CLASSES = 4096
-#: Bytes of text of a block, and entries of a part of the vocabulary.
-BLOCK, PART = 1 << 20, 750_000
+#: Bytes of text of a block and of a bundle of blocks.
+BLOCK, BUNDLE = 1 << 20, 12 << 20
 ENDING = 4
 
 
@@ -43,7 +43,7 @@ def _kind(n_words: int) -> type:
     return np.uint16 if n_words <= 1 << 16 else np.uint32
 
 
-def _block(ids: list, held: list[bool], texts: list[bytes]) -> tuple:
+def _block(bundle: int, ids: list, held: list[bool], texts: list[bytes]) -> tuple:
     from xxhash import xxh64_intdigest
 
     number: defaultdict[bytes, int] = defaultdict(count().__next__)
@@ -52,73 +52,40 @@ def _block(ids: list, held: list[bool], texts: list[bytes]) -> tuple:
         words = t.lower().split()
         sizes.append(len(words))
         tokens.append(np.fromiter(map(number.__getitem__, words), np.uint32, len(words)))
-    hashes = np.fromiter((xxh64_intdigest(w) for w in number), np.uint64, len(number))
     classes = np.fromiter(map(word_class, number), np.uint16, len(number))
+    names = np.fromiter((xxh64_intdigest(w) for w in number), np.uint64, len(number)) // np.uint64(CLASSES) * np.uint64(CLASSES) + classes
     stream = np.concatenate(tokens)
     train = np.repeat(~np.array(held, dtype=bool), sizes)
     counts = np.bincount(stream[train], minlength=len(number)).astype(np.uint32)
     stream = stream.astype(_kind(len(number)))
-    return secrets.randbits(62), ids, held, sizes, len(number), stream.tobytes(), hashes.tobytes(), classes.tobytes(), counts.tobytes()
+    return bundle, ids, held, sizes, stream.tobytes(), names.tobytes(), classes.tobytes(), counts.tobytes()
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bundle, of_bundle = secrets.randbits(62), 0
     for batch in batches:
-        schema = pa.schema(
-            {"block": pa.int64(), "ids": pa.list_(batch["id"].type), "held": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int64()), "n_words": pa.int64(), "tokens": pa.binary(), "hashes": pa.binary(), "classes": pa.binary(), "counts": pa.binary()}
-        )
+        schema = pa.schema({"bundle": pa.int64(), "ids": pa.list_(batch["id"].type), "held": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int64())} | dict.fromkeys(("tokens", "names", "classes", "counts"), pa.binary()))
         lo, size, texts = 0, 0, []
         for i, t in enumerate(batch["text"]):
             texts.append((t.as_py() or "").encode("utf-8", "surrogatepass"))
             size += len(texts[-1]) + 1
             if size > BLOCK or len(texts) == 60_000 or i == batch.num_rows - 1:
                 part = batch.slice(lo, len(texts))
-                row = _block(part["id"].to_pylist(), part["held"].to_pylist(), texts)
+                row = _block(bundle, part["id"].to_pylist(), part["held"].to_pylist(), texts)
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row, strict=True))], schema)
+                of_bundle += size
+                if of_bundle > BUNDLE:
+                    bundle, of_bundle = secrets.randbits(62), 0
                 lo, size, texts = i + 1, 0, []
 
 
-def _ask(parts: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                hashes, classes, counts = (np.frombuffer(r[c], t) for c, t in (("hashes", np.uint64), ("classes", np.uint16), ("counts", np.uint32)))
-                part = hashes % np.uint64(parts)
-                order = np.argsort(part, kind="stable")
-                cuts = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64)) if parts <= 4 * len(order) else None
-                names = np.unique(part)
-                pairs = [(int(p), *((cuts[int(p)], cuts[int(p) + 1]) if cuts is not None else np.searchsorted(part[order], [p, p + np.uint64(1)]))) for p in names]
-                rows = [(p, r["block"], *(x[order[lo:hi]].tobytes() for x in (hashes, classes, counts))) for p, lo, hi in pairs]
-                cols = list(zip(*rows, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[2:])], ["part", "block", "hashes", "classes", "counts"])
-
-    return run
-
-
-def _tell(table: pa.Table) -> pa.Table:
-    """Of a part of the vocabulary: to each block that asks its words' counts, and of each class the tokens and words."""
-    blocks = table["block"].to_pylist()
-    hashes = [np.frombuffer(x, np.uint64) for x in table["hashes"].to_pylist()]
-    classes = np.concatenate([np.frombuffer(x, np.uint16) for x in table["classes"].to_pylist()])
-    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table["counts"].to_pylist()])
-    _, first, word = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-    total = np.bincount(word, weights=counts, minlength=len(first)).astype(np.int64)
-    ends = np.cumsum([len(h) for h in hashes])
-    told = [total[word[e - len(h) : e]].tobytes() for h, e in zip(hashes, ends.tolist(), strict=True)]
-    known = total > 0
-    n = np.bincount(classes[first], weights=total, minlength=CLASSES).astype(np.int64)
-    v = np.bincount(classes[first][known], minlength=CLASSES)
-    at = np.flatnonzero(n)
-    none, m = [None] * len(at), len(blocks)
-    return pa.table(
-        {
-            "block": pa.array(blocks + none, pa.int64()),
-            "part": pa.array(table["part"].to_pylist() + none, pa.int64()),
-            "told": pa.array(told + none, pa.binary()),
-            "class": pa.array([None] * m + at.tolist(), pa.int32()),
-            "n": pa.array([None] * m + n[at].tolist(), pa.int64()),
-            "v": pa.array([None] * m + v[at].tolist(), pa.int64()),
-        }
-    )
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each distinct word of a block: bundle, name, count."""
+    for batch in batches:
+        for bundle, names, counts in zip(batch["bundle"].to_pylist(), batch["names"], batch["counts"], strict=True):
+            name = np.frombuffer(names.as_py(), np.int64)
+            n = np.frombuffer(counts.as_py(), np.uint32).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(name), bundle, dtype=np.int64)), pa.array(name), pa.array(n)], ["bundle", "name", "n"])
 
 
 def _sequences(r: dict, only_training: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -172,18 +139,17 @@ def _scores(model: HiddenMarkov, n_class: np.ndarray, v_class: np.ndarray, ends:
     room = np.log10(n_class + v_class + 1.0)
     floor = np.log10(n_all + v_all + 1.0)
 
-    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+    def run(blocks: pa.Table, told: pa.Table) -> pa.Table:
         out: dict[str, list] = {c: [] for c in ("held_out", "n_tokens", "n_known", "base_score", "score")}
         ids = []
+        name, n = told["name"].to_numpy(), told["n"].to_numpy()
+        order = np.argsort(name)
+        name, n = np.append(name[order], 0), np.append(n[order], 0)
         for r in blocks.to_pylist():
-            hashes = np.frombuffer(r["hashes"], np.uint64)
-            tokens = np.frombuffer(r["tokens"], _kind(len(hashes)))
-            counts = np.zeros(len(hashes), dtype=np.int64)
-            if len(hashes):
-                part = hashes % np.uint64(r["parts"])
-                told = dict(zip(answers["part"].to_pylist(), answers["told"].to_pylist(), strict=True))
-                order = np.argsort(part, kind="stable")
-                counts[order] = np.concatenate([np.frombuffer(told[int(p)], np.int64) for p in np.unique(part)])
+            own = np.frombuffer(r["names"], np.int64)
+            tokens = np.frombuffer(r["tokens"], _kind(len(own)))
+            at = np.searchsorted(name[:-1], own)
+            counts = np.where(name[at] == own, n[at], 0)
             sizes = np.array(r["sizes"], dtype=np.int64)
             doc = np.repeat(np.arange(len(sizes)), sizes)
             logs = np.log10(counts + 1.0)
@@ -214,19 +180,18 @@ def score_texts(
     kind = docs.schema[id_col].dataType.simpleString()
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == held_fold
     slim = docs.select(F.col(id_col).alias("id"), held.alias("held"), F.col(text_col).cast("string").alias("text"))
-    schema = f"block long, ids array<{kind}>, held array<boolean>, sizes array<long>, n_words long, tokens binary, hashes binary, classes binary, counts binary"
+    schema = f"bundle long, ids array<{kind}>, held array<boolean>, sizes array<long>, tokens binary, names binary, classes binary, counts binary"
     blocks = materialize(slim.mapInArrow(_blocks, schema), "word-blocks")
-    asked, ends = blocks.select(F.sum("n_words"), F.sum(F.size(F.filter("held", lambda h: ~h)))).first()
-    parts = (asked or 0) // PART + 1
-    entries = blocks.select("block", "hashes", "classes", "counts").mapInArrow(_ask(parts), "part long, block long, hashes binary, classes binary, counts binary")
-    told = materialize(entries.groupBy("part").applyInArrow(_tell, "block long, part long, told binary, class int, n long, v long"), "word-counts")
+    ends = blocks.select(F.sum(F.size(F.filter("held", lambda h: ~h)))).first()[0] or 0
+    words = blocks.select("bundle", "names", "counts").mapInArrow(_words, "bundle long, name long, n long")
+    vocabulary = materialize(words.where("n > 0").groupBy("name").agg(F.sum("n").alias("n")), "vocabulary")
     n_class, v_class = np.zeros(CLASSES, dtype=np.int64), np.zeros(CLASSES, dtype=np.int64)
-    for r in told.where("class is not null").groupBy("class").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
+    for r in vocabulary.groupBy(F.col("name").bitwiseAND(F.lit(CLASSES - 1)).alias("class")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
         n_class[r["class"]], v_class[r["class"]] = r["n"], r["v"]
-    frequency = np.append(n_class, ends or 0).astype(np.float64)
+    frequency = np.append(n_class, ends).astype(np.float64)
     model, _ = train(blocks, frequency / max(1.0, frequency.sum()), states, rounds, seed)
-    answers = told.where("block is not null").select("block", "part", "told")
-    run = _scores(model, n_class, v_class, int(ends or 0))
-    rows = blocks.select("block", "ids", "held", "sizes", "tokens", "hashes", "classes", F.lit(parts).alias("parts"))
-    out = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, train_tokens long")
+    told = words.select("bundle", "name").distinct().join(vocabulary, "name").select("bundle", "name", "n")
+    rows = blocks.select("bundle", "ids", "held", "sizes", "tokens", "names", "classes")
+    run = _scores(model, n_class, v_class, int(ends))
+    out = rows.groupBy("bundle").cogroup(told.groupBy("bundle")).applyInArrow(run, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, train_tokens long")
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -60,6 +60,51 @@ def _fold(i, n):
     return zlib.crc32(("" if i is None else str(i)).encode()) % n
 
 
+def _plain_scores(rows, states=4, rounds=3, seed=0):
+    """The model by definition: classes of words, Baum-Welch a text at a time, the unscaled forward recursion in logarithms."""
+    from nervemap.llm import language_model as L
+    from nervemap.llm.hmm import Counts, HiddenMarkov
+
+    split = lambda t: re.findall(rb"[^\x20\x09-\x0D]+", (t or "").lower().encode())
+    train = [split(t) for i, t in rows if _fold(i, 7) != 2]
+    count = Counter(w for t in train for w in t)
+    n, v = np.zeros(L.CLASSES + 1), np.zeros(L.CLASSES + 1)
+    for w, k in count.items():
+        n[L.word_class(w)] += k
+        v[L.word_class(w)] += 1
+    n[-1] = len(train)
+    model = HiddenMarkov.initial(states, n / n.sum(), seed)
+    of = lambda t: [*map(L.word_class, split(t)), L.CLASSES]
+
+    def forward(s):
+        ahead, logs = [model.start * model.emit[:, s[0]]], 0.0
+        for x in s[1:]:
+            logs += math.log(ahead[-1].sum())
+            ahead[-1] = ahead[-1] / ahead[-1].sum()
+            ahead.append((ahead[-1] @ model.move) * model.emit[:, x])
+        logs += math.log(ahead[-1].sum())
+        return [a / a.sum() for a in ahead], logs
+
+    for _ in range(rounds):
+        sums = Counts.zeros(states, L.CLASSES + 1)
+        for s in ([*map(L.word_class, t), L.CLASSES] for t in train):
+            ahead, _ = forward(s)
+            behind = np.ones(states)
+            for t in range(len(s) - 1, -1, -1):
+                g = ahead[t] * behind
+                sums.emit[:, s[t]] += g / g.sum()
+                if t:
+                    pair = np.outer(ahead[t - 1], model.emit[:, s[t]] * behind) * model.move
+                    sums.move += pair / pair.sum()
+                    behind = model.move @ (model.emit[:, s[t]] * behind)
+                    behind /= behind.sum()
+                else:
+                    sums.start += g / g.sum()
+        model = HiddenMarkov.fitted(sums)
+    inside = lambda w: math.log10((count[w] + 1) / (n[L.word_class(w)] + v[L.word_class(w)] + 1))
+    return {(i, t): forward(of(t))[1] / math.log(10) + sum(map(inside, split(t))) for i, t in rows}
+
+
 def test_language_model(spark, monkeypatch):
     import nervemap.llm.language_model as L
 
@@ -68,7 +113,7 @@ def test_language_model(spark, monkeypatch):
     for small in (False, True):
         if small:
             monkeypatch.setattr(L, "BLOCK", 500)
-            monkeypatch.setattr(L, "PART", 7)
+            monkeypatch.setattr(L, "BUNDLE", 900)
         got = L.score_texts(df, rounds=3).collect()
         split = lambda t: re.findall(rb"[^\x20\x09-\x0D]+", (t or "").lower().encode())
         train = [split(t) for i, t in rows if _fold(i, 7) != 2]
@@ -81,6 +126,9 @@ def test_language_model(spark, monkeypatch):
             base = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in own)
             want[i, len(own)] = (_fold(i, 7) == 2, sum(c[w] > 0 for w in own), base)
         assert len(got) == len(rows)
+        plain = sorted(((i is not None, i or 0, x) for (i, _), x in _plain_scores(rows).items()))
+        made = sorted({(r["doc_id"] is not None, r["doc_id"] or 0, r["score"]) for r in got})
+        assert [x[:2] for x in made] == [x[:2] for x in plain] and np.allclose([x[2] for x in made], [x[2] for x in plain], rtol=1e-9)
         for r in got:
             held, known, base = want[r["doc_id"], r["n_tokens"]]
             assert (r["held_out"], r["n_known"], r["train_tokens"]) == (held, known, n)
