@@ -129,3 +129,25 @@ def pairwise(name: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return either - both
     with np.errstate(divide="ignore", invalid="ignore"):
         return 1.0 - both / either
+
+
+def of_pairs(name: str, a: np.ndarray, b: np.ndarray, step: int = 65_536) -> np.ndarray:
+    """The distance of each row of a and the same row of b, added up as in ``pairwise``."""
+    out = np.zeros(len(a))
+    for lo in range(0, len(a), step):
+        x, y = a[lo : lo + step].T, b[lo : lo + step].T
+        here = out[lo : lo + step]
+        if name == "euclidean":
+            for p, q in zip(x, y, strict=True):
+                here += (p - q) * (p - q)
+            np.sqrt(here, out=here)
+        elif name == "cosine":
+            s, t = np.zeros(len(here)), np.zeros(len(here))
+            for p, q in zip(x, y, strict=True):
+                here += p * q
+                s += p * p
+                t += q * q
+            here[:] = np.maximum(1.0 - np.abs(here) / (np.sqrt(s) * np.sqrt(t)), 0.0)
+        else:
+            raise ValueError(f"no bound is used for {name}")
+    return out

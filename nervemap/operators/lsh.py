@@ -5,11 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nervemap.functions.vectors import as_array, dot, support
-from nervemap.operators.neighbors import nearest, top_k
+from nervemap.operators.neighbors import BOTH, LEFT, RIGHT, in_units, nearest, top_k
+from nervemap.runtime import materialize
 
 #: The distance that each family approximates.
 FAMILIES = {"simhash": "cosine", "minhash": "jaccard", "pstable_l1": "manhattan", "pstable_l2": "euclidean", "bitsampling": "hamming"}
@@ -95,10 +97,33 @@ def approx_similarity_join(df: DataFrame, k: int, lsh: Lsh, id_col: str = "id",
     return top_k(nearest(points, k, FAMILIES[lsh.family]).select("i", "j", "value").distinct(), k)
 
 
+def _shared(table: pa.Table) -> pa.Table:
+    """Ordered pairs of a unit for which this bucket is the first of those that they share."""
+    side, slot = table["side"].to_numpy(), int(table["slot"][0].as_py())
+    keys = table["keys"].combine_chunks()
+    known = keys.flatten().to_numpy().reshape(len(side), -1)
+    left, right = known[side != RIGHT], known[side != LEFT]
+    total = 0
+    for lo in range(0, len(left), 256):  # 256 rows against a block
+        fresh = np.ones((len(left[lo : lo + 256]), len(right)), dtype=bool)
+        for t in range(slot):
+            fresh &= left[lo : lo + 256, t][:, None] != right[:, t][None, :]
+        total += int(np.count_nonzero(fresh))
+    return pa.table({"pairs": pa.array([total * (2 if (side != BOTH).any() else 1)], pa.int64())})
+
+
 def avg_selectivity(df: DataFrame, lsh: Lsh, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
-    """(selectivity): distinct ordered pairs that share a bucket, each row with itself included, over the square of the rows."""
-    b = lsh.buckets(df, id_col, vec_col).select("id", "tbl", "band", "key")
-    pairs = b.alias("a").join(b.alias("b"), ["tbl", "band", "key"]).select(F.col("a.id").alias("i"), F.col("b.id").alias("j")).distinct()
-    n = df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).agg(F.count(F.lit(1)).alias("n"))
-    one = pairs.agg(F.count(F.lit(1)).alias("pairs")).withColumn("_", F.lit(0))
-    return one.join(n.withColumn("_", F.lit(0)), "_").select((F.col("pairs") / (F.col("n").cast("double") * F.col("n"))).alias("selectivity"))
+    """(selectivity): distinct ordered pairs that share a bucket, each row with itself included, over the square of the rows.
+
+    No pair is made: a bucket's blocks are held against each other and only counts leave the task. A pair counts in the first of its shared
+    buckets, for which each row brings 64-bit hashes of all its keys. A row is told by its place, so rows may share an id.
+    """
+    rows = df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(as_array(df, vec_col).alias("v")).withColumn("id", F.monotonically_increasing_id())
+    width = lsh.signature_length // lsh.num_bands
+    keys = [F.xxhash64(F.lit(t), F.lit(b), F.slice(lsh.signature(t, F.col("v")), b * width + 1, width) if lsh.num_bands > 1 else lsh.signature(t, F.col("v"))) for t in range(lsh.num_tables) for b in range(lsh.num_bands)]
+    held = materialize(rows.select("id", F.array(*keys).alias("keys")), "bucket-keys")
+    points = held.select("id", "keys", F.posexplode("keys").alias("slot", "key")).select(F.concat_ws(":", "slot", "key").alias("g"), "id", "slot", "keys")
+    counts = in_units(materialize(points, "bucket-points")).groupBy("g", "l", "r").applyInArrow(_shared, "pairs long")
+    one = counts.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs")).withColumn("_", F.lit(0))
+    n = held.agg(F.count(F.lit(1)).alias("n")).withColumn("_", F.lit(0))
+    return one.join(n, "_").select((F.col("pairs") / F.nullif(F.col("n").cast("double") * F.col("n"), F.lit(0.0))).alias("selectivity"))

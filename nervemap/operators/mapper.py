@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from nervemap.functions.vectors import as_array
 from nervemap.operators.cover import Cover
 from nervemap.operators.reeb import ReebDiagram
+from nervemap.runtime import numbered
 
 
 @dataclass
@@ -98,8 +99,9 @@ def remove_small_clusters(df: DataFrame, cluster_col: str = "cluster_id", ratio:
 
 def relabel(df: DataFrame, cluster_col: str = "cluster_id") -> DataFrame:
     """Clusters renumbered from 1 in order, noise of any kind being one of them."""
-    one = F.when(F.col(cluster_col) < 0, F.lit(-1)).otherwise(F.col(cluster_col))
-    names = df.select(one.alias("_old")).distinct().select("_old", F.dense_rank().over(Window.orderBy("_old")).cast("long").alias("_new"))
+    one = F.when(F.col(cluster_col) < 0, F.lit(-1)).otherwise(F.col(cluster_col)).cast("long")
+    names, _ = numbered(df.select(one.alias("_old")).distinct(), "_old", name="clusters")
+    names = names.select("_old", (F.col("_row") + 1).alias("_new"))
     return df.withColumn("_old", one).join(names, "_old").withColumn(cluster_col, F.col("_new")).drop("_old", "_new")
 
 

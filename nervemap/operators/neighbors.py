@@ -1,24 +1,29 @@
 """Exact nearest neighbours within groups, and the similarity self-joins built on them.
 
-Rows of a group are dealt into blocks, and each pair of blocks is one unit of work that yields k rows a point at most; so a group
-of any size spreads over tasks, and no pair of rows is ever shuffled. Ties go to the smaller id.
+Rows of a group are dealt into blocks, and each pair of blocks is one unit of work, seen once for both directions, that yields k rows a
+point at most; so a group of any size spreads over tasks, a task holds one unit at a time, and no pair of rows is ever shuffled. Where the
+measure allows, a matrix product bounds all distances of a unit and only those that can be among the k least are added up
+component by component. Ties go to the smaller id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nervemap.functions.vectors import as_array, distance, measure_name, pairwise
-from nervemap.runtime import importable, materialize, partitions
+from nervemap.functions.vectors import as_array, measure_name, of_pairs, pairwise
+from nervemap.runtime import importable, materialize
 
 #: Points of a block; a unit of work holds the distances of two blocks.
 BLOCK = 2048
+#: Which of two blocks a row of a unit belongs to; a block that meets itself is both.
+LEFT, RIGHT, BOTH = range(3)
 _OUT = "g string, i long, j long, value double"
+Predicate = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def _matrix(v: pa.ChunkedArray, n: int) -> np.ndarray:
@@ -28,83 +33,91 @@ def _matrix(v: pa.ChunkedArray, n: int) -> np.ndarray:
     return flat.reshape(n, -1) if n else np.zeros((0, 0))
 
 
-def _best(d: np.ndarray, i: np.ndarray, j: np.ndarray, allowed: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    if np.isnan(d[allowed]).any():
-        raise ValueError("a distance is not a number of 0 or more")
+def in_units(points: DataFrame) -> DataFrame:
+    """``points`` (g, id, ...) with l, r and side: a row for each unit that a point belongs to, which are as many as its group has blocks."""
+    sizes = points.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
+    own = points.join(sizes, "g").withColumn("b", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    met = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    side = F.when(F.col("b") == F.col("o"), BOTH).when(F.col("b") < F.col("o"), LEFT).otherwise(RIGHT)
+    return met.withColumns({"l": F.least("b", "o"), "r": F.greatest("b", "o"), "side": side}).drop("n", "b", "o")
+
+
+def _least(d: np.ndarray, i: np.ndarray, j: np.ndarray, allowed: np.ndarray, k: int, slack: np.ndarray | None, exact: Callable) -> tuple[np.ndarray, ...]:
+    """(i, j, value) of the k least of each row of d among those allowed. With ``slack``, d is within it of a number that orders as the distances do."""
     ranked = np.where(allowed, d, np.inf)
     keep = min(k, d.shape[1])
     cut = np.partition(ranked, keep - 1, axis=1)[:, keep - 1]
+    if slack is not None:
+        cut = cut + 2 * slack
     a, b = np.nonzero(allowed & (d <= cut[:, None]))
-    order = np.lexsort((j[b], d[a, b], a))
-    a, b = a[order], b[order]
+    value = d[a, b] if slack is None else exact(a, b)
+    order = np.lexsort((j[b], value, a))
+    a, b, value = a[order], b[order], value[order]
     top = np.arange(len(a)) - np.searchsorted(a, a) < k
-    a, b = a[top], b[top]
-    return i[a], j[b], d[a, b]
-
-
-def _kernel(k: int, measure: str, with_self: bool, positive: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held:
-            return
-        table = pa.Table.from_batches(held).sort_by([("g", "ascending"), ("l", "ascending"), ("r", "ascending")])
-        if not table.num_rows:
-            return
-        names = table["g"].combine_chunks().dictionary_encode()
-        key = np.column_stack([names.indices.to_numpy(), table["l"].to_numpy(), table["r"].to_numpy()])
-        cuts = np.flatnonzero((np.diff(key, axis=0) != 0).any(axis=1)) + 1
-        ids, side, picked = table["id"].to_numpy(), table["side"].to_numpy(), table["picked"].to_numpy()
-        groups = names.dictionary
-        made: list[tuple] = []
-
-        def batch() -> pa.RecordBatch:
-            g = pa.DictionaryArray.from_arrays(pa.array(np.concatenate([np.full(len(x[1]), x[0]) for x in made])), groups).dictionary_decode()
-            cols = [np.concatenate([x[c] for x in made]) for c in (1, 2, 3)]
-            return pa.RecordBatch.from_arrays([g, *map(pa.array, cols)], ["g", "i", "j", "value"])
-
-        size = 0
-        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)], strict=True):
-            v = _matrix(table["v"].slice(lo, hi - lo), hi - lo)
-            left, right = np.flatnonzero(side[lo:hi] != 1), np.flatnonzero(side[lo:hi] != 0)
-            if not len(left) or not len(right):
-                continue
-            i, j = ids[lo:hi][left], ids[lo:hi][right]
-            d = pairwise(measure, v[left], v[right])
+    return i[a[top]], j[b[top]], value[top]
+
+
+def _bounded(measure: str, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Numbers that order as the distances do, by a matrix product, and how far they can be off, by row and by column; None if the measure has none."""
+    if measure not in ("euclidean", "cosine") or not (np.isfinite(x).all() and np.isfinite(y).all()):
+        return None
+    p, q = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    off = 32 * np.finfo(np.float64).eps * max(4, x.shape[1])
+    if measure == "euclidean":
+        d = p[:, None] + q[None, :] - 2 * (x @ y.T)
+        return d, off * (p + q.max(initial=0)), off * (q + p.max(initial=0))
+    if not (p.min(initial=1) > 1e-200 and q.min(initial=1) > 1e-200 and max(p.max(initial=0), q.max(initial=0)) < 1e200):
+        return None
+    d = -np.abs((x / np.sqrt(p)[:, None]) @ (y / np.sqrt(q)[:, None]).T)
+    return d, np.full(len(x), off), np.full(len(y), off)
+
+
+def _unit(k: int, measure: str, with_self: bool, positive: bool, pred: Predicate | None):
+    def run(table: pa.Table) -> pa.Table:
+        ids, side, picked = (table[c].to_numpy() for c in ("id", "side", "picked"))
+        v = _matrix(table["v"], len(ids))
+        left, right = np.flatnonzero(side != RIGHT), np.flatnonzero(side != LEFT)
+        found: list[tuple[np.ndarray, ...]] = []
+        if len(left) and len(right):
+            i, j, x, y = ids[left], ids[right], v[left], v[right]
+            first = i[:, None] < j[None, :]
             same = i[:, None] == j[None, :]
-            allowed = np.where(i[:, None] < j[None, :], picked[lo:hi][left][:, None], picked[lo:hi][right][None, :])
+            allowed = np.where(first, picked[left][:, None], picked[right][None, :])
             allowed = (allowed | same) if with_self else (allowed & ~same)
-            if positive:
-                allowed &= d > 0
-            made.append((int(key[lo, 0]), *_best(d, i, j, allowed, k)))
-            size += len(made[-1][1])
-            if size > 200_000:
-                yield batch()
-                made, size = [], 0
-        if made:
-            yield batch()
+            if pred is not None:
+                allowed &= np.where(first, pred(x[:, None, :], y[None, :, :]), pred(y[None, :, :], x[:, None, :]))
+            bound = None if positive else _bounded(measure, x, y)
+            if bound is None:
+                d = pairwise(measure, x, y)
+                if np.isnan(d[allowed]).any():
+                    raise ValueError("a distance is not a number of 0 or more")
+                if positive:
+                    allowed &= d > 0
+                slack = (None, None)
+            else:
+                d, *slack = bound
+            found.append(_least(d, i, j, allowed, k, slack[0], lambda a, b: of_pairs(measure, x[a], y[b])))
+            if (side != BOTH).any():  # two blocks: the other direction too
+                found.append(_least(d.T, j, i, allowed.T, k, slack[1], lambda a, b: of_pairs(measure, y[a], x[b])))
+        cols = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        g = pa.array([table["g"][0].as_py()] * len(cols[0]) if len(cols[0]) else [], pa.string())
+        return pa.table([g, *map(pa.array, cols)], ["g", "i", "j", "value"])
 
     return run
 
 
-def nearest(points: DataFrame, k: int, measure: str = "euclidean", with_self: bool = False, positive: bool = False) -> DataFrame:
+def nearest(points: DataFrame, k: int, measure: str = "euclidean", with_self: bool = False, positive: bool = False, pred: Predicate | None = None) -> DataFrame:
     """(g, i, j, value): the k nearest points of the same group to each point.
 
     points: g string, id long (unique in its group), v array<double>, picked boolean. Of a pair of different points the one of smaller id must be
-    picked. ``with_self``: a point is its own neighbour; ``positive``: only distances above 0 count.
+    picked. ``with_self``: a point is its own neighbour; ``positive``: only distances above 0 count; ``pred``: see ``similarity_join``.
     """
     measure = measure_name(measure)
     if k < 1:
         raise ValueError("k must be positive")
     importable(points.sparkSession)
     points = materialize(points.select("g", "id", "v", "picked"), "points")
-    sizes = points.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
-    dealt = points.join(sizes, "g").withColumn("b", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    whole = dealt.where("n = 1").select("g", F.lit(0).alias("l"), F.lit(0).alias("r"), F.lit(2).alias("side"), "id", "v", "picked")
-    left = dealt.where("n > 1").select("g", F.col("b").alias("l"), others.alias("r"), F.lit(0).alias("side"), "id", "v", "picked")
-    right = dealt.where("n > 1").select("g", others.alias("l"), F.col("b").alias("r"), F.lit(1).alias("side"), "id", "v", "picked")
-    units = whole.unionByName(left).unionByName(right)
-    found = units.repartition(partitions(points.sparkSession), "g", "l", "r").mapInArrow(_kernel(k, measure, with_self, positive), _OUT)
+    found = in_units(points).groupBy("g", "l", "r").applyInArrow(_unit(k, measure, with_self, positive, pred), _OUT)
     order = Window.partitionBy("g", "i").orderBy("value", "j")
     return found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")
 
@@ -123,18 +136,14 @@ def top_k(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def similarity_join(
-    df: DataFrame, k: int, measure: str = "euclidean", id_col: str = "id", vec_col: str = "vec", pred: Callable[[Column, Column], Column] | None = None, fraction: float = 1.0, seed: int = 0
+    df: DataFrame, k: int, measure: str = "euclidean", id_col: str = "id", vec_col: str = "vec", pred: Predicate | None = None, fraction: float = 1.0, seed: int = 0
 ) -> DataFrame:
     """(i, j, value): the k nearest other rows of each row.
 
-    A pair is one of two ids, made once. ``pred`` of the two vectors, that of the smaller id first, must hold. ``fraction``: share of rows that may be
-    the smaller id of a pair. Rows with a null id or vector take no part. With ``pred`` every pair is tested by a join; without, blocks of rows meet.
+    A pair is one of two ids, made once. ``pred`` of the two vectors, that of the smaller id first, must hold; it gets two numpy arrays whose
+    last axis holds the components and whose others broadcast against each other, and gives booleans, so that it runs on a whole unit at once.
+    ``fraction``: share of rows that may be the smaller id of a pair. Rows with a null id or vector take no part.
     """
     rows = df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), as_array(df, vec_col).alias("v"))
     rows = rows.withColumn("picked", picked(F.col("id"), fraction, seed))
-    if pred is None:
-        return nearest(rows.withColumn("g", F.lit("")), k, measure).select("i", "j", "value")
-    a, b = rows.where("picked").alias("a"), rows.alias("b")
-    met = a.join(b, F.col("a.id") < F.col("b.id")).where(pred(F.col("a.v"), F.col("b.v")))
-    one = met.select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), distance(measure, F.col("a.v"), F.col("b.v")).alias("value"))
-    return top_k(one.unionByName(one.select(F.col("j").alias("i"), F.col("i").alias("j"), "value")), k)
+    return nearest(rows.withColumn("g", F.lit("")), k, measure, pred=pred).select("i", "j", "value")

@@ -124,7 +124,7 @@ def _knn(measure: str):
 
 
 def knn_pred(spark, sf_dir):
-    return similarity_join(_vectors(spark, sf_dir), 5, pred=lambda a, b: F.get(a, F.lit(0)) * F.get(b, F.lit(0)) > 0)
+    return similarity_join(_vectors(spark, sf_dir), 5, pred=lambda a, b: a[..., 0] * b[..., 0] > 0)
 
 
 def knn_sampled(spark, sf_dir):

@@ -40,9 +40,26 @@ def test_exact_join(table, measure, monkeypatch):
     assert rows(N.similarity_join(table, 3, measure)) == want
 
 
+@pytest.mark.parametrize("measure", ["euclidean", "cosine"])
+def test_bounds_leave_nothing_out(measure):
+    """Real numbers, ties and near ties: what the bounds choose is what all distances give, bit for bit."""
+    draw = np.random.default_rng(9)
+    x = draw.normal(0, 1, (300, 17))
+    x[50:90] = x[40] * (1 + 1e-16 * np.arange(40))[:, None]
+    x[90:120] = x[41]
+    x[120:130] *= 1e-9
+    d = pairwise(measure, x, x)
+    bound, off, _ = N._bounded(measure, x, x)
+    ids = draw.permutation(300)
+    allowed = ids[:, None] != ids[None, :]
+    got = N._least(bound, ids, ids, allowed, 7, off, lambda a, b: N.of_pairs(measure, x[a], x[b]))
+    want = N._least(d, ids, ids, allowed, 7, None, None)
+    assert all(np.array_equal(g, w) for g, w in zip(got, want, strict=True))
+
+
 def test_predicate_and_sample(table):
     d = pairwise("euclidean", VECTORS, VECTORS)
-    got = rows(N.similarity_join(table, 3, pred=lambda a, b: F.get(a, F.lit(1)) <= F.get(b, F.lit(1))))
+    got = rows(N.similarity_join(table, 3, pred=lambda a, b: a[..., 1] <= b[..., 1]))
     assert got == brute(d, 3, lambda i, j: VECTORS[i][1] <= VECTORS[j][1])
     picked = {i for i in range(40) if (i * 2654435761 + 5) % 1000003 < 0.4 * 1000003}
     assert rows(N.similarity_join(table, 3, fraction=0.4, seed=5)) == brute(d, 3, lambda i, j: i in picked)
