@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import functools
+import inspect
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -105,12 +108,57 @@ def numbered(df: DataFrame, *keys: str, name: str = "numbered") -> tuple[DataFra
     return out.withColumn("_row", F.col("_start") + F.col("_pos")).drop("_part", "_pos", "_start", "_n"), before[-1]
 
 
+#: Bytes of an Arrow batch to a Python worker, unless the session says otherwise than Spark's default of 64 MB: workers hold a batch several times.
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20), str(4 << 20)
+
+
 def importable(spark: SparkSession) -> SparkSession:
-    """Let Python workers find this library where the driver found it, if that folder exists for them."""
+    """Let Python workers find this library where the driver found it, if that folder exists for them, and get their rows in small batches."""
     from pathlib import Path
 
     root = str(Path(__file__).resolve().parent.parent)
     paths = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in paths.split(":"):
         spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{paths}".rstrip(":")
+    name, usual, small = ARROW_BYTES
+    if spark.conf.get(name, usual).rstrip("b") == usual:
+        spark.conf.set(name, small)
     return spark
+
+
+def _give_back() -> None:
+    """Memory that a worker has freed goes back to the machine, where the C library can do that: workers outlive their tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def trimmed(run: Callable) -> Callable:
+    """``run``, a function of batches for ``mapInArrow``, that leaves no freed memory with the worker when its task ends."""
+
+    @functools.wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return whole
+
+
+def trimmed_group(run: Callable) -> Callable:
+    """The same for a function of one or two tables for ``applyInArrow``."""
+
+    def told(*tables):
+        try:
+            return run(*tables)
+        finally:
+            _give_back()
+
+    # Spark counts the arguments
+    return (lambda table: told(table)) if len(inspect.signature(run).parameters) == 1 else (lambda left, right: told(left, right))
