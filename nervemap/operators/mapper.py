@@ -8,10 +8,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nervemap.functions.vectors import as_array
+from nervemap.functions.vectors import as_array, ertoz
 from nervemap.operators.cover import Cover
+from nervemap.operators.graph import connected_components
+from nervemap.operators.lsh import Lsh, approx_similarity_join
+from nervemap.operators.neighbors import similarity_join
 from nervemap.operators.reeb import ReebDiagram
-from nervemap.runtime import numbered
+from nervemap.runtime import materialize, numbered
 
 
 @dataclass
@@ -88,6 +91,20 @@ def mapper(
     return MapperGraph(members, nodes, nerve_edges(members, id_col))
 
 
+def shared_neighbor_clusters(df: DataFrame, k: int, ratio: float = 0.5, measure: str = "euclidean", lsh: Lsh | None = None, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
+    """(vertex, cluster_id): clusters of the k nearest neighbours' graph, by one similarity join, exact or hashed.
+
+    Neighbours i and j are linked if at least k * ratio of the k nearest of each are shared; cluster_id is the smallest id that links reach.
+    Rows without a link are no cluster and aren't there.
+    """
+    pairs = similarity_join(df, k, measure, id_col, vec_col) if lsh is None else approx_similarity_join(df, k, lsh, id_col, vec_col)
+    pairs = materialize(pairs.select("i", "j"), "neighbours")
+    lists = pairs.groupBy("i").agg(F.collect_list("j").alias("own"))  # k entries
+    both = pairs.join(lists, "i").join(lists.withColumnsRenamed({"i": "j", "own": "other"}), "j")
+    links = both.where(ertoz(F.col("own"), F.col("other")) >= k * ratio).select("i", "j")
+    return connected_components(links, "i", "j").withColumnRenamed("component", "cluster_id")
+
+
 def remove_small_clusters(df: DataFrame, cluster_col: str = "cluster_id", ratio: float = 0.001) -> DataFrame:
     """Rows of clusters of more than ``ratio`` of all rows, with clusters renumbered from 1 in order."""
     sizes = df.groupBy(cluster_col).agg(F.count(F.lit(1)).alias("_n"))

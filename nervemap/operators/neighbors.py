@@ -122,11 +122,16 @@ def nearest(points: DataFrame, k: int, measure: str = "euclidean", with_self: bo
     return found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")
 
 
+def spread_id(id_: Column, seed: int) -> Column:
+    """0 to 1000002 from any whole number, by arithmetic alone: (id * 2654435761 + seed) mod 1000003."""
+    return F.pmod(F.pmod(id_, F.lit(1000003)) * 2654435761 + F.lit(seed).cast("long"), F.lit(1000003))
+
+
 def picked(id_: Column, fraction: float, seed: int) -> Column:
     """Whether an id belongs to a sample of the given share, by arithmetic on the id alone."""
     if not 0 <= fraction <= 1:
         raise ValueError("fraction must be within 0 and 1")
-    return F.pmod(id_ * 2654435761 + F.lit(seed).cast("long"), F.lit(1000003)) < F.lit(fraction) * 1000003
+    return spread_id(id_, seed) < F.lit(fraction) * 1000003
 
 
 def top_k(pairs: DataFrame, k: int) -> DataFrame:

@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nervemap.functions.vectors import as_array, ertoz, measure_name
 from nervemap.operators.graph import connected_components
-from nervemap.operators.neighbors import nearest
-from nervemap.runtime import materialize
+from nervemap.operators.neighbors import nearest, spread_id
+from nervemap.operators.vptree import TopTrees, VPTree
+from nervemap.runtime import importable, materialize, numbered, partitions, unused
 
 
 @dataclass(frozen=True)
 class ReebDiagram:
-    """Parameters. A link needs more than k * link_threshold_ratio shared neighbours, a core point more than k * core_threshold_ratio links."""
+    """Parameters. A link needs more than k * link_threshold_ratio shared neighbours, a core point more than k * core_threshold_ratio links.
+
+    Neighbours are exact, so results depend on neither trees nor buffer; those of a fitted model serve metric partitioning and are drawn from
+    samples of ``top_tree_size`` points a cell. A ``buffer_size`` of -1 is estimated from samples of ``buffer_size_samples`` points.
+    """
 
     id_col: str = "id"
     cover_col: str = "cover_id"
@@ -26,10 +34,24 @@ class ReebDiagram:
     link_threshold_ratio: float = 0.4
     core_threshold_ratio: float = 0.7
     measure: str = "euclidean"
+    seed: int = 0
+    top_tree_size: int = 1000
+    top_tree_leaf_size: int = 10
+    sub_tree_leaf_size: int = 30
+    num_vp_candidates: int = 10
+    num_vp_samples: int = 100
+    buffer_size: float = -1.0
+    buffer_size_samples: tuple[int, ...] = tuple(range(100, 1001, 100))
 
     def __post_init__(self):
         if self.k < 1:
             raise ValueError("k must be positive")
+        if min(self.top_tree_size, self.top_tree_leaf_size, self.sub_tree_leaf_size, self.num_vp_candidates, self.num_vp_samples) < 1:
+            raise ValueError("sizes and numbers of the trees must be positive")
+        if not self.buffer_size >= -1:
+            raise ValueError("buffer_size must be -1 or more")
+        if len(self.buffer_size_samples) < 2 or min(self.buffer_size_samples) <= 0:
+            raise ValueError("at least two positive sample sizes are needed")
         for r in (self.link_threshold_ratio, self.core_threshold_ratio):
             if not 0 < r <= 1:
                 raise ValueError("ratios must be above 0 and at most 1")
@@ -41,10 +63,17 @@ class ReebDiagram:
         return nearest(points, self.k, self.measure, with_self=True).select("i", "j", "value")
 
     def numbered(self, df: DataFrame, num_cubes: int | None = None) -> DataFrame:
-        """``df`` with ``vid`` = id * cells + cell."""
+        """``df`` with ``vid`` = id * cells + cell; ids that are no whole numbers, or too large for that, count by their place in order."""
+        whole = isinstance(df.schema[self.id_col].dataType, T.IntegralType)
+        id_ = F.col(self.id_col)
+        largest, cells = df.agg(F.max(F.greatest(id_.cast("decimal(20,0)"), -id_.cast("decimal(20,0)"))) if whole else F.lit(None), F.max(self.cover_col)).first()
         if num_cubes is None:
-            num_cubes = int(df.agg(F.max(self.cover_col)).first()[0] or 0) + 1
-        return df.withColumn("vid", F.col(self.id_col).cast("long") * num_cubes + F.col(self.cover_col))
+            num_cubes = int(cells or 0) + 1
+        if whole and int(largest or 0) < (2**63 - 1) // num_cubes - 1:
+            return df.withColumn("vid", id_.cast("long") * num_cubes + F.col(self.cover_col))
+        places, _ = numbered(df.select(id_.alias("_id")).where(id_.isNotNull()).distinct(), "_id", name="ids")
+        found = df.join(places, id_.eqNullSafe(F.col("_id")), "left")
+        return found.withColumn("vid", F.col("_row") * num_cubes + F.col(self.cover_col)).drop("_id", "_row")
 
     def graph(self, neighbours: DataFrame) -> DataFrame:
         """(i, j, sim): mutual neighbours, each with itself included, and how many neighbours they share."""
@@ -79,6 +108,62 @@ class ReebDiagram:
         return out.withColumn(self.output_col, F.coalesce("_label", -(F.col(self.cover_col).cast("long") + 1))).drop("_label", "_vid")
 
 
+    def fit(self, df: DataFrame) -> ReebDiagramModel:
+        """The number of cells, a top tree for each of them, and the buffer size. The samples, of a size that is a parameter, go to the driver."""
+        cells = int(df.agg(F.max(self.cover_col)).first()[0] or 0) + 1
+        slim = df.select(F.col(self.cover_col).cast("long").alias("cell"), F.col(self.id_col).alias("id"), as_array(df, self.features_col).alias("v"))
+        order = Window.partitionBy("cell").orderBy(F.xxhash64("id", F.lit(self.seed)), "id")
+        sample: dict[int, list] = {}
+        for r in slim.withColumn("n", F.row_number().over(order)).where(F.col("n") <= self.top_tree_size).select("cell", "v").toLocalIterator():
+            sample.setdefault(r["cell"], []).append(r["v"])
+        trees = {c: VPTree(range(len(v)), v, self.measure, self.top_tree_leaf_size, self.num_vp_candidates, self.num_vp_samples, self.seed) for c, v in sample.items()}
+        buffer = self.buffer_size
+        if buffer < 0:
+            points = df.select(F.col(self.id_col), as_array(df, self.features_col).alias("_v"))
+            buffer = estimate_buffer_size(points, self.k, self.measure, self.buffer_size_samples, self.seed, self.id_col, "_v") if sample else 0.0
+        return ReebDiagramModel(self, cells, buffer, TopTrees(trees))
+
+
+@dataclass(frozen=True)
+class ReebDiagramModel:
+    """What ``ReebDiagram.fit`` gives: applies to any rows of the cells that were there."""
+
+    params: ReebDiagram
+    num_cubes: int
+    buffer_size: float
+    trees: TopTrees
+
+    def copy(self, **changes) -> ReebDiagramModel:
+        """The model with some parameters changed."""
+        return replace(self, params=replace(self.params, **changes))
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.params.transform(df, self.num_cubes)
+
+    def leaves(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``leaf``: that of the top tree of the row's cell, null for a cell without one. Rows near each other mostly share it."""
+        importable(df.sparkSession)
+        trees, cell_at = self.trees, len(df.columns)
+        cell, vector = unused(df, "cell", "vector")
+        held = df.withColumns({cell: F.col(self.params.cover_col).cast("long"), vector: as_array(df, self.params.features_col)})
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                cells, vectors = batch.column(cell_at).to_pylist(), batch.column(cell_at + 1).to_pylist()
+                leaf: list[int | None] = [None] * len(cells)
+                for c in {c for c in cells if trees.is_defined_at(c)}:
+                    at = [i for i, x in enumerate(cells) if x == c and vectors[i] is not None]
+                    for i, x in zip(at, trees.leaves(c, np.array([vectors[i] for i in at])) if at else [], strict=True):
+                        leaf[i] = int(x)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:cell_at], pa.array(leaf, pa.int64())], schema=pa.schema([*list(batch.schema)[:cell_at], pa.field("leaf", pa.int64())]))
+
+        return held.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("leaf", T.LongType())]))
+
+    def by_leaf(self, df: DataFrame) -> DataFrame:
+        """``leaves`` of ``df``, dealt out so that the rows of a leaf are in one partition."""
+        return self.leaves(df).repartition(max(partitions(df.sparkSession), min(self.trees.num_indices, 2000)), "leaf")
+
+
 def mean_radius(df: DataFrame, k: int, measure: str, id_col: str = "id", vec_col: str = "vec", group_col: str | None = None) -> DataFrame:
     """(g, radius): the mean distance to the k-th nearest point that isn't at distance 0, or to the farthest if there are fewer."""
     g = F.col(group_col).cast("string") if group_col else F.lit("")
@@ -99,12 +184,13 @@ def buffer_size(sizes: list[float], radii: list[float], n: int) -> float:
 
 
 def estimate_buffer_size(df: DataFrame, k: int, measure: str = "euclidean", sample_sizes: tuple[int, ...] = tuple(range(100, 1001, 100)), seed: int = 0, id_col: str = "id", vec_col: str = "vec") -> float:
-    """The buffer of a spill tree over all rows, from samples of about the given sizes, drawn by a hash of the id."""
+    """The buffer of a spill tree over all rows, from samples of about the given sizes, drawn by arithmetic on the id."""
     if len(sample_sizes) < 2 or min(sample_sizes) <= 0:
         raise ValueError("at least two positive sample sizes are needed")
     n = df.count()
-    share = F.pmod(F.xxhash64(F.col("_s"), F.col(id_col), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    samples = df.select(id_col, vec_col, F.explode(F.array(*map(F.lit, sample_sizes))).alias("_s")).where(share < F.col("_s") / F.lit(float(max(1, n))))
+    whole = isinstance(df.schema[id_col].dataType, T.IntegralType)
+    place = spread_id((F.col(id_col).cast("long") if whole else F.xxhash64(id_col)), seed) + F.col("_s") * 7919
+    samples = df.select(id_col, vec_col, F.explode(F.array(*map(F.lit, sample_sizes))).alias("_s")).where(F.pmod(place, F.lit(1000003)) < F.col("_s") / F.lit(float(max(1, n))) * 1000003)
     sized = {r["_s"]: r["n"] for r in samples.groupBy("_s").agg(F.count(F.lit(1)).alias("n")).collect()}
     radii = {int(r["g"]): r["radius"] for r in mean_radius(samples, k, measure, id_col, vec_col, "_s").collect()}
     at = sorted(s for s in radii if sized.get(s))

@@ -1,6 +1,6 @@
 """A vantage-point tree over vectors, and a forest of sampled top trees that name a leaf for any point of any cell.
 
-Exact searches in this library don't need it; it serves searches from the driver and metric partitioning.
+Exact searches in this library don't need it; it serves searches from the driver and metric partitioning (``ReebDiagramModel.by_leaf``).
 """
 
 from __future__ import annotations
@@ -116,6 +116,25 @@ class VPTree:
         return node.leaf
 
 
+    def leaves_of(self, vectors: np.ndarray) -> np.ndarray:
+        """``leaf_of`` of every row."""
+        if self.root is None:
+            raise KeyError("the tree is empty")
+        vectors = np.atleast_2d(np.asarray(vectors, dtype=np.float64))
+        out = np.empty(len(vectors), dtype=np.int64)
+        open_ = [(self.root, np.arange(len(vectors)))]
+        while open_:
+            node, at = open_.pop()
+            if not len(at):
+                continue
+            if node.rows is not None:
+                out[at] = node.leaf
+                continue
+            near = pairwise(self.measure, vectors[at], self.vectors[[node.vantage]])[:, 0] < node.radius
+            open_ += [(node.near, at[near]), (node.far, at[~near])]
+        return out
+
+
 @dataclass
 class TopTrees:
     """A tree for each cell; leaves are numbered over all of them."""
@@ -135,6 +154,9 @@ class TopTrees:
     def get(self, cell: int, v) -> int | None:
         return self._first[cell] + self.trees[cell].leaf_of(v) if self.is_defined_at(cell) else None
 
+    def leaves(self, cell: int, vectors: np.ndarray) -> np.ndarray:
+        return self._first[cell] + self.trees[cell].leaves_of(vectors)
+
     def get_or_else(self, cell: int, v, default: int) -> int:
         found = self.get(cell, v)
         return default if found is None else found

@@ -59,12 +59,14 @@ def _listed(key: str, source: str) -> str:
 
 _COUNTED = " SELECT CAST(i AS INTEGER) AS cover_id, count(*) AS n FROM p GROUP BY i"
 
-_SNN = f"""
-WITH RECURSIVE {_vectors()}, x AS (SELECT id, v, label, v[1] AS lens FROM e), {_sides('s', 'x', 'lens', SPLITS, OVERLAP)},
+_MUTUAL = f"""{_vectors()}, x AS (SELECT id, v, label, v[1] AS lens FROM e), {_sides('s', 'x', 'lens', SPLITS, OVERLAP)},
 p AS (SELECT id * {SPLITS} + i AS vid, i AS cell, id, v, label, lens FROM x JOIN s ON lens > lo AND lens < hi),
 d AS (SELECT a.vid AS i, b.vid AS j, {_distance('euclidean', 'a.v', 'b.v')} AS d FROM p a JOIN p b ON a.cell = b.cell),
-knn AS (SELECT i, j FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY d, j) AS n FROM d) WHERE n <= {K}),
-mutual AS (SELECT k.i, k.j FROM knn k JOIN knn r ON k.i = r.j AND k.j = r.i),
+knn AS MATERIALIZED (SELECT i, j FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY d, j) AS n FROM d) WHERE n <= {K}),
+mutual AS (SELECT k.i, k.j FROM knn k JOIN knn r ON k.i = r.j AND k.j = r.i)"""
+
+_SNN = f"""
+WITH RECURSIVE {_MUTUAL},
 snn AS (SELECT m.i, m.j, CAST(count(*) AS INTEGER) AS sim FROM mutual m JOIN knn a ON a.i = m.i JOIN knn b ON b.i = m.j AND b.j = a.j GROUP BY m.i, m.j),
 density AS (SELECT i, count(*) FILTER (sim > {K} * {LINK}::DOUBLE) AS density FROM snn GROUP BY i),
 edges AS (SELECT s.i, s.j FROM snn s JOIN density d ON d.i = s.i WHERE s.sim > {K} * {LINK}::DOUBLE AND d.density > {K} * {CORE}::DOUBLE),
@@ -162,9 +164,9 @@ def oracle_sql() -> dict[str, str]:
 SELECT a.k AS i, b.k AS j, (a.lo <= b.hi AND b.lo <= a.hi) AS meets, (a.lo <= b.lo AND a.hi >= b.hi) AS within FROM t a JOIN t b ON a.k < b.k""",
         "knn_pred": _knn("euclidean", "WHERE a.v[1] * b.v[1] > 0"),
         "knn_sampled": _knn("euclidean", "WHERE (a.id * 2654435761 + 1) % 1000003 < CAST(0.5 AS DOUBLE) * 1000003"),
-        "hadamard_transpose": f"""WITH {_vectors()}, n AS (SELECT id AS i, unnest(range(len(v))) AS j, unnest(v) AS value FROM e WHERE id < 64), z AS (SELECT * FROM n WHERE value <> 0)
+        "hadamard_transpose": f"""WITH {_vectors()}, n AS (SELECT id AS i, unnest(range(len(v))) AS j, unnest(v) AS value FROM e), z AS (SELECT * FROM n WHERE value <> 0)
 SELECT a.i, a.j, a.value * b.value AS value FROM z a JOIN z b ON a.i = b.j AND a.j = b.i""",
-        "mutual_knn": f"{_SNN} SELECT i, j FROM mutual",
+        "mutual_knn": f"WITH {_MUTUAL} SELECT i, j FROM mutual",
         "snn_similarity": f"{_SNN} SELECT i, j, sim FROM snn",
         "snn_density": f"{_SNN} SELECT i, density FROM density",
         "core_edges": f"{_SNN} SELECT i, j FROM edges",
@@ -184,6 +186,19 @@ SELECT id, cover_id, k.r AS cluster_id FROM members JOIN k USING (cluster_id)"""
         "radius_by_label": f"""WITH {_vectors()}, d AS (SELECT a.label, a.id, {_distance('euclidean', 'a.v', 'b.v')} AS d FROM e a JOIN e b ON a.label = b.label AND a.id <> b.id),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d) AS n FROM d WHERE d > 0)
 SELECT label, round(avg(radius), 9) AS radius FROM (SELECT label, id, max(d) AS radius FROM r WHERE n <= 5 GROUP BY 1, 2) GROUP BY label""",
+        "buffer_size": f"""WITH {_vectors()}, z AS (SELECT unnest(range(100, 1001, 100)) AS s), c AS (SELECT count(*) AS n FROM e),
+p AS (SELECT s, id, v FROM e, z, c WHERE (id * 2654435761 % 1000003 + s * 7919) % 1000003 < s / CAST(n AS DOUBLE) * 1000003),
+d AS (SELECT a.s, a.id, {_distance('euclidean', 'a.v', 'b.v')} AS d FROM p a JOIN p b ON a.s = b.s AND a.id <> b.id),
+r AS (SELECT s, id, max(d) AS radius FROM (SELECT *, row_number() OVER (PARTITION BY s, id ORDER BY d) AS n FROM d WHERE d > 0) WHERE n <= 5 GROUP BY s, id),
+m AS (SELECT ln((SELECT count(*) FROM p WHERE p.s = r.s)) AS x, ln(avg(radius)) AS y FROM r GROUP BY s),
+f AS (SELECT regr_slope(y, x) AS b, avg(x) AS ax, avg(y) AS ay, max(y) AS most FROM m)
+SELECT round(CASE WHEN b < 0 THEN exp(ay - b * ax + b * ln((SELECT n FROM c))) / sqrt(-1 / b) ELSE exp(most) END, 6) AS buffer FROM f""",
+        "snn_join_clusters": f"""WITH RECURSIVE {_vectors()}, m AS (SELECT a.id AS i, b.id AS j, {_distance('euclidean', 'a.v', 'b.v')} AS value FROM e a JOIN e b ON a.id < b.id),
+k AS MATERIALIZED ({_top_k("SELECT * FROM m", 5)}),
+l AS (SELECT x.i, x.j FROM k x JOIN k a ON a.i = x.i JOIN k b ON b.i = x.j AND b.j = a.j GROUP BY x.i, x.j HAVING count(*) >= 5 * 0.4::DOUBLE),
+near AS (SELECT i, j FROM l UNION SELECT j, i FROM l),
+reach AS (SELECT i AS v, i AS l FROM near UNION SELECT n.j, r.l FROM reach r JOIN near n ON n.i = r.v)
+SELECT v AS vertex, min(l) AS cluster_id FROM reach GROUP BY v""",
         "projection_gaussian": _projected(GaussianProjection),
         "projection_cauchy": _projected(CauchyProjection),
     }

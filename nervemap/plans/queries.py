@@ -102,12 +102,11 @@ def interval_contains(spark, sf_dir):
 
 
 def interval_intersects(spark, sf_dir):
+    """Of each two nations, whether their ranges of balances meet, and whether the first holds the second. A range a nation goes to the driver."""
     t = _table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi"))
-    a, b = t.alias("a"), t.alias("b")
-    both = a.join(b, F.col("a.c_nationkey") < F.col("b.c_nationkey"))
-    meets = (F.col("a.lo") <= F.col("b.hi")) & (F.col("b.lo") <= F.col("a.hi"))
-    within = (F.col("a.lo") <= F.col("b.lo")) & (F.col("a.hi") >= F.col("b.hi"))
-    return both.select(F.col("a.c_nationkey").alias("i"), F.col("b.c_nationkey").alias("j"), meets.alias("meets"), within.alias("within"))
+    ranges = {r["c_nationkey"]: Interval.closed(r["lo"], r["hi"]) for r in t.collect()}
+    rows = [(i, j, a.intersects(b), a.contains_interval(b)) for i, a in ranges.items() for j, b in ranges.items() if i < j]
+    return spark.createDataFrame(rows, "i int, j int, meets boolean, within boolean")
 
 
 def _distances(measure: str):
@@ -229,7 +228,11 @@ def radius_by_label(spark, sf_dir):
 
 
 def buffer_size(spark, sf_dir):
-    return spark.createDataFrame([(estimate_buffer_size(_vectors(spark, sf_dir), 5),)], "buffer double")
+    return spark.createDataFrame([(round(estimate_buffer_size(_vectors(spark, sf_dir), 5), 6),)], "buffer double")
+
+
+def snn_join_clusters(spark, sf_dir):
+    return M.shared_neighbor_clusters(_vectors(spark, sf_dir), 5, 0.4)
 
 
 def baseline_kmeans(spark, sf_dir):
@@ -237,15 +240,14 @@ def baseline_kmeans(spark, sf_dir):
 
 
 def baseline_gmm(spark, sf_dir):
-    heads = _vectors(spark, sf_dir).select("id", F.slice("vec", 1, 4).alias("vec"))
-    return M.gaussian_mixture(heads, "vec", 3, 20).select("id", "cluster_id")
+    return M.gaussian_mixture(_vectors(spark, sf_dir), "vec", 3, 20).select("id", "cluster_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = [
         mapper_nodes, mapper_edges, mapper_labels, reeb_clusters, snn_components, core_edges, snn_density, snn_similarity, mutual_knn,
         cover_fit_minmax, cover_cubes_1d, cover_cubes_2d, cover_assign_array, cover_assign_2d, cover_assign_vector, cover_explode_count, cover_population_2d, cover_closed,
-        interval_contains, interval_intersects, knn_pred, knn_sampled, hadamard_transpose, remove_noise, relabelled, radius_by_label, buffer_size, baseline_kmeans, baseline_gmm,
+        interval_contains, interval_intersects, knn_pred, knn_sampled, hadamard_transpose, remove_noise, relabelled, radius_by_label, buffer_size, snn_join_clusters, baseline_kmeans, baseline_gmm,
     ]
     out = {f.__name__: f for f in plain}
     out |= {f"dist_{m}": _distances(m) for m in MEASURES} | {f"knn_{m}": _knn(m) for m in MEASURES}

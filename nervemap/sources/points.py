@@ -30,17 +30,24 @@ def write_tsv(df: DataFrame, path: str) -> None:
     df.write.option("sep", "\t").csv(path)
 
 
+def ramp(x: float) -> tuple[int, int, int]:
+    """Red, green and blue from 0 (blue) over a half (green) to 1 (red)."""
+    high = 2.0 * min(1.0, max(0.0, x)) - 1.0
+    red, blue = int(255.0 * max(0.0, high)), int(255.0 * max(0.0, -high))
+    return red, 255 - red - blue, blue
+
+
 def to_gexf(nodes: DataFrame, edges: DataFrame) -> str:
-    """The graph as GEXF text. Nodes are sized by their rows (20 to 50, as share of 50) and coloured by their lens, blue to red."""
+    """The graph as GEXF text. Nodes and edges are as large or thick as their rows (20 to 50, as share of 50); nodes have the colour of their lens."""
     from xml.sax.saxutils import quoteattr
 
     label = F.col("node_label").cast("string") if "node_label" in nodes.columns else F.lit("")
     out = ['<?xml version="1.0" encoding="UTF-8"?>', '<gexf xmlns="http://www.gexf.net/1.2draft" xmlns:viz="http://www.gexf.net/1.2draft/viz" version="1.2">', '<graph mode="static" defaultedgetype="undirected">', "<nodes>"]
     size = lambda n: min(50.0, max(20.0, float(n))) / 50.0
-    for r in nodes.select("cluster_id", "lens_mean", "cardinality", F.coalesce(label, F.lit("")).alias("name")).orderBy("cluster_id").toLocalIterator():
-        red = round(255 * min(1.0, max(0.0, r["lens_mean"])))
-        out.append(f'<node id="{r["cluster_id"]}" label={quoteattr(r["name"])}><viz:size value="{size(r["cardinality"])}"/><viz:color r="{red}" g="0" b="{255 - red}"/></node>')
+    for x in nodes.select("cluster_id", "lens_mean", "cardinality", F.coalesce(label, F.lit("")).alias("name")).orderBy("cluster_id").toLocalIterator():
+        r, g, b = ramp(x["lens_mean"])
+        out.append(f'<node id="{x["cluster_id"]}" label={quoteattr(x["name"])}><viz:size value="{size(x["cardinality"])}"/><viz:color r="{r}" g="{g}" b="{b}"/></node>')
     out += ["</nodes>", "<edges>"]
-    for n, r in enumerate(edges.orderBy("src", "dst").toLocalIterator()):
-        out.append(f'<edge id="{n}" source="{r["src"]}" target="{r["dst"]}" weight="{size(r["cardinality"]) * 0.1}"/>')
+    for n, x in enumerate(edges.orderBy("src", "dst").toLocalIterator()):
+        out.append(f'<edge id="{n}" source="{x["src"]}" target="{x["dst"]}" weight="{size(x["cardinality"]) * 0.1}"><viz:thickness value="{size(x["cardinality"])}"/></edge>')
     return "\n".join([*out, "</edges>", "</graph>", "</gexf>", ""])

@@ -115,6 +115,56 @@ def test_mapper(spark):
     assert pca.members.count() >= 180
 
 
+def test_colours():
+    from nervemap.sources.points import ramp
+
+    assert [ramp(x) for x in (-1, 0, 0.25, 0.5, 0.75, 1, 2)] == [(0, 0, 255), (0, 0, 255), (0, 128, 127), (0, 255, 0), (127, 128, 0), (255, 0, 0), (255, 0, 0)]
+
+
+def test_fit_gives_a_model(spark):
+    points = spiral()
+    df = spark.createDataFrame([(i, v, a, i % 2) for i, v, a in points], "id long, features array<double>, arm int, cover_id int").withColumn("_v", F.lit("mine"))
+    reeb = ReebDiagram(k=6, top_tree_size=40, top_tree_leaf_size=7, buffer_size_samples=(40, 80, 120))
+    model = reeb.fit(df)
+    assert model.num_cubes == 2 and model.buffer_size > 0 and set(model.trees.trees) == {0, 1}
+    assert all(len(t.ids) == 40 for t in model.trees.trees.values())
+    assert ReebDiagram(buffer_size=0.5).fit(df).buffer_size == 0.5
+    same = lambda a, b: Counter(map(tuple, a.drop("_v", "features").collect())) == Counter(map(tuple, b.drop("_v", "features").collect()))
+    assert same(model.transform(df), reeb.transform(df))
+    assert same(model.copy(k=4).transform(df), ReebDiagram(k=4).transform(df))
+    more = df.unionByName(df.limit(1).withColumn("cover_id", F.lit(9)))
+    got = model.by_leaf(more).withColumn("p", F.spark_partition_id()).collect()
+    assert len(got) == len(points) + 1 and all(r["_v"] == "mine" for r in got)
+    assert {r["leaf"] is None for r in got if r["cover_id"] == 9} == {True}
+    assert all(r["leaf"] == model.trees(r["cover_id"], r["features"]) for r in got if r["cover_id"] != 9)
+    assert len({(r["leaf"], r["p"]) for r in got}) == len({r["leaf"] for r in got})
+    assert reeb.fit(df.where("false")).num_cubes == 1
+    for bad in ({"top_tree_size": 0}, {"buffer_size": -2.0}, {"buffer_size_samples": (100,)}, {"num_vp_samples": 0}):
+        with pytest.raises(ValueError):
+            ReebDiagram(**bad)
+
+
+def test_ids_of_any_kind(spark):
+    points = spiral(20)
+    plain = ReebDiagram(k=5).transform(spark.createDataFrame([(i, v, 0) for i, v, _ in points], "id long, features array<double>, cover_id int"))
+    want = Counter(r["cluster_id"] for r in plain.collect())
+    high = spark.createDataFrame([((1 << 62) + i, v, 0) for i, v, _ in points], "id long, features array<double>, cover_id int").withColumn("cover_id", F.lit(0))
+    names = spark.createDataFrame([(f"p{i:03d}", v, 0) for i, v, _ in points], "id string, features array<double>, cover_id int")
+    for df in (high, names):
+        got = ReebDiagram(k=5).transform(df, num_cubes=7)
+        assert sorted(Counter(r["cluster_id"] for r in got.collect()).values()) == sorted(want.values())
+
+
+def test_clusters_over_a_join(spark):
+    points = spiral()
+    df = spark.createDataFrame([(i, v) for i, v, _ in points], "id long, vec array<double>")
+    d = pairwise("euclidean", *(np.array([p[1] for p in points]),) * 2)
+    near = {i: {j for _, j in sorted((d[i, j], j) for j in range(len(points)) if j != i)[:6]} for i in range(len(points))}
+    want = components([(i, j) for i in near for j in near[i] if len(near[i] & near[j]) >= 3])
+    got = {r["vertex"]: r["cluster_id"] for r in M.shared_neighbor_clusters(df, 6, 0.5).collect()}
+    assert got == want and len(set(got.values())) >= 3
+
+
 def test_constant_lens_is_a_half(spark):
     m = spark.createDataFrame([(1, 1.0, 3), (2, 1.0, 3)], "id long, lens double, cluster_id long")
     assert M.nerve_nodes(m).first()["lens_mean"] == 0.5
