@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nervemap.runtime import own_columns, unused
+
 #: A turn is START role MIDDLE text END; START cannot come from a text or role, in which "<|" becomes "< |".
 START, MIDDLE, END = "<|", "|>\n", "<|end|>\n"
 TURN = "struct<role:string,text:string>"
@@ -50,39 +52,42 @@ def format_preferences(pairs: DataFrame, chosen_col: str = "chosen", rejected_co
     empty result; other columns stay unless they bear the names above, which they lose.
     """
     made = ["n_prompt_turns", "prompt", "chosen_completion", "chosen_spans", "rejected_completion", "rejected_spans"]
-    kept = [c for c in pairs.columns if c not in (chosen_col, rejected_col, *made)]
+    kept = [c for c in own_columns(pairs.drop(chosen_col, rejected_col, *made))]
+    x, *sides = unused(pairs, "turns", "chosen_side", "rejected_side")
     none = F.array().cast(f"array<{TURN}>")
     a, b = (F.coalesce(F.col(c).cast(f"array<{TURN}>"), none) for c in (chosen_col, rejected_col))
-    base = pairs.select(*kept, F.struct(a.alias("a"), b.alias("b"), common_turns(a, b).alias("n")).alias("_x"))
-    rest = lambda side: F.slice(F.col(f"_x.{side}"), F.col("_x.n") + 1, F.size(f"_x.{side}"))
+    base = pairs.select(*kept, F.struct(a.alias("a"), b.alias("b"), common_turns(a, b).alias("n")).alias(x))
+    rest = lambda side: F.slice(F.col(x)[side], F.col(x)["n"] + 1, F.size(F.col(x)[side]))
     out = base.select(
         *kept,
-        F.col("_x.n").alias("n_prompt_turns"),
-        F.concat_ws("", F.transform(F.slice("_x.a", F.lit(1), F.col("_x.n")), render_turn)).alias("prompt"),
-        _completion(rest("a"), trained).alias("_a"),
-        _completion(rest("b"), trained).alias("_b"),
+        F.col(x)["n"].alias("n_prompt_turns"),
+        F.concat_ws("", F.transform(F.slice(F.col(x)["a"], F.lit(1), F.col(x)["n"]), render_turn)).alias("prompt"),
+        *(_completion(rest(s), trained).alias(n) for s, n in zip("ab", sides, strict=True)),
     )
-    return out.select(*kept, "n_prompt_turns", "prompt", *(F.col(f"{s}.{x}").alias(f"{n}_{y}") for s, n in (("_a", "chosen"), ("_b", "rejected")) for x, y in (("text", "completion"), ("spans", "spans"))))
+    return out.select(*kept, "n_prompt_turns", "prompt", *(F.col(s)[x].alias(f"{n}_{y}") for s, n in zip(sides, ("chosen", "rejected"), strict=True) for x, y in (("text", "completion"), ("spans", "spans"))))
 
 
 def preference_pairs(
     conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", trained: str = "assistant"
 ) -> DataFrame:
-    """(id, chosen, rejected) of every conversation that has a turn of the trained role.
+    """(id, chosen, rejected) of every conversation.
 
-    chosen: the turns up to the last of that role, in order of turn, role and text. rejected: the same, but the last turn repeats
-    the first of that role, or is empty if it is itself the first or equal to it. Repeated rows count once; rows
-    without an id form one conversation.
+    chosen: the turns up to the last of the trained role, in order of turn, role and text; turns after it answer nothing and are left out. rejected: the
+    same, but the last turn repeats the first of that role, or is empty if it is itself the first or equal to it. A conversation without
+    a turn of that role gives all its turns on both sides. Repeated rows count once; each row without an id is a conversation of its
+    own. A conversation is one row, however long, since it is rendered as one text. An empty table gives an empty result. Other columns play no part.
     """
     row = F.struct(F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
-    whole = conversations.select(F.col(id_col).alias("_id"), row.alias("t")).groupBy("_id").agg(F.sort_array(F.collect_set("t")).alias("t"))
+    once = conversations.select(F.col(id_col).alias("_id"), row.alias("t")).distinct()
+    whole = once.groupBy("_id", F.when(F.col("_id").isNull(), F.col("t")).alias("_own")).agg(F.sort_array(F.collect_list("t")).alias("t"))
     is_reply = lambda x: F.coalesce(x["role"] == trained, F.lit(False))
     flags = F.transform("t", is_reply)
     last = F.size("t") - F.array_position(F.reverse(flags), True).cast("int") + 1
-    cut = whole.where(F.exists("t", is_reply)).select("_id", F.slice("t", F.lit(1), last).alias("t"))
+    replied = F.exists("t", is_reply)
+    cut = whole.select("_id", replied.alias("replied"), F.when(replied, F.slice("t", F.lit(1), last)).otherwise(F.col("t")).alias("t"))
     first = F.filter("t", is_reply)[0]["text"]
     final = F.element_at("t", -1)
     other = F.when((F.size(F.filter("t", is_reply)) > 1) & ~first.eqNullSafe(final["text"]), first).otherwise(F.lit(""))
     turns = F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
     rejected = F.concat(F.slice(turns, F.lit(1), F.size("t") - 1), F.array(F.struct(final["role"].alias("role"), other.alias("text"))))
-    return cut.select(F.col("_id").alias(id_col), turns.alias("chosen"), rejected.alias("rejected"))
+    return cut.select(F.col("_id").alias(id_col), turns.alias("chosen"), F.when(F.col("replied"), rejected).otherwise(turns).alias("rejected"))

@@ -137,26 +137,29 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 _OP5 = r"""
-WITH t AS (
+WITH d AS (
   SELECT DISTINCT conv_id, turn, role, text FROM conversations
+), t AS (
+  SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () ELSE 0 END AS own FROM d
 ), n AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i FROM t
+  SELECT *, row_number() OVER (PARTITION BY conv_id, own ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i FROM t
 ), e AS (
-  SELECT conv_id, max(i) AS last, count(*) AS replies, arg_min(coalesce(text, ''), i) AS first_text, arg_max(text, i) AS last_text
-  FROM n WHERE role = 'assistant' GROUP BY conv_id
+  SELECT conv_id, own, max(i) FILTER (role = 'assistant') AS last, count(*) FILTER (role = 'assistant') AS replies,
+         arg_min(coalesce(text, ''), i) FILTER (role = 'assistant') AS first_text, arg_max(text, i) FILTER (role = 'assistant') AS last_text
+  FROM n GROUP BY conv_id, own
 ), m AS (
-  SELECT n.conv_id, n.i, e.last, n.role, '<|' || replace(coalesce(n.role, ''), '<|', '< |') || '|>' || chr(10) AS head,
+  SELECT n.conv_id, n.own, n.i, '<|' || replace(coalesce(n.role, ''), '<|', '< |') || '|>' || chr(10) AS head,
          replace(coalesce(n.text, ''), '<|', '< |') || '<|end|>' || chr(10) AS body,
          CASE WHEN e.replies > 1 AND e.first_text IS DISTINCT FROM e.last_text THEN replace(e.first_text, '<|', '< |') ELSE '' END || '<|end|>' || chr(10) AS other,
-         (n.i = e.last AND (CASE WHEN e.replies > 1 AND e.first_text IS DISTINCT FROM e.last_text THEN e.first_text ELSE '' END) IS DISTINCT FROM n.text) AS differs
-  FROM n JOIN e ON n.conv_id IS NOT DISTINCT FROM e.conv_id AND n.i <= e.last
+         (coalesce(n.i = e.last, false) AND (CASE WHEN e.replies > 1 AND e.first_text IS DISTINCT FROM e.last_text THEN e.first_text ELSE '' END) IS DISTINCT FROM n.text) AS differs
+  FROM n JOIN e ON n.conv_id IS NOT DISTINCT FROM e.conv_id AND n.own = e.own AND n.i <= coalesce(e.last, n.i)
 )
 SELECT conv_id, CAST(count(*) FILTER (NOT differs) AS INTEGER) AS n_prompt_turns, coalesce(string_agg(head || body, '' ORDER BY i) FILTER (NOT differs), '') AS prompt,
        coalesce(max(head || body) FILTER (differs), '') AS chosen_completion,
        coalesce(max(length(head) || ':' || length(head || body)) FILTER (differs), '') AS chosen_spans,
        coalesce(max(head || other) FILTER (differs), '') AS rejected_completion,
        coalesce(max(length(head) || ':' || length(head || other)) FILTER (differs), '') AS rejected_spans
-FROM m GROUP BY conv_id
+FROM m GROUP BY conv_id, own
 """
 
 

@@ -265,7 +265,8 @@ def test_preferences(spark):
 
     u, a, b = ("user", "hi"), ("assistant", "yes"), ("assistant", "no <|x|>")
     rows = [(1, [u, a], [u, b]), (2, [u, a], [u, a]), (3, [a], [b]), (4, None, [u]), (5, [u, a, u, b], [u, a, u]), (6, [(None, None), a], [(None, None), b])]
-    df = spark.createDataFrame(rows, "k int, chosen array<struct<role:string,text:string>>, rejected array<struct<role:string,text:string>>").withColumn("prompt", F.lit("x"))
+    df = spark.createDataFrame(rows, "k int, chosen array<struct<role:string,text:string>>, rejected array<struct<role:string,text:string>>").withColumn("prompt", F.lit("x")).withColumns({c: F.lit("mine") for c in ("_x", "_a", "_b", "turns", "chosen_side")})
+    assert all(r[c] == "mine" for r in format_preferences(df).collect() for c in ("_x", "_a", "_b", "turns", "chosen_side"))
     got = {r["k"]: r for r in format_preferences(df).collect()}
     turn = lambda t: f"<|{t[0] or ''}|>\n{(t[1] or '').replace('<|', '< |')}<|end|>\n"
     for k, x, y in rows:
@@ -280,9 +281,12 @@ def test_preferences(spark):
             assert text == "".join(map(turn, rest))
             seen = [text[s["start"] : s["end"]] for s in r[f"{side}_spans"]]
             assert seen == [turn(t).split("\n", 1)[1] for t in rest if t[0] == "assistant"]
-    turns = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", "r"), (1, 3, "assistant", "b"), (1, 4, "user", "s"), (2, 0, "user", "q"), (3, 0, "assistant", "z"), (3, 0, "assistant", "z"), (None, 0, "assistant", None)]
-    made = {r[0]: r for r in preference_pairs(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
-    assert set(made) == {1, 3, None}
+    turns = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", "r"), (1, 3, "assistant", "b"), (1, 4, "user", "s"), (2, 0, "user", "q"), (3, 0, "assistant", "z"), (3, 0, "assistant", "z"), (None, 0, "assistant", None), (None, 1, "user", "w"), (None, 1, "user", "w")]
+    made = preference_pairs(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    alone = [r for r in made if r[0] is None]
+    assert sorted(len(r["chosen"]) for r in alone) == [1, 1]
+    made = {r[0]: r for r in made} | {None: next(r for r in alone if r["chosen"][0]["role"] == "assistant")}
+    assert set(made) == {1, 2, 3, None} and made[2]["chosen"] == made[2]["rejected"] and len(made[2]["chosen"]) == 1
     assert [t["text"] for t in made[1]["chosen"]] == ["q", "a", "r", "b"] and [t["text"] for t in made[1]["rejected"]] == ["q", "a", "r", "a"]
     assert [t["text"] for t in made[3]["rejected"]] == [""] and made[None]["chosen"][0]["text"] is None
     assert format_preferences(df.where("false")).count() == 0
