@@ -108,6 +108,22 @@ def numbered(df: DataFrame, *keys: str, name: str = "numbered") -> tuple[DataFra
     return out.withColumn("_row", F.col("_start") + F.col("_pos")).drop("_part", "_pos", "_start", "_n"), before[-1]
 
 
+#: Share of rows from which a key is hot: there are fewer such keys than this, so they are few enough to be broadcast.
+HOT = 4096
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Inner join of ``rows`` with a ``table`` of one row a key, by shuffle but for hot keys, whose rows stay where they are."""
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = rows.count()
+    hot = materialize(counts.where(F.col("_n") * HOT > F.lit(total)).select(key), "hot-keys")
+    if hot.isEmpty():
+        return rows.join(table, key)
+    hot = F.broadcast(hot)  # fewer than HOT rows
+    cold = rows.join(hot, key, "left_anti").join(table, key)
+    return cold.unionByName(rows.join(F.broadcast(table.join(hot, key, "left_semi")), key))
+
+
 #: Bytes of an Arrow batch to a Python worker, unless the session says otherwise than Spark's default of 64 MB: workers hold a batch several times.
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20), str(4 << 20)
 

@@ -90,3 +90,15 @@ def test_stream(spark, tmp_path):
     assert sorted(map(key, spark.table("covered").collect())) == sorted(map(key, model.transform(df).collect()))
     with pytest.raises(ValueError):
         cover_stream(model, stream.drop("id"))
+
+
+def test_hot_keys_join_like_others(spark):
+    from collections import Counter
+
+    from nervemap.runtime import hot_join
+
+    rows = spark.createDataFrame([(i % 5000, i) for i in range(9000)] + [(7, -i) for i in range(3000)] + [(None, 1)], "k long, v long")
+    table = spark.createDataFrame([(i, str(i)) for i in range(0, 5000, 7)], "k long, name string")
+    want = Counter((r["k"], r["v"], str(r["k"])) for r in rows.collect() if r["k"] is not None and r["k"] % 7 == 0)
+    assert Counter(map(tuple, hot_join(rows, table, "k").select("k", "v", "name").collect())) == want
+    assert hot_join(rows.where("false"), table, "k").count() == 0
