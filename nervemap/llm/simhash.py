@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from nervemap.llm.decontamination import KEY, text_key
 from nervemap.operators.graph import connected_components
-from nervemap.runtime import materialize, partitions
+from nervemap.runtime import hot_join, materialize, partitions, trimmed
 
 BITS = 64
 #: Variants made at once in a task (8 bytes each, some copies of it); larger keys are split by further bits.
@@ -46,7 +46,7 @@ def shingle_hashes(text: str | None, width: int) -> list[int]:
 
 
 def fingerprint(text: str | None, width: int, step: int = 65_536) -> int:
-    """Bit b is set if it is set in over half the shingle hashes; without words 0. Memory is bounded by ``step``."""
+    """Bit b is set if it is set in over half the shingle hashes; without words 0. Bits are unpacked for ``step`` shingles at once."""
     hashes = shingle_hashes(text, width)
     if not hashes:
         return 0
@@ -190,11 +190,11 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, id_col: st
     """
     slim = docs.select(F.col(id_col).alias("id"), *text_key(F.col(text_col)), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = materialize(slim.mapInArrow(_fingerprints(width), f"id {kind}, _k1 long, _k2 long, _k3 int, fp long"), "fingerprints")
+    rows = materialize(slim.mapInArrow(trimmed(_fingerprints(width)), f"id {kind}, _k1 long, _k2 long, _k3 int, fp long"), "fingerprints")
     fps = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
     components = connected_components(fingerprint_links(fps.select("fp"), radius), "a", "b")
     named = fps.join(components.withColumnsRenamed({"vertex": "fp", "component": "root"}), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = materialize(named, "named-fingerprints")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = named.join(least, "root").select("fp", "root", "component_id")
-    return rows.join(of_fp, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", F.col("root").alias("group"), *KEY)
+    of_fp = materialize(hot_join(named.select("fp", "root"), least, "root"), "components")
+    return hot_join(rows, of_fp, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", F.col("root").alias("group"), *KEY)
