@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nervemap.runtime import materialize
+from nervemap.runtime import materialize, trimmed
 
 #: Hosts with a path of their own up to which these are broadcast (about 100 bytes each); beyond, pages are joined by shuffle.
 BROADCAST_HOSTS = 300_000
@@ -370,7 +370,7 @@ def host_of(url: Column) -> Column:
 def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, path): the path that most pages of the host vote for; ties go to the longer path, then the later in order."""
     slim = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
-    votes = slim.mapInArrow(_vote, "host string, path string").where("path is not null and path <> ''")
+    votes = slim.mapInArrow(trimmed(_vote), "host string, path string").where("path is not null and path <> ''")
     counted = votes.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
     return counted.groupBy("host").agg(F.max(F.struct("n", F.length("path").alias("size"), "path"))["path"].alias("path"))
 
@@ -387,5 +387,5 @@ def extract_articles(pages: DataFrame, id_col: str = "page_id", url_col: str = "
     kinds = {c: pages.schema[c].dataType.simpleString() for c in (id_col, url_col)}
     slim = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"), host_of(F.col(url_col)).alias("host"))
     joined = slim.join(winners, "host", "left").select("id", "url", "html", "path")
-    out = joined.mapInArrow(_extract, f"id {kinds[id_col]}, url {kinds[url_col]}, text string, n_chars long")
+    out = joined.mapInArrow(trimmed(_extract), f"id {kinds[id_col]}, url {kinds[url_col]}, text string, n_chars long")
     return out.withColumnsRenamed({"id": id_col, "url": url_col})

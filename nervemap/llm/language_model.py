@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nervemap.llm.hmm import Counts, HiddenMarkov
-from nervemap.runtime import materialize
+from nervemap.runtime import materialize, trimmed, trimmed_group
 
 #: Classes of words; one more is the end of a text.
 CLASSES = 4096
@@ -123,7 +123,7 @@ def train(blocks: DataFrame, frequency: np.ndarray, states: int, rounds: int, se
     names = [f"s{s}" for s in range(states)]
     slim = blocks.select("sizes", "held", "tokens", "classes")
     for _ in range(rounds):
-        found = slim.mapInArrow(_expectations(model), "cell long, " + ", ".join(f"{n} double" for n in names))
+        found = slim.mapInArrow(trimmed(_expectations(model)), "cell long, " + ", ".join(f"{n} double" for n in names))
         whole = np.zeros((CLASSES + 1 + states + 2, states))
         for r in found.groupBy("cell").agg(*(F.sum(n).alias(n) for n in names)).collect():
             whole[r["cell"]] = [r[n] for n in names]
@@ -181,9 +181,9 @@ def score_texts(
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == held_fold
     slim = docs.select(F.col(id_col).alias("id"), held.alias("held"), F.col(text_col).cast("string").alias("text"))
     schema = f"bundle long, ids array<{kind}>, held array<boolean>, sizes array<long>, tokens binary, names binary, classes binary, counts binary"
-    blocks = materialize(slim.mapInArrow(_blocks, schema), "word-blocks")
+    blocks = materialize(slim.mapInArrow(trimmed(_blocks), schema), "word-blocks")
     ends = blocks.select(F.sum(F.size(F.filter("held", lambda h: ~h)))).first()[0] or 0
-    words = blocks.select("bundle", "names", "counts").mapInArrow(_words, "bundle long, name long, n long")
+    words = blocks.select("bundle", "names", "counts").mapInArrow(trimmed(_words), "bundle long, name long, n long")
     vocabulary = materialize(words.where("n > 0").groupBy("name").agg(F.sum("n").alias("n")), "vocabulary")
     n_class, v_class = np.zeros(CLASSES, dtype=np.int64), np.zeros(CLASSES, dtype=np.int64)
     for r in vocabulary.groupBy(F.col("name").bitwiseAND(F.lit(CLASSES - 1)).alias("class")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
@@ -193,5 +193,5 @@ def score_texts(
     told = words.select("bundle", "name").distinct().join(vocabulary, "name").select("bundle", "name", "n")
     rows = blocks.select("bundle", "ids", "held", "sizes", "tokens", "names", "classes")
     run = _scores(model, n_class, v_class, int(ends))
-    out = rows.groupBy("bundle").cogroup(told.groupBy("bundle")).applyInArrow(run, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, train_tokens long")
+    out = rows.groupBy("bundle").cogroup(told.groupBy("bundle")).applyInArrow(trimmed_group(run), f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, train_tokens long")
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

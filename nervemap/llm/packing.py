@@ -24,10 +24,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nervemap.runtime import materialize, ordered
+from nervemap.runtime import materialize, ordered, trimmed
 
 #: Bytes of text that are tokenised together; a longer text comes in several such parts.
-TOGETHER = 6 << 20
+TOGETHER = 3 << 20
 #: Texts and characters that a tokenizer without word ends gets at once.
 AT_ONCE, CHARS_AT_ONCE = 256, 400_000
 #: A chunk of composed Latin letters and then marks: the vocabulary always parts the two, and the letters' case doesn't count.
@@ -271,7 +271,6 @@ def _pieces(path: str, capacity: int, end_id: int):
             at, *cols = zip(*rows, strict=True) if rows else ((),) * 5
             arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
             yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(at, pa.int64())), *arrays], ["id", "piece", "start", "length", "ids_crc32"])
-            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -280,7 +279,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id
     """Id, piece, start, length and ids_crc32 of each piece of each row's text (null: empty) and its end id."""
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(_pieces(tokenizer, capacity, end_id), f"id {kind}, piece int, start long, length long, ids_crc32 long")
+    return slim.mapInArrow(trimmed(_pieces(tokenizer, capacity, end_id)), f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def nnls(patterns: np.ndarray, weight: np.ndarray, target: np.ndarray, rounds: int = 2000) -> np.ndarray:

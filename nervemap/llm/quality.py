@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from nervemap.runtime import trimmed
+
 #: Word buckets, shape buckets, and components of a vector.
 WORDS, SHAPES, SIZE = 1 << 14, 1 << 10, 32
 #: Words to either side whose index vectors make a word's vector.
@@ -107,7 +109,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text", seed: int = 0) -> np.n
     """Unit vectors of the word buckets, from all texts. The sums are of whole numbers, so their order doesn't matter."""
     names = [f"v{d}" for d in range(SIZE)]
     slim = docs.select(F.col(text_col).cast("string").alias("text"))
-    sums = slim.mapInArrow(_contexts(index_vectors(seed)), "bucket long, " + ", ".join(f"{n} long" for n in names))
+    sums = slim.mapInArrow(trimmed(_contexts(index_vectors(seed))), "bucket long, " + ", ".join(f"{n} long" for n in names))
     out = np.zeros((WORDS, SIZE))
     for r in sums.groupBy("bucket").agg(*(F.sum(n).alias(n) for n in names)).toLocalIterator():
         out[r[0]] = r[1:]
@@ -225,7 +227,7 @@ def fit(
     usable = labels.where(F.col(target).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col, folds, fold)).groupBy(F.col(id_col).alias("id")).agg(F.min(F.col(target).cast("int")).alias("y"))
     chosen = usable.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id").select("id", "y", "text").mapInArrow(_rows_of(vectors, index_vectors(seed)), f"id {docs.schema[id_col].dataType.simpleString()}, y int, x array<double>")
+    rows = texts.join(F.broadcast(chosen), "id").select("id", "y", "text").mapInArrow(trimmed(_rows_of(vectors, index_vectors(seed))), f"id {docs.schema[id_col].dataType.simpleString()}, y int, x array<double>")
     # at most ``sample`` ids; of rows that share an id one is learnt from
     got = sorted(rows.groupBy("id").agg(F.first("y").alias("y"), F.min("x").alias("x")).collect(), key=lambda r: str(r["id"]))
     x, y = np.array([r["x"] for r in got]).reshape(-1, FEATURES), np.array([r["y"] for r in got], dtype=np.float64)
@@ -248,4 +250,4 @@ def with_score(docs: DataFrame, model: QualityModel, threshold: float = 0.3, tex
             yield batch.append_column(score_col, pa.array(s)).append_column(predicted_col, pa.array((s >= threshold).astype(np.int32)))
 
     schema = T.StructType([*kept.schema.fields, T.StructField(score_col, T.DoubleType()), T.StructField(predicted_col, T.IntegerType())])
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(trimmed(run), schema)

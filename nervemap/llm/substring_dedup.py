@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from nervemap.llm.decontamination import KEY, text_key
 from nervemap.llm.suffixes import Records, Sampler
-from nervemap.runtime import materialize, partitions
+from nervemap.runtime import materialize, partitions, trimmed, trimmed_group
 
 _U = np.uint64
 #: Bytes of text of a block, and of the corpus for each part of the index.
@@ -245,7 +245,7 @@ def _told(entries: DataFrame, tasks: int, narrow: bool, levels: DataFrame | None
     if levels is not None:
         own = own.unionByName(levels.select("part", "kind", "block", F.col("data").alias("entries")))
     own = own.repartition(tasks, "part").sortWithinPartitions("part", F.desc("kind"), "block")
-    return own.mapInArrow(_families(narrow, keep), _TOLD)
+    return own.mapInArrow(trimmed(_families(narrow, keep)), _TOLD)
 
 
 class _Block:
@@ -319,7 +319,7 @@ class SuffixIndex:
             b = _Block(table, Sampler(*sampler), parts)
             return b.entries.rows(b.block, narrow=False)
 
-        told = _told(slim.groupBy("block").applyInArrow(first, _ROWS), self._tasks(docs), False, self.levels, self.keep)
+        told = _told(slim.groupBy("block").applyInArrow(trimmed_group(first), _ROWS), self._tasks(docs), False, self.levels, self.keep)
         if self.keep:
             told = materialize(told, "suffix-index")
             self.levels = told.where(F.col("kind") == LEVEL)
@@ -381,11 +381,11 @@ class SuffixIndex:
             return pa.table(out)
 
         told = self.told.select("block", "part", "kind", "data")
-        again = _told(by_block.cogroup(told.groupBy("block")).applyInArrow(second, _ROWS), self._tasks(self.texts), True)
+        again = _told(by_block.cogroup(told.groupBy("block")).applyInArrow(trimmed_group(second), _ROWS), self._tasks(self.texts), True)
         both = told.withColumn("of", F.lit(0)).unionByName(again.withColumn("of", F.lit(1)))
         fields = [T.StructField("id", self.kinds["id"]), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())]
         fields += [T.StructField(k, self.texts.schema[k].dataType) for k in names[1:]] + [T.StructField("kept", T.StringType())] * with_text
-        return by_block.cogroup(both.groupBy("block")).applyInArrow(last, T.StructType(fields))
+        return by_block.cogroup(both.groupBy("block")).applyInArrow(trimmed_group(last), T.StructType(fields))
 
 
 def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
