@@ -58,13 +58,13 @@ def _block(bundle: int, ids: list, held: list[bool], texts: list[bytes]) -> tupl
     train = np.repeat(~np.array(held, dtype=bool), sizes)
     counts = np.bincount(stream[train], minlength=len(number)).astype(np.uint32)
     stream = stream.astype(_kind(len(number)))
-    return bundle, ids, held, sizes, stream.tobytes(), names.tobytes(), classes.tobytes(), counts.tobytes()
+    return bundle, ids, held, sizes, stream.tobytes(), names.tobytes(), counts.tobytes()
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bundle, of_bundle = secrets.randbits(62), 0
     for batch in batches:
-        schema = pa.schema({"bundle": pa.int64(), "ids": pa.list_(batch["id"].type), "held": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int64())} | dict.fromkeys(("tokens", "names", "classes", "counts"), pa.binary()))
+        schema = pa.schema({"bundle": pa.int64(), "ids": pa.list_(batch["id"].type), "held": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int64())} | dict.fromkeys(("tokens", "names", "counts"), pa.binary()))
         lo, size, texts = 0, 0, []
         for i, t in enumerate(batch["text"]):
             texts.append((t.as_py() or "").encode("utf-8", "surrogatepass"))
@@ -88,11 +88,34 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(name), bundle, dtype=np.int64)), pa.array(name), pa.array(n)], ["bundle", "name", "n"])
 
 
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of each bundle, whose blocks stand one after another; a bundle that is read in parts asks twice for some."""
+    last, held = None, []
+
+    def rows() -> pa.RecordBatch:
+        name = np.unique(np.concatenate(held))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(name), last, dtype=np.int64)), pa.array(name)], ["bundle", "name"])
+
+    for batch in batches:
+        for bundle, names in zip(batch["bundle"].to_pylist(), batch["names"], strict=True):
+            if bundle != last and held:
+                yield rows()
+                held = []
+            last = bundle
+            held.append(np.frombuffer(names.as_py(), np.int64))
+    if held:
+        yield rows()
+
+
+def _classes(names: bytes) -> np.ndarray:
+    return np.frombuffer(names, np.int64) & (CLASSES - 1)
+
+
 def _sequences(r: dict, only_training: bool) -> tuple[np.ndarray, np.ndarray]:
     """Classes of a block's texts, each followed by the end, and their lengths."""
     sizes = np.array(r["sizes"], dtype=np.int64)
-    classes = np.frombuffer(r["classes"], np.uint16)
-    symbols = classes[np.frombuffer(r["tokens"], _kind(len(classes)))].astype(np.int64) if r["tokens"] else np.zeros(0, np.int64)
+    classes = _classes(r["names"])
+    symbols = classes[np.frombuffer(r["tokens"], _kind(len(classes)))] if r["tokens"] else np.zeros(0, np.int64)
     symbols = np.insert(symbols, np.cumsum(sizes), CLASSES)
     sizes = sizes + 1
     if only_training:
@@ -121,7 +144,7 @@ def train(blocks: DataFrame, frequency: np.ndarray, states: int, rounds: int, se
     """The model after ``rounds`` of Baum-Welch over all training texts, and the log-likelihood before each round."""
     model, history = HiddenMarkov.initial(states, frequency, seed), []
     names = [f"s{s}" for s in range(states)]
-    slim = blocks.select("sizes", "held", "tokens", "classes")
+    slim = blocks.select("sizes", "held", "tokens", "names")
     for _ in range(rounds):
         found = slim.mapInArrow(trimmed(_expectations(model)), "cell long, " + ", ".join(f"{n} double" for n in names))
         whole = np.zeros((CLASSES + 1 + states + 2, states))
@@ -156,7 +179,7 @@ def _scores(model: HiddenMarkov, n_class: np.ndarray, v_class: np.ndarray, ends:
             per = lambda x: np.bincount(doc, weights=x[tokens], minlength=len(sizes))  # noqa: B023, E731
             sums = per(logs)
             base = sums + np.log10(ends + 1.0) - (sizes + 1) * floor
-            in_class = sums - per(room[np.frombuffer(r["classes"], np.uint16)])
+            in_class = sums - per(room[_classes(r["names"])])
             score = model.log_likelihood(*_sequences(r, False)) / np.log(10.0) + in_class
             ids += r["ids"]
             for c, x in zip(out, (r["held"], sizes + 1, per(counts > 0).astype(np.int64) + (ends > 0), base, score), strict=True):
@@ -180,7 +203,7 @@ def score_texts(
     kind = docs.schema[id_col].dataType.simpleString()
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == held_fold
     slim = docs.select(F.col(id_col).alias("id"), held.alias("held"), F.col(text_col).cast("string").alias("text"))
-    schema = f"bundle long, ids array<{kind}>, held array<boolean>, sizes array<long>, tokens binary, names binary, classes binary, counts binary"
+    schema = f"bundle long, ids array<{kind}>, held array<boolean>, sizes array<long>, tokens binary, names binary, counts binary"
     blocks = materialize(slim.mapInArrow(trimmed(_blocks), schema), "word-blocks")
     ends = blocks.select(F.sum(F.size(F.filter("held", lambda h: ~h)))).first()[0] or 0
     words = blocks.select("bundle", "names", "counts").mapInArrow(trimmed(_words), "bundle long, name long, n long")
@@ -190,8 +213,9 @@ def score_texts(
         n_class[r["class"]], v_class[r["class"]] = r["n"], r["v"]
     frequency = np.append(n_class, ends).astype(np.float64)
     model, _ = train(blocks, frequency / max(1.0, frequency.sum()), states, rounds, seed)
-    told = words.select("bundle", "name").distinct().join(vocabulary, "name").select("bundle", "name", "n")
-    rows = blocks.select("bundle", "ids", "held", "sizes", "tokens", "names", "classes")
+    asked = blocks.select("bundle", "names").mapInArrow(trimmed(_asked), "bundle long, name long")
+    told = asked.join(vocabulary, "name").select("bundle", "name", "n")
+    rows = blocks.select("bundle", "ids", "held", "sizes", "tokens", "names")
     run = _scores(model, n_class, v_class, int(ends))
     out = rows.groupBy("bundle").cogroup(told.groupBy("bundle")).applyInArrow(trimmed_group(run), f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, train_tokens long")
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
