@@ -1,17 +1,19 @@
 """Near copies by similarity: pairs whose sets of word shingles have a Jaccard similarity of a bound or more, through SimHash.
 
 A text of that similarity differs from its like in too many of 64 bits for a ball around one fingerprint. Each text therefore gets a
-sketch of sixteen fingerprints, 1,024 bits of which about 155 differ at a similarity of 0.8, and shares one of many bands (seeded choices of
-its bits) with its like. Those that meet in a band and are near in their sketches are candidates; all that count are proved on the
-texts. A first round proves the few nearest candidates of each text, among them a hub of every large band, so that a large
-group is joined by some pairs a text, never by all its pairs. A second one proves every candidate pair that is still between
-different components; only texts that had a candidate in the first can have one. Sketches alone are shuffled by bands, and
+sketch of 1,024 bits, of which about 155 differ at a similarity of 0.8, and of these bits several short fingerprints, one
+of which at least is within two bits of its like's. Those meet in the middle: a fingerprint stands for its variants of one
+flipped bit at most, which are shuffled by their lowest bits and made where these send it. Texts that share a variant
+and are near in their sketches are candidates; all that count are proved on the texts. A first round proves the few nearest candidates of each
+text, and a large group is joined by a hub, so that it takes some pairs a text, never all its pairs. A second one proves every candidate pair that is
+still between different components; only texts that had a candidate in the first can have one. Sketches alone are shuffled by variants, and
 of the texts only those of candidates are read again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -20,21 +22,21 @@ from pyspark.sql import functions as F
 
 from nervemap.llm.decontamination import KEY, text_key
 from nervemap.llm.simhash import shingle_hashes
-from nervemap.operators.graph import connected_components
+from nervemap.operators.graph import connected_components, forest
 from nervemap.runtime import materialize, partitions, trimmed
 
 #: Words of 64 bits in a sketch, and how many of them go with the rows of a band in the first round; in the second all do.
 WORDS, CARRIED = 16, 2
-#: Bits of a band, and bands of so many bits; wider ones, for more texts than 2^22, are more in number.
-BITS, BANDS = 14, 48
-#: Rows of bands that a task gets on average.
-PER_TASK = 400_000
-#: Texts of a band and value from which the nearest are looked for in a few sorted orders, and by a hub, rather than each with each in the first round.
+#: Bits of a short fingerprint (more of them for more texts than 2^22), how many of these two texts may differ in, and the share of pairs at the bound that may meet in no fingerprint.
+BITS, RADIUS, MISSED = 24, 2, 0.006
+#: Rows that a key of variants gets at most on average, and the lowest bits that keys have at least.
+PER_KEY, LOW = 500_000, 2
+#: Texts of a variant from which the nearest are looked for in a few sorted orders, and by a hub, rather than each with each in the first round.
 LARGE = 64
 #: Those orders, and how far ahead they are looked through.
 ORDERS, AHEAD = 4, 6
-#: Candidates of a text that the first round proves; the second one proves the rest.
-NEAREST = 4
+#: Candidates of a text that the first round proves, and those that it compares for them in all their bits; the second one proves the rest.
+NEAREST, COMPARED = 4, 16
 #: Standard deviations above the mean of differing bits up to which a pair is a candidate, by the words carried and by all.
 SLACK, SLACK_ALL = 4.0, 2.5
 #: Tasks that a text of many pairs is sent to.
@@ -81,143 +83,165 @@ def _words(n: int) -> list[str]:
     return [f"s{k}" for k in range(n)]
 
 
-def _chosen(bits: int, bands: int, seed: int = 0) -> np.ndarray:
-    """Which bits of a sketch make each band."""
-    draw = np.random.default_rng(seed)
-    return np.array([np.sort(draw.choice(64 * WORDS, bits, replace=False)) for _ in range(bands)])
+def met_share(similarity: float, bits: int) -> float:
+    """Share of pairs of that similarity of which fingerprints of so many bits are within RADIUS."""
+    p = differing(similarity)
+    return sum(comb(bits, r) * p**r * (1 - p) ** (bits - r) for r in range(RADIUS + 1))
 
 
-def _first_shared(s: np.ndarray, a: np.ndarray, b: np.ndarray, band: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Whether ``band`` is the first that rows a and b share, so that a pair is told once."""
-    good = np.ones(len(a), dtype=bool)
-    for lo in range(0, len(a), 50_000):
-        at = slice(lo, lo + 50_000)
-        differ = np.unpackbits((s[a[at]] ^ s[b[at]]).view(np.uint8).reshape(len(a[at]), -1), axis=1, bitorder="little")
-        for j in range(int(band[at].max(initial=0))):
-            good[at] &= (band[at] <= j) | differ[:, chosen[j]].any(axis=1)
-    return good
+def _chosen(bits: int, count: int, seed: int = 0) -> np.ndarray:
+    """Which bits of a sketch make each short fingerprint."""
+    draw = np.random.default_rng(seed)
+    return np.array([np.sort(draw.choice(64 * WORDS, bits, replace=False)) for _ in range(count)])
 
 
-def _bands(bits: int, bands: int, carried: list[str], seed: int = 0):
-    """Rows (key, v, label, some words of the sketch) of every band of a text."""
+def _sent(bits: int, count: int, low: int, carried: list[str]):
+    """Rows (key, fp, v, label, some words of the sketch) of every short fingerprint of a text, one for each value that the ``low`` lowest bits of its variants have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chosen = _chosen(bits, bands, seed)
+        chosen = _chosen(bits, count)
+        flips = np.array([0, *(1 << b for b in range(low))], dtype=np.int64)
         for whole in batches:
             for lo in range(0, whole.num_rows, 1_000):
                 batch = whole.slice(lo, 1_000)
                 n = batch.num_rows
                 s = np.ascontiguousarray(np.stack([batch[f"s{k}"].to_numpy() for k in range(WORDS)], axis=1))
                 flags = np.unpackbits(s.view(np.uint8).reshape(n, -1), axis=1, bitorder="little")
-                value = np.zeros((n, bands), dtype=np.int64)
+                fp = np.zeros((n, count), dtype=np.int64)
                 for k in range(bits):
-                    value |= flags[:, chosen[:, k]].astype(np.int64) << k
-                key = value | (np.arange(bands, dtype=np.int64) << 40)[None, :]
+                    fp |= flags[:, chosen[:, k]].astype(np.int64) << k
+                key = ((fp & ((1 << low) - 1)) | (np.arange(count, dtype=np.int64) << low)[None, :])[:, :, None] ^ flips[None, None, :]
                 own = [c for c in batch.schema.names if c in ("v", "label") or c in carried]
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *(pa.array(np.repeat(batch[c].to_numpy(), bands)) for c in own)], ["key", *own])
+                made = [key.ravel(), np.repeat(fp.ravel(), len(flips)), *(np.repeat(batch[c].to_numpy(), count * len(flips)) for c in own)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["key", "fp", *own])
 
     return run
 
 
+def meeting(fps: np.ndarray, at: int, bits: int, low: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows sorted by the variants (one flipped bit at most) whose ``low`` lowest bits are ``at``, and where each variant begins; variants of one row are left out."""
+    flipped = np.bitwise_count((fps ^ at) & ((1 << low) - 1))
+    free, spent = np.flatnonzero(flipped == 0), np.flatnonzero(flipped == 1)
+    flips = np.array([0, *(1 << b for b in range(bits - low))], dtype=np.int64)
+    variants = np.concatenate([((fps[free] >> low)[:, None] ^ flips[None, :]).ravel(), fps[spent] >> low])
+    packed = np.sort(variants << 32 | np.concatenate([np.repeat(free, len(flips)), spent]))
+    new = np.ones(len(packed) + 1, dtype=bool)
+    new[1:-1] = packed[1:] >> 32 != packed[:-1] >> 32
+    shared = ~(new[:-1] & new[1:])
+    return packed[shared] & ((1 << 32) - 1), np.flatnonzero(new[:-1][shared])
+
+
 def _apart(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(s[a] ^ s[b]).sum(axis=1).astype(np.int64)
 
 
-def nearest_met(s: np.ndarray, starts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, other, bits) among rows sorted by key, whose keys begin at ``starts``: of each row the nearest found under its key, and a hub of a large key."""
-    ends = np.append(starts[1:], len(s))
-    size = np.repeat(ends - starts, ends - starts)
-    end = np.repeat(ends, ends - starts)
+def _small(row: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows that share a variant of at most LARGE rows."""
+    ends = np.append(starts[1:], len(row))
+    size, end = (np.repeat(x, ends - starts) for x in (ends - starts, ends))
+    left, step = np.flatnonzero(size <= LARGE), 1
+    while len(left := left[left + step < end[left]]):
+        yield row[left], row[left + step]
+        step += 1
+
+
+def _large(row: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
+    """The rows of larger variants, each once, with all that such variants join."""
+    size = np.diff(np.append(starts, len(row)))
+    most = np.repeat(size > LARGE, size)
+    if not most.any():
+        return
+    first, own = np.repeat(row[starts], size)[most], row[most]
+    root = np.arange(int(row.max()) + 1)
+    v, p = forest(first, own)
+    root[v] = p
+    own = np.unique(own)
+    own = own[np.argsort(root[own], kind="stable")]
+    yield from np.split(own, np.flatnonzero(np.diff(root[own])) + 1)
+
+
+def nearest_met(s: np.ndarray, row: np.ndarray, starts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, other, bits) for rows sorted by variants, which begin at ``starts``: of each row the nearest found that shares a variant, and a hub of a large group."""
     bits, other = np.full(len(s), 1 << 20, dtype=np.int64), np.full(len(s), -1, dtype=np.int64)
 
     def offer(a: np.ndarray, b: np.ndarray) -> None:
         d = _apart(s, a, b)
-        for x, y in ((a, b), (b, a)):  # no row is twice in a, nor in b
+        order = np.argsort(-d[d <= most], kind="stable")
+        a, b, d = (x[d <= most][order] for x in (a, b, d))
+        for x, y in ((a, b), (b, a)):  # of equal x the last, which is the nearest, stays
             better = d < bits[x]
             bits[x[better]], other[x[better]] = d[better], y[better]
 
-    small = np.flatnonzero((size > 1) & (size <= LARGE))
-    step = 1
-    while len(small := small[small + step < end[small]]):
-        offer(small, small + step)
-        step += 1
+    for a, b in _small(row, starts):
+        offer(a, b)
     draw, hubs = np.random.default_rng(5), [[], [], []]
-    for lo, hi in zip(starts[ends - starts > LARGE].tolist(), ends[ends - starts > LARGE].tolist(), strict=True):
-        flags = np.unpackbits(s[lo:hi].view(np.uint8).reshape(hi - lo, -1), axis=1, bitorder="little")
+    for own in _large(row, starts):
+        flags = np.unpackbits(s[own].view(np.uint8).reshape(len(own), -1), axis=1, bitorder="little")
         for _ in range(ORDERS):
             mixed = np.ascontiguousarray(np.packbits(flags[:, draw.permutation(flags.shape[1])[:64]], axis=1)).view(">u8").ravel()
-            order = lo + np.argsort(mixed, kind="stable")
+            order = own[np.argsort(mixed, kind="stable")]
             for d in range(1, AHEAD + 1):
                 offer(order[:-d], order[d:])
-        left = np.arange(lo, hi)
+        left = np.arange(len(own))
         while len(left) > 1:
-            around = left[_apart(s, left, left[:1]) <= most]
-            middle = np.packbits(2 * flags[around - lo].sum(axis=0, dtype=np.int64) > len(around), bitorder="little").view(np.uint64)
-            hub = around[np.argmin(np.bitwise_count(s[around] ^ middle).sum(axis=1))]
-            d = _apart(s, left, np.array([hub]))
+            around = left[_apart(s, own[left], own[left[:1]]) <= most]
+            middle = np.packbits(2 * flags[around].sum(axis=0, dtype=np.int64) > len(around), bitorder="little").view(np.uint64)
+            hub = around[np.argmin(np.bitwise_count(s[own[around]] ^ middle).sum(axis=1))]
+            d = _apart(s, own[left], own[[hub]])
             near = (d <= most) & (left != hub)
-            for held, x in zip(hubs, (left[near], np.full(np.count_nonzero(near), hub), d[near]), strict=True):
+            for held, x in zip(hubs, (own[left[near]], np.full(np.count_nonzero(near), own[hub]), d[near]), strict=True):
                 held.append(x)
             left = left[d > most]  # the first row is near the hub, so this ends
-    row = np.flatnonzero(bits <= most)
-    return tuple(np.concatenate([own, *more]).astype(np.int64) for own, more in zip((row, other[row], bits[row]), hubs, strict=True))
-
-
-def unlinked_met(label: np.ndarray, s: np.ndarray, starts: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of rows under a key that have different labels and differ in at most ``most`` bits; what has the key's commonest label isn't gone through."""
-    for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(s)], strict=True):
-        own = label[lo:hi]
-        names, n = np.unique(own, return_counts=True)
-        if len(names) < 2:
-            continue
-        major = names[np.argmax(n)]
-        at = np.arange(lo, hi)
-        for i in np.flatnonzero(own != major).tolist():
-            others = at[(own != own[i]) & ((own == major) | (at > lo + i))]
-            near = others[_apart(s, others, at[i : i + 1]) <= most]
-            if len(near):
-                yield np.full(len(near), lo + i), near
-
-
-def _meet(most: int, labelled: bool, bits: int, bands: int):
+    found = np.flatnonzero(bits <= most)
+    return tuple(np.concatenate([x, *more]).astype(np.int64) for x, more in zip((found, other[found], bits[found]), hubs, strict=True))
+
+
+def unlinked_met(label: np.ndarray, s: np.ndarray, row: np.ndarray, starts: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows that share a variant, have different labels and differ in at most ``most`` bits; what has a large group's commonest label isn't gone through."""
+    for a, b in _small(row, starts):
+        differ = label[a] != label[b]
+        a, b = a[differ], b[differ]
+        near = _apart(s, a, b) <= most
+        yield a[near], b[near]
+    for own in _large(row, starts):
+        of = label[own]
+        names, n = np.unique(of, return_counts=True)
+        major, at = names[np.argmax(n)], np.arange(len(own))
+        for i in np.flatnonzero(of != major).tolist():
+            others = own[(of != of[i]) & ((of == major) | (at > i))]
+            near = others[_apart(s, others, own[i : i + 1]) <= most]
+            yield np.full(len(near), own[i]), near
+
+
+def _meet(most: int, labelled: bool, bits: int, low: int):
+    """Rows (a, b, d): of a text the nearest that it meets, and hubs; with labels all pairs that are near and not linked."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)  # PER_TASK rows of 40 bytes on average
+        held = list(batches)  # PER_KEY rows of 48 bytes on average, or of fewer texts with whole sketches
         if not held or sum(b.num_rows for b in held) < 2:
             return
         table = pa.Table.from_batches(held)
         del held
-        key, v = (table[c].to_numpy() for c in ("key", "v"))
-        order = np.lexsort((v, key))
-        key, v = key[order], v[order]
+        order = np.lexsort((table["v"].to_numpy(), table["key"].to_numpy()))
+        key, fp, v = (table[c].to_numpy()[order] for c in ("key", "fp", "v"))
         s = np.ascontiguousarray(np.stack([table[c].to_numpy()[order] for c in table.column_names if c[0] == "s"], axis=1)).view(np.uint64)
         label = table["label"].to_numpy()[order] if labelled else None
         del table, order
-        starts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1))
 
         def made(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (a, b, d)], ["a", "b", "d"])
 
-        if not labelled:
-            a, b, d = nearest_met(s, starts, most)
-            yield made(v[a], v[b], d)
-            return
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def distinct() -> pa.RecordBatch:
-            x, y = (np.concatenate(c) for c in zip(*found, strict=True))
-            once = _first_shared(s, x, y, key[x] >> 40, _chosen(bits, bands))
-            x, y = v[x[once]], v[y[once]]
-            return made(np.maximum(x, y), np.minimum(x, y), np.zeros(len(x)))
-
-        size = 0
-        for x in unlinked_met(label, s, starts, most):
-            found.append(x)
-            size += len(x[0])
-            if size > 200_000:
-                yield distinct()
-                found, size = [], 0
-        if found:
-            yield distinct()
+        cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            own = v[lo:hi]
+            row, starts = meeting(fp[lo:hi], int(key[lo]) & ((1 << low) - 1), bits, low)
+            if not labelled:
+                a, b, d = nearest_met(s[lo:hi], row, starts, most)
+                yield made(own[a], own[b], d)
+                continue
+            for a, b in unlinked_met(label[lo:hi], s[lo:hi], row, starts, most):
+                if len(a):
+                    yield made(np.maximum(own[a], own[b]), np.minimum(own[a], own[b]), np.zeros(len(a)))
 
     return run
 
@@ -260,7 +284,7 @@ def _proof(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) ->
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, text_col: str = "text") -> DataFrame:
     """(_k1, _k2, _k3, group) of every distinct text: texts of that similarity or more are linked, group names what links reach.
 
-    A pair is found if it shares a band and its sketches are near, as all but about 1 in 100 at the bound do and nearly all above it; every
+    A pair is found if fingerprints of it meet and its sketches are near, as all but about 1 in 100 at the bound do and nearly all above it; every
     link is proved on the texts.
     Texts without words, null ones too, are like each other. Repeated rows are one text. Long texts count whole. An empty table gives an
     empty result. Other columns play no part.
@@ -272,19 +296,22 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, text_c
     made = materialize(made.withColumn("v", F.col("_k1")), "sketches")
     n = made.count()
     p = differing(similarity)
-    bits = max(BITS, n.bit_length() - 8)
-    bands = int(np.ceil(BANDS * (1 - p) ** (BITS - bits)))
+    bits = max(BITS, n.bit_length() + 2)
+    count = int(np.ceil(np.log(MISSED) / np.log(1 - met_share(similarity, bits))))
     most = lambda words, slack: int(64 * words * p + slack * (64 * words * p * (1 - p)) ** 0.5)
     texts = slim.select(F.col("_k1").alias("v"), "text")
 
     def met(rows: DataFrame, n: int, labelled: bool) -> DataFrame:
         carried = _words(WORDS if labelled else CARRIED)
-        sent = rows.mapInArrow(trimmed(_bands(bits, bands, carried)), "key long, " + ", ".join(f"{c} long" for c in ("v", *["label"] * labelled, *carried)))
-        sent = sent.repartition(max(partitions(spark), n * bands // PER_TASK), "key")
-        return sent.mapInArrow(trimmed(_meet(most(WORDS, SLACK_ALL) if labelled else most(CARRIED, SLACK), labelled, bits, bands)), "a long, b long, d long")
-
-    near = materialize(met(made.select("v", *_words(WORDS)), n, False).select("a", "b").distinct(), "near")
-    both = near
+        low = LOW
+        while n * (low + 1) > PER_KEY << low:
+            low += 1
+        sent = rows.mapInArrow(trimmed(_sent(bits, count, low, carried)), "key long, fp long, " + ", ".join(f"{c} long" for c in ("v", *["label"] * labelled, *carried)))
+        sent = sent.repartition(max(partitions(spark), n * count * (low + 1) // PER_KEY), "key")
+        return sent.mapInArrow(trimmed(_meet(most(WORDS, SLACK_ALL) if labelled else most(CARRIED, SLACK), labelled, bits, low)), "a long, b long, d long")
+
+    near = materialize(met(made.select("v", *_words(WORDS)), n, False).distinct(), "near")
+    both = near.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("n") <= COMPARED).select("a", "b")
     for x in ("a", "b"):
         both = both.join(made.select(F.col("v").alias(x), F.array(*_words(WORDS)).alias(f"s_{x}")), x)
     apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
@@ -296,7 +323,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, text_c
     involved = near.select(F.explode(F.array("a", "b")).alias("v")).distinct()
     rows = made.join(involved, "v").join(parts, F.col("v") == F.col("vertex"), "left").select("v", F.coalesce("component", "v").alias("label"), *_words(WORDS))
     rows = materialize(rows, "labelled-sketches")
-    rest = met(rows, rows.count(), True).select("a", "b")
+    rest = met(rows, rows.count(), True).select("a", "b").distinct()
     rest = materialize(rest.join(tried, ["a", "b"], "left_anti"), "candidates")
     if not rest.isEmpty():
         parts = connected_components(links.unionByName(_proof(rest, texts, width, similarity)), "a", "b")

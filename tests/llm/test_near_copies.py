@@ -52,3 +52,33 @@ def test_near_dedup_keeps_one_of_each_group(spark, large, monkeypatch):
     got = sorted(r["doc_id"] for r in P.near_dedup(spark, docs, "").collect())
     assert got == sorted(set(label))
     assert len(got) < len(table) / 2
+
+
+@pytest.mark.parametrize("low", [2, 5])
+def test_fingerprints_meet_in_the_middle(low):
+    """Over all keys exactly the pairs within two bits share a variant, whichever bits these are."""
+    import nervemap.llm.near_copies as N
+
+    draw, bits = np.random.default_rng(7), 12
+    fps = draw.integers(0, 1 << bits, 150)
+    fps[:20] = fps[20:40]
+    got = set()
+    for at in range(1 << low):
+        own = np.flatnonzero(np.bitwise_count((fps ^ at) & ((1 << low) - 1)) <= 1)
+        row, starts = N.meeting(fps[own], at, bits, low)
+        for same in np.split(own[row], starts[1:]):
+            got |= {(a, b) for a in same.tolist() for b in same.tolist() if a < b}
+    assert got == {(a, b) for a in range(150) for b in range(a + 1, 150) if int(fps[a] ^ fps[b]).bit_count() <= 2}
+
+
+def test_most_pairs_at_the_bound_meet():
+    import nervemap.llm.near_copies as N
+
+    draw, p = np.random.default_rng(8), N.differing(0.8)
+    s = draw.integers(0, 2, (4000, 64 * N.WORDS), dtype=np.uint8)
+    other = s ^ (draw.random(s.shape) < p)
+    count = int(np.ceil(np.log(N.MISSED) / np.log(1 - N.met_share(0.8, N.BITS))))
+    met = np.zeros(len(s), dtype=bool)
+    for bits in N._chosen(N.BITS, count):
+        met |= (s[:, bits] != other[:, bits]).sum(axis=1) <= N.RADIUS
+    assert met.mean() > 0.985
