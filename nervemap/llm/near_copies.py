@@ -6,7 +6,8 @@ of which at least is within two bits of its like's. Those meet in the middle: a
 flipped bit at most, which are shuffled by their lowest bits and made where these send it. Texts that share a variant
 and are near in their sketches are candidates; all that count are proved on the texts. A first round proves the few nearest candidates of each
 text, and a large group is joined by a hub, so that it takes some pairs a text, never all its pairs. A second one proves every candidate pair that is
-still between different components; only texts that had a candidate in the first can have one. Sketches alone are shuffled by variants, and
+still between different components; only texts that had a candidate in the first can have one. These pairs, which can be as many as the square of
+a group's size, are never rows: what they join is a cluster, whose texts meet block by block in memory. Sketches alone are shuffled by variants, and
 of the texts only those of candidates are read again.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from nervemap.llm.decontamination import KEY, text_key
 from nervemap.llm.simhash import shingle_hashes
 from nervemap.operators.graph import connected_components, forest
-from nervemap.runtime import materialize, partitions, trimmed
+from nervemap.runtime import hot_join, materialize, partitions, trimmed
 
 #: Words of 64 bits in a sketch, and how many of them go with the rows of a band in the first round; in the second all do.
 WORDS, CARRIED = 16, 2
@@ -39,6 +40,8 @@ ORDERS, AHEAD = 4, 6
 NEAREST, COMPARED = 4, 16
 #: Standard deviations above the mean of differing bits up to which a pair is a candidate, by the words carried and by all.
 SLACK, SLACK_ALL = 4.0, 2.5
+#: Texts and bytes of a block at most, on average; a smaller cluster is dealt into up to SPREAD blocks of SMALL_UNIT texts or more.
+UNIT, UNIT_BYTES, SPREAD, SMALL_UNIT = 2048, 16 << 20, 16, 64
 #: Tasks that a text of many pairs is sent to.
 SALTS = 64
 #: Texts of candidates up to which their keys (8 bytes each) are broadcast to find them; beyond, they are joined by shuffle.
@@ -214,7 +217,7 @@ def unlinked_met(label: np.ndarray, s: np.ndarray, row: np.ndarray, starts: np.n
 
 
 def _meet(most: int, labelled: bool, bits: int, low: int):
-    """Rows (a, b, d): of a text the nearest that it meets, and hubs; with labels all pairs that are near and not linked."""
+    """Rows (a, b, d): of a text the nearest that it meets, and hubs; with labels as few pairs as join all that are near and not linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)  # PER_KEY rows of 48 bytes on average, or of fewer texts with whole sketches
@@ -235,13 +238,22 @@ def _meet(most: int, labelled: bool, bits: int, low: int):
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             own = v[lo:hi]
             row, starts = meeting(fp[lo:hi], int(key[lo]) & ((1 << low) - 1), bits, low)
+            if not len(row):
+                continue
             if not labelled:
                 a, b, d = nearest_met(s[lo:hi], row, starts, most)
                 yield made(own[a], own[b], d)
                 continue
-            for a, b in unlinked_met(label[lo:hi], s[lo:hi], row, starts, most):
-                if len(a):
-                    yield made(np.maximum(own[a], own[b]), np.minimum(own[a], own[b]), np.zeros(len(a)))
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            size = 0
+            for x in unlinked_met(label[lo:hi], s[lo:hi], row, starts, most):
+                found.append(x)
+                size += len(x[0])
+                if size > 1_000_000:
+                    found, size = [forest(*(np.concatenate(c) for c in zip(*found, strict=True)))], 0
+            if found:
+                a, b = forest(*(np.concatenate(c) for c in zip(*found, strict=True)))
+                yield made(own[a], own[b], np.zeros(len(a)))
 
     return run
 
@@ -266,13 +278,21 @@ def _proved(width: int, similarity: float):
     return run
 
 
+def _texts(keys: DataFrame, docs: DataFrame) -> DataFrame:
+    """(v, text) of the distinct ``keys`` v."""
+    if keys.count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    return materialize(docs.join(keys, "v", "left_semi").dropDuplicates(["v"]), "candidate-texts")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
+
+
 def _proof(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """Those of the distinct ``pairs`` (a, b) whose texts are as similar as that. A text of many pairs goes to up to SALTS tasks."""
     n = partitions(pairs.sparkSession)
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "candidate-keys")
-    if wanted.count() <= BROADCAST_KEYS:
-        wanted = F.broadcast(wanted)
-    texts = materialize(docs.join(wanted, "v", "left_semi").dropDuplicates(["v"]), "candidate-texts")
+    texts = _texts(materialize(_ends(pairs), "candidate-keys"), docs)
     salted = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(SALTS)).alias("salt_b"), F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt_a"))
     for side in ("a", "b"):
         to = salted.select(side, f"salt_{side}").distinct()
@@ -281,6 +301,87 @@ def _proof(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) ->
     return materialize(salted.select("a", "b", "text_a", "text_b").mapInArrow(trimmed(_proved(width, similarity)), "a long, b long"), "links")
 
 
+def unit_links(v: np.ndarray, label: np.ndarray, block: np.ndarray, s: np.ndarray, texts: list[str], most: int, width: int, similarity: float) -> tuple[list[int], list[int]]:
+    """As few links as join what the proved pairs of a unit join to what labels join: pairs of two blocks, or of all if there is one."""
+    up = {x: x for x in label.tolist()}
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    sets: dict[int, np.ndarray] = {}
+    two, a, b = bool((block != block[0]).any()), [], []
+    for i in range(len(v) - 1):
+        at = np.arange(i + 1, len(v))
+        at = at[(label[at] != label[i]) & ((block[at] != block[i]) | (not two))]
+        for j in at[_apart(s, at, np.array([i])) <= most].tolist():
+            x, y = top(int(label[i])), top(int(label[j]))
+            if x == y:
+                continue
+            for k in (i, j):
+                if k not in sets:
+                    sets[k] = shingle_set(texts[k], width)
+            small, large = sorted((len(sets[i]), len(sets[j])))
+            if small < similarity * large:
+                continue
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both >= similarity * (small + large - both):
+                up[max(x, y)] = min(x, y)
+                a.append(int(v[i]))
+                b.append(int(v[j]))
+    return a, b
+
+
+def _units(most: int, width: int, similarity: float):
+    """Links of the units (cluster, i, j) that a task's sorted rows hold; one unit is in memory at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            held.clear()
+            s = np.ascontiguousarray(np.stack([table[f"s{k}"].to_numpy() for k in range(WORDS)], axis=1)).view(np.uint64)
+            a, b = unit_links(*(table[c].to_numpy() for c in ("v", "label", "block")), s, table["text"].to_pylist(), most, width, similarity)
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b)], ["a", "b"])
+
+        last = None
+        for batch in batches:
+            unit = np.stack([batch[c].to_numpy() for c in ("cluster", "i", "j")], axis=1)
+            cuts = [0, *(np.flatnonzero((np.diff(unit, axis=0) != 0).any(axis=1)) + 1).tolist(), len(unit)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if lo == hi:
+                    continue
+                if held and tuple(unit[lo].tolist()) != last:
+                    yield done()
+                held.append(batch.slice(lo, hi - lo))
+                last = tuple(unit[lo].tolist())
+        if held:
+            yield done()
+
+    return run
+
+
+def _proof_within(rows: DataFrame, docs: DataFrame, most: int, width: int, similarity: float) -> DataFrame:
+    """Links that join all near and similar enough rows (v, label, cluster, words of the sketch) of a cluster.
+
+    A cluster is dealt into blocks, and two of them, or one with itself, are a unit of work. Each text goes to as many units as there are
+    blocks, and a unit yields fewer links than it has labels, so that pairs are compared in memory and are nobody's rows.
+    """
+    texts = _texts(rows.select("v"), docs)
+    size = F.octet_length("text").cast("long")
+    dealt = rows.select("v", "cluster").join(texts.select("v", size.alias("size")), "v").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    up = lambda x, each: F.ceil(F.col(x) / F.lit(each)).cast("long")
+    count = F.greatest(up("n", UNIT), up("size", UNIT_BYTES), F.least(F.lit(SPREAD).cast("long"), up("n", SMALL_UNIT)), F.lit(1).cast("long"))
+    blocks = materialize(dealt.select("cluster", count.alias("blocks")), "blocks")
+    own = hot_join(rows, blocks, "cluster").join(texts, "v").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")))
+    sent = own.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    sent = sent.select("cluster", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "v", "label", "block", "text", *_words(WORDS))
+    sent = sent.repartition(partitions(rows.sparkSession), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "v")
+    return materialize(sent.mapInArrow(trimmed(_units(most, width, similarity)), "a long, b long"), "links")
+
+
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, text_col: str = "text") -> DataFrame:
     """(_k1, _k2, _k3, group) of every distinct text: texts of that similarity or more are linked, group names what links reach.
 
@@ -320,11 +421,11 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, text_c
     tried = materialize(nearest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "candidates")
     links = _proof(tried, texts, width, similarity)
     parts = connected_components(links, "a", "b")
-    involved = near.select(F.explode(F.array("a", "b")).alias("v")).distinct()
-    rows = made.join(involved, "v").join(parts, F.col("v") == F.col("vertex"), "left").select("v", F.coalesce("component", "v").alias("label"), *_words(WORDS))
+    rows = made.join(_ends(near), "v").join(parts, F.col("v") == F.col("vertex"), "left").select("v", F.coalesce("component", "v").alias("label"), *_words(WORDS))
     rows = materialize(rows, "labelled-sketches")
-    rest = met(rows, rows.count(), True).select("a", "b").distinct()
-    rest = materialize(rest.join(tried, ["a", "b"], "left_anti"), "candidates")
+    apart = connected_components(met(rows, rows.count(), True), "a", "b")
+    rest = materialize(rows.join(apart.select(F.col("vertex").alias("v"), F.col("component").alias("cluster")), "v"), "clusters")
     if not rest.isEmpty():
-        parts = connected_components(links.unionByName(_proof(rest, texts, width, similarity)), "a", "b")
+        links = links.unionByName(_proof_within(rest, texts, most(WORDS, SLACK_ALL), width, similarity))
+        parts = connected_components(links, "a", "b")
     return made.join(parts, F.col("v") == F.col("vertex"), "left").select(*KEY, F.coalesce("component", "v").alias("group"))

@@ -82,3 +82,45 @@ def test_most_pairs_at_the_bound_meet():
     for bits in N._chosen(N.BITS, count):
         met |= (s[:, bits] != other[:, bits]).sum(axis=1) <= N.RADIUS
     assert met.mean() > 0.985
+
+
+def test_unlinked_pairs_of_a_group_are_no_rows():
+    """Three hundred sketches near each other, all unlinked: what joins them is handed on, not their pairs."""
+    import pyarrow as pa
+
+    import nervemap.llm.near_copies as N
+
+    draw, n = np.random.default_rng(9), 300
+    s = np.tile(draw.integers(0, 1 << 62, N.WORDS), (n, 1))
+    s ^= np.int64(1) << draw.integers(0, 62, (n, N.WORDS))
+    cols = {"key": np.zeros(n, np.int64), "fp": np.zeros(n, np.int64), "v": np.arange(n), "label": np.arange(n)} | {f"s{k}": s[:, k] for k in range(N.WORDS)}
+    got = pa.Table.from_batches(N._meet(180, True, N.BITS, 2)(iter([pa.RecordBatch.from_pydict(cols)])))
+    assert got.num_rows == n - 1
+    assert set(got["a"].to_pylist()) | set(got["b"].to_pylist()) == set(range(n))
+
+
+@pytest.mark.parametrize("small", [64, 5])
+def test_groups_around_the_bound(spark, small, monkeypatch):
+    """Texts of one origin whose similarities lie around the bound, in one unit and in many."""
+    import nervemap.llm.near_copies as N
+
+    monkeypatch.setattr(N, "SMALL_UNIT", small)
+    monkeypatch.setattr(N, "NEAREST", 1)
+    draw, table = np.random.default_rng(10), []
+    for i in range(120):
+        v = [f"b{x}" for x in range(200)]
+        for at in draw.choice(200, 2 + i % 3, replace=False):
+            v[at] = f"x{i}"
+        table.append((i, " ".join(v)))
+    sets = [shingles(t) for _, t in table]
+    label = list(range(len(table)))
+    for i in range(len(table)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) and label[i] != label[j]:
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    group = N.near_copies(spark.createDataFrame(table, "doc_id long, text string").repartition(3))
+    keys = spark.createDataFrame(table, "doc_id long, text string").select("doc_id", *N.text_key(F.col("text")))
+    got = {r["doc_id"]: r["group"] for r in keys.join(group, N.KEY).collect()}
+    assert len(set(zip((got[i] for i in range(120)), label, strict=True))) == len(set(got.values())) == len(set(label)) > 10
