@@ -28,6 +28,8 @@ CANDIDATES, QUERIES = 65_536, 512
 IMPACTS = 1024
 #: Possible members a query, as multiple of k, that are few enough to be scored one by one.
 FEW = 64
+#: Postings of consecutive segments that are added up at once, about.
+AT_ONCE = 1 << 18
 #: The proof is tried each time the next segment is so much smaller than at the last try.
 TRY = 0.6
 _NARROW = (np.int16, np.int32, np.int64)
@@ -127,19 +129,28 @@ class Searcher:
         if keep <= 0:
             return Found(np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 0, False)
         next_try = TRY * float(np.linalg.norm(q.astype(np.float64))) * self.longest / max(1, self.width)
-        possible, postings, proved = None, 0, False
-        reaches, steps = reach[order].tolist(), step[order].tolist()
-        for s, r, x in zip(order.tolist(), reaches, steps, strict=True):
-            if r < next_try:
-                possible = self._possible(sums, bits, r, blur, keep, own)
+        possible, postings, proved, done = None, 0, False, 0
+        reaches, sizes = reach[order], (index.cuts[1:] - index.cuts[:-1])[order]
+        small = (int(size.sum()) * self.most + 1) << bits < 1 << 52
+        while done < len(order):
+            if reaches[done] < next_try:
+                possible = self._possible(sums, bits, int(reaches[done]), blur, keep, own)
                 if len(possible) <= max(FEW * self.k, keep):
                     proved = True
                     break
-                next_try = TRY * r
-            at = self.segments[s]
-            sums[at] += x
+                next_try = TRY * int(reaches[done])
+            # all segments up to the next try, some at a time; the first at least
+            upto = done + max(1, int(np.count_nonzero(reaches[done:] >= next_try)))
+            upto = min(upto, done + max(1, int(np.searchsorted(np.cumsum(sizes[done:upto]), AT_ONCE))))
+            at = np.concatenate([self.segments[s] for s in order[done:upto].tolist()])
+            each = np.repeat(step[order[done:upto]], sizes[done:upto])
+            if small:  # doubles hold such sums exactly
+                sums += np.bincount(at, weights=each, minlength=n).astype(np.int64)
+            else:
+                np.add.at(sums, at, each)
             postings += len(at)
-        else:
+            done = upto
+        if not proved:
             possible = self._possible(sums, bits, 0, blur, keep, own)
         score = index.vectors[possible].astype(np.int64) @ q
         best = np.lexsort((index.ids[possible], -score))[:keep]

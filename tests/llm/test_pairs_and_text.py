@@ -257,6 +257,24 @@ def test_search_stops_on_proof(impacts, monkeypatch):
         assert all(p for p, _, _ in early) and np.mean([x for _, x, _ in early]) < 0.7 and all(r <= 1280 for _, _, r in early)
 
 
+@pytest.mark.parametrize(("spread", "at_once"), [(8, 1 << 18), (8, 1), (1 << 24, 1 << 18), (1 << 24, 1)])
+def test_search_adds_many_segments_at_once(spread, at_once, monkeypatch):
+    """Few sums for thousands of segments, and the same best, where doubles hold the sums and where they don't."""
+    import nervemap.llm.topk_search as S
+
+    monkeypatch.setattr(S, "AT_ONCE", at_once)
+    draw, calls = np.random.default_rng(3), []
+    c = np.round(draw.normal(0, spread, (3000, 32))).astype(np.int64)
+    searcher = S.Searcher(S.Index.of(np.arange(len(c)), np.arange(len(c)), c), 9)
+    plain = np.bincount
+    monkeypatch.setattr(S.np, "bincount", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    for i in range(0, 3000, 600):
+        found, exact = searcher.search(c[i], i), c @ c[i]
+        order = sorted((-int(exact[j]), j) for j in range(len(c)) if j != i)[:9]
+        assert [j for _, j in order] == found.at.tolist() and [-x for x, _ in order] == found.score.tolist()
+    assert (0 < len(calls) < 5 * 40 < len(searcher.segments) if spread == 8 else not calls) or at_once == 1
+
+
 # preferences
 
 
