@@ -91,6 +91,12 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nervemap.llm.conversations import audit_damaged
+
+    return audit_damaged(_table(spark, sf_dir, "conversations"))
+
+
 _OP8 = r"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS rid,
@@ -163,12 +169,75 @@ FROM m GROUP BY conv_id, own
 """
 
 
+_OP11 = r"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(4294967295::BIGINT, list_reduce(
+           list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+           lambda crc, b: list_reduce(range(8), lambda x, i: xor(x >> 1, (x & 1) * 3988292384), xor(crc, b)), 4294967295::BIGINT)) % 20 AS kind
+  FROM conversations
+), d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS again
+  FROM k WHERE kind <> 0
+), n AS (
+  SELECT *, row_number() OVER w AS i, lag(substr(role, 1, 1)) OVER w AS prev, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS ends
+  FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again)
+), f AS (
+  SELECT *, substr(role, 1, 1) AS r, count(*) OVER (PARTITION BY conv_id) - i AS left_,
+         CASE WHEN ends = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+              WHEN right(ends, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+         prev IS NOT NULL AND prev || substr(role, 1, 1) NOT IN ('su', 'ua', 'au') AS illegal
+  FROM n
+), t AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+         count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (illegal) AS illegal, count(*) AS size
+  FROM f GROUP BY conv_id
+), dp AS (
+  SELECT conv_id, size, 0::BIGINT AS done, {'c': 0::BIGINT, 'a': '', 'm': ''} AS s0, {'c': 6::BIGINT, 'a': 'II', 'm': chr(10) || 'user:' || chr(10) || 'assistant:'} AS s1,
+         {'c': 3::BIGINT, 'a': 'I', 'm': chr(10) || 'assistant:'} AS s2, {'c': 0::BIGINT, 'a': '', 'm': ''} AS s3
+  FROM t
+  UNION ALL
+  SELECT conv_id, size, done + 1,
+         list_sort([n0, {'c': 3 + n2.c, 'a': 'I' || n2.a, 'm': chr(10) || 'user:' || n2.m}, {'c': 6 + n3.c, 'a': 'II' || n3.a, 'm': chr(10) || 'user:' || chr(10) || 'assistant:' || n3.m}])[1],
+         list_sort([n1, {'c': 3 + n2.c, 'a': 'I' || n2.a, 'm': chr(10) || 'user:' || n2.m}, {'c': 6 + n3.c, 'a': 'II' || n3.a, 'm': chr(10) || 'user:' || chr(10) || 'assistant:' || n3.m}])[1],
+         list_sort([n2, {'c': 3 + n3.c, 'a': 'I' || n3.a, 'm': chr(10) || 'assistant:' || n3.m}])[1],
+         list_sort([n3, {'c': 3 + n2.c, 'a': 'I' || n2.a, 'm': chr(10) || 'user:' || n2.m}])[1]
+  FROM (
+    SELECT dp.conv_id, size, done,
+           list_sort([{'c': 4 + s0.c, 'a': 'D' || s0.a, 'm': s0.m},
+             CASE r WHEN 's' THEN {'c': keep + s1.c, 'a': 'K' || s1.a, 'm': line || s1.m} WHEN 'u' THEN {'c': keep + s2.c, 'a': 'K' || s2.a, 'm': line || s2.m} ELSE {'c': 999999999, 'a': '', 'm': ''} END,
+             {'c': keep + 3 + s2.c, 'a': 'R' || s2.a, 'm': chr(10) || 'user:' || text || s2.m}])[1] AS n0,
+           list_sort([{'c': 4 + s1.c, 'a': 'D' || s1.a, 'm': s1.m},
+             CASE r WHEN 'u' THEN {'c': keep + s2.c, 'a': 'K' || s2.a, 'm': line || s2.m} ELSE {'c': 999999999, 'a': '', 'm': ''} END,
+             {'c': keep + 3 + s2.c, 'a': 'R' || s2.a, 'm': chr(10) || 'user:' || text || s2.m}])[1] AS n1,
+           list_sort([{'c': 4 + s2.c, 'a': 'D' || s2.a, 'm': s2.m},
+             CASE r WHEN 'a' THEN {'c': keep + s3.c, 'a': 'K' || s3.a, 'm': line || s3.m} ELSE {'c': 999999999, 'a': '', 'm': ''} END,
+             {'c': keep + 3 + s3.c, 'a': 'R' || s3.a, 'm': chr(10) || 'assistant:' || text || s3.m}])[1] AS n2,
+           list_sort([{'c': 4 + s3.c, 'a': 'D' || s3.a, 'm': s3.m},
+             CASE r WHEN 'u' THEN {'c': keep + s2.c, 'a': 'K' || s2.a, 'm': line || s2.m} ELSE {'c': 999999999, 'a': '', 'm': ''} END,
+             {'c': keep + 3 + s2.c, 'a': 'R' || s2.a, 'm': chr(10) || 'user:' || text || s2.m}])[1] AS n3
+    FROM dp JOIN (
+      SELECT conv_id, left_, r, text, chr(10) || role || ':' || text AS line, (CASE fault WHEN 0 THEN 0 WHEN 3 THEN 3 ELSE 999999999 END)::BIGINT AS keep FROM f
+    ) f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.left_ = dp.done
+  )
+), best AS (
+  SELECT conv_id, s0.c AS cost, s0.a AS audit, sha256(substr(s0.m, 2)) AS repaired_sha256 FROM dp WHERE done = size
+)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+       CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+       coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_best_fit_packing, op2_exact_topk, op3_html_extraction, op4_simhash_near_dedup, op5_preference_formatting,
-        op6_hidden_markov, op7_quality_classifier, op8_benchmark_decontamination, op9_sharding, op10_suffix_array_dedup,
+        op6_hidden_markov, op7_quality_classifier, op8_benchmark_decontamination, op9_sharding, op10_suffix_array_dedup, op11_conversation_repair,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_topk": _OP2, "op5_preference_formatting": _OP5, "op8_benchmark_decontamination": _OP8}
+    return {"op2_exact_topk": _OP2, "op5_preference_formatting": _OP5, "op8_benchmark_decontamination": _OP8, "op11_conversation_repair": _OP11}
