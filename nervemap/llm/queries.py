@@ -97,6 +97,12 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_damaged(_table(spark, sf_dir, "conversations"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nervemap.llm.lexical_search import ranked_search
+
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10).select("item_id", "rank", "doc_id", "score")
+
+
 _OP8 = r"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS rid,
@@ -232,12 +238,38 @@ FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN t ON t.conv_id IS
 """
 
 
+_OP12 = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS rid,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), s AS (
+  SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_words FROM d WHERE len(w) > 0
+), p AS (
+  SELECT rid, doc_id, term, count(*)::BIGINT AS tf, any_value(n) AS n FROM (SELECT rid, doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM d) GROUP BY rid, doc_id, term
+), t AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS weight FROM p, s GROUP BY term
+), q AS (
+  SELECT DISTINCT item, item_id, term FROM (
+    SELECT row_number() OVER () AS item, item_id,
+           unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark)
+), scored AS (
+  SELECT item, item_id, rid, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_words)))) AS BIGINT) AS score
+  FROM q JOIN t USING (term) JOIN p USING (term), s GROUP BY item, item_id, rid, doc_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_best_fit_packing, op2_exact_topk, op3_html_extraction, op4_simhash_near_dedup, op5_preference_formatting,
-        op6_hidden_markov, op7_quality_classifier, op8_benchmark_decontamination, op9_sharding, op10_suffix_array_dedup, op11_conversation_repair,
+        op6_hidden_markov, op7_quality_classifier, op8_benchmark_decontamination, op9_sharding, op10_suffix_array_dedup, op11_conversation_repair, op12_ranked_search,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_topk": _OP2, "op5_preference_formatting": _OP5, "op8_benchmark_decontamination": _OP8, "op11_conversation_repair": _OP11}
+    return {"op2_exact_topk": _OP2, "op5_preference_formatting": _OP5, "op8_benchmark_decontamination": _OP8, "op11_conversation_repair": _OP11, "op12_ranked_search": _OP12}
