@@ -157,7 +157,7 @@ class Network:
     def fit(x: np.ndarray, y: np.ndarray, hidden: int = 16, epochs: int = 60, rate: float = 0.01, decay: float = 1e-4, seed: int = 0) -> Network:
         """Adam on three quarters of the rows, temperature on the others. Without rows of both labels the output is the share of label 1, or a half."""
         draw = np.random.default_rng(seed)
-        mean, scale = (x.mean(axis=0), x.std(axis=0) + 1e-6) if len(x) else (np.zeros(FEATURES), np.ones(FEATURES))
+        mean, scale = (x.mean(axis=0), x.std(axis=0) + 1e-6) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
         if len(np.unique(y)) < 2:
             sure = 0.0 if not len(y) else 4.0 * (2 * float(y[0]) - 1)
             return Network(mean, scale, np.zeros((x.shape[1], hidden)), np.zeros(hidden), np.zeros(hidden), sure)

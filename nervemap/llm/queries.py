@@ -103,6 +103,15 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10).select("item_id", "rank", "doc_id", "score")
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nervemap.llm.quality import held_out
+    from nervemap.llm.toxicity import fit, with_toxicity
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, _table(spark, sf_dir, "labels"), sample=60_000, folds=4, fold=2)
+    return with_toxicity(docs, model, threshold=0.3).select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted")
+
+
 _OP8 = r"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS rid,
@@ -268,6 +277,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_best_fit_packing, op2_exact_topk, op3_html_extraction, op4_simhash_near_dedup, op5_preference_formatting,
         op6_hidden_markov, op7_quality_classifier, op8_benchmark_decontamination, op9_sharding, op10_suffix_array_dedup, op11_conversation_repair, op12_ranked_search,
+        op13_toxicity,
     )}
 
 
