@@ -32,8 +32,9 @@ SYMBOLS = 64
 _LATIN, _OTHER = 27 - 0xE0, 60
 #: Characters of a text that are looked at together; a longer one is cut at spaces.
 STEP = 1 << 20
-#: Buckets of the table of evidence, bytes of a word's first beginning that has one, number of further ones, and levels of evidence.
-BUCKETS, BEGINNING, BEGINNINGS = 1 << 17, 5, 3
+#: Buckets of the table of evidence, bytes of a word's first beginning that has one (two longer ones have too), and levels of evidence.
+BUCKETS, BEGINNING = 1 << 17, 5
+_MASK = BUCKETS - 1
 LEVELS = np.array([-1, 0.25, 0.5, 1, 1.5, 2, 2.5, 3, 4])
 FEATURES = len(LEVELS) + 1
 #: Words that are remembered with their evidence.
@@ -225,9 +226,14 @@ def tokens(text: str) -> tuple[list[str], list[str]]:
 def buckets(word: str) -> list[int]:
     """Of a restored word and its beginnings."""
     raw = word.encode("utf-8", "surrogatepass")
-    if len(raw) < BEGINNING:
-        return [crc32(raw, 1) % BUCKETS]
-    return [crc32(raw, 1) % BUCKETS, *(crc32(raw[:n]) % BUCKETS for n in range(BEGINNING, min(len(raw), BEGINNING + BEGINNINGS - 1) + 1))]
+    out = [crc32(raw, 1) & _MASK]
+    if len(raw) >= BEGINNING:
+        out.append(crc32(raw[:BEGINNING]) & _MASK)
+        if len(raw) > BEGINNING:
+            out.append(crc32(raw[: BEGINNING + 1]) & _MASK)
+            if len(raw) > BEGINNING + 1:
+                out.append(crc32(raw[: BEGINNING + 2]) & _MASK)
+    return out
 
 
 class _Evidence(dict):
@@ -235,13 +241,15 @@ class _Evidence(dict):
 
     def __init__(self, channel: Channel, table: np.ndarray):
         super().__init__()
-        self.channel, self.at = channel, table.tolist().__getitem__
+        self.restored, self.at = channel.restored, table.tolist().__getitem__
 
     def of(self, words: str) -> float:
         return max((max(map(self.at, buckets(w))) for w in words.split()), default=0.0)
 
     def __missing__(self, token: str) -> float:
-        words = self.channel.restored(token)
+        words = token.lower()
+        if not words.isalpha() or _TWICE.search(words):
+            words = self.restored(token)
         found = max(map(self.at, buckets(words))) if words.isalpha() else self.of(words)
         if len(token) < 64:
             self[token] = found
@@ -259,7 +267,9 @@ def features(texts: list[str | None], channel: Channel, table: np.ndarray, known
             found = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
             if spaced:
                 found = np.concatenate([found, [known.of(w) for s in spaced for w in channel.decode(s, joined=True).split()]])
-            above += (found[:, None] > LEVELS).sum(axis=0)
+            some = found[found > LEVELS[1]]
+            above[1:] += (some[:, None] > LEVELS[1:]).sum(axis=0)
+            above[0] += np.count_nonzero(found > LEVELS[0])
             n += len(found)
             if len(known) > REMEMBERED:
                 known.clear()
