@@ -1,8 +1,12 @@
 """Main text of web pages by consensus of their host.
 
 Every page scores its containers and votes for the generalised tag-class path of the one that holds its article. Votes
-are counted per host with map-side combined aggregates; every page is then read again with its host's winning path. A page
-without that path keeps its own choice.
+are counted per host with map-side combined aggregates; every page is then read again with its host's winning path. Where that path holds
+less than half of what the page's own choice does, the path above it is tried, and so on; a page without any keeps its own choice.
+
+What an element is called never takes a heading out, and a paragraph only by a class that says nothing else. Of other elements those go that
+by their names are menus, adverts, remarks and the like and nothing else; where a name only has such a part ("social-history"), what stands in the element
+decides. A form goes unless it wraps the page's text.
 
 Reading a page takes time and memory in proportion to its length, however its tags are nested or left open.
 """
@@ -25,6 +29,8 @@ from nervemap.runtime import materialize, trimmed
 BROADCAST_HOSTS = 300_000
 #: Share of a container's text that one inside it must hold to be entered.
 ENTER = 0.7
+#: Share of the text of a page's own choice that the host's path must hold there.
+HOLD = 0.5
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes plaintext".split())
@@ -32,11 +38,15 @@ _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul caption".split()
 )
 _HOLDER = frozenset("html body article main section div td center blockquote table tbody tr".split())
-_NEVER = frozenset("head nav footer aside form script style noscript template svg canvas button select textarea label menu dialog iframe object video audio map search title datalist".split())
+_NEVER = frozenset("head nav footer aside script style noscript template svg canvas button select textarea label menu dialog iframe object video audio map search title datalist".split())
 _KEEP = frozenset("html body article main".split())
 _NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertising sidebar sidenav menu nav navbar navigation comment comments commentlist disqus respond footer cookie cookies consent gdpr notice notices banner promo promotion share sharing social related breadcrumb breadcrumbs popup modal overlay newsletter subscribe subscription sponsor sponsored widget widgets toolbar pagination pager login signup masthead skip alert recommended".split()
 )
+#: Parts of names that say nothing of what an element holds: beside a part of the above a name is still that of noise.
+_NEUTRAL = frozenset(
+    "a area article articles bar block bottom box button buttons col column container content contents entry form group header heading icon icons id inner item items js left link links list main more new of outer page panel post posts primary right row section secondary site slot small space story tab the title top unit user view wrap wrapper".split()
+)
 _NOISE_WHOLE = frozenset("header site-header page-header top-header global-header".split())
 _NOISE_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: An open element of the second kind ends one of the first, unless one of the third stands between.
@@ -59,8 +69,9 @@ _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)
 _QUOTE = re.compile(r"""["']""")
 _DIGITS = re.compile(r"\d+")
 _SPLIT = re.compile(r"[-_:]+|\d+")
-#: How an element is left out: not, by the names it bears, by what it is.
-KEPT, NAMED, GONE = range(3)
+_PROSE = _HEADINGS | {"p", "blockquote", "pre"}
+#: How an element is left out: not, by the names it bears, by what it is; or what stands in it says so: of a doubtful name, or a form.
+KEPT, NAMED, GONE, DOUBT, FORM = range(5)
 
 
 @dataclass
@@ -78,6 +89,7 @@ class Page:
     left_out: list[int] = field(default_factory=lambda: [KEPT])
     step: list[tuple[int, str]] = field(default_factory=lambda: [(0, "")])
     known: dict[tuple[int, str], int] = field(default_factory=dict)
+    suspects: list[tuple[int, int]] = field(default_factory=list)
     blocks: list[tuple[int, str, int]] = field(default_factory=list)
 
     def path_text(self, node: int) -> str:
@@ -99,21 +111,31 @@ class Page:
 def _noise(tag: str, attrs: dict[str, str], in_article: bool) -> int:
     if tag in _NEVER or (tag == "header" and not in_article):
         return GONE
-    if not attrs or tag in _KEEP:
+    if not attrs:
+        return FORM if tag == "form" else KEPT
+    if tag in _KEEP:
         return KEPT
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", ""):
         return GONE
     if attrs.get("role", "").lower() in _NOISE_ROLE:
         return GONE
-    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split():
-        parts = _SPLIT.split(name)
-        if parts[0] in _LAYOUT_FIRST or parts[-1] in _LAYOUT_LAST:
+    if tag == "form":
+        return FORM
+    if tag in _HEADINGS:
+        return KEPT
+    doubt = KEPT
+    # an id marks a place: only one that is a name of noise and no more says what the element is, and of a paragraph none does
+    ids = [] if tag in _PROSE else [(x, True) for x in attrs.get("id", "").lower().split()]
+    for name, is_id in [*((x, False) for x in attrs.get("class", "").lower().split()), *ids]:
+        parts = [x for x in _SPLIT.split(name) if x]
+        if not parts or parts[0] in _LAYOUT_FIRST or parts[-1] in _LAYOUT_LAST:
             continue
-        if not _REMARKS.isdisjoint(parts):
-            return GONE
-        if name in _NOISE_WHOLE or not _NOISE.isdisjoint(parts):
-            return NAMED
-    return KEPT
+        noisy = not _NOISE.isdisjoint(parts)
+        if name in _NOISE_WHOLE or noisy and (len(parts) == 1 if is_id else all(x in _NOISE or x in _NEUTRAL for x in parts)):
+            return GONE if not _REMARKS.isdisjoint(parts) else NAMED
+        if noisy and tag not in _PROSE:
+            doubt = DOUBT
+    return doubt
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -208,9 +230,13 @@ def parse(html: str) -> Page:
         while len(stack.names) > depth:
             in_link -= stack.pop() == "a"
 
+    controls: dict[int, int] = {}
+
     def text(raw: str) -> None:
         nonlocal links
-        if page.left_out[stack.nodes[-1]] != GONE:
+        if page.left_out[stack.nodes[-1]] == GONE:
+            controls[stack.nodes[-1]] = controls.get(stack.nodes[-1], 0) + len(raw.strip())
+        else:
             x = unescape(raw) if "&" in raw else raw
             pending.append(x)
             if in_link:
@@ -281,24 +307,57 @@ def parse(html: str) -> Page:
                 page.step.append((page.path[up], label))
         page.path.append(path)
         own = _noise(tag, attrs, bool(stack.last(("article", "main"))))
-        page.left_out.append(max(page.left_out[up], own))
+        page.left_out.append(GONE if GONE in (own, page.left_out[up]) else KEPT)
+        if own not in (KEPT, GONE):
+            page.suspects.append((node, own))
         if rest.endswith("/") and tag not in _BLOCK:
             continue
         stack.push(node, tag)
         in_link += tag == "a"
     flush()
-    page.blocks = [x for x in found if page.left_out[x[0]] == KEPT]
-    if not any(len(t) > 1.5 * n for _, t, n in page.blocks):  # nothing but links is left: a name told the wrong thing
-        page.blocks = found
+    page.blocks = _judged(page, found, controls)
     return page
 
 
+def _judged(page: Page, found: list[tuple[int, str, int]], controls: dict[int, int]) -> list[tuple[int, str, int]]:
+    """The blocks that stand in no element which its name, or what it holds, leaves out."""
+    if not page.suspects:
+        return found
+    n = len(page.tag)
+    text, links, prose, control = ([0] * n for _ in range(4))
+    for node, t, k in found:
+        text[node] += len(t)
+        links[node] += k
+        if page.tag[node] in _PROSE:
+            prose[node] += len(t)
+    for node, k in controls.items():
+        control[node] += k
+    for node in range(n - 1, 0, -1):
+        up = page.parent[node]
+        for counts in (text, links, prose, control):
+            counts[up] += counts[node]
+    forms, named = [False] * n, [False] * n
+    for node, kind in page.suspects:
+        if kind == FORM:
+            # one around the page's text stays
+            forms[node] = not (text[node] > control[node] and 2 * text[node] >= text[0])
+        else:
+            named[node] = kind == NAMED or 2 * links[node] >= text[node] or not prose[node]
+    for node in range(1, n):
+        up = page.parent[node]
+        forms[node], named[node] = forms[node] or forms[up], named[node] or named[up]
+    found = [x for x in found if not forms[x[0]]]
+    kept = [x for x in found if not named[x[0]]]
+    # nothing but links is left: a name told the wrong thing
+    return kept if any(len(t) > 1.5 * k for _, t, k in kept) else found
+
+
 def best_container(page: Page) -> int:
-    """The innermost element that holds most of the article.
+    return _best(page, *_scores(page))
 
-    An article or main element that does is entered from anywhere, and never left for one inside it. Other elements aren't left for one inside if
-    they have paragraphs or headings of their own beside it, but the page's body is.
-    """
+
+def _scores(page: Page) -> tuple[list[float], list[float]]:
+    """By element, how much text it holds beside links, and how much of it stands in paragraphs and headings right below it."""
     score, own = [0.0] * len(page.tag), [0.0] * len(page.tag)
     for node, text, links in page.blocks:
         value = max(0.0, len(text) - 1.5 * links)
@@ -307,6 +366,15 @@ def best_container(page: Page) -> int:
             own[page.holder[page.parent[node]]] += value
     for node in range(len(score) - 1, 0, -1):
         score[page.parent[node]] += score[node]
+    return score, own
+
+
+def _best(page: Page, score: list[float], own: list[float]) -> int:
+    """The innermost element that holds most of the article.
+
+    An article or main element that does is entered from anywhere, and never left for one inside it. Other elements aren't left for one inside if
+    they have paragraphs or headings of their own beside it, but the page's body is.
+    """
     best: dict[int, int] = {}
     marked = 0
     for node in range(1, len(score)):
@@ -329,22 +397,25 @@ def best_container(page: Page) -> int:
 
 
 def article(page: Page, path: str | None) -> str:
-    """The blocks below all elements with the path, or, if there is no such text, below the page's own best container."""
-    number = page.path_number(path) if path else None
-    for shared in (True, False):
-        if shared:
-            if not number:
-                continue
-            chosen = {n for n in range(1, len(page.tag)) if page.path[n] == number and page.tag[n] in _HOLDER}
-        else:
-            chosen = {best_container(page)}
-        within = [0 in chosen] * len(page.tag)
+    """The blocks below all elements with the path, or with the nearest path above it, that hold ``HOLD`` or more of the text of the page's own best
+    container; if there are none, below that one and those with the path."""
+    score, own = _scores(page)
+    best = _best(page, score, own)
+    chosen = {best}
+    if number := page.path_number(path) if path else None:
+        holds = [0.0] * len(page.step)
         for n in range(1, len(page.tag)):
-            within[n] = n in chosen or within[page.parent[n]]
-        text = "\n\n".join(t for node, t, _ in page.blocks if within[node])
-        if text:
-            return text
-    return ""
+            if page.holder[n] == n:  # elements of one path don't stand in one another
+                holds[page.path[n]] += score[n]
+        shared = number
+        while number and not (holds[number] > 0 and holds[number] >= HOLD * score[best]):
+            number = page.step[number][0]
+        found = {n for n in range(1, len(page.tag)) if page.path[n] == (number or shared) and page.holder[n] == n}
+        chosen = found if number else chosen | found
+    within = [0 in chosen] * len(page.tag)
+    for n in range(1, len(page.tag)):
+        within[n] = n in chosen or within[page.parent[n]]
+    return "\n\n".join(t for node, t, _ in page.blocks if within[node])
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

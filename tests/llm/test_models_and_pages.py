@@ -223,7 +223,8 @@ def test_pages(spark):
     rows = [
         (1, "https://a.example/x", body(long)),
         (2, "https://a.example/y", body(long)),
-        (3, "https://a.example/z", body("<p>short") + "<div class='other'>" + "<p>a long reader's remark in another place</p>" * 30 + "</div>"),
+        (3, "https://a.example/z", body("<p>short, but " + "long enough " * 20) + "<div class='other'>" + "<p>a reader's remark in another place</p>" * 6 + "</div>"),
+        (10, "https://a.example/w", body("<p>a lead") + "<div class='other'>" + "<p>and six paragraphs of the article</p>" * 6 + "</div>"),
         (4, None, None),
         (5, "https://b.example", ""),
         (6, "https://b.example", "<p>tail < x <!-- <p>no --><script>if (a<b) '</p>'</script><style>p{}</style><form><p>no</form>"),
@@ -236,7 +237,8 @@ def test_pages(spark):
     got = {r["page_id"]: r for r in extract_articles(df).collect()}
     more = "\n\n".join(["more words of the text here"] * 3)
     assert got[1]["text"] == got[2]["text"] == f"One & two three bold.\n\nNext line goes on\n\n{more}"
-    assert got[3]["text"] == "short"  # the host's path wins
+    assert got[3]["text"] == ("short, but " + "long enough " * 20).strip()  # the host's path wins
+    assert got[10]["text"] == "\n\n".join(["a lead", *["and six paragraphs of the article"] * 6])  # where it loses text it doesn't
     assert got[4]["text"] == got[5]["text"] == "" and got[4]["n_chars"] == 0
     assert got[6]["text"] == "tail < x" and got[7]["text"] == "A\n\ni\n\nj\n\nc\n\nd"
     assert got[8]["n_chars"] == 20_000 + 2 * 19_999 and got[9]["text"].startswith("<b> plain AB &unknown;")
@@ -258,7 +260,33 @@ def test_layout_names_and_parts_beside_the_body():
     assert one("<article><p>a <math><mi>x</mi><mo>=</mo><mn>2</mn></math></p></article>") == "a x=2"
 
 
+def test_names_take_no_article_text_out():
+    from nervemap.llm.html_extraction import article, parse
+
+    one = lambda x, path=None: article(parse(x), path)
+    para = "<p>" + "words of the text " * 6 + "</p>"
+    text = ("words of the text " * 6).strip()
+    wrapped = f"<h1>T</h1>{para * 3}"
+    want = "\n\n".join(["T", text, text, text])
+    assert one(f"<body><form id=f><div class=page>{wrapped}<select><option>a</select><input></div></form></body>") == want
+    assert one(f"<body><div>a line outside</div><form action=x><article>{wrapped}</article><button>Go</button></form></body>") == want
+    assert one(f"<body><form><p>a line of a form<label>Name</label></form><article>{wrapped}<form><p>Write to us<input></form></article></body>") == want
+    for odd in ("<h2 id='related-work'>H</h2>", "<h2 id='the-menu'>H</h2>", "<h3 class='widget-title'>H</h3>", "<p id='comment-on-method'>H</p>", "<p id='ad'>H</p>", "<section class='social-history'><h2>H</h2></section>", "<div id='share-of-votes'><p>H</p></div>", "<ul id='menu-of-the-day'><li><p>H</ul>"):
+        assert one(f"<article>{para}{odd}{para}</article>") == f"{text}\n\nH\n\n{text}"
+    for noise in (
+        "<div class='ad'>H</div>", "<div class='ad-box'><p>H</p></div>", "<div class='related-posts'><p>H</p></div>", "<div id='comments'><p>H</p></div>", "<p class='advert'>H</p>", "<section class='comment-list'><h2>H</h2><p>H</p></section>",
+        "<div class='social-history'><a href=x>H</a> | <a href=y>H</a></div>", "<ul class='share-this'><li><a href=x>H</a></ul>", "<div role='navigation'><p>H</p></div>", "<div hidden><p>H</p></div>",
+    ):
+        assert one(f"<article>{para}{noise}{para}</article>") == f"{text}\n\n{text}", noise
+    lead = f"<body><main><div class=post><p>lead</p></div>{para * 6}</main><div class=x>{para}</div></body>"
+    assert one(lead, "/body/main/div.post") == "\n\n".join(["lead", *[text] * 6])
+    assert one(lead, "/body/nowhere") == one(lead)
+
+
 _HARD = {
+    "names": lambda n: "<div class=social-history>" * n + "x" * 500,
+    "forms": lambda n: "<form><label>a" * n + "<p>x",
+    "path": lambda n: "<div class=a>" * n + "<p>x</p>" + "<div>" * n + "y" * 300,
     "unclosed": lambda n: "<a " * n,
     "nested": lambda n: '<div class="a">' * n + "x" * 500,
     "inline": lambda n: "<b>" * n + "<hr>" * n + "t",
@@ -296,7 +324,10 @@ def _plain_articles(rows):
     from html.parser import HTMLParser
     from urllib.parse import urlsplit
 
-    from nervemap.llm import html_extraction as H
+    void, raw = {"meta", "br", "hr", "img", "input", "link"}, {"script", "style", "title"}
+    never = {"head", "nav", "footer", "aside", "form", *raw}
+    holders = {"html", "body", "article", "main", "div"}
+    shown = {"html", "head", "body", "article", "main", "div", "nav", "ul", "li", "p", "h1", "footer", "aside"}
 
     class Tree(HTMLParser):
         def __init__(self):
@@ -306,7 +337,7 @@ def _plain_articles(rows):
         def handle_starttag(self, tag, attrs):
             if tag == "br":
                 self.at["inside"].append(" ")
-            if tag in H._VOID:
+            if tag in void:
                 return
             attrs = {k: v or "" for k, v in attrs}
             classes = sorted({re.sub(r"\d+", "#", c) for c in attrs.get("class", "").lower().split()})
@@ -325,8 +356,7 @@ def _plain_articles(rows):
             self.at["inside"].append(data)
 
     def noise(x):
-        names = re.split(r"[\s\-_]+", (x["attrs"].get("class", "") + " " + x["attrs"].get("id", "")).lower())
-        return x["tag"] in H._NEVER or (x["tag"] == "header" and not any(u["tag"] == "article" for u in ups(x))) or bool(H._NOISE & set(names)) and x["tag"] not in H._KEEP
+        return x["tag"] in never or x["attrs"].get("class") == "ad"
 
     def ups(x):
         while (x := x["up"]) is not None:
@@ -337,11 +367,11 @@ def _plain_articles(rows):
             if isinstance(y, str):
                 out[-1][0].append(y)
                 out[-1][1] += len(y) * link
-            elif not noise(y) and y["tag"] not in H._RAW:
-                if y["tag"] in H._BLOCK:
+            elif not noise(y):
+                if y["tag"] in shown:
                     out.append([[], 0])
                 blocks(y, out, link or y["tag"] == "a")
-                if y["tag"] in H._BLOCK:
+                if y["tag"] in shown:
                     out.append([[], 0])
         return out
 
@@ -356,7 +386,7 @@ def _plain_articles(rows):
                 yield from walk(y)
 
     def path(x):
-        return "/".join(u["label"] for u in [*reversed(list(ups(x))), x] if u["tag"] in H._HOLDER)
+        return "/".join(u["label"] for u in [*reversed(list(ups(x))), x] if u["tag"] in holders)
 
     def best(root):
         value = lambda x: sum(max(0, len(t) - 1.5 * n) for t, n in texts(x))
@@ -378,7 +408,7 @@ def _plain_articles(rows):
     for r, root in zip(rows, trees, strict=True):
         host = (urlsplit(r["url"] or "").hostname or "")
         won = max(votes.get(host, {"": 0}).items(), key=lambda v: (v[1], len(v[0])))[0]
-        at = [x for x in walk(root) if path(x) == won and x["tag"] in H._HOLDER] or [best(root)]
+        at = [x for x in walk(root) if path(x) == won and x["tag"] in holders] or [best(root)]
         out.append("\n\n".join(t for x in at for t, _ in texts(x)))
     return out
 
@@ -401,7 +431,7 @@ def test_registered_queries(spark):
 
     from nervemap.llm.queries import oracle_sql, queries
 
-    assert {n.split("_")[0] for n in queries()} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries()} == {f"op{i}" for i in range(1, 14)}
     con = duckdb.connect()
     for p in DATA.glob("*.parquet"):
         con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM read_parquet('{p / '*.parquet' if p.is_dir() else p}')")
