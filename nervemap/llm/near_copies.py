@@ -14,6 +14,7 @@ of the texts only those of candidates are read again.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from math import comb
 
 import numpy as np
@@ -44,7 +45,7 @@ SLACK, SLACK_ALL = 4.0, 2.5
 UNIT, UNIT_BYTES, SPREAD, SMALL_UNIT = 2048, 16 << 20, 16, 64
 #: Tasks that a text of many pairs is sent to.
 SALTS = 64
-#: Texts of candidates up to which their keys (8 bytes each) are broadcast to find them; beyond, they are joined by shuffle.
+#: Texts of candidates up to which their keys (28 bytes each) are broadcast to find them; beyond, they are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 
 
@@ -164,7 +165,10 @@ def _large(row: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def nearest_met(s: np.ndarray, row: np.ndarray, starts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, other, bits) for rows sorted by variants, which begin at ``starts``: of each row the nearest found that shares a variant, and a hub of a large group."""
+    """(row, other, bits) for rows sorted by variants, which begin at ``starts``: of each row the nearest found that shares a variant, and a hub of a large group.
+
+    A row that shares a variant with another within ``most`` bits is in one of these pairs at least, however large the variant.
+    """
     bits, other = np.full(len(s), 1 << 20, dtype=np.int64), np.full(len(s), -1, dtype=np.int64)
 
     def offer(a: np.ndarray, b: np.ndarray) -> None:
@@ -186,8 +190,17 @@ def nearest_met(s: np.ndarray, row: np.ndarray, starts: np.ndarray, most: int) -
             for d in range(1, AHEAD + 1):
                 offer(order[:-d], order[d:])
         left = np.arange(len(own))
-        while len(left) > 1:
+        while len(left):
             around = left[_apart(s, own[left], own[left[:1]]) <= most]
+            if len(around) == 1:
+                # what is near it, if anything is, went with earlier hubs: it isn't alone for that
+                d = _apart(s, own, own[left[:1]])
+                d[left[0]] = most + 1
+                if d.min() <= most:
+                    for held, x in zip(hubs, (own[left[:1]], own[[np.argmin(d)]], d[[np.argmin(d)]]), strict=True):
+                        held.append(x)
+                left = left[1:]
+                continue
             middle = np.packbits(2 * flags[around].sum(axis=0, dtype=np.int64) > len(around), bitorder="little").view(np.uint64)
             hub = around[np.argmin(np.bitwise_count(s[own[around]] ^ middle).sum(axis=1))]
             d = _apart(s, own[left], own[[hub]])
@@ -278,21 +291,29 @@ def _proved(width: int, similarity: float):
     return run
 
 
-def _texts(keys: DataFrame, docs: DataFrame) -> DataFrame:
-    """(v, text) of the distinct ``keys`` v."""
-    if keys.count() <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
-    return materialize(docs.join(keys, "v", "left_semi").dropDuplicates(["v"]), "candidate-texts")
+@dataclass(frozen=True)
+class _Texts:
+    """The texts, ``docs`` (KEY, text), whose numbers ``named`` (v, KEY) has."""
+
+    docs: DataFrame
+    named: DataFrame
+
+    def of(self, numbers: DataFrame) -> DataFrame:
+        """(v, text) of distinct numbers v. A text is known by all of its key; its number stands for it among numbers only."""
+        keys = materialize(self.named.join(numbers, "v"), "candidate-keys")
+        if keys.count() <= BROADCAST_KEYS:
+            keys = F.broadcast(keys)
+        return materialize(self.docs.join(keys, KEY).select("v", "text").dropDuplicates(["v"]), "candidate-texts")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
 
 
-def _proof(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+def _proof(pairs: DataFrame, docs: _Texts, width: int, similarity: float) -> DataFrame:
     """Those of the distinct ``pairs`` (a, b) whose texts are as similar as that. A text of many pairs goes to up to SALTS tasks."""
     n = partitions(pairs.sparkSession)
-    texts = _texts(materialize(_ends(pairs), "candidate-keys"), docs)
+    texts = docs.of(_ends(pairs))
     salted = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(SALTS)).alias("salt_b"), F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt_a"))
     for side in ("a", "b"):
         to = salted.select(side, f"salt_{side}").distinct()
@@ -363,13 +384,13 @@ def _units(most: int, width: int, similarity: float):
     return run
 
 
-def _proof_within(rows: DataFrame, docs: DataFrame, most: int, width: int, similarity: float) -> DataFrame:
+def _proof_within(rows: DataFrame, docs: _Texts, most: int, width: int, similarity: float) -> DataFrame:
     """Links that join all near and similar enough rows (v, label, cluster, words of the sketch) of a cluster.
 
     A cluster is dealt into blocks, and two of them, or one with itself, are a unit of work. Each text goes to as many units as there are
     blocks, and a unit yields fewer links than it has labels, so that pairs are compared in memory and are nobody's rows.
     """
-    texts = _texts(rows.select("v"), docs)
+    texts = docs.of(rows.select("v"))
     size = F.octet_length("text").cast("long")
     dealt = rows.select("v", "cluster").join(texts.select("v", size.alias("size")), "v").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
     up = lambda x, each: F.ceil(F.col(x) / F.lit(each)).cast("long")
@@ -394,13 +415,13 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, text_c
     slim = docs.select(*text_key(F.col(text_col)), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kinds = {k: slim.schema[k].dataType.simpleString() for k in KEY} | {f"s{k}": "long" for k in range(WORDS)}
     made = slim.mapInArrow(trimmed(_sketches(width)), ", ".join(f"{c} {t}" for c, t in kinds.items())).dropDuplicates(KEY)
-    made = materialize(made.withColumn("v", F.col("_k1")), "sketches")
+    made = materialize(made.withColumn("v", F.monotonically_increasing_id()), "sketches")  # written once, so a number stays
     n = made.count()
     p = differing(similarity)
     bits = max(BITS, n.bit_length() + 2)
     count = int(np.ceil(np.log(MISSED) / np.log(1 - met_share(similarity, bits))))
     most = lambda words, slack: int(64 * words * p + slack * (64 * words * p * (1 - p)) ** 0.5)
-    texts = slim.select(F.col("_k1").alias("v"), "text")
+    texts = _Texts(slim, made.select("v", *KEY))
 
     def met(rows: DataFrame, n: int, labelled: bool) -> DataFrame:
         carried = _words(WORDS if labelled else CARRIED)

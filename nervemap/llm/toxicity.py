@@ -376,6 +376,8 @@ def fit(
     # at most ``sample`` ids; of rows that share an id one is learnt from
     got = sorted(described.groupBy("id").agg(F.first("y").alias("y"), F.min("x").alias("x")).collect(), key=lambda r: str(r["id"]))
     x, y = np.array([r["x"] for r in got]).reshape(-1, FEATURES), np.array([r["y"] for r in got], dtype=np.float64)
+    if not len(x):  # nothing is known: a half for all
+        return ToxicityModel(costs, table, Network(np.zeros(FEATURES), np.ones(FEATURES), np.zeros((FEATURES, 1)), np.zeros(1), np.zeros(1), 0.0))
     return ToxicityModel(costs, table, Network.fit(x, y, hidden=8, seed=seed))
 
 

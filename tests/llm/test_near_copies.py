@@ -124,3 +124,63 @@ def test_groups_around_the_bound(spark, small, monkeypatch):
     keys = spark.createDataFrame(table, "doc_id long, text string").select("doc_id", *N.text_key(F.col("text")))
     got = {r["doc_id"]: r["group"] for r in keys.join(group, N.KEY).collect()}
     assert len(set(zip((got[i] for i in range(120)), label, strict=True))) == len(set(got.values())) == len(set(label)) > 10
+
+
+def test_no_row_with_a_near_one_is_left_out():
+    """In a large variant: a text near another that is near the hub, however often it is drawn."""
+    import nervemap.llm.near_copies as N
+
+    for seed in range(60):
+        draw = np.random.default_rng(seed)
+        n, bits = 301, 64 * N.CARRIED
+        flags = np.tile(draw.integers(0, 2, bits, dtype=np.uint8), (n, 1))
+        flags[:299] ^= draw.random((299, bits)) < 0.06
+        far, chain = draw.permutation(bits)[:25], None
+        flags[299] = flags[0]
+        flags[299, far] ^= 1
+        flags[300] = flags[299]
+        chain = draw.permutation(bits)[:22]
+        flags[300, chain] ^= 1
+        s = np.packbits(flags[draw.permutation(n)], axis=1, bitorder="little").view(np.uint64)
+        a, b, d = N.nearest_met(s, np.arange(n), np.array([0]), 35)
+        apart = np.array([N._apart(s, np.arange(n), np.full(n, i)) for i in range(n)])
+        assert all(apart[x, y] == z <= 35 for x, y, z in zip(a, b, d))
+        np.fill_diagonal(apart, 99)
+        assert set(np.flatnonzero(apart.min(axis=1) <= 35)) == set(a.tolist()) | set(b.tolist())
+
+
+@pytest.mark.parametrize("size", [65, 700, 2000])
+def test_chains_off_large_groups(spark, size):
+    """Texts that hang on a large group by another one that isn't in its middle either."""
+    import nervemap.llm.near_copies as N
+
+    draw = np.random.default_rng(size)
+    base = [f"b{x}" for x in range(300)]
+    table = [" ".join(base)]
+    for i in range(size):
+        v = list(base)
+        v[int(draw.integers(0, 300))] = f"x{i}"
+        table.append(" ".join(v))
+    for chain in range(12):
+        v = list(base)
+        for link in range(3):  # each step changes another stretch of 5 words in a row, and so 9 shingles, at 0.82 or so of the one before
+            for at in (40 + 80 * link, 60 + 80 * link, 75 + 80 * link):
+                v[at : at + 6] = [f"c{chain}{link}{at}{k}" for k in range(6)]
+            table.append(" ".join(v))
+    sets = [shingles(t) for t in table]
+    steps = [len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for c in range(12) for i, j in [(0, size + 1 + 3 * c), (size + 1 + 3 * c, size + 2 + 3 * c), (size + 2 + 3 * c, size + 3 + 3 * c)]]
+    assert min(steps) >= 0.8 and len(sets[0] & sets[-1]) / len(sets[0] | sets[-1]) < 0.6
+    got = N.near_copies(spark.createDataFrame([(t,) for t in table], "text string").repartition(4))
+    # every step is a pair near the bound, of which about 1 in 100 may meet nowhere
+    assert got.select("group").distinct().count() <= 2 and got.count() == len(set(table))
+
+
+def test_texts_that_share_a_hash(spark, monkeypatch):
+    import nervemap.llm.near_copies as N
+
+    usual = N.text_key
+    monkeypatch.setattr(N, "text_key", lambda t: [F.lit(7).cast("long").alias("_k1"), *usual(t)[1:]])
+    table = [(i, " ".join(f"w{i // 2}{x}" for x in range(40)) + " same" * (i % 2)) for i in range(20)]
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    got = df.select("doc_id", *N.text_key(F.col("text"))).join(N.near_copies(df), N.KEY).collect()
+    assert len(got) == 20 and len({r["group"] for r in got}) == 10 and len({(r["doc_id"] // 2, r["group"]) for r in got}) == 10
