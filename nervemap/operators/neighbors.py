@@ -26,11 +26,15 @@ _OUT = "g string, i long, j long, value double"
 Predicate = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def _matrix(v: pa.ChunkedArray, n: int) -> np.ndarray:
-    flat = v.combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    if n and (len(flat) % n or any(len(x) * n != len(flat) for x in v[:: max(1, n - 1)])):
+def matrix_of(v: pa.ChunkedArray) -> np.ndarray:
+    """Vectors as rows. All must be of one length, and none null."""
+    rows = v.combine_chunks()
+    if rows.null_count:
+        raise ValueError("a vector is null")
+    sizes = rows.value_lengths().to_numpy(zero_copy_only=False)
+    if len(sizes) and (sizes != sizes[0]).any():
         raise ValueError("vectors differ in length")
-    return flat.reshape(n, -1) if n else np.zeros((0, 0))
+    return rows.flatten().to_numpy(zero_copy_only=False).reshape(len(sizes), -1) if len(sizes) and sizes[0] else np.zeros((len(sizes), 0))
 
 
 def in_units(points: DataFrame) -> DataFrame:
@@ -75,7 +79,7 @@ def _bounded(measure: str, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np
 def _unit(k: int, measure: str, with_self: bool, positive: bool, pred: Predicate | None):
     def run(table: pa.Table) -> pa.Table:
         ids, side, picked = (table[c].to_numpy() for c in ("id", "side", "picked"))
-        v = _matrix(table["v"], len(ids))
+        v = matrix_of(table["v"])
         left, right = np.flatnonzero(side != RIGHT), np.flatnonzero(side != LEFT)
         found: list[tuple[np.ndarray, ...]] = []
         if len(left) and len(right):
@@ -110,13 +114,14 @@ def nearest(points: DataFrame, k: int, measure: str = "euclidean", with_self: bo
     """(g, i, j, value): the k nearest points of the same group to each point.
 
     points: g string, id long (unique in its group), v array<double>, picked boolean. Of a pair of different points the one of smaller id must be
-    picked. ``with_self``: a point is its own neighbour; ``positive``: only distances above 0 count; ``pred``: see ``similarity_join``.
+    picked. ``with_self``: a point is its own neighbour; ``positive``: only distances above 0 count; ``pred``: see ``similarity_join``. Points
+    without a vector take no part; vectors of a group that differ in length fail the query.
     """
     measure = measure_name(measure)
     if k < 1:
         raise ValueError("k must be positive")
     importable(points.sparkSession)
-    points = materialize(points.select("g", "id", "v", "picked"), "points")
+    points = materialize(points.where("v is not null").select("g", "id", "v", "picked"), "points")
     found = in_units(points).groupBy("g", "l", "r").applyInArrow(_unit(k, measure, with_self, positive, pred), _OUT)
     order = Window.partitionBy("g", "i").orderBy("value", "j")
     return found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")
@@ -147,7 +152,8 @@ def similarity_join(
 
     A pair is one of two ids, made once. ``pred`` of the two vectors, that of the smaller id first, must hold; it gets two numpy arrays whose
     last axis holds the components and whose others broadcast against each other, and gives booleans, so that it runs on a whole unit at once.
-    ``fraction``: share of rows that may be the smaller id of a pair. Rows with a null id or vector take no part.
+    ``fraction``: share of rows that may be the smaller id of a pair. Rows with a null id or vector take no part;
+    vectors that differ in length fail the query.
     """
     rows = df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), as_array(df, vec_col).alias("v"))
     rows = rows.withColumn("picked", picked(F.col("id"), fraction, seed))

@@ -2,28 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nervemap.functions.vectors import as_array, ertoz, measure_name
 from nervemap.operators.graph import connected_components
+from nervemap.operators.metric_index import IndexParams, leaf_nearest, tree_nodes, with_leaves
 from nervemap.operators.neighbors import nearest, spread_id
-from nervemap.operators.vptree import TopTrees, VPTree
-from nervemap.runtime import importable, materialize, numbered, partitions, unused
+from nervemap.runtime import importable, materialize, numbered
+
+#: Points of the largest cell up to which all pairs of blocks are compared, rather than an index built.
+FEW_POINTS = 32_768
 
 
 @dataclass(frozen=True)
 class ReebDiagram:
     """Parameters. A link needs more than k * link_threshold_ratio shared neighbours, a core point more than k * core_threshold_ratio links.
 
-    Neighbours are exact, so results depend on neither trees nor buffer; those of a fitted model serve metric partitioning and are drawn from
-    samples of ``top_tree_size`` points a cell. A ``buffer_size`` of -1 is estimated from samples of ``buffer_size_samples`` points.
+    Neighbours are exact, so results depend on neither trees nor buffer. A fitted model's trees, drawn from samples of ``top_tree_size`` points a
+    cell, deal its rows into leaves; ``search`` says how neighbours are found: by those ``leaves`` (or by trees made for the occasion), by
+    comparing all ``blocks`` of a cell, or by blocks in small cells only (``auto``). A ``buffer_size`` of -1 is estimated from samples of
+    ``buffer_size_samples`` points. Rows without features are noise; feature vectors of a cell that differ in length fail the query.
     """
 
     id_col: str = "id"
@@ -42,6 +45,7 @@ class ReebDiagram:
     num_vp_samples: int = 100
     buffer_size: float = -1.0
     buffer_size_samples: tuple[int, ...] = tuple(range(100, 1001, 100))
+    search: str = "auto"
 
     def __post_init__(self):
         if self.k < 1:
@@ -56,11 +60,31 @@ class ReebDiagram:
             if not 0 < r <= 1:
                 raise ValueError("ratios must be above 0 and at most 1")
         measure_name(self.measure)
-
-    def neighbours(self, df: DataFrame) -> DataFrame:
-        """(i, j, value): the k nearest points of each point in its cell, itself included. A point is its id and cell, numbered ``vid``."""
-        points = df.select(F.col(self.cover_col).cast("string").alias("g"), F.col("vid").alias("id"), as_array(df, self.features_col).alias("v"), F.lit(True).alias("picked"))
-        return nearest(points, self.k, self.measure, with_self=True).select("i", "j", "value")
+        if self.search not in ("auto", "leaves", "blocks"):
+            raise ValueError("search is auto, leaves or blocks")
+
+    @property
+    def index(self) -> IndexParams:
+        return IndexParams(leaf_size=self.top_tree_leaf_size, sub_leaf_size=self.sub_tree_leaf_size, candidates=self.num_vp_candidates, samples=self.num_vp_samples, seed=self.seed)
+
+    def _points(self, df: DataFrame, id_col: str) -> DataFrame:
+        return df.select(F.col(self.cover_col).cast("string").alias("g"), F.col(id_col).alias("id"), as_array(df, self.features_col).alias("v")).where("v is not null")
+
+    def neighbours(self, df: DataFrame, nodes: DataFrame | None = None, buffer: float = 0.0) -> DataFrame:
+        """(i, j, value): the k nearest points of each point in its cell, itself included. A point is its id and cell, numbered ``vid``.
+
+        ``nodes``: the trees of a fitted model; ``buffer``: within which leaves are looked into at once.
+        """
+        points = self._points(df, "vid")
+        by_leaves = self.search == "leaves"
+        if self.search == "auto":
+            largest = points.groupBy("g").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+            by_leaves = largest > FEW_POINTS
+        if by_leaves:
+            found = leaf_nearest(points, self.k, self.measure, True, buffer, self.index, nodes)
+        else:
+            found = nearest(points.withColumn("picked", F.lit(True)), self.k, self.measure, with_self=True)
+        return found.select("i", "j", "value")
 
     def numbered(self, df: DataFrame, num_cubes: int | None = None) -> DataFrame:
         """``df`` with ``vid`` = id * cells + cell; ids that are no whole numbers, or too large for that, count by their place in order."""
@@ -99,69 +123,63 @@ class ReebDiagram:
         found = connected_components(edges, "i", "j").withColumnsRenamed({"vertex": "vid", "component": "label"})
         return ends.join(found, "vid", "left").select("vid", F.coalesce("label", "vid").alias("label"))
 
-    def transform(self, df: DataFrame, num_cubes: int | None = None) -> DataFrame:
+    def transform(self, df: DataFrame, num_cubes: int | None = None, nodes: DataFrame | None = None, buffer: float = 0.0) -> DataFrame:
         """``df`` with the cluster of each row: the smallest vid in it, or -(cell + 1) for noise."""
         rows = self.numbered(df, num_cubes)
-        graph = materialize(self.graph(materialize(self.neighbours(rows), "neighbours")), "snn")
+        graph = materialize(self.graph(materialize(self.neighbours(rows, nodes, buffer), "neighbours")), "snn")
         labels = self.labels(self.edges(graph)).withColumnsRenamed({"vid": "_vid", "label": "_label"})
         out = rows.withColumnRenamed("vid", "_vid").join(labels, "_vid", "left")
         return out.withColumn(self.output_col, F.coalesce("_label", -(F.col(self.cover_col).cast("long") + 1))).drop("_label", "_vid")
 
 
     def fit(self, df: DataFrame) -> ReebDiagramModel:
-        """The number of cells, a top tree for each of them, and the buffer size. The samples, of a size that is a parameter, go to the driver."""
+        """The number of cells, a top tree for each of them, and the buffer size. Trees are built by tasks and written; the driver gets numbers only."""
+        importable(df.sparkSession)
         cells = int(df.agg(F.max(self.cover_col)).first()[0] or 0) + 1
-        slim = df.select(F.col(self.cover_col).cast("long").alias("cell"), F.col(self.id_col).alias("id"), as_array(df, self.features_col).alias("v"))
-        order = Window.partitionBy("cell").orderBy(F.xxhash64("id", F.lit(self.seed)), "id")
-        sample: dict[int, list] = {}
-        for r in slim.withColumn("n", F.row_number().over(order)).where(F.col("n") <= self.top_tree_size).select("cell", "v").toLocalIterator():
-            sample.setdefault(r["cell"], []).append(r["v"])
-        trees = {c: VPTree(range(len(v)), v, self.measure, self.top_tree_leaf_size, self.num_vp_candidates, self.num_vp_samples, self.seed) for c, v in sample.items()}
+        points = self._points(df.withColumn("_vid", F.xxhash64(self.id_col)), "_vid") if not isinstance(df.schema[self.id_col].dataType, T.IntegralType) else self._points(df, self.id_col)
+        nodes = tree_nodes(points.withColumn("id", F.col("id").cast("long")), self.measure, replace(self.index, target=1, sample=self.top_tree_size))
         buffer = self.buffer_size
         if buffer < 0:
-            points = df.select(F.col(self.id_col), as_array(df, self.features_col).alias("_v"))
-            buffer = estimate_buffer_size(points, self.k, self.measure, self.buffer_size_samples, self.seed, self.id_col, "_v") if sample else 0.0
-        return ReebDiagramModel(self, cells, buffer, TopTrees(trees))
+            points = df.select(F.col(self.id_col), as_array(df, self.features_col).alias("_v")).where("_v is not null")
+            buffer = estimate_buffer_size(points, self.k, self.measure, self.buffer_size_samples, self.seed, self.id_col, "_v") if not nodes.isEmpty() else 0.0
+        return ReebDiagramModel(self, cells, buffer, nodes)
 
 
 @dataclass(frozen=True)
 class ReebDiagramModel:
-    """What ``ReebDiagram.fit`` gives: applies to any rows of the cells that were there."""
+    """What ``ReebDiagram.fit`` gives: applies to any rows of the cells that were there. ``nodes``: its trees, a row a node."""
 
     params: ReebDiagram
     num_cubes: int
     buffer_size: float
-    trees: TopTrees
+    nodes: DataFrame
 
     def copy(self, **changes) -> ReebDiagramModel:
         """The model with some parameters changed."""
         return replace(self, params=replace(self.params, **changes))
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return self.params.transform(df, self.num_cubes)
+        return self.params.transform(df, self.num_cubes, self.nodes, self.buffer_size)
+
+    @property
+    def num_leaves(self) -> int:
+        return self.nodes.where("leaf is not null").count()
 
     def leaves(self, df: DataFrame) -> DataFrame:
         """``df`` with ``leaf``: that of the top tree of the row's cell, null for a cell without one. Rows near each other mostly share it."""
         importable(df.sparkSession)
-        trees, cell_at = self.trees, len(df.columns)
-        cell, vector = unused(df, "cell", "vector")
-        held = df.withColumns({cell: F.col(self.params.cover_col).cast("long"), vector: as_array(df, self.params.features_col)})
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                cells, vectors = batch.column(cell_at).to_pylist(), batch.column(cell_at + 1).to_pylist()
-                leaf: list[int | None] = [None] * len(cells)
-                for c in {c for c in cells if trees.is_defined_at(c)}:
-                    at = [i for i, x in enumerate(cells) if x == c and vectors[i] is not None]
-                    for i, x in zip(at, trees.leaves(c, np.array([vectors[i] for i in at])) if at else [], strict=True):
-                        leaf[i] = int(x)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:cell_at], pa.array(leaf, pa.int64())], schema=pa.schema([*list(batch.schema)[:cell_at], pa.field("leaf", pa.int64())]))
-
-        return held.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("leaf", T.LongType())]))
+        return with_leaves(df, self.nodes, self.params.measure, F.col(self.params.cover_col), as_array(df, self.params.features_col))
 
     def by_leaf(self, df: DataFrame) -> DataFrame:
-        """``leaves`` of ``df``, dealt out so that the rows of a leaf are in one partition."""
-        return self.leaves(df).repartition(max(partitions(df.sparkSession), min(self.trees.num_indices, 2000)), "leaf")
+        """``leaves`` of ``df``, leaf n in partition n; rows without a leaf in one more."""
+        return repartition_by_leaf(self.leaves(df), "leaf", self.num_leaves)
+
+
+def repartition_by_leaf(df: DataFrame, leaf_col: str, leaves: int) -> DataFrame:
+    """A partition for each leaf, which two tables dealt so share, and one more for rows without; a number that is no leaf's fails the query."""
+    leaf = F.col(leaf_col)
+    bad = F.raise_error(F.concat(leaf.cast("string"), F.lit(" is no leaf"))).cast("int")
+    return df.repartitionById(leaves + 1, F.when(leaf.isNull(), leaves).when((leaf >= 0) & (leaf < leaves), leaf.cast("int")).otherwise(bad))
 
 
 def mean_radius(df: DataFrame, k: int, measure: str, id_col: str = "id", vec_col: str = "vec", group_col: str | None = None) -> DataFrame:

@@ -1,7 +1,4 @@
-"""A vantage-point tree over vectors, and a forest of sampled top trees that name a leaf for any point of any cell.
-
-Exact searches in this library don't need it; it serves searches from the driver and metric partitioning (``ReebDiagramModel.by_leaf``).
-"""
+"""A vantage-point tree over vectors, which tasks build, search for many points at once and keep as rows of a node table (``metric_index``)."""
 
 from __future__ import annotations
 
@@ -13,6 +10,16 @@ import numpy as np
 from nervemap.functions.vectors import measure_name, pairwise
 
 
+def metric(measure: str, d: np.ndarray) -> np.ndarray:
+    """Distances as ones that keep the triangle inequality: of cosine distances those of the lines' unit vectors, sqrt(2 d); others do so already."""
+    return np.sqrt(2 * d) if measure == "cosine" else d
+
+
+def slack(measure: str, *sizes: np.ndarray | float) -> np.ndarray | float:
+    """How far sums of metric distances of such sizes can be off, with room to spare; a root of a rounding error, where there is one, is far larger."""
+    return 1e-6 if measure == "cosine" else 1e-9 * sum(sizes)
+
+
 @dataclass
 class _Node:
     rows: np.ndarray | None = None
@@ -50,7 +57,10 @@ class Nearest:
 
 @dataclass
 class VPTree:
-    """Splits at the median distance from the candidate whose distances to a sample vary most; zero medians and small sets are leaves."""
+    """Splits at the median distance from the candidate whose distances to a sample vary most; zero medians and small sets are leaves.
+
+    Without candidates the first point of a set is the one, so that the tree follows from the order of the points alone.
+    """
 
     ids: np.ndarray
     vectors: np.ndarray
@@ -74,9 +84,11 @@ class VPTree:
     def _build(self, rows: np.ndarray) -> _Node:
         if len(rows) <= self.leaf_size:
             return self._leaf(rows)
-        tried = self._draw.choice(rows, min(self.candidates, len(rows)), replace=False)
-        sample = self._draw.choice(rows, min(self.samples, len(rows)), replace=False)
-        vantage = int(tried[pairwise(self.measure, self.vectors[tried], self.vectors[sample]).var(axis=1).argmax()])
+        vantage = int(rows[0])
+        if self.candidates:
+            tried = self._draw.choice(rows, min(self.candidates, len(rows)), replace=False)
+            sample = self._draw.choice(rows, min(self.samples, len(rows)), replace=False)
+            vantage = int(tried[pairwise(self.measure, self.vectors[tried], self.vectors[sample]).var(axis=1).argmax()])
         d = pairwise(self.measure, self.vectors[[vantage]], self.vectors[rows])[0]
         median = float(np.median(d))
         if median == 0 or not (d < median).any():
@@ -134,6 +146,108 @@ class VPTree:
             open_ += [(node.near, at[near]), (node.far, at[~near])]
         return out
 
+    def bounds(self, vectors: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, leaf, bound) for each leaf that may hold a point within ``reach`` (metric) of a row's vector: no point of it is nearer than ``bound``.
+
+        Every point that ``leaves_of`` sends to a leaf counts, whether the tree was built from it or not.
+        """
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        open_ = [(self.root, np.arange(len(vectors)), np.zeros(len(vectors)))] if self.root is not None and len(vectors) else []
+        while open_:
+            node, at, low = open_.pop()
+            if not len(at):
+                continue
+            if node.rows is not None:
+                out.append((at, np.full(len(at), node.leaf), low))
+                continue
+            d = metric(self.measure, pairwise(self.measure, vectors[at], self.vectors[[node.vantage]])[:, 0])
+            cut = float(metric(self.measure, np.float64(node.radius)))
+            room = slack(self.measure, d, cut)
+            for child, least in ((node.near, d - cut - room), (node.far, cut - d - room)):
+                new = np.fmax(low, least)  # a distance that is no number bounds nothing
+                ok = new <= reach[at]
+                open_.append((child, at[ok], new[ok]))
+        if not out:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+    def nearest_many(self, vectors: np.ndarray, k: int, reach: np.ndarray, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(row, id, distance) of up to k nearest points of the tree within ``reach`` (metric) of each row, ties by id, and how many distances that took.
+
+        ``skip``: an id for each row that isn't its neighbour. A row goes to the nearer side first, and to the other only if something there can be
+        nearer than its k-th so far; all rows that stand before a node go on together.
+        """
+        n, compared = len(vectors), 0
+        ids = np.full((n, k), np.iinfo(np.int64).max)
+        best = np.full((n, k), np.inf)
+        reach = np.array(reach, dtype=np.float64)
+
+        def visit(node: _Node, at: np.ndarray) -> None:
+            nonlocal compared
+            if not len(at):
+                return
+            if node.rows is not None:
+                d = pairwise(self.measure, vectors[at], self.vectors[node.rows])
+                if np.isnan(d).any():
+                    raise ValueError("a distance is not a number of 0 or more")
+                compared += d.size
+                own = np.broadcast_to(self.ids[node.rows], d.shape)
+                if skip is not None:
+                    d = np.where(own == skip[at][:, None], np.inf, d)
+                d, own = np.concatenate([best[at], d], axis=1), np.concatenate([ids[at], own], axis=1)
+                order = np.lexsort((own, d), axis=1)[:, :k]
+                best[at], ids[at] = np.take_along_axis(d, order, 1), np.take_along_axis(own, order, 1)
+                reach[at] = np.minimum(reach[at], metric(self.measure, best[at, -1]))
+                return
+            d = metric(self.measure, pairwise(self.measure, vectors[at], self.vectors[[node.vantage]])[:, 0])
+            compared += len(at)
+            cut = float(metric(self.measure, np.float64(node.radius)))
+            room = slack(self.measure, d, cut)
+            near = d < cut
+            visit(node.near, at[near])
+            visit(node.far, at[~near])
+            visit(node.far, at[near & ~(cut - d - room > reach[at])])
+            visit(node.near, at[~near & ~(d - cut - room > reach[at])])
+
+        if self.root is not None and n:
+            visit(self.root, np.arange(n))
+        row, place = np.nonzero(np.isfinite(best))
+        return row, ids[row, place], best[row, place], compared
+
+    def nodes(self) -> list[dict]:
+        """The tree as rows, the root first: ``node``, ``vantage`` and ``radius`` of a branch with its children ``near`` and ``far``, ``leaf`` of a leaf."""
+        out: list[dict] = []
+
+        def add(node: _Node) -> int:
+            row = {"node": len(out), "vantage": None, "radius": None, "near": None, "far": None, "leaf": None}
+            out.append(row)
+            if node.rows is not None:
+                row["leaf"] = node.leaf
+            else:
+                row |= {"vantage": self.vectors[node.vantage].tolist(), "radius": node.radius}
+                row["near"], row["far"] = add(node.near), add(node.far)
+            return row["node"]
+
+        if self.root is not None:
+            add(self.root)
+        return out
+
+    @staticmethod
+    def of_nodes(rows: list[dict], measure: str) -> VPTree:
+        """The tree of such rows, without its points: it names leaves and bounds."""
+        tree = VPTree([], np.zeros((0, 0)), measure)
+        rows = sorted(rows, key=lambda r: r["node"])
+        vantages = [r["vantage"] for r in rows if r["leaf"] is None]
+        tree.vectors = np.array(vantages, dtype=np.float64) if vantages else np.zeros((0, 0))
+        made = [_Node(rows=np.zeros(0, np.int64), leaf=r["leaf"]) if r["leaf"] is not None else _Node(radius=r["radius"]) for r in rows]
+        at = 0
+        for r, node in zip(rows, made, strict=True):
+            if r["leaf"] is None:
+                node.vantage, at = at, at + 1
+                node.near, node.far = made[r["near"]], made[r["far"]]
+        tree.root, tree.leaves = (made[0] if made else None), sum(r["leaf"] is not None for r in rows)
+        return tree
+
 
 @dataclass
 class TopTrees:

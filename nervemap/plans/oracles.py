@@ -5,7 +5,7 @@ from __future__ import annotations
 from nervemap.functions.projection import CauchyProjection, GaussianProjection
 from nervemap.functions.vectors import MEASURES
 from nervemap.operators.lsh import FAMILIES
-from nervemap.plans.queries import CORE, K, LINK, OVERLAP, PRESENT, SPLITS, _INTERVALS, _lsh
+from nervemap.plans.queries import CORE, K, LEAF_SIZE, LINK, OVERLAP, PRESENT, SPLITS, _INTERVALS, _lsh
 
 _SUM = "list_reduce({}, lambda x, y: x + y, CAST(0 AS DOUBLE))"
 _ZIP = "list_transform(list_zip({a}, {b}), lambda p: {f})"
@@ -146,6 +146,20 @@ def _predicate(i) -> str:
     return " AND ".join(parts)
 
 
+def _leaf_sizes(levels: int = 12) -> str:
+    """A vantage-point tree of each label, a level at a time: the first id is the vantage point, a side of more points than a leaf may have is
+    split at the median distance, unless that is 0 or nothing is nearer. Sides are named 0 (near) and 1, so that names order leaves."""
+    steps = [f"{_vectors()}, l0 AS (SELECT label, id, v, '' AS side, true AS open FROM e)"]
+    for i in range(levels):
+        steps.append(f"""m{i} AS MATERIALIZED (SELECT p.label, p.id, p.v, p.side, p.open AND q.n > {LEAF_SIZE} AS open, {_distance('euclidean', 'q.first', 'p.v')} AS d
+  FROM l{i} p JOIN (SELECT label, side, count(*) AS n, arg_min(v, id) AS first FROM l{i} GROUP BY label, side) q ON q.label = p.label AND q.side = p.side),
+c{i} AS (SELECT label, side, list_sort(list(d)) AS s FROM m{i} WHERE open GROUP BY label, side),
+h{i} AS (SELECT label, side, (s[(len(s) + 1) // 2] + s[len(s) // 2 + 1]) / 2 AS cut, s[1] AS least FROM c{i}),
+l{i + 1} AS MATERIALIZED (SELECT p.label, p.id, p.v, CASE WHEN p.open AND h.cut <> 0 AND h.least < h.cut THEN p.side || CASE WHEN d < h.cut THEN '0' ELSE '1' END ELSE p.side END AS side,
+  p.open AND h.cut <> 0 AND h.least < h.cut AS open FROM m{i} p LEFT JOIN h{i} h ON h.label = p.label AND h.side = p.side)""")
+    return "WITH " + ", ".join(steps) + f" SELECT label, row_number() OVER (ORDER BY CAST(label AS VARCHAR), side) - 1 AS leaf, n FROM (SELECT label, side, count(*) AS n FROM l{levels} GROUP BY label, side)"
+
+
 def oracle_sql() -> dict[str, str]:
     cubes_2d = f"WITH {_sides('s', 'lineitem', 'l_quantity', 5, 0.2)}, {_sides('t', 'lineitem', 'l_discount', 5, 0.2)}"
     head = "head AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)"
@@ -161,17 +175,23 @@ def oracle_sql() -> dict[str, str]:
         "cover_closed": _assign_1d("events", "event_id", "value", 8, 0.25, closed=True) + _COUNTED,
         "interval_contains": "SELECT s_suppkey, " + ", ".join(f"({_predicate(i)}) AS {n}" for n, i in _INTERVALS.items()) + " FROM supplier",
         "interval_intersects": """WITH t AS (SELECT c_nationkey AS k, min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer GROUP BY 1)
-SELECT a.k AS i, b.k AS j, (a.lo <= b.hi AND b.lo <= a.hi) AS meets, (a.lo <= b.lo AND a.hi >= b.hi) AS within FROM t a JOIN t b ON a.k < b.k""",
+SELECT a.k AS i, b.k AS j, (a.lo <= b.lo AND a.hi >= b.hi) AS within FROM t a JOIN t b ON a.k < b.k WHERE a.lo <= b.hi AND b.lo <= a.hi""",
+        "cube_intersects": f"WITH {_vectors()} SELECT a.id AS i, b.id AS j FROM e a JOIN e b ON a.id < b.id WHERE " + " AND ".join(
+            f"a.v[{d}] - 0.03::DOUBLE < b.v[{d}] + 0.03::DOUBLE AND b.v[{d}] - 0.03::DOUBLE < a.v[{d}] + 0.03::DOUBLE" for d in (1, 2, 3)),
+        "cube_contains": f"WITH {_vectors()} SELECT a.id AS i, b.id AS j FROM e a JOIN e b ON a.id <> b.id WHERE " + " AND ".join(
+            f"a.v[{d}] - 0.1::DOUBLE < b.v[{d}] - 0.04::DOUBLE AND b.v[{d}] + 0.04::DOUBLE < a.v[{d}] + 0.1::DOUBLE" for d in (1, 2, 3)),
+        "index_leaf_sizes": _leaf_sizes(),
         "knn_pred": _knn("euclidean", "WHERE a.v[1] * b.v[1] > 0"),
         "knn_sampled": _knn("euclidean", "WHERE (a.id * 2654435761 + 1) % 1000003 < CAST(0.5 AS DOUBLE) * 1000003"),
         "hadamard_transpose": f"""WITH {_vectors()}, n AS (SELECT id AS i, unnest(range(len(v))) AS j, unnest(v) AS value FROM e), z AS (SELECT * FROM n WHERE value <> 0)
 SELECT a.i, a.j, a.value * b.value AS value FROM z a JOIN z b ON a.i = b.j AND a.j = b.i""",
-        "mutual_knn": f"WITH {_MUTUAL} SELECT i, j FROM mutual",
+        "mutual_knn": f"{_SNN} SELECT i, j FROM mutual",
         "snn_similarity": f"{_SNN} SELECT i, j, sim FROM snn",
         "snn_density": f"{_SNN} SELECT i, density FROM density",
         "core_edges": f"{_SNN} SELECT i, j FROM edges",
         "snn_components": f"{_SNN} SELECT vid, label FROM labels",
         "reeb_clusters": f"{_SNN} SELECT id, cover_id, cluster_id FROM members",
+        "reeb_leaf_clusters": f"{_SNN} SELECT id, cover_id, cluster_id FROM members",
         "mapper_nodes": f"""{_SNN} SELECT cluster_id, round((avg(lens) - (SELECT min(lens) FROM members)) / ((SELECT max(lens) FROM members) - (SELECT min(lens) FROM members)), 9) AS lens_mean,
   count(*) AS cardinality FROM members WHERE cluster_id >= 0 GROUP BY cluster_id""",
         "mapper_edges": f"""{_SNN} SELECT a.cluster_id AS src, b.cluster_id AS dst, count(*) AS cardinality FROM members a JOIN members b ON a.id = b.id AND a.cluster_id < b.cluster_id
@@ -204,7 +224,7 @@ SELECT v AS vertex, min(l) AS cluster_id FROM reach GROUP BY v""",
     }
     for m in MEASURES:
         out[f"dist_{m}"] = f"WITH {_vectors(m)} SELECT a.id AS i, b.id AS j, {_distance(m, 'a.v', 'b.v')} AS value FROM e a JOIN e b ON b.id = a.id + 1"
-        out[f"knn_{m}"] = _knn(m)
+        out[f"knn_{m}"] = out[f"leaf_knn_{m}"] = _knn(m)
     for f in FAMILIES:
         out[f"lsh_{f}_knn"], out[f"lsh_{f}_selectivity"] = _lsh_knn(f), _lsh_selectivity(f)
     return out

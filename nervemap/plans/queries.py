@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,18 +11,22 @@ from pyspark.sql import functions as F
 from nervemap.functions.projection import CauchyProjection, GaussianProjection
 from nervemap.functions.vectors import MEASURES, binarized, distance
 from nervemap.operators import mapper as M
+from nervemap.operators.boxes import box_join, boxes
 from nervemap.operators.cover import Cover
 from nervemap.operators.intervals import Interval
 from nervemap.operators.lsh import FAMILIES, Lsh, approx_similarity_join, avg_selectivity
 from nervemap.operators.matrix import hadamard, to_entries, transpose
+from nervemap.operators.metric_index import IndexParams, leaf_nearest, tree_nodes, with_leaves
 from nervemap.operators.neighbors import similarity_join
 from nervemap.operators.reeb import ReebDiagram, estimate_buffer_size, mean_radius
-from nervemap.runtime import importable
+from nervemap.runtime import importable, materialize
 
 #: Parameters of the Mapper queries.
 SPLITS, OVERLAP, K, LINK, CORE = 4, 0.5, 15, 0.3, 0.4
 #: Components above it count as present where a measure looks at supports.
 PRESENT = 0.1
+#: Leaves of the index queries: small ones, so that there are some in small tables; points of a leaf of the trees over labels.
+LEAVES, LEAF_SIZE = IndexParams(target=64, leaf_size=4, sub_leaf_size=16), 12
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,11 +107,28 @@ def interval_contains(spark, sf_dir):
 
 
 def interval_intersects(spark, sf_dir):
-    """Of each two nations, whether their ranges of balances meet, and whether the first holds the second. A range a nation goes to the driver."""
+    """Each two nations whose ranges of balances meet, and whether the first holds the second."""
     t = _table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi"))
-    ranges = {r["c_nationkey"]: Interval.closed(r["lo"], r["hi"]) for r in t.collect()}
-    rows = [(i, j, a.intersects(b), a.contains_interval(b)) for i, a in ranges.items() for j, b in ranges.items() if i < j]
-    return spark.createDataFrame(rows, "i int, j int, meets boolean, within boolean")
+    ranges = materialize(boxes(t, "c_nationkey", [F.col("lo")], [F.col("hi")]), "ranges")
+    held = box_join(ranges, ranges, "contains").withColumn("within", F.lit(True))
+    return box_join(ranges, ranges).join(held, ["i", "j"], "left").where("i < j").select("i", "j", F.coalesce("within", F.lit(False)).alias("within"))
+
+
+def _around(spark, sf_dir, radius: float, closed) -> DataFrame:
+    """Boxes around the first three components of the vectors."""
+    x = [F.get("vec", F.lit(d)) for d in range(3)]
+    return boxes(_vectors(spark, sf_dir), "id", [c - radius for c in x], [c + radius for c in x], closed)
+
+
+def cube_intersects(spark, sf_dir):
+    """Each two vectors whose half-open boxes meet."""
+    t = _around(spark, sf_dir, 0.03, (True, False))
+    return box_join(t, t).where("i < j")
+
+
+def cube_contains(spark, sf_dir):
+    """Of each box around a vector the other vectors' smaller ones that it holds."""
+    return box_join(_around(spark, sf_dir, 0.1, False), _around(spark, sf_dir, 0.04, True), "contains").where("i <> j")
 
 
 def _distances(measure: str):
@@ -122,6 +144,22 @@ def _knn(measure: str):
     return lambda spark, sf_dir: similarity_join(_vectors(spark, sf_dir, measure), 5, measure)
 
 
+def _leaf_knn(measure: str):
+    def query(spark, sf_dir):
+        t = _vectors(spark, sf_dir, measure).select(F.lit("").alias("g"), "id", F.col("vec").alias("v"))
+        return leaf_nearest(t, 5, measure, params=LEAVES, most=float("inf")).select("i", "j", "value")
+
+    return query
+
+
+def index_leaf_sizes(spark, sf_dir):
+    """Vectors in each leaf of each label's tree, which is built of all of them in the order of their ids."""
+    t = _vectors(spark, sf_dir).select(F.col("label").cast("string").alias("g"), "id", F.col("vec").alias("v"))
+    nodes = tree_nodes(t, "euclidean", IndexParams(target=1, leaf_size=LEAF_SIZE, candidates=0))
+    found = with_leaves(t, nodes, "euclidean", F.col("g"), F.col("v"))
+    return found.groupBy(F.col("g").cast("int").alias("label"), "leaf").agg(F.count(F.lit(1)).alias("n"))
+
+
 def knn_pred(spark, sf_dir):
     return similarity_join(_vectors(spark, sf_dir), 5, pred=lambda a, b: a[..., 0] * b[..., 0] > 0)
 
@@ -196,6 +234,13 @@ def reeb_clusters(spark, sf_dir):
     return _reeb().transform(points, n).select("id", "cover_id", "cluster_id")
 
 
+def reeb_leaf_clusters(spark, sf_dir):
+    """The same by a fitted model, whose trees and buffer find the neighbours."""
+    points, n = _points(spark, sf_dir)
+    points = materialize(points, "cells")
+    return replace(_reeb(), search="leaves").fit(points).transform(points).select("id", "cover_id", "cluster_id")
+
+
 def _mapper(spark, sf_dir, label_col=None) -> M.MapperGraph:
     t = _vectors(spark, sf_dir).withColumn("first", F.get("vec", F.lit(0)))
     return M.mapper(t, "id", "vec", ["first"], num_splits=SPLITS, overlap_ratio=OVERLAP, k=K, link_threshold_ratio=LINK, core_threshold_ratio=CORE, label_col=label_col)
@@ -245,11 +290,12 @@ def baseline_gmm(spark, sf_dir):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = [
-        mapper_nodes, mapper_edges, mapper_labels, reeb_clusters, snn_components, core_edges, snn_density, snn_similarity, mutual_knn,
+        mapper_nodes, mapper_edges, mapper_labels, reeb_clusters, reeb_leaf_clusters, snn_components, core_edges, snn_density, snn_similarity, mutual_knn,
         cover_fit_minmax, cover_cubes_1d, cover_cubes_2d, cover_assign_array, cover_assign_2d, cover_assign_vector, cover_explode_count, cover_population_2d, cover_closed,
-        interval_contains, interval_intersects, knn_pred, knn_sampled, hadamard_transpose, remove_noise, relabelled, radius_by_label, buffer_size, snn_join_clusters, baseline_kmeans, baseline_gmm,
+        interval_contains, interval_intersects, cube_intersects, cube_contains, index_leaf_sizes, knn_pred, knn_sampled, hadamard_transpose, remove_noise, relabelled, radius_by_label, buffer_size, snn_join_clusters, baseline_kmeans, baseline_gmm,
     ]
     out = {f.__name__: f for f in plain}
     out |= {f"dist_{m}": _distances(m) for m in MEASURES} | {f"knn_{m}": _knn(m) for m in MEASURES}
+    out |= {f"leaf_knn_{m}": _leaf_knn(m) for m in MEASURES}
     out |= {f"lsh_{f}_knn": _lsh_knn(f) for f in FAMILIES} | {f"lsh_{f}_selectivity": _lsh_selectivity(f) for f in FAMILIES}
     return out | {"projection_gaussian": _projected(GaussianProjection), "projection_cauchy": _projected(CauchyProjection)}

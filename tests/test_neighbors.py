@@ -1,11 +1,15 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import nervemap.operators.metric_index as X
 import nervemap.operators.neighbors as N
 from nervemap.functions.vectors import MEASURES, pairwise
 from nervemap.operators.lsh import FAMILIES, Lsh, approx_similarity_join, avg_selectivity
 from nervemap.operators.matrix import hadamard, to_entries, to_rows, transpose
+from nervemap.operators.metric_index import leaf_nearest
 from nervemap.operators.vptree import LeafPartitioner, TopTrees, VPTree
 
 RNG = np.random.default_rng(4)
@@ -57,6 +61,60 @@ def test_bounds_leave_nothing_out(measure):
     assert all(np.array_equal(g, w) for g, w in zip(got, want, strict=True))
 
 
+def test_vectors_of_unequal_length(spark):
+    """2, 1, 3 and 2 components: 8 in all, first and last alike."""
+    df = spark.createDataFrame([(i, [float(i)] * n) for i, n in enumerate((2, 1, 3, 2))], "id long, vec array<double>")
+    for search in (lambda: N.similarity_join(df, 1), lambda: leaf_nearest(df.selectExpr("'' AS g", "id", "vec AS v"), 1)):
+        with pytest.raises(Exception, match="differ in length"):
+            search().collect()
+
+
+def _groups(measure):
+    draw = np.random.default_rng(6)
+    if measure in ("hamming", "jaccard"):
+        v = (draw.random((240, 9)) < 0.4) * draw.integers(1, 5, (240, 9)) + 0.0
+        v[:, 0] = 1
+    else:
+        v = np.concatenate([draw.normal(c, 0.4, (60, 3)) for c in ((0, 1, 2), (5, 5, 5), (-4, 3, 0), (9, 0, 1))])
+        v[200:208] = np.round(v[200:208])
+    v[20:45] = v[19]  # copies
+    return v, np.array(["a", "b", "a", "c"])[draw.integers(0, 4, 240)]
+
+
+@pytest.mark.parametrize("measure", list(MEASURES))
+@pytest.mark.parametrize("with_self,buffer", [(True, 0.0), (False, 0.4)])
+def test_leaf_search(spark, measure, with_self, buffer, monkeypatch):
+    """The same rows as all pairs give, whatever the pieces, on trees of the points or of others."""
+    for name, size in (("MEET", 50), ("CANDIDATES", 16), ("VISITS", 20)):
+        monkeypatch.setattr(X, name, size)
+    v, g = _groups(measure)
+    df = spark.createDataFrame([(str(a), i, x.tolist()) for i, (a, x) in enumerate(zip(g, v))] + [("a", 900, None), ("lone", 901, v[0].tolist())], "g string, id long, v array<double>").repartition(3)
+    params = X.IndexParams(target=12, leaf_size=4, sub_leaf_size=3)
+    want = Counter(map(tuple, N.nearest(df.withColumn("picked", F.lit(True)), 4, measure, with_self=with_self).collect()))
+    index = X.MetricIndex.of(df, 4, measure, params)
+    found, compared = index.search(buffer, with_self)
+    assert Counter(map(tuple, found.collect())) == want
+    if measure in ("euclidean", "manhattan"):
+        assert sum(r["compared"] for r in compared.collect()) < 0.8 * sum(n * n for n in Counter(g.tolist()).values())
+    if with_self:
+        foreign = X.tree_nodes(df.where("g = 'a' and id % 3 = 0"), measure, params)
+        assert Counter(map(tuple, leaf_nearest(df, 4, measure, with_self, buffer, params, foreign, most=9.0).collect())) == want
+        assert Counter(map(tuple, leaf_nearest(df, 4, measure, with_self, buffer, params, most=0.0).collect())) == want
+
+
+def test_nodes_are_the_tree():
+    tree = VPTree(range(40), VECTORS, "euclidean", leaf_size=3)
+    again = VPTree.of_nodes([dict(r) for r in tree.nodes()][::-1], "euclidean")
+    assert again.leaves == tree.leaves and np.array_equal(again.leaves_of(VECTORS), tree.leaves_of(VECTORS))
+    row, leaf, bound = again.bounds(VECTORS, np.full(40, 2.5))
+    d = pairwise("euclidean", VECTORS, VECTORS)
+    homes = tree.leaves_of(VECTORS)
+    least = {(i, x): d[i][homes == x].min() for i in range(40) for x in range(tree.leaves)}
+    assert {(i, x) for (i, x), m in least.items() if m <= 2.5} <= set(zip(row.tolist(), leaf.tolist()))
+    assert all(b <= least[i, x] for i, x, b in zip(row.tolist(), leaf.tolist(), bound.tolist()))
+    assert VPTree([], np.zeros((0, 2))).nodes() == [] and VPTree.of_nodes([], "cosine").root is None
+
+
 def test_predicate_and_sample(table):
     d = pairwise("euclidean", VECTORS, VECTORS)
     got = rows(N.similarity_join(table, 3, pred=lambda a, b: a[..., 1] <= b[..., 1]))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from nervemap.functions.vectors import pairwise
 from nervemap.operators import mapper as M
 from nervemap.operators.graph import connected_components
-from nervemap.operators.reeb import ReebDiagram, buffer_size, estimate_buffer_size, mean_radius
+from nervemap.operators.reeb import ReebDiagram, buffer_size, estimate_buffer_size, mean_radius, repartition_by_leaf
+from nervemap.operators.vptree import VPTree
 from nervemap.runtime import numbered
 from nervemap.sources.points import read_labelled, read_points, to_gexf, write_tsv
 
@@ -126,8 +127,9 @@ def test_fit_gives_a_model(spark):
     df = spark.createDataFrame([(i, v, a, i % 2) for i, v, a in points], "id long, features array<double>, arm int, cover_id int").withColumn("_v", F.lit("mine"))
     reeb = ReebDiagram(k=6, top_tree_size=40, top_tree_leaf_size=7, buffer_size_samples=(40, 80, 120))
     model = reeb.fit(df)
-    assert model.num_cubes == 2 and model.buffer_size > 0 and set(model.trees.trees) == {0, 1}
-    assert all(len(t.ids) == 40 for t in model.trees.trees.values())
+    assert model.num_cubes == 2 and model.buffer_size > 0
+    nodes = model.nodes.collect()
+    assert {r["g"] for r in nodes} == {"0", "1"} and all(sum(r["leaf"] is not None for r in nodes if r["g"] == g) >= 40 / 7 for g in "01")
     assert ReebDiagram(buffer_size=0.5).fit(df).buffer_size == 0.5
     same = lambda a, b: Counter(map(tuple, a.drop("_v", "features").collect())) == Counter(map(tuple, b.drop("_v", "features").collect()))
     assert same(model.transform(df), reeb.transform(df))
@@ -136,14 +138,33 @@ def test_fit_gives_a_model(spark):
     got = model.by_leaf(more).withColumn("p", F.spark_partition_id()).collect()
     assert len(got) == len(points) + 1 and all(r["_v"] == "mine" for r in got)
     assert {r["leaf"] is None for r in got if r["cover_id"] == 9} == {True}
-    assert all(r["leaf"] == model.trees(r["cover_id"], r["features"]) for r in got if r["cover_id"] != 9)
-    assert len({(r["leaf"], r["p"]) for r in got}) == len({r["leaf"] for r in got})
+    trees = {g: VPTree.of_nodes([r.asDict() for r in nodes if r["g"] == g], "euclidean") for g in "01"}
+    before = {"0": 0, "1": trees["0"].leaves}
+    assert all(r["leaf"] == before[str(r["cover_id"])] + trees[str(r["cover_id"])].leaf_of(r["features"]) for r in got if r["cover_id"] != 9)
+    assert all(r["p"] == (model.num_leaves if r["leaf"] is None else r["leaf"]) for r in got)
+    with pytest.raises(Exception, match="is no leaf"):
+        repartition_by_leaf(model.leaves(df).withColumn("leaf", F.lit(1000)), "leaf", 3).count()
+    by_leaves = ReebDiagram(k=6, top_tree_size=40, top_tree_leaf_size=7, buffer_size=0.3, search="leaves").fit(df)
+    assert same(by_leaves.transform(df), reeb.transform(df))
+    assert same(by_leaves.copy(measure="cosine").transform(df), ReebDiagram(k=6, measure="cosine").transform(df))
     assert reeb.fit(df.where("false")).num_cubes == 1
     for bad in ({"top_tree_size": 0}, {"buffer_size": -2.0}, {"buffer_size_samples": (100,)}, {"num_vp_samples": 0}):
         with pytest.raises(ValueError):
             ReebDiagram(**bad)
 
 
+@pytest.mark.parametrize("search", ["blocks", "leaves"])
+def test_rows_without_features_are_noise(spark, search):
+    points = spiral(20)
+    rows = [(i, v, 0) for i, v, _ in points]
+    df = lambda r: spark.createDataFrame(r, "id long, features array<double>, cover_id int")
+    want = {r["id"]: r["cluster_id"] for r in ReebDiagram(k=5).transform(df(rows)).collect()}
+    got = {r["id"]: r["cluster_id"] for r in ReebDiagram(k=5, search=search).transform(df([*rows, (100, None, 0)])).collect()}
+    assert got == want | {100: -1}
+    with pytest.raises(Exception, match="differ in length"):
+        ReebDiagram(k=5, search=search).transform(df([*rows, (100, [1.0], 0)])).collect()
+
+
 def test_ids_of_any_kind(spark):
     points = spiral(20)
     plain = ReebDiagram(k=5).transform(spark.createDataFrame([(i, v, 0) for i, v, _ in points], "id long, features array<double>, cover_id int"))
