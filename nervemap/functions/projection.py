@@ -49,3 +49,13 @@ class CauchyProjection(Projection):
 
     def median(self) -> float:
         return float(np.median(self.matrix))
+
+    def estimate(self, a: Column, b: Column) -> Column:
+        """The L1 distance of two vectors from their sketches (``column`` of each): the median size of the sketches' differences.
+
+        Each difference is that distance times a standard Cauchy number, whose median size is 1; with m rows about two estimates of three are within
+        1.6 / sqrt(m) of the distance.
+        """
+        sizes = F.array_sort(F.zip_with(a, b, lambda x, y: F.abs(x - y)))
+        low, high = (self.dst - 1) // 2, self.dst // 2
+        return F.get(sizes, F.lit(low)) if low == high else (F.get(sizes, F.lit(low)) + F.get(sizes, F.lit(high))) / 2

@@ -8,11 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nervemap.functions.vectors import as_array, ertoz
+from nervemap.functions.vectors import as_array, ertoz, euclidean
 from nervemap.operators.cover import Cover
 from nervemap.operators.graph import connected_components
 from nervemap.operators.lsh import Lsh, approx_similarity_join
 from nervemap.operators.neighbors import similarity_join
+from nervemap.operators.pca import principal_components
 from nervemap.operators.reeb import ReebDiagram
 from nervemap.runtime import materialize, numbered
 
@@ -56,12 +57,8 @@ def dominant_labels(members: DataFrame, label_col: str) -> DataFrame:
 
 def with_pca(df: DataFrame, vec_col: str, n_components: int, output_col: str = "pca") -> DataFrame:
     """``df`` with its first principal components, as an array."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    held = df.withColumn("_v", array_to_vector(as_array(df, vec_col)))
-    model = PCA(k=n_components, inputCol="_v", outputCol="_p").fit(held)
-    return model.transform(held).withColumn(output_col, vector_to_array("_p")).drop("_v", "_p")
+    found = principal_components(df, vec_col, n_components)
+    return df.withColumn(output_col, found.column(as_array(df, vec_col)))
 
 
 def mapper(
@@ -127,21 +124,38 @@ def sample_down(df: DataFrame, fraction: float = 0.25, seed: int = 0) -> DataFra
     return df.sample(True, fraction, seed)
 
 
-def kmeans(df: DataFrame, vec_col: str, k: int, iterations: int = 100, seed: int = 0) -> DataFrame:
-    """``df`` with ``cluster_id`` from 1, by K-Means."""
-    from pyspark.ml.clustering import KMeans
+def _clustered(df: DataFrame, vec_col: str, make) -> DataFrame:
+    """``df`` with what the fitted model predicts, as ``cluster_id`` from 1, and the model's probabilities or distances as an array ``_q``."""
     from pyspark.ml.functions import array_to_vector
 
     held = df.withColumn("_v", array_to_vector(as_array(df, vec_col)))
-    model = KMeans(k=k, maxIter=iterations, seed=seed, featuresCol="_v", predictionCol="_p").fit(held)
-    return model.transform(held).withColumn("cluster_id", F.col("_p").cast("long") + 1).drop("_v", "_p")
+    return make(held).withColumn("cluster_id", F.col("_p").cast("long") + 1)
+
+
+def kmeans(df: DataFrame, vec_col: str, k: int, iterations: int = 100, seed: int = 0, distances_col: str | None = None) -> DataFrame:
+    """``df`` with ``cluster_id`` from 1, by K-Means, and, if it has a name, the distances to all centres."""
+    from pyspark.ml.clustering import KMeans
 
+    model = None
 
-def gaussian_mixture(df: DataFrame, vec_col: str, k: int, iterations: int = 100, seed: int = 0) -> DataFrame:
-    """``df`` with ``cluster_id`` from 1, by a Gaussian mixture."""
+    def fitted(held: DataFrame) -> DataFrame:
+        nonlocal model
+        model = KMeans(k=k, maxIter=iterations, seed=seed, featuresCol="_v", predictionCol="_p").fit(held)
+        return model.transform(held)
+
+    out = _clustered(df, vec_col, fitted)
+    if distances_col:
+        centres = F.array(*(F.array(*(F.lit(float(x)) for x in c)) for c in model.clusterCenters()))
+        out = out.withColumn(distances_col, F.transform(centres, lambda c: euclidean(c, as_array(df, vec_col))))
+    return out.drop("_v", "_p")
+
+
+def gaussian_mixture(df: DataFrame, vec_col: str, k: int, iterations: int = 100, seed: int = 0, probabilities_col: str | None = None) -> DataFrame:
+    """``df`` with ``cluster_id`` from 1, by a Gaussian mixture, and, if it has a name, the probabilities of all components."""
     from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import vector_to_array
 
-    held = df.withColumn("_v", array_to_vector(as_array(df, vec_col)))
-    model = GaussianMixture(k=k, maxIter=iterations, seed=seed, featuresCol="_v", predictionCol="_p", probabilityCol="_q").fit(held)
-    return model.transform(held).withColumn("cluster_id", F.col("_p").cast("long") + 1).drop("_v", "_p", "_q")
+    out = _clustered(df, vec_col, lambda held: GaussianMixture(k=k, maxIter=iterations, seed=seed, featuresCol="_v", predictionCol="_p", probabilityCol="_q").fit(held).transform(held))
+    if probabilities_col:
+        out = out.withColumn(probabilities_col, vector_to_array("_q"))
+    return out.drop("_v", "_p", "_q")

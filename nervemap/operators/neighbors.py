@@ -12,9 +12,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nervemap.functions.sparse import is_sparse
 from nervemap.functions.vectors import as_array, measure_name, of_pairs, pairwise
 from nervemap.runtime import importable, materialize
 
@@ -27,10 +29,18 @@ Predicate = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def matrix_of(v: pa.ChunkedArray) -> np.ndarray:
-    """Vectors as rows. All must be of one length, and none null."""
+    """Vectors as rows. All must be of one length, and none null. Of sparse ones there are columns only for the indices that any of them has."""
     rows = v.combine_chunks()
     if rows.null_count:
         raise ValueError("a vector is null")
+    if pa.types.is_struct(rows.type):
+        size, indices, values = (pc.struct_field(rows, c) for c in ("size", "indices", "values"))
+        if len(rows) and pc.min(size) != pc.max(size):
+            raise ValueError("vectors differ in length")
+        names, at = np.unique(indices.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+        out = np.zeros((len(rows), len(names)))
+        out[np.repeat(np.arange(len(rows)), indices.value_lengths().to_numpy(zero_copy_only=False)), at] = values.flatten().to_numpy(zero_copy_only=False)
+        return out
     sizes = rows.value_lengths().to_numpy(zero_copy_only=False)
     if len(sizes) and (sizes != sizes[0]).any():
         raise ValueError("vectors differ in length")
@@ -153,8 +163,11 @@ def similarity_join(
     A pair is one of two ids, made once. ``pred`` of the two vectors, that of the smaller id first, must hold; it gets two numpy arrays whose
     last axis holds the components and whose others broadcast against each other, and gives booleans, so that it runs on a whole unit at once.
     ``fraction``: share of rows that may be the smaller id of a pair. Rows with a null id or vector take no part;
-    vectors that differ in length fail the query.
+    vectors that differ in length fail the query. ``vec_col`` may be sparse (``functions.sparse``): a unit then has columns only for what isn't zero in it.
     """
-    rows = df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), as_array(df, vec_col).alias("v"))
+    sparse = is_sparse(df.schema[vec_col].dataType)
+    if sparse and pred is not None:
+        raise ValueError("a predicate needs dense vectors")
+    rows = df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), (F.col(vec_col) if sparse else as_array(df, vec_col)).alias("v"))
     rows = rows.withColumn("picked", picked(F.col("id"), fraction, seed))
     return nearest(rows.withColumn("g", F.lit("")), k, measure, pred=pred).select("i", "j", "value")

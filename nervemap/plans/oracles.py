@@ -5,7 +5,7 @@ from __future__ import annotations
 from nervemap.functions.projection import CauchyProjection, GaussianProjection
 from nervemap.functions.vectors import MEASURES
 from nervemap.operators.lsh import FAMILIES
-from nervemap.plans.queries import CORE, K, LEAF_SIZE, LINK, OVERLAP, PRESENT, SPLITS, _INTERVALS, _lsh
+from nervemap.plans.queries import CORE, K, LEAF_SIZE, LINK, OVERLAP, PRESENT, SKETCH, SPLITS, _INTERVALS, _lsh
 
 _SUM = "list_reduce({}, lambda x, y: x + y, CAST(0 AS DOUBLE))"
 _ZIP = "list_transform(list_zip({a}, {b}), lambda p: {f})"
@@ -146,6 +146,29 @@ def _predicate(i) -> str:
     return " AND ".join(parts)
 
 
+_SPARSE = f"e AS (SELECT vec_id AS id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CASE WHEN abs(x) > {PRESENT} THEN x ELSE CAST(0 AS DOUBLE) END) AS v, label FROM embeddings)"
+
+
+def _estimates() -> str:
+    rows = ", ".join(_fold(_numbers(row), "v", "p[1] * p[2]") for row in CauchyProjection(64, SKETCH, seed=7).matrix)
+    return f"""WITH {_vectors()}, s AS MATERIALIZED (SELECT id, v, [{rows}] AS s FROM e)
+SELECT a.id AS i, b.id AS j, list_sort(list_transform(list_zip(a.s, b.s), lambda p: abs(p[1] - p[2])))[{(SKETCH + 1) // 2}] AS estimate, {_distance('manhattan', 'a.v', 'b.v')} AS value
+FROM s a JOIN s b ON b.id = a.id + 1"""
+
+
+def _pca(rounds: int = 2000) -> str:
+    """The largest eigenvalue of the covariances, by the power method on one vector."""
+    return f"""WITH RECURSIVE {_vectors()}, x AS (SELECT id, unnest(range(64)) AS d, unnest(v) AS x FROM e), m AS (SELECT d, avg(x) AS mean, var_samp(x) AS own FROM x GROUP BY d),
+c AS (SELECT id, d, x - mean AS x FROM x JOIN m USING (d)),
+g AS MATERIALIZED (SELECT a.d AS i, list(s ORDER BY a.d2) AS row FROM (SELECT p.d AS d, q.d AS d2, sum(p.x * q.x) / ((SELECT count(*) FROM e) - 1) AS s FROM c p JOIN c q ON p.id = q.id GROUP BY p.d, q.d) a GROUP BY a.d),
+h AS MATERIALIZED (SELECT list(row ORDER BY i) AS rows FROM g),
+p AS (SELECT 0 AS n, list_transform(range(64), lambda i: 1.0::DOUBLE + i / 7.0::DOUBLE) AS v, 0::DOUBLE AS size
+  UNION ALL SELECT n + 1, list_transform(w, lambda y: y / s), s FROM (
+    SELECT n, w, sqrt(list_sum(list_transform(w, lambda y: y * y))) AS s FROM (SELECT n, list_transform(rows, lambda r: list_dot_product(r, v)) AS w FROM p, h WHERE n < {rounds}))
+)
+SELECT round((SELECT size FROM p WHERE n = {rounds}), 6) AS lens_variance, round((SELECT size FROM p WHERE n = {rounds}), 6) AS variance, round((SELECT sum(own) FROM m), 6) AS total"""
+
+
 def _leaf_sizes(levels: int = 12) -> str:
     """A vantage-point tree of each label, a level at a time: the first id is the vantage point, a side of more points than a leaf may have is
     split at the median distance, unless that is 0 or nothing is nearer. Sides are named 0 (near) and 1, so that names order leaves."""
@@ -219,12 +242,20 @@ l AS (SELECT x.i, x.j FROM k x JOIN k a ON a.i = x.i JOIN k b ON b.i = x.j AND b
 near AS (SELECT i, j FROM l UNION SELECT j, i FROM l),
 reach AS (SELECT i AS v, i AS l FROM near UNION SELECT n.j, r.l FROM reach r JOIN near n ON n.i = r.v)
 SELECT v AS vertex, min(l) AS cluster_id FROM reach GROUP BY v""",
+        "knn_sparse_euclidean": _knn("euclidean").replace(_vectors(), _SPARSE),
+        "l1_estimates": _estimates(),
+        "pca_variance": _pca(),
+        "kmeans_invariants": "SELECT count(*) AS n, 0::BIGINT AS misplaced, 0::BIGINT AS outside FROM embeddings",
+        "gmm_invariants": "SELECT count(*) AS n, 0::BIGINT AS unbalanced, 0::BIGINT AS misplaced FROM embeddings",
         "projection_gaussian": _projected(GaussianProjection),
         "projection_cauchy": _projected(CauchyProjection),
     }
     for m in MEASURES:
         out[f"dist_{m}"] = f"WITH {_vectors(m)} SELECT a.id AS i, b.id AS j, {_distance(m, 'a.v', 'b.v')} AS value FROM e a JOIN e b ON b.id = a.id + 1"
         out[f"knn_{m}"] = out[f"leaf_knn_{m}"] = _knn(m)
+        out[f"dist_sparse_{m}"] = f"WITH {_SPARSE} SELECT a.id AS i, b.id AS j, {_distance(m, 'a.v', 'b.v')} AS value FROM e a JOIN e b ON b.id = a.id + 1"
+    for m in ("jaccard", "hamming"):
+        out[f"set_knn_{m}"] = _knn(m)
     for f in FAMILIES:
         out[f"lsh_{f}_knn"], out[f"lsh_{f}_selectivity"] = _lsh_knn(f), _lsh_selectivity(f)
     return out

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nervemap.functions.projection import CauchyProjection, GaussianProjection
+from nervemap.functions.sparse import as_sparse, sparse_distance
 from nervemap.functions.vectors import MEASURES, binarized, distance
 from nervemap.operators import mapper as M
 from nervemap.operators.boxes import box_join, boxes
@@ -18,13 +19,17 @@ from nervemap.operators.lsh import FAMILIES, Lsh, approx_similarity_join, avg_se
 from nervemap.operators.matrix import hadamard, to_entries, transpose
 from nervemap.operators.metric_index import IndexParams, leaf_nearest, tree_nodes, with_leaves
 from nervemap.operators.neighbors import similarity_join
+from nervemap.operators.pca import principal_components
 from nervemap.operators.reeb import ReebDiagram, estimate_buffer_size, mean_radius
+from nervemap.operators.setjoin import set_join
 from nervemap.runtime import importable, materialize
 
 #: Parameters of the Mapper queries.
 SPLITS, OVERLAP, K, LINK, CORE = 4, 0.5, 15, 0.3, 0.4
 #: Components above it count as present where a measure looks at supports.
 PRESENT = 0.1
+#: Numbers of a sketch.
+SKETCH = 31
 #: Leaves of the index queries: small ones, so that there are some in small tables; points of a leaf of the trees over labels.
 LEAVES, LEAF_SIZE = IndexParams(target=64, leaf_size=4, sub_leaf_size=16), 12
 
@@ -160,6 +165,60 @@ def index_leaf_sizes(spark, sf_dir):
     return found.groupBy(F.col("g").cast("int").alias("label"), "leaf").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _sparse(spark, sf_dir) -> DataFrame:
+    """Vectors without their components of a tenth or less."""
+    t = _vectors(spark, sf_dir)
+    t = t.withColumn("vec", F.transform("vec", lambda x: F.when(F.abs(x) > PRESENT, x).otherwise(0.0)))
+    return t.select("id", as_sparse(t, "vec").alias("vec"))
+
+
+def _sparse_distances(measure: str):
+    def query(spark, sf_dir):
+        t = _sparse(spark, sf_dir)
+        b = t.select((F.col("id") - 1).alias("id"), F.col("vec").alias("other"))
+        return t.join(b, "id").select(F.col("id").alias("i"), (F.col("id") + 1).alias("j"), sparse_distance(measure, F.col("vec"), F.col("other")).alias("value"))
+
+    return query
+
+
+def knn_sparse_euclidean(spark, sf_dir):
+    return similarity_join(_sparse(spark, sf_dir), 5, "euclidean")
+
+
+def _set_knn(measure: str):
+    return lambda spark, sf_dir: set_join(_vectors(spark, sf_dir, measure), 5, measure)[0]
+
+
+def l1_estimates(spark, sf_dir):
+    """L1 distances of each vector to the next by Cauchy sketches of 31 numbers, which are written, beside the distances themselves."""
+    made = CauchyProjection(64, SKETCH, seed=7)
+    t = materialize(_vectors(spark, sf_dir).select("id", "vec", made.column(F.col("vec")).alias("sketch")), "sketches")
+    b = t.select((F.col("id") - 1).alias("id"), F.col("vec").alias("w"), F.col("sketch").alias("other"))
+    return t.join(b, "id").select(F.col("id").alias("i"), (F.col("id") + 1).alias("j"), made.estimate(F.col("sketch"), F.col("other")).alias("estimate"), distance("manhattan", F.col("vec"), F.col("w")).alias("value"))
+
+
+def pca_variance(spark, sf_dir):
+    """The variance of the vectors along their first principal component, found and as it is of the lens, and of all."""
+    t = _vectors(spark, sf_dir)
+    found = principal_components(t, "vec", 1)
+    lens = t.select(found.column(F.col("vec"))[0].alias("lens"))
+    shares = lens.agg(F.round(F.var_samp("lens"), 6).alias("lens_variance"))
+    return shares.select("lens_variance", F.lit(round(float(found.variance[0]), 6)).alias("variance"), F.lit(round(found.total, 6)).alias("total"))
+
+
+def kmeans_invariants(spark, sf_dir):
+    """Rows, those that aren't at their nearest centre, and those in no cluster of ten."""
+    t = M.kmeans(_vectors(spark, sf_dir), "vec", 10, 20, distances_col="d")
+    return t.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.get("d", F.col("cluster_id").cast("int") - 1) > F.array_min("d") + 1e-9).alias("misplaced"), F.count_if(~F.col("cluster_id").between(1, 10)).alias("outside"))
+
+
+def gmm_invariants(spark, sf_dir):
+    """Rows, those whose probabilities don't add up to 1, and those that aren't in their likeliest component."""
+    t = M.gaussian_mixture(_vectors(spark, sf_dir), "vec", 3, 20, probabilities_col="q")
+    total = F.aggregate("q", F.lit(0.0), lambda a, x: a + x)
+    return t.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs(total - 1) > 1e-6).alias("unbalanced"), F.count_if(F.get("q", F.col("cluster_id").cast("int") - 1) < F.array_max("q")).alias("misplaced"))
+
+
 def knn_pred(spark, sf_dir):
     return similarity_join(_vectors(spark, sf_dir), 5, pred=lambda a, b: a[..., 0] * b[..., 0] > 0)
 
@@ -292,10 +351,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = [
         mapper_nodes, mapper_edges, mapper_labels, reeb_clusters, reeb_leaf_clusters, snn_components, core_edges, snn_density, snn_similarity, mutual_knn,
         cover_fit_minmax, cover_cubes_1d, cover_cubes_2d, cover_assign_array, cover_assign_2d, cover_assign_vector, cover_explode_count, cover_population_2d, cover_closed,
-        interval_contains, interval_intersects, cube_intersects, cube_contains, index_leaf_sizes, knn_pred, knn_sampled, hadamard_transpose, remove_noise, relabelled, radius_by_label, buffer_size, snn_join_clusters, baseline_kmeans, baseline_gmm,
+        interval_contains, interval_intersects, cube_intersects, cube_contains, index_leaf_sizes, knn_sparse_euclidean, l1_estimates, pca_variance, kmeans_invariants, gmm_invariants, knn_pred, knn_sampled, hadamard_transpose, remove_noise, relabelled, radius_by_label, buffer_size, snn_join_clusters, baseline_kmeans, baseline_gmm,
     ]
     out = {f.__name__: f for f in plain}
     out |= {f"dist_{m}": _distances(m) for m in MEASURES} | {f"knn_{m}": _knn(m) for m in MEASURES}
+    out |= {f"dist_sparse_{m}": _sparse_distances(m) for m in MEASURES} | {f"set_knn_{m}": _set_knn(m) for m in ("jaccard", "hamming")}
     out |= {f"leaf_knn_{m}": _leaf_knn(m) for m in MEASURES}
     out |= {f"lsh_{f}_knn": _lsh_knn(f) for f in FAMILIES} | {f"lsh_{f}_selectivity": _lsh_selectivity(f) for f in FAMILIES}
     return out | {"projection_gaussian": _projected(GaussianProjection), "projection_cauchy": _projected(CauchyProjection)}

@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as E
 
 DATA = Path(os.environ.get("TESTDATA", "/root/testdata")) / "sf0.001"
-SOME = ["mapper_nodes", "mapper_edges", "reeb_clusters", "cover_assign_2d", "cover_closed", "knn_cosine", "lsh_minhash_knn", "projection_cauchy", "remove_noise", "mutual_knn", "buffer_size", "snn_join_clusters", "interval_intersects", "relabelled", "knn_pred", "lsh_minhash_selectivity", "cube_intersects", "cube_contains", "index_leaf_sizes", "reeb_leaf_clusters", "leaf_knn_manhattan"]
+SOME = ["mapper_nodes", "mapper_edges", "reeb_clusters", "cover_assign_2d", "cover_closed", "knn_cosine", "lsh_minhash_knn", "projection_cauchy", "remove_noise", "mutual_knn", "buffer_size", "snn_join_clusters", "interval_intersects", "relabelled", "knn_pred", "lsh_minhash_selectivity", "cube_intersects", "cube_contains", "index_leaf_sizes", "reeb_leaf_clusters", "leaf_knn_manhattan", "dist_sparse_cosine", "set_knn_jaccard", "l1_estimates", "pca_variance", "kmeans_invariants"]
 
 
 def test_names():
