@@ -48,9 +48,10 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Posting segments of a block. Segment s has the rows ``members[cuts[s]:cuts[s + 1]]``, whose component ``dim[s]`` is within ``half`` of ``impact[s]``."""
+    """Posting segments of a block. Segment s has the rows ``members[cuts[s]:cuts[s + 1]]``, whose component ``dim[s]`` is within ``half`` of ``impact[s]``. Rows that are ``nameless`` have no id and come after all others."""
 
     ids: np.ndarray
+    nameless: np.ndarray
     rows: np.ndarray
     vectors: np.ndarray
     dim: np.ndarray
@@ -60,7 +61,8 @@ class Index:
     half: int
 
     @staticmethod
-    def of(ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray) -> Index:
+    def of(ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, nameless: np.ndarray | None = None) -> Index:
+        nameless = np.zeros(len(ids), bool) if nameless is None else nameless
         low, high = int(vectors.min(initial=0)), int(vectors.max(initial=0))
         step = max(1, -(-(high - low + 1) // IMPACTS))
         level = (vectors - low) // step
@@ -71,14 +73,14 @@ class Index:
         key, members = key[order], row[order]
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
         of = key[first]
-        return Index(ids, rows, vectors, of // levels, low + of % levels * step + step // 2, np.append(first, len(key)), members, step // 2)
+        return Index(ids, nameless, rows, vectors, of // levels, low + of % levels * step + step // 2, np.append(first, len(key)), members, step // 2)
 
     def packed(self) -> dict[str, bytes | int]:
         """As the written index has it: numbers in few bytes."""
         most = int(np.abs(self.vectors).max(initial=0))
         kind = next(i for i, t in enumerate(_NARROW) if most <= np.iinfo(t).max)
         place = "<u2" if len(self.ids) <= 1 << 16 else "<u4"
-        parts = {"ids": self.ids, "rows": self.rows, "vectors": self.vectors.astype(_NARROW[kind]), "dim": self.dim.astype(np.int64), "impact": self.impact.astype(np.int64), "cuts": self.cuts.astype(np.int64), "members": self.members.astype(place)}
+        parts = {"ids": self.ids, "nameless": self.nameless.astype(np.uint8), "rows": self.rows, "vectors": self.vectors.astype(_NARROW[kind]), "dim": self.dim.astype(np.int64), "impact": self.impact.astype(np.int64), "cuts": self.cuts.astype(np.int64), "members": self.members.astype(place)}
         return {k: x.tobytes() for k, x in parts.items()} | {"kind": kind, "half": self.half}
 
     @staticmethod
@@ -86,7 +88,7 @@ class Index:
         ids, rows, dim, impact, cuts = (np.frombuffer(row[c], np.int64) for c in ("ids", "rows", "dim", "impact", "cuts"))
         vectors = np.frombuffer(row["vectors"], _NARROW[row["kind"]]).reshape(len(ids), -1)
         members = np.frombuffer(row["members"], "<u2" if len(ids) <= 1 << 16 else "<u4").astype(np.intp)
-        return Index(ids, rows, vectors, dim, impact, cuts, members, row["half"])
+        return Index(ids, np.frombuffer(row["nameless"], np.uint8).astype(bool), rows, vectors, dim, impact, cuts, members, row["half"])
 
 
 @dataclass
@@ -153,7 +155,7 @@ class Searcher:
         if not proved:
             possible = self._possible(sums, bits, 0, blur, keep, own)
         score = index.vectors[possible].astype(np.int64) @ q
-        best = np.lexsort((index.ids[possible], -score))[:keep]
+        best = np.lexsort((index.ids[possible], index.nameless[possible], -score))[:keep]
         return Found(possible[best], score[best], postings, len(possible), proved)
 
     def _possible(self, sums: np.ndarray, bits: int, most: int, blur: int, keep: int, own: int | None) -> np.ndarray:
@@ -170,13 +172,13 @@ class Searcher:
         return np.flatnonzero(good)
 
 
-_INDEX = "c int, ids binary, rows binary, vectors binary, dim binary, impact binary, cuts binary, members binary, kind int, half long"
+_INDEX = "c int, ids binary, nameless binary, rows binary, vectors binary, dim binary, impact binary, cuts binary, members binary, kind int, half long"
 _FOUND = "query_row long, query_id long, vec_id long, score long"
 
 
 def _indexed(table: pa.Table) -> pa.Table:
-    made = Index.of(table["id"].to_numpy(), table["row"].to_numpy(), _matrix(table["v"])).packed()
-    fields = [("c", pa.int32()), *((c, pa.binary()) for c in ("ids", "rows", "vectors", "dim", "impact", "cuts", "members")), ("kind", pa.int32()), ("half", pa.int64())]
+    made = Index.of(table["id"].fill_null(0).to_numpy(), table["row"].to_numpy(), _matrix(table["v"]), table["id"].is_null().to_numpy()).packed()
+    fields = [("c", pa.int32()), *((c, pa.binary()) for c in ("ids", "nameless", "rows", "vectors", "dim", "impact", "cuts", "members")), ("kind", pa.int32()), ("half", pa.int64())]
     return pa.Table.from_pylist([{"c": table["c"][0].as_py()} | made], pa.schema(fields))
 
 
@@ -191,10 +193,10 @@ def _meeting(k: int):
                 made.append((row, id_, searcher.search(q, place.get(row))))
             at = np.concatenate([f.at for _, _, f in made])
             n = [len(f.at) for _, _, f in made]
-            cols = [np.repeat([x[i] for x in made], n) for i in (0, 1)] + [index.ids[at], np.concatenate([f.score for _, _, f in made])]
+            cols = [*(np.repeat([x[i] for x in made], n) for i in (0, 1)), pa.array(index.ids[at], mask=index.nameless[at]), np.concatenate([f.score for _, _, f in made])]
         else:
             cols = [np.zeros(0, np.int64)] * 4
-        return pa.table(dict(zip(("query_row", "query_id", "vec_id", "score"), (pa.array(c, pa.int64()) for c in cols), strict=True)))
+        return pa.table(dict(zip(("query_row", "query_id", "vec_id", "score"), (c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in cols), strict=True)))
 
     return run
 
@@ -202,16 +204,16 @@ def _meeting(k: int):
 def top_k(vectors: DataFrame, k: int = 20, scale: int = 64, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: of each row whose id is divisible by ``every`` the k other rows of highest integer inner product.
 
-    Components become floor(scale * x). Ties go to the smaller id. Rows whose id or vector is null, or whose vector holds null or
-    non-finite components, take no part. Each row counts, those that share an id too: such a row is a candidate of its like, and as a query each
+    Components become floor(scale * x). Ties go to the smaller id, null last. Rows whose vector is null or holds null or non-finite components take no part; one whose id is
+    null asks for nothing, but is a candidate like others. Each row counts, those that share an id too: such a row is a candidate of its like, and as a query each
     of them has k rows of its own. Vectors of different lengths are compared over the components that both have. Fewer rows
     than k give all; an empty table gives an empty result. Other columns play no part. Scores must fit 64 bits.
     """
     x = F.transform(F.col(vec_col), lambda e: e.cast("double"))
-    fine = F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
+    fine = F.col(vec_col).isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     cut = F.transform(x, lambda e: F.floor(F.lit(float(scale)) * e).cast("long"))
     rows = materialize(vectors.where(fine).select(F.col(id_col).cast("long").alias("id"), cut.alias("v")).withColumn("row", F.monotonically_increasing_id()), "vectors")
-    asks = F.col("id") % every == 0
+    asks = F.coalesce(F.col("id") % every == 0, F.lit(False))
     n, n_queries = rows.select(F.count(F.lit(1)), F.count_if(asks)).first()
     c_blocks, q_blocks = max(1, -(-n // CANDIDATES)), max(1, -(-n_queries // QUERIES))
     block = lambda name, count: F.pmod(F.xxhash64(F.lit(name), "row"), F.lit(count)).cast("int")
@@ -220,5 +222,5 @@ def top_k(vectors: DataFrame, k: int = 20, scale: int = 64, every: int = 20, id_
     blocks = index.withColumn("q", every_block(q_blocks))
     queries = rows.where(asks).select("id", "row", "v", every_block(c_blocks).alias("c"), block("q", q_blocks).alias("q"))
     found = blocks.groupBy("c", "q").cogroup(queries.groupBy("c", "q")).applyInArrow(_meeting(k), _FOUND)
-    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -197,14 +197,14 @@ def test_no_more_sequences_than_best_fit_alone():
 def search(rows, k, every):
     good = []
     for i, v in rows:
-        if i is None or v is None or any(x is None or not np.isfinite(x) for x in v):
+        if v is None or any(x is None or not np.isfinite(x) for x in v):
             continue
         good.append((i, [int(np.floor(64 * float(np.float32(x)))) for x in v]))
     out = Counter()
     for n, (i, q) in enumerate(good):
-        if i % every == 0:
-            top = sorted((-sum(a * b for a, b in zip(q, c, strict=False)), j) for m, (j, c) in enumerate(good) if m != n)[:k]
-            out.update((i, r + 1, j, -s) for r, (s, j) in enumerate(top))
+        if i is not None and i % every == 0:
+            top = sorted((-sum(a * b for a, b in zip(q, c, strict=False)), j is None, j or 0) for m, (j, c) in enumerate(good) if m != n)[:k]
+            out.update((i, r + 1, None if none else j, -s) for r, (s, none, j) in enumerate(top))
     return out
 
 
@@ -215,7 +215,7 @@ def test_search(spark, spread, monkeypatch):
     v = (RNG.normal(0, spread, (90, 8))).astype(np.float32)
     v[5:25] = v[4]  # ties
     rows = [(i, x.tolist()) for i, x in enumerate(v)]
-    rows += [(100, None), (None, rows[0][1]), (120, [None] * 8), (140, [float("nan")] * 8), (160, [float("inf")] * 8), (180, [0.0] * 8), (40, v[41].tolist()), (40, v[40].tolist()), (41, v[3].tolist()), (200, v[7].tolist()[:5]), (201, []), (220, [])]
+    rows += [(100, None), (None, rows[0][1]), (None, rows[4][1]), (120, [None] * 8), (140, [float("nan")] * 8), (160, [float("inf")] * 8), (180, [0.0] * 8), (40, v[41].tolist()), (40, v[40].tolist()), (41, v[3].tolist()), (200, v[7].tolist()[:5]), (201, []), (220, [])]
     if spread == 1e14:  # scores of about 2**63 don't fit
         rows = [(i, None if x is None else [y / 1e8 if y is not None else y for y in x]) for i, x in rows]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("v", F.lit(1)).withColumn("score", F.lit(1)).withColumn("row", F.lit(1)).withColumn("c", F.lit("x"))
