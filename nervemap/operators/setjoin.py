@@ -18,14 +18,16 @@ from pyspark.sql import functions as F
 
 from nervemap.functions.sparse import is_sparse
 from nervemap.functions.vectors import as_array, measure_name, support
-from nervemap.operators.metric_index import Counted
-from nervemap.operators.neighbors import top_k
-from nervemap.runtime import hot_join, importable, materialize, trimmed_group
+from nervemap.operators.metric_index import MOST, Counted
+from nervemap.operators.neighbors import similarity_join, top_k
+from nervemap.runtime import hot_join, importable, materialize, partitions, trimmed_group
 
 #: Sets of a list that are compared at once.
 PIECE = 2048
+#: Rows of a bucket of lists, on average.
+BUCKET = 20_000
 #: Jaccard distances of the rounds; the last one is all that share an element.
-DISTANCES = (0.1, 0.3, 0.5, 0.7, 0.85, 1.0)
+DISTANCES = (0.2, 0.5, 0.8, 1.0)
 #: The element that all sets hold, for hamming distances.
 _ALL = (1 << 63) - 1
 _FOUND = "i long, j long, value double"
@@ -60,64 +62,79 @@ def _prefix(measure: str, within: float) -> Column:
     return F.least(n, n - F.ceil((1.0 - within) * n - 1e-9).cast("int") + 1)
 
 
-def _matrices(sets: list[np.ndarray], heads: list[int], names: np.ndarray, before: set[int]) -> tuple[np.ndarray, np.ndarray]:
-    """By row and element: which a set holds, and which of those that come before in order are in its prefix."""
-    held, early = (np.zeros((len(sets), len(names)), np.float32) for _ in range(2))
-    for r, (s, h) in enumerate(zip(sets, heads, strict=True)):
-        held[r, np.searchsorted(names, s)] = 1
-        first = [x for x in s[:h].tolist() if x in before]
-        early[r, np.searchsorted(names, np.array(first, np.int64))] = 1
+def _matrices(flat: np.ndarray, sizes: np.ndarray, place: np.ndarray, names: int) -> tuple[np.ndarray, np.ndarray]:
+    """By row and element: which a set holds, and which of those come before the list's own, whose place is ``place``."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    held, early = (np.zeros((len(sizes), names), np.float32) for _ in range(2))
+    held[row, flat] = 1
+    first = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < np.repeat(place, sizes)
+    early[row[first], flat[first]] = 1
     return held, early
 
 
 def _compared(measure: str, k: int, within: float):
+    """The lists of a bucket, one after another: those that ask with those that stand there."""
+
+    def sides(table: pa.Table) -> tuple[np.ndarray, ...]:
+        table = table.sort_by([("t", "ascending"), ("id", "ascending")])
+        s = table["s"].combine_chunks()
+        sizes = s.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        return table["t"].to_numpy(), table["id"].to_numpy(), table["pos"].to_numpy(), sizes, np.concatenate(([0], np.cumsum(sizes))), s.flatten().to_numpy(zero_copy_only=False)
+
     def run(asking: pa.Table, there: pa.Table) -> pa.Table:
-        if not asking.num_rows or not there.num_rows:
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], ["i", "j", "value"])
-        sides = []
-        for table in (asking, there):
-            sides.append((table["id"].to_numpy(), [np.array(s, np.int64) for s in table["s"].to_pylist()], table["head"].to_pylist()))
-        (i, si, hi), (j, sj, hj) = sides
-        element = asking["t"][0].as_py()
-        names = np.unique(np.concatenate([*si, *sj]))
-        # elements of a prefix before this one come before it in the order of all
-        before = {x for s in (*si, *sj) for x in s[: int(np.flatnonzero(s == element)[0])].tolist()}
-        (a, ea), (b, eb) = _matrices(si, hi, names, before), _matrices(sj, hj, names, before)
-        both = (a @ b.T).astype(np.float64)
-        either = np.array([len(s) for s in si], np.float64)[:, None] + np.array([len(s) for s in sj], np.float64)[None, :] - both
-        d = either - both if measure == "hamming" else 1.0 - both / either
-        ok = (i[:, None] != j[None, :]) & ((ea @ eb.T) == 0) & (d <= within)
-        row, col = np.nonzero(ok)
-        value = d[row, col]
-        order = np.lexsort((j[col], value, row))
-        row, col, value = row[order], col[order], value[order]
-        top = np.arange(len(row)) - np.searchsorted(row, row) < k
-        return pa.table(
-            [pa.array([*i[row[top]].tolist(), None], pa.int64()), pa.array([*j[col[top]].tolist(), None], pa.int64()), pa.array([*value[top].tolist(), float(ok.size)])], ["i", "j", "value"]
-        )
+        found: list[tuple[np.ndarray, ...]] = []
+        compared = 0
+        if asking.num_rows and there.num_rows:
+            a, b = sides(asking), sides(there)
+            for t in np.intersect1d(a[0], b[0]).tolist():
+                (i, hi, si, fi), (j, hj, sj, fj) = (
+                    (x[1][lo:up], x[2][lo:up], x[3][lo:up], x[5][x[4][lo] : x[4][up]]) for x in (a, b) for lo, up in [(np.searchsorted(x[0], t), np.searchsorted(x[0], t, "right"))]
+                )
+                names, at = np.unique(np.concatenate([fi, fj]), return_inverse=True)
+                (p, ep), (q, eq) = _matrices(at[: len(fi)], si, hi, len(names)), _matrices(at[len(fi) :], sj, hj, len(names))
+                both = (p @ q.T).astype(np.float64)
+                either = si.astype(np.float64)[:, None] + sj.astype(np.float64)[None, :] - both
+                d = either - both if measure == "hamming" else 1.0 - both / either
+                compared += d.size
+                row, col = np.nonzero((i[:, None] != j[None, :]) & ((ep @ eq.T) == 0) & (d <= within))
+                value = d[row, col]
+                order = np.lexsort((j[col], value, row))
+                row, col, value = row[order], col[order], value[order]
+                top = np.arange(len(row)) - np.searchsorted(row, row) < k
+                found.append((i[row[top]], j[col[top]], value[top]))
+        cols = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table([pa.array([*cols[0].tolist(), None], pa.int64()), pa.array([*cols[1].tolist(), None], pa.int64()), pa.array([*cols[2].tolist(), float(compared)])], ["i", "j", "value"])
 
     return run
 
 
-def _round(asking: DataFrame, sets: DataFrame, measure: str, k: int, within: float) -> DataFrame:
-    """(i, j, value): of each that asks up to k pairs within the distance from every list, all in all its k nearest; a row without j for each unit, with the pairs compared."""
-    heads = lambda df: df.withColumn("head", _prefix(measure, within)).where("head > 0").withColumn("t", F.explode(F.slice("s", F.lit(1), F.col("head"))))
+def _lists(asking: DataFrame, sets: DataFrame, measure: str, within: float) -> tuple[DataFrame, DataFrame, Counted]:
+    """A row for each element of each prefix, of those that ask and of all, and (t, na, nb): how many of either stand in an element's list."""
+    heads = lambda df: df.withColumn("head", _prefix(measure, within)).where("head > 0").select("id", "s", F.posexplode(F.slice("s", F.lit(1), F.col("head"))).alias("pos", "t"))
     a, b = heads(asking), heads(sets)
-    number = lambda df, name: df.groupBy("t").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias(name))
-    lists = Counted.of(number(a, "na").join(number(b, "nb"), "t"), "lists")
+    number = lambda df, name: df.groupBy("t").agg(F.count(F.lit(1)).alias(name))
+    return a, b, Counted.of(number(a, "na").join(number(b, "nb"), "t"), "lists")
+
+
+def _round(a: DataFrame, b: DataFrame, lists: Counted, measure: str, k: int, within: float) -> DataFrame:
+    """(i, j, value): of each that asks up to k pairs within the distance from every list, all in all its k nearest; a row without j for each unit, with the pairs compared."""
     deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    pieces = F.col("na"), F.col("nb")
+    pieces = [F.ceil(F.col(n) / PIECE).cast("int").alias(n) for n in ("na", "nb")]
+    rows = lists.table.agg(F.sum(F.col("na") + F.col("nb"))).first()[0] or 0
+    bucket = F.pmod(F.xxhash64("t"), F.lit(max(partitions(a.sparkSession), rows // BUCKET))).alias("bucket")  # short lists share a task
     a = lists.joined(a, "t", *pieces).withColumn("p", deal("na")).withColumn("q", every("nb")).drop("na", "nb")
     b = lists.joined(b, "t", *pieces).withColumn("q", deal("nb")).withColumn("p", every("na")).drop("na", "nb")
-    return a.groupBy("t", "p", "q").cogroup(b.groupBy("t", "p", "q")).applyInArrow(trimmed_group(_compared(measure, k, within)), _FOUND)
+    a, b = (x.select(bucket, "p", "q", "t", "id", "pos", "s") for x in (a, b))
+    return a.groupBy("bucket", "p", "q").cogroup(b.groupBy("bucket", "p", "q")).applyInArrow(trimmed_group(_compared(measure, k, within)), _FOUND)
 
 
-def set_join(df: DataFrame, k: int, measure: str = "jaccard", id_col: str = "id", vec_col: str = "vec") -> tuple[DataFrame, DataFrame]:
+def set_join(df: DataFrame, k: int, measure: str = "jaccard", id_col: str = "id", vec_col: str = "vec", most: float = MOST) -> tuple[DataFrame, DataFrame]:
     """(i, j, value) of the k nearest other rows of each row, ties by id, as ``similarity_join`` gives it, and (within, asking, compared) of each round.
 
     Vectors, dense or sparse, count as the sets of their indices that aren't zero; ids are unique. Rows with a null id or vector take no part, vectors that
-    differ in length fail the query, and so do two empty sets for jaccard distances.
+    differ in length fail the query, and so do two empty sets for jaccard distances. Where the lists of a round hold more than ``most`` of the pairs of those that ask
+    with all, which is so if elements are common, all pairs are compared in blocks after all; the result is the same.
     """
     measure = measure_name(measure)
     if measure not in ("jaccard", "hamming"):
@@ -133,9 +150,15 @@ def set_join(df: DataFrame, k: int, measure: str = "jaccard", id_col: str = "id"
         while rounds[-1] < 2 * longest:
             rounds.append(rounds[-1] * 2)
     asking, done, told = sets.toDF(*sets.columns), None, []  # columns of its own
+    total = sets.count()
     for within in rounds:
-        found = materialize(_round(asking, sets, measure, k, within), "found")
-        n, compared = asking.count(), found.where("j is null").agg(F.sum("value")).first()[0] or 0.0
+        n = asking.count()
+        a, b, lists = _lists(asking, sets, measure, within)
+        if (lists.table.agg(F.sum(F.col("na").cast("double") * F.col("nb"))).first()[0] or 0.0) > most * n * total:
+            told.append((float("inf"), total, total * total))
+            return similarity_join(df, k, measure, id_col, vec_col), spark.createDataFrame(told, "within double, asking long, compared long")
+        found = materialize(_round(a, b, lists, measure, k, within), "found")
+        compared = found.where("j is null").agg(F.sum("value")).first()[0] or 0.0
         told.append((float(within), int(n), int(compared)))
         best = top_k(found.where("j is not null"), k)
         last = within == rounds[-1]

@@ -149,6 +149,9 @@ def _predicate(i) -> str:
 _SPARSE = f"e AS (SELECT vec_id AS id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CASE WHEN abs(x) > {PRESENT} THEN x ELSE CAST(0 AS DOUBLE) END) AS v, label FROM embeddings)"
 
 
+_HEAD = "e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[])[1:3] AS v, label FROM embeddings)"
+
+
 def _estimates() -> str:
     rows = ", ".join(_fold(_numbers(row), "v", "p[1] * p[2]") for row in CauchyProjection(64, SKETCH, seed=7).matrix)
     return f"""WITH {_vectors()}, s AS MATERIALIZED (SELECT id, v, [{rows}] AS s FROM e)
@@ -204,6 +207,9 @@ SELECT a.k AS i, b.k AS j, (a.lo <= b.lo AND a.hi >= b.hi) AS within FROM t a JO
         "cube_contains": f"WITH {_vectors()} SELECT a.id AS i, b.id AS j FROM e a JOIN e b ON a.id <> b.id WHERE " + " AND ".join(
             f"a.v[{d}] - 0.1::DOUBLE < b.v[{d}] - 0.04::DOUBLE AND b.v[{d}] + 0.04::DOUBLE < a.v[{d}] + 0.1::DOUBLE" for d in (1, 2, 3)),
         "index_leaf_sizes": _leaf_sizes(),
+        "leaf_partitions": f"SELECT CAST(leaf AS INTEGER) AS part, n, leaf AS first_leaf, leaf AS last_leaf FROM ({_leaf_sizes()})",
+        "cover_saved": _assign_1d("orders", "o_orderkey", "o_totalprice", 10, 0.1) + _listed("o_orderkey", "orders"),
+        "pipeline_clusters": f"{_SNN} SELECT id, cover_id, cluster_id FROM members",
         "knn_pred": _knn("euclidean", "WHERE a.v[1] * b.v[1] > 0"),
         "knn_sampled": _knn("euclidean", "WHERE (a.id * 2654435761 + 1) % 1000003 < CAST(0.5 AS DOUBLE) * 1000003"),
         "hadamard_transpose": f"""WITH {_vectors()}, n AS (SELECT id AS i, unnest(range(len(v))) AS j, unnest(v) AS value FROM e), z AS (SELECT * FROM n WHERE value <> 0)
@@ -214,7 +220,7 @@ SELECT a.i, a.j, a.value * b.value AS value FROM z a JOIN z b ON a.i = b.j AND a
         "core_edges": f"{_SNN} SELECT i, j FROM edges",
         "snn_components": f"{_SNN} SELECT vid, label FROM labels",
         "reeb_clusters": f"{_SNN} SELECT id, cover_id, cluster_id FROM members",
-        "reeb_leaf_clusters": f"{_SNN} SELECT id, cover_id, cluster_id FROM members",
+        "reeb_leaf_clusters": f"{_SNN} SELECT id, cover_id, cluster_id FROM members".replace(_vectors(), _HEAD),
         "mapper_nodes": f"""{_SNN} SELECT cluster_id, round((avg(lens) - (SELECT min(lens) FROM members)) / ((SELECT max(lens) FROM members) - (SELECT min(lens) FROM members)), 9) AS lens_mean,
   count(*) AS cardinality FROM members WHERE cluster_id >= 0 GROUP BY cluster_id""",
         "mapper_edges": f"""{_SNN} SELECT a.cluster_id AS src, b.cluster_id AS dst, count(*) AS cardinality FROM members a JOIN members b ON a.id = b.id AND a.cluster_id < b.cluster_id
@@ -243,6 +249,12 @@ near AS (SELECT i, j FROM l UNION SELECT j, i FROM l),
 reach AS (SELECT i AS v, i AS l FROM near UNION SELECT n.j, r.l FROM reach r JOIN near n ON n.i = r.v)
 SELECT v AS vertex, min(l) AS cluster_id FROM reach GROUP BY v""",
         "knn_sparse_euclidean": _knn("euclidean").replace(_vectors(), _SPARSE),
+        "basket_knn": """WITH s AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem), n AS (SELECT o, count(*) AS c FROM s GROUP BY o),
+shared AS MATERIALIZED (SELECT a.o AS i, b.o AS j, count(*) AS common FROM s a JOIN s b ON a.p = b.p AND a.o <> b.o GROUP BY 1, 2),
+low AS (SELECT o AS j FROM n ORDER BY o LIMIT 11),
+d AS (SELECT i, j, 1 - CAST(common AS DOUBLE) / CAST(x.c + y.c - common AS DOUBLE) AS value FROM shared JOIN n x ON x.o = i JOIN n y ON y.o = j
+  UNION ALL SELECT n.o, low.j, CAST(1 AS DOUBLE) FROM n JOIN low ON n.o <> low.j ANTI JOIN shared ON shared.i = n.o AND shared.j = low.j)
+SELECT i, j, value FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY value, j) AS n FROM d) WHERE n <= 5""",
         "l1_estimates": _estimates(),
         "pca_variance": _pca(),
         "kmeans_invariants": "SELECT count(*) AS n, 0::BIGINT AS misplaced, 0::BIGINT AS outside FROM embeddings",
@@ -252,7 +264,8 @@ SELECT v AS vertex, min(l) AS cluster_id FROM reach GROUP BY v""",
     }
     for m in MEASURES:
         out[f"dist_{m}"] = f"WITH {_vectors(m)} SELECT a.id AS i, b.id AS j, {_distance(m, 'a.v', 'b.v')} AS value FROM e a JOIN e b ON b.id = a.id + 1"
-        out[f"knn_{m}"] = out[f"leaf_knn_{m}"] = _knn(m)
+        out[f"knn_{m}"] = _knn(m)
+        out[f"leaf_knn_{m}"] = _knn(m).replace(_vectors(), _HEAD)
         out[f"dist_sparse_{m}"] = f"WITH {_SPARSE} SELECT a.id AS i, b.id AS j, {_distance(m, 'a.v', 'b.v')} AS value FROM e a JOIN e b ON b.id = a.id + 1"
     for m in ("jaccard", "hamming"):
         out[f"set_knn_{m}"] = _knn(m)

@@ -2,27 +2,31 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nervemap.functions.projection import CauchyProjection, GaussianProjection
-from nervemap.functions.sparse import as_sparse, sparse_distance
+from nervemap.functions.sparse import as_sparse, from_pairs, sparse_distance
 from nervemap.functions.vectors import MEASURES, binarized, distance
+from nervemap.ml import CoverStage, ReebStage
 from nervemap.operators import mapper as M
 from nervemap.operators.boxes import box_join, boxes
-from nervemap.operators.cover import Cover
+from nervemap.operators.cover import Cover, CoverModel
 from nervemap.operators.intervals import Interval
 from nervemap.operators.lsh import FAMILIES, Lsh, approx_similarity_join, avg_selectivity
 from nervemap.operators.matrix import hadamard, to_entries, transpose
 from nervemap.operators.metric_index import IndexParams, leaf_nearest, tree_nodes, with_leaves
 from nervemap.operators.neighbors import similarity_join
 from nervemap.operators.pca import principal_components
-from nervemap.operators.reeb import ReebDiagram, estimate_buffer_size, mean_radius
+from nervemap.operators.reeb import ReebDiagram, estimate_buffer_size, mean_radius, repartition_by_leaf
 from nervemap.operators.setjoin import set_join
-from nervemap.runtime import importable, materialize
+from nervemap.runtime import importable, materialize, remove, shared_dir
 
 #: Parameters of the Mapper queries.
 SPLITS, OVERLAP, K, LINK, CORE = 4, 0.5, 15, 0.3, 0.4
@@ -149,10 +153,18 @@ def _knn(measure: str):
     return lambda spark, sf_dir: similarity_join(_vectors(spark, sf_dir, measure), 5, measure)
 
 
+def _head(df: DataFrame) -> DataFrame:
+    """The vectors' first three components: in all 64 every leaf is about as near as any other."""
+    return df.withColumn("vec", F.slice("vec", 1, 3))
+
+
 def _leaf_knn(measure: str):
+    """By the metric index, on three components, or, where only supports count, on all of them."""
+
     def query(spark, sf_dir):
-        t = _vectors(spark, sf_dir, measure).select(F.lit("").alias("g"), "id", F.col("vec").alias("v"))
-        return leaf_nearest(t, 5, measure, params=LEAVES, most=float("inf")).select("i", "j", "value")
+        t = _vectors(spark, sf_dir, measure)
+        t = (t if measure in ("hamming", "jaccard") else _head(t)).select(F.lit("").alias("g"), "id", F.col("vec").alias("v"))
+        return leaf_nearest(t, 5, measure, params=LEAVES).select("i", "j", "value")
 
     return query
 
@@ -189,6 +201,13 @@ def _set_knn(measure: str):
     return lambda spark, sf_dir: set_join(_vectors(spark, sf_dir, measure), 5, measure)[0]
 
 
+def basket_knn(spark, sf_dir):
+    """The orders whose sets of parts are nearest to each order's, by the jaccard distance."""
+    parts = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.struct(F.col("l_partkey").cast("int").alias("i"), F.lit(1.0).alias("x")).alias("p")).distinct()
+    baskets = parts.groupBy("id").agg(F.collect_list("p").alias("p"))
+    return set_join(baskets.select("id", from_pairs((1 << 31) - 1, F.col("p")).alias("vec")), 5)[0]
+
+
 def l1_estimates(spark, sf_dir):
     """L1 distances of each vector to the next by Cauchy sketches of 31 numbers, which are written, beside the distances themselves."""
     made = CauchyProjection(64, SKETCH, seed=7)
@@ -219,6 +238,41 @@ def gmm_invariants(spark, sf_dir):
     return t.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs(total - 1) > 1e-6).alias("unbalanced"), F.count_if(F.get("q", F.col("cluster_id").cast("int") - 1) < F.array_max("q")).alias("misplaced"))
 
 
+def leaf_partitions(spark, sf_dir):
+    """Rows of each partition of the vectors dealt by those leaves."""
+    t = _vectors(spark, sf_dir).select(F.col("label").cast("string").alias("g"), "id", F.col("vec").alias("v"))
+    nodes = tree_nodes(t, "euclidean", IndexParams(target=1, leaf_size=LEAF_SIZE, candidates=0))
+    dealt = repartition_by_leaf(with_leaves(t, nodes, "euclidean", F.col("g"), F.col("v")), "leaf", nodes.where("leaf is not null").count())
+    return dealt.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("leaf").alias("first_leaf"), F.max("leaf").alias("last_leaf"))
+
+
+def _folder(spark, name: str) -> str:
+    path = f"{shared_dir(spark).rstrip('/')}/nervemap-{name}-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path
+
+
+def cover_saved(spark, sf_dir):
+    """The cover of ``cover_assign_array``, its parameters and its ranges written and read again."""
+    t = _table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    plain, fitted = _folder(spark, "cover"), _folder(spark, "cover-model")
+    Cover(["o_totalprice"]).save(plain)
+    Cover.load(plain).fit(t).save(fitted)
+    return CoverModel.load(fitted).transform(t).select("o_orderkey", _list())
+
+
+def pipeline_clusters(spark, sf_dir):
+    """``reeb_clusters`` by a pipeline of a cover and a Reeb diagram that was fitted, saved and loaded."""
+    t = _vectors(spark, sf_dir).withColumn("lens", F.get("vec", F.lit(0)))
+    stages = [
+        CoverStage(inputCols=["lens"], outputCol="cover_id", numSplits=SPLITS, overlapRatio=OVERLAP, exploding=True, idCol="id"),
+        ReebStage(featuresCol="vec", k=K, linkThresholdRatio=LINK, coreThresholdRatio=CORE, topTreeSize=100, bufferSize=0.0),
+    ]
+    path = _folder(spark, "pipeline")
+    Pipeline(stages=stages).fit(t).write().save(path)
+    return PipelineModel.load(path).transform(t).select("id", "cover_id", "cluster_id")
+
+
 def knn_pred(spark, sf_dir):
     return similarity_join(_vectors(spark, sf_dir), 5, pred=lambda a, b: a[..., 0] * b[..., 0] > 0)
 
@@ -294,9 +348,8 @@ def reeb_clusters(spark, sf_dir):
 
 
 def reeb_leaf_clusters(spark, sf_dir):
-    """The same by a fitted model, whose trees and buffer find the neighbours."""
-    points, n = _points(spark, sf_dir)
-    points = materialize(points, "cells")
+    """Clusters of the vectors' first three components by a fitted model, whose trees and buffer find the neighbours."""
+    points = materialize(_head(_points(spark, sf_dir)[0]), "cells")
     return replace(_reeb(), search="leaves").fit(points).transform(points).select("id", "cover_id", "cluster_id")
 
 
@@ -351,7 +404,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = [
         mapper_nodes, mapper_edges, mapper_labels, reeb_clusters, reeb_leaf_clusters, snn_components, core_edges, snn_density, snn_similarity, mutual_knn,
         cover_fit_minmax, cover_cubes_1d, cover_cubes_2d, cover_assign_array, cover_assign_2d, cover_assign_vector, cover_explode_count, cover_population_2d, cover_closed,
-        interval_contains, interval_intersects, cube_intersects, cube_contains, index_leaf_sizes, knn_sparse_euclidean, l1_estimates, pca_variance, kmeans_invariants, gmm_invariants, knn_pred, knn_sampled, hadamard_transpose, remove_noise, relabelled, radius_by_label, buffer_size, snn_join_clusters, baseline_kmeans, baseline_gmm,
+        interval_contains, interval_intersects, cube_intersects, cube_contains, index_leaf_sizes, leaf_partitions, cover_saved, pipeline_clusters, knn_sparse_euclidean, basket_knn, l1_estimates, pca_variance, kmeans_invariants, gmm_invariants, knn_pred, knn_sampled, hadamard_transpose, remove_noise, relabelled, radius_by_label, buffer_size, snn_join_clusters, baseline_kmeans, baseline_gmm,
     ]
     out = {f.__name__: f for f in plain}
     out |= {f"dist_{m}": _distances(m) for m in MEASURES} | {f"knn_{m}": _knn(m) for m in MEASURES}

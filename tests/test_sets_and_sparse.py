@@ -72,7 +72,7 @@ def test_set_join(spark, measure, piece, monkeypatch):
     rows += [(200, np.eye(300)[299].tolist()), (201, np.zeros(300).tolist()), (202, None), (None, np.ones(300).tolist()), (203, np.ones(300).tolist()), (204, rows[0][1])]
     df = spark.createDataFrame(rows, "id long, vec array<double>").repartition(3)
     want = Counter(map(tuple, similarity_join(df, 5, measure).collect()))
-    found, told = S.set_join(df, 5, measure)
+    found, told = S.set_join(df, 5, measure, most=9.0)
     assert Counter(map(tuple, found.collect())) == want
     told = told.collect()
     assert told[0]["asking"] == 94 and told[-1]["asking"] < 30
@@ -85,7 +85,13 @@ def test_few_pairs_of_rare_elements_are_compared(spark):
     pairs = lambda i: [(int(x), 1.0) for x in {*(40 * (i // 8) + draw.choice(40, 20, replace=False)).tolist(), 99_990 + int(draw.integers(0, 10))}]
     df = spark.createDataFrame([(i, pairs(i)) for i in range(2000)], "id long, p array<struct<i:int,x:double>>").select("id", from_pairs(100_000, F.col("p")).alias("vec"))
     found, told = S.set_join(df, 3)
-    assert found.count() == 6000 and sum(r["compared"] for r in told.collect()) < 0.08 * 2000 * 2000
+    assert max(r["within"] for r in told.collect()) < 2 and found.count() == 6000 and sum(r["compared"] for r in told.collect()) < 0.08 * 2000 * 2000
+
+
+def test_common_elements_are_compared_in_blocks(table):
+    found, told = S.set_join(table, 4, "hamming", most=0.2)
+    assert Counter(map(tuple, found.collect())) == Counter(map(tuple, similarity_join(table, 4, "hamming").collect()))
+    assert told.collect()[-1]["within"] == float("inf")
 
 
 def test_odd_sets(spark):
