@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nervemap.llm.hmm import Counts, HiddenMarkov
-from nervemap.runtime import materialize, trimmed, trimmed_group
+from nervemap.runtime import materialize, partitions, trimmed, trimmed_group
 
 #: Classes of words; one more is the end of a text.
 CLASSES = 4096
@@ -215,7 +215,10 @@ def score_texts(
     model, _ = train(blocks, frequency / max(1.0, frequency.sum()), states, rounds, seed)
     asked = blocks.select("bundle", "names").mapInArrow(trimmed(_asked), "bundle long, name long")
     told = asked.join(vocabulary, "name").select("bundle", "name", "n")
-    rows = blocks.select("bundle", "ids", "held", "sizes", "tokens", "names")
+    # a bundle is of bounded size, so as many partitions as there are bundles twice over bound a task, however many texts there are
+    n = max(partitions(docs.sparkSession), 2 * blocks.select("bundle").distinct().count())
+    rows = blocks.select("bundle", "ids", "held", "sizes", "tokens", "names").repartition(n, "bundle")
+    told = told.repartition(n, "bundle")
     run = _scores(model, n_class, v_class, int(ends))
     out = rows.groupBy("bundle").cogroup(told.groupBy("bundle")).applyInArrow(trimmed_group(run), f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, train_tokens long")
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
