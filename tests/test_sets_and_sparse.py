@@ -72,7 +72,7 @@ def test_set_join(spark, measure, piece, monkeypatch):
     rows += [(200, np.eye(300)[299].tolist()), (201, np.zeros(300).tolist()), (202, None), (None, np.ones(300).tolist()), (203, np.ones(300).tolist()), (204, rows[0][1])]
     df = spark.createDataFrame(rows, "id long, vec array<double>").repartition(3)
     want = Counter(map(tuple, similarity_join(df, 5, measure).collect()))
-    found, told = S.set_join(df, 5, measure, most=9.0)
+    found, told = S.set_join(df, 5, measure, most=float("inf"))
     assert Counter(map(tuple, found.collect())) == want
     told = told.collect()
     assert told[0]["asking"] == 94 and told[-1]["asking"] < 30
