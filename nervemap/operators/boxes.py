@@ -12,14 +12,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Literal
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nervemap.operators.intervals import Cube, Interval
-from nervemap.runtime import importable, materialize
+from nervemap.runtime import importable, materialize, partitions, trimmed_group
 
 #: Bins of the finest level at most (a power of two); boxes of a bin, and rows of a piece, that are aimed at.
-BINS, PER_BIN, PIECE = 4096, 64, 8192
+BINS, PER_BIN, PIECE = 4096, 64, 4096
+#: Rows of a piece that meet the other piece at once; pairs of a partition of units, and partitions at most.
+ROWS_AT_ONCE, PAIRS, MOST_PARTITIONS = 256, 1 << 24, 4096
 _SCHEMA = "id long, lo array<double>, hi array<double>, lo_closed array<boolean>, hi_closed array<boolean>"
 Relation = Literal["intersects", "contains"]
 
@@ -48,22 +54,52 @@ def interval_table(spark: SparkSession, intervals: Sequence[Interval]) -> DataFr
     return cube_table(spark, [Cube(i, (x,)) for i, x in enumerate(intervals)])
 
 
-def _sides(a: str, b: str, test) -> Column:
-    """``test`` of each dimension's (lower end, its flag, upper end, its flag) of both."""
-    side = lambda t: F.arrays_zip(*(F.col(f"{t}.{c}").alias(c) for c in ("lo", "lo_closed", "hi", "hi_closed")))
-    return F.forall(F.zip_with(side(a), side(b), test), lambda x: x)
+def _ends(sides: int) -> list[Column]:
+    """A box's ends and flags as columns of their own, which tasks compare as arrays; lists would be walked for each pair."""
+    return [F.get(c, F.lit(d)).alias(f"{c}{d}") for d in range(sides) for c in ("lo", "lo_closed", "hi", "hi_closed")]
 
 
-def _meets(p: Column, q: Column) -> Column:
-    def below(lo, lo_closed, hi, hi_closed):
-        return lo.isNull() | hi.isNull() | F.when(lo_closed & hi_closed, lo <= hi).otherwise(lo < hi)
+def _within(x: np.ndarray, y: np.ndarray, touching: np.ndarray | bool, always: np.ndarray) -> np.ndarray:
+    """x below y, or equal where ``touching``, or ``always``; all broadcast."""
+    out = x <= y if touching is True else x < y if touching is False else (x < y) | ((x == y) & touching)
+    return out | always if always.any() else out
 
-    return below(p["lo"], p["lo_closed"], q["hi"], q["hi_closed"]) & below(q["lo"], q["lo_closed"], p["hi"], p["hi_closed"])
 
+def _alike(x: np.ndarray, y: np.ndarray, both) -> np.ndarray | bool:
+    """``both`` of two columns of flags, by row and column; one flag if either column has one only."""
+    if len(x) and len(y) and (x == x[0]).all() and (y == y[0]).all():
+        return bool(both(x[0], y[0]))
+    return both(x[:, None], y[None, :])
 
-def _holds(p: Column, q: Column) -> Column:
-    low = p["lo"].isNull() | (q["lo"].isNotNull() & F.when(q["lo_closed"] & ~p["lo_closed"], p["lo"] < q["lo"]).otherwise(p["lo"] <= q["lo"]))
-    high = p["hi"].isNull() | (q["hi"].isNotNull() & F.when(q["hi_closed"] & ~p["hi_closed"], p["hi"] > q["hi"]).otherwise(p["hi"] >= q["hi"]))
+
+class _Side:
+    """One dimension of boxes: its ends, whether they are closed, and where there are none."""
+
+    def __init__(self, table: pa.Table, d: int):
+        ends = {c: table[f"{c}{d}"] for c in ("lo", "hi")}
+        self.lo, self.hi = (pc.fill_null(ends[c], x).to_numpy() for c, x in (("lo", -np.inf), ("hi", np.inf)))
+        self.no_lo, self.no_hi = (pc.is_null(ends[c]).to_numpy() for c in ("lo", "hi"))
+        self.lo_closed, self.hi_closed = (table[f"{c}{d}"].to_numpy(zero_copy_only=False).astype(bool) for c in ("lo_closed", "hi_closed"))
+
+    def part(self, at: slice) -> _Side:
+        out = object.__new__(_Side)
+        out.__dict__ = {k: v[at] for k, v in self.__dict__.items()}
+        return out
+
+
+def _meets(p: _Side, q: _Side) -> np.ndarray:
+    below = _within(p.lo[:, None], q.hi[None, :], _alike(p.lo_closed, q.hi_closed, lambda x, y: x & y), p.no_lo[:, None] | q.no_hi[None, :])
+    above = _within(q.lo[None, :], p.hi[:, None], _alike(p.hi_closed, q.lo_closed, lambda x, y: x & y), q.no_lo[None, :] | p.no_hi[:, None])
+    return below & above
+
+
+def _holds(p: _Side, q: _Side) -> np.ndarray:
+    low = _within(p.lo[:, None], q.lo[None, :], _alike(p.lo_closed, q.lo_closed, lambda x, y: x | ~y), p.no_lo[:, None] & np.ones(len(q.lo), bool))
+    high = _within(q.hi[None, :], p.hi[:, None], _alike(p.hi_closed, q.hi_closed, lambda x, y: x | ~y), p.no_hi[:, None] & np.ones(len(q.lo), bool))
+    if q.no_lo.any():
+        low &= p.no_lo[:, None] | ~q.no_lo[None, :]
+    if q.no_hi.any():
+        high &= p.no_hi[:, None] | ~q.no_hi[None, :]
     return low & high
 
 
@@ -100,8 +136,8 @@ def _cuts(both: DataFrame, dim: int, n: int) -> list[float]:
     return sorted(got) if got else []
 
 
-def _rows(df: DataFrame, dim: int, cuts: list[float]) -> DataFrame:
-    """A box's rows: level, bin, first (bin of its lower end there), lives."""
+def _rows(df: DataFrame, dim: int, cuts: list[float], sides: int) -> DataFrame:
+    """A box's rows: level, bin, first (bin of its lower end there), lives; its ends in columns, and a hash that deals it."""
     top = (len(cuts) + 1).bit_length() - 1
     lo, hi = F.get("lo", F.lit(dim)), F.get("hi", F.lit(dim))
     placed = df.withColumns({"_a": F.when(lo.isNull(), 0).otherwise(_bin(lo, cuts)), "_b": F.when(hi.isNull(), len(cuts)).otherwise(_bin(hi, cuts))})
@@ -109,17 +145,52 @@ def _rows(df: DataFrame, dim: int, cuts: list[float]) -> DataFrame:
     home = F.coalesce(*(F.when(wide(level) <= 1, F.lit(level)) for level in range(top + 1)))
     levels = placed.withColumn("_home", home).withColumn("level", F.explode(F.sequence("_home", F.lit(top))))
     first, last = F.expr("shiftright(_a, level)"), F.expr("shiftright(_b, level)")
-    return levels.withColumns({"first": first, "lives": F.col("level") == F.col("_home")}).withColumn("bin", F.explode(F.sequence("first", last))).drop("_a", "_b", "_home")
-
-
-def _met(living: DataFrame, asking: DataFrame, test: Column, greatest: Column) -> DataFrame:
-    """Pairs of a row that lives in a bin and one that asks there; a bin's rows that ask are dealt into pieces, each of which meets those that live there."""
+    placed = levels.withColumns({"first": first, "lives": F.col("level") == F.col("_home")}).withColumn("bin", F.explode(F.sequence("first", last)))
+    return placed.select("id", "level", "bin", "first", "lives", F.xxhash64("id", "lo").alias("deal"), *_ends(sides))
+
+
+def _compared(test, sides: int, turned: bool):
+    """Ids of the pairs of a unit: of boxes that live in a bin and boxes that ask there, those that meet first in this bin and pass the test."""
+
+    def run(living: pa.Table, asking: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        if living.num_rows and asking.num_rows:
+            here = living["bin"][0].as_py()
+            a, b = ([_Side(t, d) for d in range(sides)] for t in (living, asking))
+            first_a, first_b = (t["first"].to_numpy() == here for t in (living, asking))
+            for lo in range(0, living.num_rows, ROWS_AT_ONCE):
+                at = slice(lo, lo + ROWS_AT_ONCE)
+                good = first_a[at][:, None] | first_b[None, :]
+                for p, q in zip(a, b, strict=True):
+                    p = p.part(at)
+                    good &= test(q, p).T if turned else test(p, q)
+                x, y = np.nonzero(good)
+                found.append((x + lo, y))
+        x, y = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        i, j = living["id"].take(pa.array(x)), asking["id"].take(pa.array(y))
+        return pa.table([j, i] if turned else [i, j], ["i", "j"])
+
+    return run
+
+
+def _met(living: DataFrame, asking: DataFrame, relation: Relation, sides: int, turned: bool) -> DataFrame:
+    """Pairs of a row that lives in a bin and one that asks there. Both are dealt into pieces, and two pieces are a unit of work, whose pairs are held against each other as arrays."""
     key = ["level", "bin"]
+    number = lambda df, name: df.groupBy(*key).agg(F.count(F.lit(1)).alias(name))
     # as many rows as there are bins at most
-    pieces = F.broadcast(materialize(asking.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces")), "bins"))
-    a = living.join(pieces, key).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
-    b = asking.join(pieces, key).withColumn("piece", F.pmod(F.xxhash64("id", "lo"), F.col("pieces")).cast("int")).drop("pieces")
-    return a.alias("a").join(b.alias("b"), [*key, "piece"]).where(greatest & test).select(F.col("a.id").alias("_x"), F.col("b.id").alias("_y"))
+    counts = materialize(number(living, "na").join(number(asking, "nb"), key), "bins")
+    pairs = counts.agg(F.sum(F.col("na").cast("double") * F.col("nb"))).first()[0] or 0.0
+    n = min(MOST_PARTITIONS, max(partitions(living.sparkSession), int(pairs / PAIRS)))
+    counts = F.broadcast(counts.select(*key, *(F.ceil(F.col(c) / PIECE).cast("int").alias(c) for c in ("na", "nb"))))
+    deal = lambda c: F.pmod("deal", F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    a = living.join(counts, key).withColumn("p", deal("na")).withColumn("q", every("nb"))
+    b = asking.join(counts, key).withColumn("q", deal("nb")).withColumn("p", every("na"))
+    unit = [*key, "p", "q"]
+    a, b = (x.drop("na", "nb", "deal", "lives").repartition(n, *unit) for x in (a, b))
+    ids = [b.schema["id"], a.schema["id"]] if turned else [a.schema["id"], b.schema["id"]]
+    kinds = T.StructType([T.StructField(c, f.dataType) for c, f in zip("ij", ids, strict=True)])
+    return a.groupBy(*unit).cogroup(b.groupBy(*unit)).applyInArrow(trimmed_group(_compared(_TESTS[relation], sides, turned)), kinds)
 
 
 def box_join(left: DataFrame, right: DataFrame, relation: Relation = "intersects", dim: int | None = None) -> DataFrame:
@@ -138,12 +209,10 @@ def box_join(left: DataFrame, right: DataFrame, relation: Relation = "intersects
     n, sides = both.agg(F.count(F.lit(1)), F.max(F.size("lo"))).first()
     dim = _narrowest(both, sides or 0) if dim is None else dim
     cuts = _cuts(both, dim, n) if sides else []
-    rows_l, rows_r = (_rows(df.where(F.size("lo") == (sides or 0)), dim, cuts) for df in (left, right))
-    test = _sides("a", "b", _TESTS[relation])
-    turned = _sides("b", "a", _TESTS[relation])
-    here = F.col("bin") == F.greatest("a.first", "b.first")
-    one = _met(rows_l.where("lives"), rows_r, test, here).select(F.col("_x").alias("i"), F.col("_y").alias("j"))
-    two = _met(rows_r.where("lives"), rows_l.where("not lives"), turned, here).select(F.col("_y").alias("i"), F.col("_x").alias("j"))
+    sides = sides or 0
+    rows_l, rows_r = (_rows(df.where(F.size("lo") == sides), dim, cuts, sides) for df in (left, right))
+    one = _met(rows_l.where("lives"), rows_r, relation, sides, False)
+    two = _met(rows_r.where("lives"), rows_l.where("not lives"), relation, sides, True)
     return one.unionByName(two)
 
 

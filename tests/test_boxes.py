@@ -80,3 +80,17 @@ def test_no_product_in_the_plan(spark):
     t = B.cube_table(spark, cubes(40, 2, 5))
     plan = B.box_join(t, t)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("relation", ["intersects", "contains"])
+def test_wide_boxes_are_compared_as_arrays(spark, relation, monkeypatch):
+    """Boxes a quarter as wide as all of them share most bins: both sides of a bin are dealt, and no pair of rows reaches a condition of a join."""
+    monkeypatch.setattr(B, "PIECE", 200)
+    x = np.random.default_rng(8).normal(0, 1, (700, 2))
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id long, x double, y double")
+    at = lambda r: B.boxes(df, "id", [F.col("x") - r, F.col("y") - r], [F.col("x") + r, F.col("y") + r], (True, False))
+    got = B.box_join(at(0.5), at(0.25), relation)
+    d = np.abs(x[:, None, :] - x[None, :, :]).max(axis=2)
+    assert found(got) == Counter(zip(*(c.tolist() for c in np.nonzero(d < 0.75 if relation == "intersects" else d <= 0.25))))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "zip_with" not in plan
