@@ -201,3 +201,32 @@ def test_forest_and_partitions():
     for bad in (-1, p.num_partitions, "x"):
         with pytest.raises(ValueError):
             p.partition(bad)
+
+
+def test_units_are_few_and_dealt(spark):
+    """A point goes to as many units as its group has blocks, which large ones have few of; units go to more partitions as they grow, whatever the session has."""
+    points = spark.range(60_000).select(F.lit("").alias("g"), "id")
+    met = N.in_units(points, 20_000)
+    assert met.count() == 60_000 * N.FEW and met.rdd.getNumPartitions() == 60_000 * N.FEW // N.ROWS > 4
+    assert N.in_units(points).select("l", "r").distinct().count() == 30 * 31 // 2
+
+
+@pytest.mark.parametrize("measure", list(MEASURES))
+def test_tiles_of_a_unit(measure, monkeypatch):
+    """Tile after tile, both directions: what all distances of the unit give, with copies and near copies."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(N, "TILE", (17, 23))
+    draw = np.random.default_rng(2)
+    v = draw.normal(0, 1, (120, 9))
+    v[20:50], v[60:80] = v[5], v[6] * (1 + 1e-16 * np.arange(20))[:, None]
+    if measure in ("hamming", "jaccard"):
+        v = (v > 0.3) + 0.0
+        v[:, 0] = 1
+    ids, side, chosen = draw.permutation(120), draw.integers(0, 2, 120), draw.random(120) < 0.7
+    got = N._unit(4, measure, False, False, None)(pa.table({"g": ["a"] * 120, "id": ids, "side": side, "picked": chosen, "v": v.tolist()}))
+    d, want = pairwise(measure, v, v), []
+    for a in range(120):
+        near = sorted((d[a, b], ids[b]) for b in np.flatnonzero(side != side[a]) if (chosen[a] if ids[a] < ids[b] else chosen[b]))
+        want += [(ids[a], j, x) for x, j in near[:4]]
+    assert Counter(zip(*(got[c].to_pylist() for c in ("i", "j", "value")))) == Counter(want)
