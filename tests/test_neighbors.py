@@ -230,3 +230,16 @@ def test_tiles_of_a_unit(measure, monkeypatch):
         near = sorted((d[a, b], ids[b]) for b in np.flatnonzero(side != side[a]) if (chosen[a] if ids[a] < ids[b] else chosen[b]))
         want += [(ids[a], j, x) for x, j in near[:4]]
     assert Counter(zip(*(got[c].to_pylist() for c in ("i", "j", "value")))) == Counter(want)
+
+
+def test_visits_are_counted_before_they_are_made(spark, monkeypatch):
+    """Where blocks are compared after all, no row of a visit was made, with a vector for each leaf; the count is that of the rows."""
+    v, g = _groups("hamming")
+    df = spark.createDataFrame([(str(a), i, x.tolist()) for i, (a, x) in enumerate(zip(g, v))], "g string, id long, v array<double>")
+    params = X.IndexParams(target=12, leaf_size=4, sub_leaf_size=3)
+    index = X.MetricIndex.of(df, 4, "hamming", params)
+    asked = index.points.withColumns({"past": F.lit(-1.0), "reach": F.lit(3.0)})
+    assert index.number_of_visits(asked)[0] == index.visits(asked).count()
+    monkeypatch.setattr(X.MetricIndex, "visits", lambda *_: pytest.fail("visits were made"))
+    want = Counter(map(tuple, N.nearest(df.withColumn("picked", F.lit(True)), 4, "hamming").collect()))
+    assert Counter(map(tuple, leaf_nearest(df, 4, "hamming", params=params, most=0.0).collect())) == want
