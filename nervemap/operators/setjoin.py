@@ -28,13 +28,15 @@ PIECE = 2048
 BUCKET = 20_000
 #: Jaccard distances of the rounds; the last one is all that share an element.
 DISTANCES = (0.2, 0.5, 0.8, 1.0)
+#: Pairs of a set in all its lists, on average, and share of all pairs, up to which there is one round: comparing costs less than sending sets to more of them.
+SHORT, SHORT_SHARE = 512, 0.001
 #: The element that all sets hold, for hamming distances.
 _ALL = (1 << 63) - 1
 _FOUND = "i long, j long, value double"
 
 
-def _ordered(df: DataFrame, id_col: str, vec_col: str, measure: str) -> DataFrame:
-    """(id, n, s): a set's elements, the rarest first."""
+def _ordered(df: DataFrame, id_col: str, vec_col: str, measure: str) -> tuple[DataFrame, float]:
+    """(id, n, s): a set's elements, the rarest first; and how many pairs stand in the lists of all elements."""
     kind = df.schema[vec_col].dataType
     own = F.col(vec_col)["indices"] if is_sparse(kind) else support(as_array(df, vec_col))
     size = F.col(vec_col)["size"] if is_sparse(kind) else F.size(vec_col)
@@ -51,7 +53,8 @@ def _ordered(df: DataFrame, id_col: str, vec_col: str, measure: str) -> DataFram
     full = lists.select("id", F.transform("x", lambda p: p["t"]).alias("s")).unionByName(rows.where(F.size("s") == 0).select("id", "s"))
     if measure == "hamming":
         full = full.withColumn("s", F.concat("s", F.array(F.lit(_ALL))))
-    return materialize(full.select("id", F.size("s").alias("n"), "s"), "ordered-sets")
+    pairs = counts.agg(F.sum(F.col("c").cast("double") * F.col("c"))).first()[0] or 0.0
+    return materialize(full.select("id", F.size("s").alias("n"), "s"), "ordered-sets"), pairs
 
 
 def _prefix(measure: str, within: float) -> Column:
@@ -142,7 +145,7 @@ def set_join(df: DataFrame, k: int, measure: str = "jaccard", id_col: str = "id"
     if k < 1:
         raise ValueError("k must be positive")
     spark = importable(df.sparkSession)
-    sets = _ordered(df, id_col, vec_col, measure)
+    sets, pairs = _ordered(df, id_col, vec_col, measure)
     longest = sets.agg(F.max("n")).first()[0] or 0
     rounds = list(DISTANCES)
     if measure == "hamming":
@@ -151,6 +154,8 @@ def set_join(df: DataFrame, k: int, measure: str = "jaccard", id_col: str = "id"
             rounds.append(rounds[-1] * 2)
     asking, done, told = sets.toDF(*sets.columns), None, []  # columns of its own
     total = sets.count()
+    if measure == "jaccard" and pairs <= min(SHORT * total, SHORT_SHARE * total * total):
+        rounds = rounds[-1:]  # rounds that settle few would send all sets again
     for within in rounds:
         n = asking.count()
         a, b, lists = _lists(asking, sets, measure, within)

@@ -125,3 +125,14 @@ def test_lines_keep_their_places(spark, tmp_path):
     assert [(r["id"], r["label"], r["features"]["indices"], r["features"]["values"]) for r in got] == [(0, 7, [0, 2], [1.5, 3.0]), (1, 5, [1], [2.0])]
     dense = read_labelled(spark, str(tmp_path / "l"), 3, in_place=True).orderBy("id").collect()
     assert [tuple(r) for r in dense] == [(0, 7, [1.5, 0.0, 3.0]), (1, 5, [0.0, 2.0, 0.0])]
+
+
+def test_short_lists_take_one_round(spark, monkeypatch):
+    """Sets of rare elements that are seldom near: all their lists hold few pairs, so that sets are sent once."""
+    monkeypatch.setattr(S, "SHORT_SHARE", 0.2)
+    draw = np.random.default_rng(7)
+    rows = [(i, [(int(x), 1.0) for x in draw.choice(300, 4, replace=False)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, p array<struct<i:int,x:double>>").select("id", from_pairs(300, F.col("p")).alias("vec"))
+    found, told = S.set_join(df, 3)
+    assert [(r["within"], r["asking"]) for r in told.collect()] == [(1.0, 300)]
+    assert Counter(map(tuple, found.collect())) == Counter(map(tuple, similarity_join(df, 3, "jaccard").collect()))
