@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import nervemap.operators.metric_index as X
 import nervemap.operators.neighbors as N
+import nervemap.runtime as R
 from nervemap.functions.vectors import MEASURES, pairwise
 from nervemap.operators.lsh import FAMILIES, Lsh, approx_similarity_join, avg_selectivity
 from nervemap.operators.matrix import hadamard, to_entries, to_rows, transpose
@@ -243,3 +244,13 @@ def test_visits_are_counted_before_they_are_made(spark, monkeypatch):
     monkeypatch.setattr(X.MetricIndex, "visits", lambda *_: pytest.fail("visits were made"))
     want = Counter(map(tuple, N.nearest(df.withColumn("picked", F.lit(True)), 4, "hamming").collect()))
     assert Counter(map(tuple, leaf_nearest(df, 4, "hamming", params=params, most=0.0).collect())) == want
+
+
+def test_found_rows_are_dealt_by_their_number(spark, table, monkeypatch):
+    """What a task ranks doesn't grow with the table: partitions do, beyond those of the session."""
+    monkeypatch.setattr(R, "TASK_BYTES", 1024)
+    monkeypatch.setattr(N, "BLOCK", 7)
+    got = N.similarity_join(table, 3)
+    blocks = -(-40 // 7)
+    assert got.rdd.getNumPartitions() == 40 * blocks * 3 * N.FOUND_BYTES // 1024 > R.partitions(spark)
+    assert rows(got) == brute(pairwise("euclidean", VECTORS, VECTORS), 3)
