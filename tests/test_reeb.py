@@ -5,10 +5,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import nervemap.runtime as R
 from nervemap.functions.vectors import pairwise
 from nervemap.operators import mapper as M
 from nervemap.operators.graph import connected_components
-from nervemap.operators.reeb import ReebDiagram, buffer_size, estimate_buffer_size, mean_radius, repartition_by_leaf
+from nervemap.operators.reeb import PAIR_BYTES, ReebDiagram, buffer_size, estimate_buffer_size, mean_radius, repartition_by_leaf
 from nervemap.operators.vptree import VPTree
 from nervemap.runtime import numbered
 from nervemap.sources.points import read_labelled, read_points, to_gexf, write_tsv
@@ -258,3 +259,15 @@ def test_components_of_any_shape(spark, finish, monkeypatch):
     names = df.where("src < 150").selectExpr("concat('v', lpad(src, 4, '0')) AS src", "concat('v', lpad(dst, 4, '0')) AS dst")
     got = {r["vertex"]: r["component"] for r in connected_components(names).collect()}
     assert got == {f"v{v:04d}": f"v{c:04d}" for v, c in want.items() if v < 150}
+
+
+def test_graph_is_dealt_by_its_pairs(spark, monkeypatch):
+    """Joins of neighbours get partitions by the number of pairs, beyond those of the session; the graph is the one by definition, with a point that all have for a neighbour."""
+    monkeypatch.setattr(R, "TASK_BYTES", 1024)
+    draw, k = np.random.default_rng(8), 4
+    own = {i: {i, 0} | set(draw.choice(50, k - 2, replace=False).tolist()) for i in range(50)}
+    pairs = spark.createDataFrame([(i, j) for i, js in own.items() for j in js], "i long, j long")
+    got = ReebDiagram(k=k).graph(pairs)
+    assert got.rdd.getNumPartitions() == pairs.count() * (PAIR_BYTES + 8 * k) // 1024 > R.partitions(spark)
+    want = {(i, j, len(own[i] & own[j])) for i in own for j in own[i] if i in own[j]}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
