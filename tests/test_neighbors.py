@@ -254,3 +254,20 @@ def test_found_rows_are_dealt_by_their_number(spark, table, monkeypatch):
     blocks = -(-40 // 7)
     assert got.rdd.getNumPartitions() == 40 * blocks * 3 * N.FOUND_BYTES // 1024 > R.partitions(spark)
     assert rows(got) == brute(pairwise("euclidean", VECTORS, VECTORS), 3)
+
+
+def test_leaf_search_is_dealt_by_its_number(spark, monkeypatch):
+    """Points that meet a tree, and visits that meet a leaf, go to partitions by their number, beyond those of the session; the result is the same."""
+    monkeypatch.setattr(X, "MEET", 9)
+    monkeypatch.setattr(X, "ROWS", 16)
+    v, g = _groups("euclidean")
+    df = spark.createDataFrame([(str(a), i, x.tolist()) for i, (a, x) in enumerate(zip(g, v))], "g string, id long, v array<double>")
+    params = X.IndexParams(target=12, leaf_size=4, sub_leaf_size=3)
+    index = X.MetricIndex.of(df, 4, "euclidean", params)
+    visits = index.visits(index.points.withColumns({"past": F.lit(-1.0), "reach": F.lit(0.5)}))
+    assert visits.rdd.getNumPartitions() == len(v) // 9 > R.partitions(spark)
+    units = index.units(visits)
+    sent = sum(r["nc"] + r["nv"] for r in units.table.collect())
+    assert index.looked(visits, units, False).rdd.getNumPartitions() == sent // 16 > R.partitions(spark)
+    want = Counter(map(tuple, N.nearest(df.withColumn("picked", F.lit(True)), 4).collect()))
+    assert Counter(map(tuple, leaf_nearest(df, 4, params=params, most=float("inf")).collect())) == want
