@@ -256,6 +256,25 @@ def test_found_rows_are_dealt_by_their_number(spark, table, monkeypatch):
     assert rows(got) == brute(pairwise("euclidean", VECTORS, VECTORS), 3)
 
 
+def test_found_rows_stay_apart(spark, table, monkeypatch):
+    """What would fill more than one task isn't merged into one because it is small when compressed, where the session has partitions enough."""
+    monkeypatch.setattr(R, "TASK_BYTES", 40 * 3 * N.FOUND_BYTES // 2)
+    got = N.similarity_join(table, 3)
+    assert 1 < 40 * 3 * N.FOUND_BYTES // R.TASK_BYTES < R.partitions(spark)
+    assert got.rdd.getNumPartitions() == R.partitions(spark)
+    assert rows(got) == brute(pairwise("euclidean", VECTORS, VECTORS), 3)
+
+
+def test_points_that_meet_a_tree_stay_apart(spark, monkeypatch):
+    """The same of points that meet their group's tree, and of visits."""
+    v, g = _groups("euclidean")
+    df = spark.createDataFrame([(str(a), i, x.tolist()) for i, (a, x) in enumerate(zip(g, v))], "g string, id long, v array<double>")
+    monkeypatch.setattr(X, "MEET", len(v) // 2)
+    index = X.MetricIndex.of(df, 4, "euclidean", X.IndexParams(target=12, leaf_size=4, sub_leaf_size=3))
+    visits = index.visits(index.points.withColumns({"past": F.lit(-1.0), "reach": F.lit(0.5)}))
+    assert visits.rdd.getNumPartitions() == R.partitions(spark) > 2
+
+
 def test_leaf_search_is_dealt_by_its_number(spark, monkeypatch):
     """Points that meet a tree, and visits that meet a leaf, go to partitions by their number, beyond those of the session; the result is the same."""
     monkeypatch.setattr(X, "MEET", 9)

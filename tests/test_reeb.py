@@ -271,3 +271,13 @@ def test_graph_is_dealt_by_its_pairs(spark, monkeypatch):
     assert got.rdd.getNumPartitions() == pairs.count() * (PAIR_BYTES + 8 * k) // 1024 > R.partitions(spark)
     want = {(i, j, len(own[i] & own[j])) for i in own for j in own[i] if i in own[j]}
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_pairs_of_a_graph_stay_apart(spark, monkeypatch):
+    """Pairs for more than one task aren't merged into one because they are small when compressed, where the session has partitions enough."""
+    k = 4
+    pairs = spark.createDataFrame([(i, j) for i in range(50) for j in range(i // k * k, i // k * k + k)], "i long, j long")
+    monkeypatch.setattr(R, "TASK_BYTES", pairs.count() * (PAIR_BYTES + 8 * k) // 2)
+    got = ReebDiagram(k=k).graph(pairs)
+    assert got.rdd.getNumPartitions() == R.partitions(spark) > 2
+    assert {r["sim"] for r in got.where("i < 48").collect()} == {k}
